@@ -115,8 +115,9 @@ def upsert(tracker: DataFrame, incoming: DataFrame, sheet: str,
 
     # ---- appends (W5 + K2) -------------------------------------------------
     fresh = greedy_two_key(unmatched, "name", "website", "ord", case_fold=dedup_case_fold)
-    base = target.agg(F.coalesce(F.max("row_no"), F.lit(1)).alias("_base_no"),
-                      F.coalesce(F.max("row_id"), F.lit(0)).alias("_base_id"))
+    # row_no is positional within the sheet; row_id is unique across the tracker
+    base = (target.agg(F.coalesce(F.max("row_no"), F.lit(1)).alias("_base_no"))
+            .crossJoin(tracker.agg(F.coalesce(F.max("row_id"), F.lit(0)).alias("_base_id"))))
     fresh = with_positions(fresh, "ord", "_pos", start=1).crossJoin(base)
     appended = fresh.select(
         F.lit(sheet).alias("sheet"),

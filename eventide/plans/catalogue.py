@@ -351,3 +351,233 @@ def host_links(spark: SparkSession, sf: str) -> DataFrame:
     links = links.join(k, X.norm_key("link") == F.col("_known"), "left_anti")
     return (links.select(H.page_host(F.col("link")).alias("host"))
             .groupBy("host").agg(F.count("*").cast("long").alias("n_links")))
+
+
+# ------------------------------------------------------------- upsert ----
+
+def _dfmt(days_expr):
+    """'MMM dd, yyyy' of 2026-01-01 + n days."""
+    return D.fmt_date(F.date_add(F.to_date(F.lit("2026-01-01")), days_expr.cast("int")))
+
+
+def upsert_inputs(spark, sf):
+    """Existing Conferences rows = even part keys, incoming = odd part keys."""
+    from ..operators.upsert import conform_tracker
+
+    p = load(spark, sf, "part")
+    sz = F.col("p_size")
+    url = lambda off: F.concat(F.lit("https://"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))),
+                               F.lit(".example/"), (sz + off).cast("string"))
+    ex = p.where(F.col("p_partkey") % 2 == 0).select(
+        F.lit("Conferences").alias("sheet"), F.col("p_partkey").alias("row_id"),
+        (F.col("p_partkey") / 2 + 2).cast("int").alias("row_no"),
+        F.col("p_name").alias("name"), F.col("p_type").alias("category"),
+        F.lit("").alias("cfp_date"), F.when(sz % 4 == 0, F.lit("Open")).otherwise(F.lit("")).alias("cfp_status"),
+        F.concat(F.lit("Loc "), (sz % 10).cast("string")).alias("location"),
+        _dfmt(sz).alias("start_date"), _dfmt(sz + 2).alias("end_date"), url(0).alias("website"),
+        F.lit(3).alias("days"), F.concat(F.lit("note "), F.col("p_partkey").cast("string")).alias("notes"))
+    ex = conform_tracker(ex)
+    inc = p.where(F.col("p_partkey") % 2 == 1).select(
+        F.col("p_partkey").alias("ord"),
+        F.when(sz % 3 == 0, F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand")))
+         .when(sz % 3 == 1, F.concat(F.lit(" "), F.upper("p_name")))
+         .otherwise(F.col("p_name")).alias("name"),
+        F.when(sz % 5 == 0, F.lit("")).otherwise(url(1)).alias("website"),
+        F.when(sz % 4 == 0, F.lit("")).otherwise(F.col("p_type")).alias("category"),
+        F.lit("").alias("cfp_date"),
+        F.when(sz % 3 == 0, F.lit("Open")).when(sz % 3 == 1, F.lit("")).otherwise(F.lit("Check site")).alias("cfp_status"),
+        F.concat(F.lit("Loc "), (sz % 7).cast("string")).alias("location"),
+        _dfmt(sz % 20).alias("start_date"),
+        F.when(sz % 2 == 0, _dfmt(sz % 20 + 3)).otherwise(F.lit("")).alias("end_date"))
+    return ex, inc
+
+
+@query
+def upsert_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Existing row each incoming row updates (name first, then URL)."""
+    from ..operators.match import match_existing
+
+    ex, inc = upsert_inputs(spark, sf)
+    return match_existing(inc, ex).select("ord", "match_row_id", "match_by")
+
+
+_SNAP_COLS = ["sheet", "row_id", "row_no", "name", "category", "cfp_date", "cfp_status", "location",
+              "start_date", "end_date", "website", "days", "notes"]
+
+
+@query
+def upsert_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """The Conferences table after the upsert."""
+    from ..operators.upsert import upsert
+
+    ex, inc = upsert_inputs(spark, sf)
+    snap = upsert(ex, inc, "Conferences").snapshot
+    return snap.select(*_SNAP_COLS).withColumn("days", F.col("days").cast("long"))
+
+
+@query
+def change_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """K8: the changes the upsert would make, without applying them."""
+    from ..operators.upsert import upsert
+
+    ex, inc = upsert_inputs(spark, sf)
+    return upsert(ex, inc, "Conferences").changes
+
+
+@query
+def upsert_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """K1 return values: rows added, inputs that updated a row."""
+    from ..operators.upsert import upsert
+
+    ex, inc = upsert_inputs(spark, sf)
+    return upsert(ex, inc, "Conferences").counts
+
+
+# -------------------------------------------------------------- route ----
+
+def classified_events(spark, sf):
+    """Classified rows from events: location from customer/nation/region,
+    score from props.k, demo flag from value, hint on some rows."""
+    e = load(spark, sf, "events")
+    c = load(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    n = load(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    r = load(spark, sf, "region").select("r_regionkey", "r_name")
+    x = (e.join(c, e.user_id == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+         .join(r, n.n_regionkey == r.r_regionkey))
+    k = F.col("event_id")
+    return x.select(
+        "event_id", F.col("event_id").alias("ord"),
+        F.when(F.col("event_type").isin("click", "view", "signup"), F.lit("meetup"))
+         .otherwise(F.lit("conference")).alias("event_type"),
+        F.concat(F.col("event_type"), F.lit(" "), k.cast("string")).alias("name"),
+        F.concat_ws(", ", "c_name", "n_name", "r_name").alias("location"),
+        D.fmt_date(F.to_date("ts")).alias("start_date"),
+        F.get_json_object("props", "$.k").alias("fit_score"),
+        (F.col("value") > 50).alias("demo_suitable"),
+        F.when(k % 4 == 0, F.lit(True)).when(k % 4 == 1, F.lit(None)).otherwise(F.lit(False))
+         .cast("boolean").alias("hint_demo_suitable"))
+
+
+@query
+def city_route(spark: SparkSession, sf: str) -> DataFrame:
+    """Future meetups routed by first matching city rule."""
+    from ..operators.route import route_meetups
+    from .tables import AS_OF_EVENTS as A, ROUTE_RULES
+
+    ev = classified_events(spark, sf)
+    out = route_meetups(ev, A, ROUTE_RULES)
+    return out.select("event_id", "city", F.col("fit_score").cast("long"), "is_demo", "sheet")
+
+
+# ------------------------------------------------------------ replies ----
+
+def replies_df(spark, sf, truncate_odd: bool = False) -> DataFrame:
+    """One reply per (user, block of 64 event ids): the events as a JSON
+    ``events`` array wrapped in prose, fenced on even replies. With
+    ``truncate_odd`` the odd replies are cut inside their last item's name."""
+    e = load(spark, sf, "events")
+    k = F.col("event_id")
+    rank = (F.col("user_id") % 3).cast("int")
+    name = F.when(k % 13 == 0, F.lit("")).otherwise(
+        F.concat(F.col("event_type"), F.lit(" meetup "), (k % 97).cast("string")))
+    item = F.struct(name.alias("name"),
+                    F.concat(F.lit("City "), (F.col("user_id") % 7).cast("string")).alias("location"),
+                    D.fmt_date(F.to_date("ts")).alias("start_date"),
+                    F.concat(F.lit("https://ev.example/"), k.cast("string")).alias("website"),
+                    F.col("event_type").alias("why_relevant"),
+                    F.when(rank == 2, F.col("value") > 50).alias("demo_suitable"))
+    x = e.select((F.col("user_id") * 10_000_000 + F.floor(k / 64)).cast("long").alias("reply_id"),
+                 rank.alias("search_rank"), k, F.to_json(item).alias("j"), name.alias("_n"))
+    g = x.groupBy("reply_id", "search_rank").agg(
+        F.array_sort(F.collect_list(F.struct("event_id", "j", "_n"))).alias("items"))
+    full = F.concat(F.lit('{"events":['), F.array_join(F.transform("items", lambda i: i["j"]), ","), F.lit("]}"))
+    if truncate_odd:
+        head = F.slice("items", 1, F.size("items") - 1)
+        last = F.element_at("items", -1)
+        cut = F.concat(F.lit('{"events":['), F.array_join(F.transform(head, lambda i: i["j"]), ","),
+                       F.when(F.size("items") > 1, F.lit(",")).otherwise(F.lit("")),
+                       F.lit('{"name":"'), F.substring(last["_n"], 1, 2))
+        body = F.when(F.col("reply_id") % 2 == 1, cut).otherwise(full)
+    else:
+        body = full
+    text = F.when(F.col("reply_id") % 2 == 0,
+                  F.concat(F.lit("Results:\n```json\n"), body, F.lit("\n```\nDone.")))\
+        .otherwise(F.concat(F.lit("Here is what I found: "), body))
+    label = (F.when(F.col("search_rank") == 0, F.lit("CFP-open conference"))
+             .when(F.col("search_rank") == 1, F.lit("ticketed conference")).otherwise(F.lit("meetup/Berlin")))
+    return g.select("reply_id", F.lit("discovery").alias("kind"), "search_rank", label.alias("label"),
+                    text.alias("text"))
+
+
+def known_event_names(spark, sf) -> DataFrame:
+    """Names already tracked: those of high-value events."""
+    e = load(spark, sf, "events").where(F.col("value") > 140)
+    k = F.col("event_id")
+    return key_set(e.select(F.concat(F.col("event_type"), F.lit(" meetup "), (k % 97).cast("string")).alias("n")), "n")
+
+
+_DISC_COLS = ["name", "source", "raw_location", "raw_start_date", "raw_end_date", "website", "card_text",
+              "cfp_status", "cfp_date", "hint_demo_suitable", "source_rank", "ord"]
+
+
+@query
+def reply_explode(spark: SparkSession, sf: str) -> DataFrame:
+    """Discovery replies -> new raw events."""
+    from ..sources.replies import discovered_events
+
+    return discovered_events(replies_df(spark, sf), known_event_names(spark, sf)).select(*_DISC_COLS)
+
+
+@query
+def reply_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """the same replies with odd ones cut mid-item; salvaged items kept."""
+    from ..sources.replies import discovered_events
+
+    return discovered_events(replies_df(spark, sf, truncate_odd=True),
+                             known_event_names(spark, sf)).select(*_DISC_COLS)
+
+
+# ----------------------------------------------------------- patterns ----
+
+def labelled_docs(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", "text", "lang")
+    lab = load(spark, sf, "labels").select("doc_id", "quality")
+    return d.join(lab, "doc_id").select("doc_id", "text", F.col("lang").alias("category"),
+                                        F.col("quality").alias("label"))
+
+
+@query
+def learn_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """A3: reject / prefer terms per language from labelled documents."""
+    from ..operators.patterns import learn_signals
+
+    return learn_signals(labelled_docs(spark, sf), min_support=5, top_k=10).select(
+        "category", "side", F.col("rank").cast("long"), "term", "weight", "neg_df", "pos_df")
+
+
+@query
+def signal_score(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document scored with the learned signals after
+    the exact block (documents whose head equals a toxic document's head)."""
+    from ..operators.classify import classify_batch, native_scorer
+    from ..operators.patterns import learn_signals
+
+    sig = learn_signals(labelled_docs(spark, sf), min_support=5, top_k=10)
+    # integer micro-weights: sums are exact whatever the summation order
+    sig = sig.withColumn("weight", (F.round(F.col("weight") * 1_000_000)).cast("long"))
+    d = load(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("category"),
+                                            F.substring("text", 1, 30).alias("name"), F.lit("").alias("website"))
+    lab = load(spark, sf, "labels").where(F.col("toxic") == 1).select("doc_id")
+    toxic_names = key_set(d.join(lab, "doc_id").select("name"), "name")
+    empty = key_set(d.where(F.lit(False)).select("website"), "website")
+
+    def scorer(df):
+        out = native_scorer(sig, "doc_id", "text", "category", scale=1e-5)(df)
+        return out.withColumn("evidence", F.col("evidence").cast("long"))
+
+    relevant, blocked, scored = classify_batch(d, scorer, toxic_names, empty)
+    a = scored.select("doc_id", F.col("evidence").alias("evidence_micro"), "n_signals", "fit_score", "outcome")
+    b = blocked.select("doc_id", F.lit(None).cast("long").alias("evidence_micro"),
+                       F.lit(None).cast("long").alias("n_signals"), F.lit(None).cast("int").alias("fit_score"),
+                       "outcome")
+    return a.unionByName(b).withColumn("fit_score", F.col("fit_score").cast("long"))

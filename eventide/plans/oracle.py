@@ -339,3 +339,214 @@ SELECT {_host('link')} AS host, CAST(count(*) AS BIGINT) AS n_links FROM w
 WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.k = lower({_trim('link')}))
 GROUP BY 1
 """
+
+
+# ------------------------------------------------------------- upsert ----
+
+def _dfmt_sql(n: str) -> str:
+    return f"strftime(DATE '2026-01-01' + CAST({n} AS INTEGER) * INTERVAL 1 DAY, '%b %d, %Y')"
+
+
+def _url_sql(off: int) -> str:
+    return f"'https://' || lower(replace(p_brand, '#', '')) || '.example/' || CAST(p_size + {off} AS VARCHAR)"
+
+
+_UPSERT_IN = f"""
+ex AS (SELECT 'Conferences' AS sheet, p_partkey AS row_id, CAST(p_partkey / 2 + 2 AS INTEGER) AS row_no,
+         p_name AS name, p_type AS category, '' AS cfp_date, CASE WHEN p_size % 4 = 0 THEN 'Open' ELSE '' END AS cfp_status,
+         'Loc ' || CAST(p_size % 10 AS VARCHAR) AS location, {_dfmt_sql('p_size')} AS start_date,
+         {_dfmt_sql('p_size + 2')} AS end_date, {_url_sql(0)} AS website, 3 AS days,
+         'note ' || CAST(p_partkey AS VARCHAR) AS notes
+       FROM part WHERE p_partkey % 2 = 0),
+inc AS (SELECT p_partkey AS ord,
+         CASE p_size % 3 WHEN 0 THEN p_name || ' ' || p_brand WHEN 1 THEN ' ' || upper(p_name) ELSE p_name END AS name,
+         CASE WHEN p_size % 5 = 0 THEN '' ELSE {_url_sql(1)} END AS website,
+         CASE WHEN p_size % 4 = 0 THEN '' ELSE p_type END AS category, '' AS cfp_date,
+         CASE p_size % 3 WHEN 0 THEN 'Open' WHEN 1 THEN '' ELSE 'Check site' END AS cfp_status,
+         'Loc ' || CAST(p_size % 7 AS VARCHAR) AS location, {_dfmt_sql('p_size % 20')} AS start_date,
+         CASE WHEN p_size % 2 = 0 THEN {_dfmt_sql('p_size % 20 + 3')} ELSE '' END AS end_date
+       FROM part WHERE p_partkey % 2 = 1),
+named AS (SELECT * FROM ex WHERE {_key('name')} IS NOT NULL),
+by_name AS (SELECT {_key('name')} AS k, arg_max(row_id, row_no) AS rid FROM named GROUP BY 1),
+by_url AS (SELECT {_key('website')} AS k, arg_max(row_id, row_no) AS rid FROM named
+           WHERE {_key('website')} IS NOT NULL GROUP BY 1),
+mt AS (SELECT inc.*, coalesce(bn.rid, bu.rid) AS match_row_id,
+         CASE WHEN bn.rid IS NOT NULL THEN 'name' WHEN bu.rid IS NOT NULL THEN 'url' END AS match_by
+       FROM inc LEFT JOIN by_name bn ON bn.k = {_key('inc.name')}
+                LEFT JOIN by_url bu ON bu.k = {_key('inc.website')})
+"""
+
+_MANAGED = ["category", "cfp_date", "cfp_status", "location", "start_date", "end_date"]
+
+_chg = ",\n".join(
+    f"{_trim(f'coalesce(m.{c}, {chr(39)}{chr(39)})')} AS new_{c}, "
+    f"({_trim(f'coalesce(m.{c}, {chr(39)}{chr(39)})')} <> '' AND {_trim(f'coalesce(m.{c}, {chr(39)}{chr(39)})')} "
+    f"<> {_trim(f'coalesce(ex.{c}, {chr(39)}{chr(39)})')}) AS chg_{c}"
+    for c in _MANAGED)
+
+_UPSERT_CORE = _UPSERT_IN + f""",
+mm AS (SELECT m.ord, m.match_row_id, m.start_date AS in_start, m.end_date AS in_end,
+         {_trim("coalesce(ex.start_date, '')")} AS old_start, {_trim("coalesce(ex.end_date, '')")} AS old_end,
+         {_chg}
+       FROM mt m JOIN ex ON ex.row_id = m.match_row_id),
+mc AS (SELECT *, ({' OR '.join('chg_' + c for c in _MANAGED)}) AS changed,
+         CASE WHEN chg_start_date OR chg_end_date THEN
+           {_days("CASE WHEN coalesce(in_start, '') <> '' THEN in_start ELSE old_start END",
+                  "CASE WHEN coalesce(in_end, '') <> '' THEN in_end ELSE old_end END")} END AS days_new
+       FROM mm),
+per_row AS (SELECT match_row_id AS row_id,
+         {', '.join(f'arg_max(new_{c}, ord) FILTER (WHERE chg_{c}) AS fin_{c}' for c in _MANAGED)},
+         arg_max(days_new, ord) FILTER (WHERE days_new IS NOT NULL) AS fin_days
+       FROM mc WHERE changed GROUP BY 1),
+updated AS (SELECT ex.sheet, ex.row_id, ex.row_no, ex.name,
+         {', '.join(f'coalesce(p.fin_{c}, ex.{c}) AS {c}' for c in _MANAGED)},
+         ex.website, CAST(coalesce(p.fin_days, ex.days) AS BIGINT) AS days, ex.notes
+       FROM ex LEFT JOIN per_row p ON p.row_id = ex.row_id),
+src AS (SELECT ord, name, website FROM mt WHERE match_row_id IS NULL),
+{_greedy_sql('src', 'ord')},
+appended AS (SELECT 'Conferences' AS sheet,
+         (SELECT max(row_id) FROM ex) + row_number() OVER (ORDER BY u.ord) AS row_id,
+         CAST((SELECT max(row_no) FROM ex) + row_number() OVER (ORDER BY u.ord) AS INTEGER) AS row_no,
+         {_trim("coalesce(u.name, '')")} AS name,
+         {', '.join(f"coalesce(u.{c}, '') AS {c}" for c in _MANAGED)},
+         {_trim("coalesce(u.website, '')")} AS website,
+         {_days("coalesce(u.start_date, '')", "coalesce(u.end_date, '')")} AS days, '' AS notes
+       FROM mt u WHERE u.ord IN (SELECT ord FROM greedy))
+"""
+
+SQL["upsert_match"] = f"WITH {_UPSERT_IN} SELECT ord, match_row_id, match_by FROM mt"
+
+SQL["upsert_snapshot"] = f"""
+WITH RECURSIVE {_UPSERT_CORE}
+SELECT sheet, row_id, row_no, name, category, cfp_date, cfp_status, location, start_date, end_date, website, days, notes
+FROM updated UNION ALL
+SELECT sheet, row_id, row_no, name, category, cfp_date, cfp_status, location, start_date, end_date, website, days, notes
+FROM appended
+"""
+
+_fields_unnest = ", ".join(
+    f"{{'field': '{c}', 'old': ex.{c}, 'new': p.fin_{c}}}" for c in _MANAGED)
+
+SQL["change_plan"] = f"""
+WITH RECURSIVE {_UPSERT_CORE},
+u AS (SELECT p.row_id, unnest([{_fields_unnest},
+        {{'field': 'days', 'old': CAST(ex.days AS VARCHAR), 'new': CAST(p.fin_days AS VARCHAR)}}]) AS c
+      FROM per_row p JOIN ex ON ex.row_id = p.row_id)
+SELECT 'update' AS action, 'Conferences' AS sheet, row_id, c.field AS field, c.old AS old, c.new AS new
+FROM u WHERE c.new IS NOT NULL
+UNION ALL
+SELECT 'insert', 'Conferences', row_id, 'name', NULL, name FROM appended
+"""
+
+SQL["upsert_counts"] = f"""
+WITH RECURSIVE {_UPSERT_CORE}
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM appended) AS added,
+       (SELECT CAST(count(*) AS BIGINT) FROM mc WHERE changed) AS updated
+"""
+
+
+# -------------------------------------------------------------- route ----
+
+def _first_rule_sql(e: str, rules) -> str:
+    return "CASE " + " ".join(f"WHEN {_any(e, needles)} THEN {_lit(label)}" for label, needles in rules) + " END"
+
+
+_CLASSIFIED = f"""
+cl AS (SELECT e.event_id,
+         CASE WHEN e.event_type IN ('click', 'view', 'signup') THEN 'meetup' ELSE 'conference' END AS event_type,
+         concat_ws(', ', c.c_name, n.n_name, r.r_name) AS location,
+         strftime(CAST(e.ts AS DATE), '%b %d, %Y') AS start_date,
+         json_extract_string(e.props, '$.k') AS fit_raw, e.value > 50 AS demo_suitable,
+         CASE WHEN e.event_id % 4 = 0 THEN true WHEN e.event_id % 4 = 1 THEN NULL ELSE false END AS hint
+       FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+       JOIN region r ON n.n_regionkey = r.r_regionkey)
+"""
+
+SQL["city_route"] = f"""
+WITH {_CLASSIFIED},
+f AS (SELECT *, {_first_rule_sql('location', ROUTE_RULES)} AS city,
+        coalesce(TRY_CAST(fit_raw AS INTEGER), 0) AS fit_score,
+        coalesce(demo_suitable, false) OR coalesce(hint, false) AS is_demo
+      FROM cl WHERE event_type = 'meetup'
+        AND NOT coalesce({_parse5('start_date')} < DATE '{AS_OF_EVENTS}', false))
+SELECT event_id, city, CAST(fit_score AS BIGINT) AS fit_score, is_demo,
+  CASE WHEN city = 'San Francisco' AND is_demo THEN 'SF Product Demos' ELSE 'Meet-ups' END AS sheet
+FROM f WHERE city IS NOT NULL AND fit_score >= 0
+"""
+
+
+# ------------------------------------------------------------ replies ----
+
+def _disc_sql(truncate_odd: bool) -> str:
+    drop_last = "AND NOT (reply_id % 2 = 1 AND pos = n_items)" if truncate_odd else ""
+    return f"""
+WITH it AS (
+  SELECT CAST(user_id * 10000000 + floor(event_id / 64) AS BIGINT) AS reply_id,
+    CAST(user_id % 3 AS INTEGER) AS search_rank, event_id,
+    CASE WHEN event_id % 13 = 0 THEN '' ELSE event_type || ' meetup ' || CAST(event_id % 97 AS VARCHAR) END AS name,
+    'City ' || CAST(user_id % 7 AS VARCHAR) AS location, strftime(CAST(ts AS DATE), '%b %d, %Y') AS start_date,
+    'https://ev.example/' || CAST(event_id AS VARCHAR) AS website, event_type AS why,
+    CASE WHEN user_id % 3 = 2 THEN value > 50 END AS demo
+  FROM events),
+p AS (SELECT *, row_number() OVER (PARTITION BY reply_id ORDER BY event_id) AS pos,
+        count(*) OVER (PARTITION BY reply_id) AS n_items FROM it),
+known AS (SELECT DISTINCT {_key("event_type || ' meetup ' || CAST(event_id % 97 AS VARCHAR)")} AS k
+          FROM events WHERE value > 140),
+c AS (SELECT * FROM p WHERE {_trim('name')} <> '' {drop_last}
+        AND NOT EXISTS (SELECT 1 FROM known WHERE known.k = {_key('p.name')})),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower({_trim('name')})
+        ORDER BY search_rank, reply_id, pos) AS rn FROM c) WHERE rn = 1)
+SELECT {_trim('name')} AS name,
+  'Web discovery (' || CASE search_rank WHEN 0 THEN 'CFP-open conference' WHEN 1 THEN 'ticketed conference'
+                          ELSE 'meetup/Berlin' END || ')' AS source,
+  location AS raw_location, start_date AS raw_start_date, '' AS raw_end_date, website,
+  CASE search_rank WHEN 0 THEN 'CFP-open conference' WHEN 1 THEN 'ticketed conference' ELSE 'meetup/Berlin' END
+    || '. ' || why AS card_text,
+  CAST(NULL AS VARCHAR) AS cfp_status, CAST(NULL AS VARCHAR) AS cfp_date, demo AS hint_demo_suitable,
+  search_rank AS source_rank, CAST(reply_id * 100000 + pos - 1 AS BIGINT) AS ord
+FROM w
+"""
+
+
+SQL["reply_explode"] = _disc_sql(False)
+SQL["reply_repair"] = _disc_sql(True)
+
+
+# ----------------------------------------------------------- patterns ----
+
+_LEARN = """
+ld AS (SELECT d.doc_id, d.text, d.lang AS category, l.quality AS label
+       FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+tot AS (SELECT category, CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_neg,
+               CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_pos FROM ld GROUP BY 1),
+tk AS (SELECT category, label, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS term FROM ld),
+dfc AS (SELECT category, term, CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg_df,
+               CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos_df
+        FROM tk GROUP BY 1, 2 HAVING neg_df + pos_df >= 5),
+wt AS (SELECT dfc.*, round(ln((neg_df + 1.0) / (n_neg - neg_df + 1.0)) - ln((pos_df + 1.0) / (n_pos - pos_df + 1.0)), 6) AS weight
+       FROM dfc JOIN tot USING (category)),
+sg AS (SELECT *, CASE WHEN weight > 0 THEN 'reject' ELSE 'prefer' END AS side FROM wt WHERE weight <> 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY category, side ORDER BY abs(weight) DESC, term) AS rank FROM sg),
+signals AS (SELECT category, side, CAST(rank AS BIGINT) AS rank, term, weight, neg_df, pos_df FROM rk WHERE rank <= 10)
+"""
+
+SQL["learn_patterns"] = f"WITH {_LEARN} SELECT * FROM signals"
+
+SQL["signal_score"] = f"""
+WITH {_LEARN},
+d AS (SELECT doc_id, text, lang AS category, substring(text, 1, 30) AS name FROM documents),
+tox AS (SELECT DISTINCT {_key('d.name')} AS k FROM d JOIN labels l ON d.doc_id = l.doc_id
+        WHERE l.toxic = 1 AND {_key('d.name')} IS NOT NULL),
+bl AS (SELECT d.*, EXISTS (SELECT 1 FROM tox WHERE tox.k = {_key('d.name')}) AS blocked FROM d),
+toks AS (SELECT doc_id, category, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{3,}}'))) AS term
+         FROM bl WHERE NOT blocked),
+ev AS (SELECT t.doc_id, CAST(sum(CAST(round(s.weight * 1000000) AS BIGINT)) AS BIGINT) AS ev, CAST(count(*) AS BIGINT) AS n
+       FROM toks t JOIN signals s ON s.category = t.category AND s.term = t.term GROUP BY 1),
+sc AS (SELECT bl.doc_id, coalesce(ev.ev, 0) AS evidence_micro, coalesce(ev.n, 0) AS n_signals
+       FROM bl LEFT JOIN ev ON ev.doc_id = bl.doc_id WHERE NOT bl.blocked),
+fs AS (SELECT *, CAST(least(greatest(round(50.0 - 0.00001 * evidence_micro), 0.0), 100.0) AS BIGINT) AS fit_score FROM sc)
+SELECT doc_id, evidence_micro, n_signals, fit_score,
+  CASE WHEN fit_score >= 50 THEN 'relevant' ELSE 'rejected' END AS outcome FROM fs
+UNION ALL
+SELECT doc_id, NULL, NULL, NULL, 'blocked' FROM bl WHERE blocked
+"""
