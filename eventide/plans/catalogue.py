@@ -581,3 +581,244 @@ def signal_score(spark: SparkSession, sf: str) -> DataFrame:
                        F.lit(None).cast("long").alias("n_signals"), F.lit(None).cast("int").alias("fit_score"),
                        "outcome")
     return a.unionByName(b).withColumn("fit_score", F.col("fit_score").cast("long"))
+
+
+# ----------------------------------------------------------- editions ----
+
+def edition_inputs(spark, sf):
+    """Archived rows from part (name with a 20xx year), edition candidates
+    from lineitem x part (one lookup result per line item)."""
+    p = load(spark, sf, "part")
+    sz = F.col("p_size")
+    past = p.select(
+        F.col("p_partkey").alias("row_id"),
+        F.concat(F.col("p_name"), F.lit(" "), (F.lit(2000) + sz % 5).cast("string")).alias("name"),
+        F.when(sz % 9 == 0, F.lit("")).otherwise(
+            D.fmt_date(F.date_add(F.to_date(F.lit("1995-01-10")), (sz * 30).cast("int")))).alias("start_date"),
+        F.col("p_type").alias("category"),
+        F.concat(F.lit("City "), F.col("p_brand")).alias("location"),
+        F.concat(F.lit("https://past.example/"), F.col("p_partkey").cast("string")).alias("website"))
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                                           "l_returnflag", "l_shipdate")
+    pn = p.select("p_partkey", "p_name")
+    x = li.join(pn, li.l_partkey == pn.p_partkey)
+    ln = F.col("l_linenumber")
+    cand = x.select(
+        (F.col("l_orderkey") * 8 + ln).cast("long").alias("cand_id"),
+        F.col("p_name").alias("base_name"),
+        F.when(ln == 2, F.lit("")).otherwise(
+            F.concat(F.col("p_name"), F.lit(" "), F.year("l_shipdate").cast("string"), F.lit(" edition"))).alias("name"),
+        F.when(ln == 5, F.lit("")).otherwise(D.fmt_date(F.to_date("l_shipdate"))).alias("start_date"),
+        D.fmt_date(F.date_add(F.to_date("l_shipdate"), 2)).alias("end_date"),
+        F.when(ln == 3, F.lit("")).otherwise(F.concat(F.lit("Loc "), F.col("l_suppkey").cast("string"))).alias("location"),
+        F.when(ln == 4, F.lit("")).otherwise(
+            F.concat(F.lit("https://next.example/"), F.col("l_orderkey").cast("string"))).alias("website"),
+        F.when(ln % 4 == 0, F.lit("low")).when(ln % 4 == 1, F.lit("medium")).otherwise(F.lit("high")).alias("confidence"),
+        (F.col("l_returnflag") != "R").alias("future_edition_found"),
+        F.lit("").alias("evidence"))
+    return past, cand
+
+
+@query
+def edition_link(spark: SparkSession, sf: str) -> DataFrame:
+    """Nearest later, not-past, not-low edition per archived row."""
+    from ..operators.editions import next_editions
+
+    past, cand = edition_inputs(spark, sf)
+    return next_editions(past, cand, AS_OF_ORDERS).select(
+        "row_id", "next_name", "category", "location", "start_date", "end_date", "website", "cand_id")
+
+
+# ---------------------------------------------------------------- cfp ----
+
+def cfp_tracker(spark, sf):
+    """Conferences rows from orders with a spread of CFP statuses."""
+    from ..operators.upsert import conform_tracker
+
+    o = load(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    status = (F.when(k % 8 == 0, F.lit("")).when(k % 8 == 1, F.lit(" Check Site ")).when(k % 8 == 2, F.lit("Unknown"))
+              .when(k % 8 == 3, F.lit("not yet announced")).when(k % 8 == 4, F.lit("Open"))
+              .when(k % 8 == 5, F.lit("Closed")).when(k % 8 == 6, F.lit("—")))
+    t = o.select(F.lit("Conferences").alias("sheet"), k.alias("row_id"), (k + 2).cast("int").alias("row_no"),
+                 F.concat(F.lit("Conf "), k.cast("string")).alias("name"),
+                 F.when(k % 10 == 0, F.lit("TBC")).otherwise(D.fmt_date(F.to_date("o_orderdate"))).alias("start_date"),
+                 status.alias("cfp_status"), F.lit("").alias("cfp_date"))
+    return conform_tracker(t)
+
+
+def cfp_fact_rows(spark, sf):
+    """Lookup results keyed by event name: orders above a price."""
+    o = load(spark, sf, "orders").where(F.col("o_totalprice") > 100000)
+    k = F.col("o_orderkey")
+    return o.select(F.concat(F.lit("Conf "), k.cast("string")).alias("key"), k.alias("ord"),
+                    F.when(F.col("o_orderstatus") == "F", F.lit("Open"))
+                     .when(F.col("o_orderstatus") == "O", F.lit("Closed")).alias("cfp_status"),
+                    F.when(k % 3 == 0, F.lit("")).otherwise(
+                        D.fmt_date(F.date_add(F.to_date("o_orderdate"), 30))).alias("cfp_deadline"),
+                    F.lit("").alias("cfp_url"))
+
+
+@query
+def cfp_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """Re-checkable rows patched with new CFP facts."""
+    from ..operators.upsert import patch_cfp
+
+    t = cfp_tracker(spark, sf)
+    facts = C.facts_from_lookups(cfp_fact_rows(spark, sf), AS_OF_ORDERS)
+    patches = C.refresh_patches(C.refresh_candidates(t, AS_OF_ORDERS), facts)
+    patched = patch_cfp(t, patches)
+    return patched.join(patches.select("row_id"), "row_id", "left_semi").select("row_id", "cfp_date", "cfp_status")
+
+
+@query
+def cfp_enrich(spark: SparkSession, sf: str) -> DataFrame:
+    """Source status beats the model's unless empty / Check site;
+    then CFP facts replace the status (and the date when they have one)."""
+    t = cfp_tracker(spark, sf).select("row_id", "name", "cfp_status", "cfp_date")
+    ev = t.withColumn("cfp_status", C.cfp_precedence(F.col("cfp_status"), F.lit("Open")))
+    facts = C.facts_from_lookups(cfp_fact_rows(spark, sf), AS_OF_ORDERS)
+    return C.enrich(ev, facts).select("row_id", "cfp_status", "cfp_date")
+
+
+# ---------------------------------------------------------- lifecycle ----
+
+def lifecycle_tracker(spark, sf):
+    """Tracker over orders: F -> Time Passed, O -> Conferences, P -> Meet-ups
+    or SF Product Demos; names by customer so archive matches happen."""
+    from ..operators.upsert import conform_tracker
+
+    o = load(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    sheet = (F.when(F.col("o_orderstatus") == "F", F.lit("Time Passed"))
+             .when(F.col("o_orderstatus") == "O", F.lit("Conferences"))
+             .when(k % 2 == 0, F.lit("Meet-ups")).otherwise(F.lit("SF Product Demos")))
+    t = o.select(sheet.alias("sheet"), k.alias("row_id"), (k + 2).cast("int").alias("row_no"),
+                 F.concat(F.lit("Conf "), F.col("o_custkey").cast("string")).alias("name"),
+                 F.col("o_orderpriority").alias("category"),
+                 F.when(k % 10 == 0, F.lit("TBC")).otherwise(D.fmt_date(F.to_date("o_orderdate"))).alias("start_date"),
+                 F.concat(F.lit("https://c.example/"), k.cast("string")).alias("website"),
+                 F.concat(F.lit("n"), k.cast("string")).alias("notes"))
+    return conform_tracker(t)
+
+
+_LIFE_COLS = ["sheet", "row_id", "row_no", "name", "category", "start_date", "website", "days", "notes"]
+
+
+@query
+def migrate_past(spark: SparkSession, sf: str) -> DataFrame:
+    """K6 K4: past Conferences rows upserted into Time Passed (manual
+    columns kept) and removed from Conferences."""
+    from ..operators.lifecycle import migrate_past as migrate
+
+    res = migrate(lifecycle_tracker(spark, sf), AS_OF_ORDERS)
+    return res.tracker.select(*_LIFE_COLS).withColumn("days", F.col("days").cast("long"))
+
+
+@query
+def purge_past(spark: SparkSession, sf: str) -> DataFrame:
+    """K7: past rows of the two short-lived tables dropped."""
+    from ..operators.lifecycle import purge_past as purge
+
+    return purge(lifecycle_tracker(spark, sf), AS_OF_ORDERS).select("sheet", "row_id", "start_date")
+
+
+# ------------------------------------------------------------ reports ----
+
+@query
+def shortfall(spark: SparkSession, sf: str) -> DataFrame:
+    """A5 M7: new candidates per segment against targets; retry flag."""
+    from ..operators.report import per_city_target, run_target, shortfall as short
+
+    e = load(spark, sf, "events").where(F.col("value") > 140)
+    found = e.groupBy(F.col("event_type").alias("segment")).agg(F.count("*").cast("long").alias("found"))
+    targets = spark.createDataFrame(
+        [("click", run_target(True)), ("view", run_target(True)), ("signup", run_target(False)),
+         ("purchase", run_target(False)), ("error", run_target(False)), ("per_city", per_city_target())],
+        "segment string, wanted long")
+    return short(found, targets)
+
+
+@query
+def run_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """A2: outcome counts per source with rollup totals."""
+    from ..operators.report import run_metrics as metrics
+
+    d = load(spark, sf, "documents").select("doc_id", "source")
+    lab = load(spark, sf, "labels")
+    x = d.join(lab, "doc_id", "left")
+    outcome = (F.when(F.col("toxic") == 1, F.lit("blocked")).when(F.col("quality") == 1, F.lit("relevant"))
+               .when(F.col("quality") == 0, F.lit("rejected")).otherwise(F.lit("failed")))
+    return metrics(x.select("source", outcome.alias("outcome")))
+
+
+@query
+def digest(spark: SparkSession, sf: str) -> DataFrame:
+    """Per bucket the count and the first six formatted lines."""
+    from ..operators.report import digest as dg
+
+    e = load(spark, sf, "events").select("event_id", "ts", "event_type", "user_id")
+    line = F.format_string("  • <%s|%s> — %s, %s",
+                           F.concat(F.lit("https://ev.example/"), F.col("event_id").cast("string")),
+                           F.concat(F.col("event_type"), F.lit(" "), F.col("event_id").cast("string")),
+                           D.fmt_date(F.to_date("ts")),
+                           F.concat(F.lit("City "), (F.col("user_id") % 7).cast("string")))
+    return dg(e, "event_type", ["ts", "event_id"], line, 6)
+
+
+# -------------------------------------------------------------- sheet ----
+
+def sheet_rows_df(spark, sf) -> DataFrame:
+    """customer rendered as spreadsheet cells under a header row: sheet A
+    (even keys) and sheet B (odd keys, other column order, a duplicate
+    header); short rows, surplus cells, padded and empty names."""
+    c = load(spark, sf, "customer")
+    k = F.col("c_custkey")
+    name = (F.when(k % 9 == 0, F.lit("")).when(k % 5 == 0, F.concat(F.lit("  "), F.col("c_name"), F.lit(" ")))
+            .otherwise(F.col("c_name")))
+    site = F.concat(F.lit("https://c"), k.cast("string"), F.lit(".example"))
+    note = F.concat(F.lit("n"), k.cast("string"))
+    a_cells = F.array(F.lit(""), name, site, note, F.col("c_mktsegment"))
+    a_cells = (F.when(k % 4 == 2, F.slice(a_cells, 1, 3))
+               .when(k % 7 == 0, F.concat(a_cells, F.array(F.lit("extra")))).otherwise(a_cells))
+    b_cells = F.array(site, name, F.col("c_mktsegment"), F.lit("old"), note)
+    b_cells = F.when(k % 4 == 1, F.slice(b_cells, 1, 2)).otherwise(b_cells)
+    rows = c.select(F.when(k % 2 == 0, F.lit("A")).otherwise(F.lit("B")).alias("sheet"),
+                    (k + 2).cast("int").alias("row_no"),
+                    F.when(k % 2 == 0, a_cells).otherwise(b_cells).alias("cells"))
+    hdr = spark.createDataFrame([("A", 1, ["", " Name ", "Website", "Notes", "Segment"]),
+                                 ("B", 1, ["Website", "name ", "SEGMENT", "Notes", "notes"])],
+                                "sheet string, row_no int, cells array<string>")
+    return rows.unionByName(hdr)
+
+
+@query
+def sheet_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    """Header-driven read of spreadsheet rows."""
+    from ..sources.sheet import read_sheet
+
+    return read_sheet(sheet_rows_df(spark, sf), ["name", "website", "notes", "segment"])
+
+
+# ----------------------------------------------------------- requests ----
+
+@query
+def requests(spark: SparkSession, sf: str) -> DataFrame:
+    """One CFP lookup request per event, one discovery request
+    per (segment, city)."""
+    from ..operators.requests import cfp_requests, city_requests
+
+    e = load(spark, sf, "events")
+    n = load(spark, sf, "nation")
+    c = load(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    x = e.join(c, e.user_id == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    k = F.col("event_id")
+    ev = x.select(k.alias("key"),
+                  F.concat(F.col("event_type"), F.lit(" "), k.cast("string")).alias("name"),
+                  F.when(k % 5 == 0, F.lit("")).otherwise(F.col("n_name")).alias("location"),
+                  F.when(k % 7 == 0, F.lit("")).otherwise(D.fmt_date(F.to_date("ts"))).alias("start_date"),
+                  F.when(k % 3 == 0, F.lit("")).otherwise(D.fmt_date(F.date_add(F.to_date("ts"), 1))).alias("end_date"),
+                  F.when(k % 4 == 0, F.lit("")).otherwise(
+                      F.concat(F.lit("https://ev.example/"), k.cast("string"))).alias("website"))
+    segs = e.select(F.col("event_type").alias("segment")).distinct()
+    return cfp_requests(ev).unionByName(city_requests(segs))

@@ -550,3 +550,239 @@ SELECT doc_id, evidence_micro, n_signals, fit_score,
 UNION ALL
 SELECT doc_id, NULL, NULL, NULL, 'blocked' FROM bl WHERE blocked
 """
+
+
+# ----------------------------------------------------------- editions ----
+
+def _strip_year_sql(e: str) -> str:
+    return _trim(f"regexp_replace({e}, '\\s*\\b(20\\d{{2}})\\b\\s*', ' ', 'g')")
+
+
+SQL["edition_link"] = f"""
+WITH p AS (
+  SELECT p_partkey AS row_id, p_name || ' ' || CAST(2000 + p_size % 5 AS VARCHAR) AS name,
+    CASE WHEN p_size % 9 = 0 THEN '' ELSE strftime(DATE '1995-01-10' + CAST(p_size * 30 AS INTEGER) * INTERVAL 1 DAY, '%b %d, %Y') END AS start_date,
+    p_type AS category, 'City ' || p_brand AS location, 'https://past.example/' || CAST(p_partkey AS VARCHAR) AS website
+  FROM part),
+pk AS (SELECT *, lower({_strip_year_sql('name')}) AS base, {_parse5('start_date')} AS pd FROM p),
+c0 AS (
+  SELECT CAST(l.l_orderkey * 8 + l.l_linenumber AS BIGINT) AS cand_id, pt.p_name AS base_name,
+    CASE WHEN l.l_linenumber = 2 THEN '' ELSE pt.p_name || ' ' || CAST(year(l.l_shipdate) AS VARCHAR) || ' edition' END AS name,
+    CASE WHEN l.l_linenumber = 5 THEN '' ELSE strftime(CAST(l.l_shipdate AS DATE), '%b %d, %Y') END AS start_date,
+    strftime(CAST(l.l_shipdate AS DATE) + INTERVAL 2 DAY, '%b %d, %Y') AS end_date,
+    CASE WHEN l.l_linenumber = 3 THEN '' ELSE 'Loc ' || CAST(l.l_suppkey AS VARCHAR) END AS location,
+    CASE WHEN l.l_linenumber = 4 THEN '' ELSE 'https://next.example/' || CAST(l.l_orderkey AS VARCHAR) END AS website,
+    CASE l.l_linenumber % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS confidence,
+    l.l_returnflag <> 'R' AS found
+  FROM lineitem l JOIN part pt ON l.l_partkey = pt.p_partkey),
+c AS (SELECT *, lower({_strip_year_sql('base_name')}) AS base, {_parse5('start_date')} AS cd FROM c0
+      WHERE coalesce(found, false) AND NOT coalesce(confidence = 'low', false)
+        AND NOT coalesce({_parse5('start_date')} < {AS_O}, false)),
+nd AS (SELECT pk.row_id, pk.base, min(c.cd) AS nd FROM pk JOIN c ON pk.base = c.base
+       WHERE c.cd IS NOT NULL AND (pk.pd IS NULL OR c.cd > pk.pd) GROUP BY 1, 2),
+best AS (SELECT nd.row_id, min({{'cand_id': c.cand_id, 'name': c.name, 'start_date': c.start_date,
+           'end_date': c.end_date, 'location': c.location, 'website': c.website}}) AS cs
+         FROM nd JOIN c ON c.base = nd.base AND c.cd = nd.nd GROUP BY 1),
+und AS (SELECT base, min({{'cand_id': cand_id, 'name': name, 'start_date': start_date, 'end_date': end_date,
+           'location': location, 'website': website}}) AS cs FROM c WHERE cd IS NULL GROUP BY 1),
+ch AS (SELECT pk.*, coalesce(best.cs, und.cs) AS cs FROM pk LEFT JOIN best ON best.row_id = pk.row_id
+       LEFT JOIN und ON und.base = pk.base)
+SELECT row_id,
+  coalesce(nullif(cs.name, ''), {_strip_year_sql('name')} || ' ' || CAST(year({AS_O}) + 1 AS VARCHAR)) AS next_name,
+  coalesce(category, '') AS category, coalesce(nullif(cs.location, ''), location) AS location,
+  coalesce(cs.start_date, '') AS start_date, coalesce(cs.end_date, '') AS end_date,
+  coalesce(nullif(cs.website, ''), website) AS website, cs.cand_id AS cand_id
+FROM ch WHERE cs IS NOT NULL
+"""
+
+
+# ---------------------------------------------------------------- cfp ----
+
+_CFP_IN = f"""
+t AS (SELECT o_orderkey AS row_id, 'Conf ' || CAST(o_orderkey AS VARCHAR) AS name,
+        CASE WHEN o_orderkey % 10 = 0 THEN 'TBC' ELSE strftime(CAST(o_orderdate AS DATE), '%b %d, %Y') END AS start_date,
+        CASE o_orderkey % 8 WHEN 0 THEN '' WHEN 1 THEN ' Check Site ' WHEN 2 THEN 'Unknown' WHEN 3 THEN 'not yet announced'
+             WHEN 4 THEN 'Open' WHEN 5 THEN 'Closed' WHEN 6 THEN '—' END AS cfp_status, '' AS cfp_date
+      FROM orders),
+f0 AS (SELECT 'Conf ' || CAST(o_orderkey AS VARCHAR) AS key, o_orderkey AS ord,
+         coalesce(CASE o_orderstatus WHEN 'F' THEN 'Open' WHEN 'O' THEN 'Closed' END, 'Unknown') AS st,
+         CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE strftime(CAST(o_orderdate AS DATE) + INTERVAL 30 DAY, '%b %d, %Y') END AS fact_date
+       FROM orders WHERE o_totalprice > 100000),
+facts AS (SELECT lower({_trim('key')}) AS fact_key,
+            CASE WHEN st = 'Open' AND coalesce({_parse5('fact_date')} < {AS_O}, false) THEN 'Closed' ELSE st END AS fact_status,
+            fact_date FROM (SELECT *, row_number() OVER (PARTITION BY lower({_trim('key')}) ORDER BY ord) AS rn FROM f0) WHERE rn = 1)
+"""
+
+SQL["cfp_refresh"] = f"""
+WITH {_CFP_IN},
+cand AS (SELECT * FROM t WHERE NOT coalesce({_parse5('start_date')} < {AS_O}, false)
+           AND coalesce(lower({_trim('cfp_status')}), '') IN ('', 'check site', 'not yet announced', 'unknown')),
+pt AS (SELECT cand.row_id, facts.fact_date, facts.fact_status FROM cand JOIN facts ON lower({_trim('cand.name')}) = facts.fact_key
+       WHERE facts.fact_status <> '' OR facts.fact_date <> '')
+SELECT t.row_id, coalesce(nullif(coalesce(pt.fact_date, ''), ''), t.cfp_date) AS cfp_date,
+  coalesce(nullif(coalesce(pt.fact_status, ''), ''), t.cfp_status) AS cfp_status
+FROM t JOIN pt ON pt.row_id = t.row_id
+"""
+
+SQL["cfp_enrich"] = f"""
+WITH {_CFP_IN},
+ev AS (SELECT row_id, name, cfp_date,
+         CASE WHEN coalesce(cfp_status, '') <> '' AND coalesce(cfp_status, '') <> 'Check site' THEN cfp_status ELSE 'Open' END AS cfp_status
+       FROM t)
+SELECT ev.row_id, CASE WHEN facts.fact_key IS NOT NULL THEN facts.fact_status ELSE ev.cfp_status END AS cfp_status,
+  CASE WHEN facts.fact_key IS NOT NULL AND facts.fact_date <> '' THEN facts.fact_date ELSE ev.cfp_date END AS cfp_date
+FROM ev LEFT JOIN facts ON lower({_trim('ev.name')}) = facts.fact_key
+"""
+
+
+# ---------------------------------------------------------- lifecycle ----
+
+_LIFE = f"""
+tr AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'Time Passed' WHEN o_orderstatus = 'O' THEN 'Conferences'
+                   WHEN o_orderkey % 2 = 0 THEN 'Meet-ups' ELSE 'SF Product Demos' END AS sheet,
+         o_orderkey AS row_id, CAST(o_orderkey + 2 AS INTEGER) AS row_no, 'Conf ' || CAST(o_custkey AS VARCHAR) AS name,
+         o_orderpriority AS category, CAST(NULL AS VARCHAR) AS cfp_date, CAST(NULL AS VARCHAR) AS cfp_status,
+         CAST(NULL AS VARCHAR) AS location,
+         CASE WHEN o_orderkey % 10 = 0 THEN 'TBC' ELSE strftime(CAST(o_orderdate AS DATE), '%b %d, %Y') END AS start_date,
+         CAST(NULL AS VARCHAR) AS end_date, 'https://c.example/' || CAST(o_orderkey AS VARCHAR) AS website,
+         CAST(NULL AS BIGINT) AS days, 'n' || CAST(o_orderkey AS VARCHAR) AS notes
+       FROM orders)
+"""
+
+SQL["purge_past"] = f"""
+WITH {_LIFE}
+SELECT sheet, row_id, start_date FROM tr
+WHERE NOT (sheet IN ('Meet-ups', 'SF Product Demos') AND coalesce({_parse5('start_date')} < {AS_O}, false))
+"""
+
+
+def _upsert_sql(target: str, inc: str, all_rows: str, sheet: str, carry_notes: bool) -> str:
+    """CTEs of a K1 upsert of ``inc`` (ord, name, website, managed fields,
+    notes) into ``target`` (tracker rows of one sheet); defines ``arch``."""
+    chg = ",\n".join(
+        f"{_trim(f'coalesce(m.{c}, {chr(39)}{chr(39)})')} AS new_{c}, "
+        f"({_trim(f'coalesce(m.{c}, {chr(39)}{chr(39)})')} <> '' AND {_trim(f'coalesce(m.{c}, {chr(39)}{chr(39)})')} "
+        f"<> {_trim(f'coalesce(x.{c}, {chr(39)}{chr(39)})')}) AS chg_{c}"
+        for c in _MANAGED)
+    notes = "coalesce(u.notes, '')" if carry_notes else "''"
+    return f"""
+u_named AS (SELECT * FROM {target} WHERE {_key('name')} IS NOT NULL),
+u_bn AS (SELECT {_key('name')} AS k, arg_max(row_id, row_no) AS rid FROM u_named GROUP BY 1),
+u_bu AS (SELECT {_key('website')} AS k, arg_max(row_id, row_no) AS rid FROM u_named WHERE {_key('website')} IS NOT NULL GROUP BY 1),
+u_mt AS (SELECT i.*, coalesce(bn.rid, bu.rid) AS match_row_id FROM {inc} i
+         LEFT JOIN u_bn bn ON bn.k = {_key('i.name')} LEFT JOIN u_bu bu ON bu.k = {_key('i.website')}),
+u_mm AS (SELECT m.ord, m.match_row_id, m.start_date AS in_start, m.end_date AS in_end,
+           {_trim("coalesce(x.start_date, '')")} AS old_start, {_trim("coalesce(x.end_date, '')")} AS old_end, {chg}
+         FROM u_mt m JOIN {target} x ON x.row_id = m.match_row_id),
+u_mc AS (SELECT *, ({' OR '.join('chg_' + c for c in _MANAGED)}) AS changed,
+           CASE WHEN chg_start_date OR chg_end_date THEN
+             {_days("CASE WHEN coalesce(in_start, '') <> '' THEN in_start ELSE old_start END",
+                    "CASE WHEN coalesce(in_end, '') <> '' THEN in_end ELSE old_end END")} END AS days_new
+         FROM u_mm),
+u_pr AS (SELECT match_row_id AS row_id,
+           {', '.join(f'arg_max(new_{c}, ord) FILTER (WHERE chg_{c}) AS fin_{c}' for c in _MANAGED)},
+           arg_max(days_new, ord) FILTER (WHERE days_new IS NOT NULL) AS fin_days
+         FROM u_mc WHERE changed GROUP BY 1),
+u_upd AS (SELECT x.sheet, x.row_id, x.row_no, x.name, {', '.join(f'coalesce(p.fin_{c}, x.{c}) AS {c}' for c in _MANAGED)},
+            x.website, CAST(coalesce(p.fin_days, x.days) AS BIGINT) AS days, x.notes
+          FROM {target} x LEFT JOIN u_pr p ON p.row_id = x.row_id),
+u_src AS (SELECT ord, name, website FROM u_mt WHERE match_row_id IS NULL),
+{_greedy_sql('u_src', 'ord')},
+u_app AS (SELECT '{sheet}' AS sheet,
+            (SELECT coalesce(max(row_id), 0) FROM {all_rows}) + row_number() OVER (ORDER BY u.ord) AS row_id,
+            CAST((SELECT coalesce(max(row_no), 1) FROM {target}) + row_number() OVER (ORDER BY u.ord) AS INTEGER) AS row_no,
+            {_trim("coalesce(u.name, '')")} AS name, {', '.join(f"coalesce(u.{c}, '') AS {c}" for c in _MANAGED)},
+            {_trim("coalesce(u.website, '')")} AS website,
+            {_days("coalesce(u.start_date, '')", "coalesce(u.end_date, '')")} AS days, {notes} AS notes
+          FROM u_mt u WHERE u.ord IN (SELECT ord FROM greedy)),
+arch AS (SELECT * FROM u_upd UNION ALL SELECT * FROM u_app)
+"""
+
+
+SQL["migrate_past"] = f"""
+WITH RECURSIVE {_LIFE},
+tgt AS (SELECT * FROM tr WHERE sheet = 'Time Passed'),
+mv AS (SELECT * FROM tr WHERE sheet = 'Conferences' AND coalesce({_parse5('start_date')} < {AS_O}, false)),
+ev AS (SELECT CAST(row_no AS BIGINT) AS ord, name, website,
+         {', '.join(f"nullif({_trim(c)}, '') AS {c}" for c in _MANAGED)}, notes FROM mv),
+{_upsert_sql('tgt', 'ev', 'tr', 'Time Passed', True)},
+keys AS (SELECT {_key('name')} AS k FROM arch WHERE {_key('name')} IS NOT NULL
+         UNION SELECT {_key('website')} FROM arch WHERE {_key('website')} IS NOT NULL),
+gone AS (SELECT row_id FROM mv WHERE {_key('name')} IN (SELECT k FROM keys) OR {_key('website')} IN (SELECT k FROM keys))
+SELECT sheet, row_id, row_no, name, category, start_date, website, days, notes FROM tr
+WHERE sheet <> 'Time Passed' AND row_id NOT IN (SELECT row_id FROM gone)
+UNION ALL
+SELECT sheet, row_id, row_no, name, category, start_date, website, days, notes FROM arch
+"""
+
+
+# ------------------------------------------------------------ reports ----
+
+SQL["shortfall"] = """
+WITH t(segment, wanted) AS (VALUES ('click', 15), ('view', 15), ('signup', 5), ('purchase', 5), ('error', 5), ('per_city', 3)),
+f AS (SELECT event_type AS segment, count(*) AS found FROM events WHERE value > 140 GROUP BY 1)
+SELECT t.segment, CAST(t.wanted AS BIGINT) AS wanted, CAST(coalesce(f.found, 0) AS BIGINT) AS found,
+  CAST(greatest(t.wanted - coalesce(f.found, 0), 0) AS BIGINT) AS short, coalesce(f.found, 0) < t.wanted AS retry
+FROM t LEFT JOIN f ON f.segment = t.segment
+"""
+
+SQL["run_metrics"] = """
+WITH x AS (
+  SELECT d.source, CASE WHEN l.toxic = 1 THEN 'blocked' WHEN l.quality = 1 THEN 'relevant'
+                        WHEN l.quality = 0 THEN 'rejected' ELSE 'failed' END AS outcome
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT CASE WHEN grouping(source) = 1 THEN '(all)' ELSE coalesce(source, '') END AS source,
+       CASE WHEN grouping(outcome) = 1 THEN '(all)' ELSE coalesce(outcome, '') END AS outcome,
+       CAST(count(*) AS BIGINT) AS n
+FROM x GROUP BY ROLLUP (source, outcome)
+"""
+
+SQL["digest"] = """
+WITH e AS (
+  SELECT event_type, ts, event_id,
+    '  • <https://ev.example/' || CAST(event_id AS VARCHAR) || '|' || event_type || ' ' || CAST(event_id AS VARCHAR)
+      || '> — ' || strftime(CAST(ts AS DATE), '%b %d, %Y') || ', City ' || CAST(user_id % 7 AS VARCHAR) AS line
+  FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS rn FROM e)
+SELECT event_type, CAST(count(*) AS BIGINT) AS n_rows,
+  string_agg(line, chr(10) ORDER BY ts, event_id) FILTER (WHERE rn <= 6) AS text
+FROM r GROUP BY 1
+"""
+
+SQL["sheet_normalise"] = f"""
+WITH c AS (
+  SELECT c_custkey AS k, c_mktsegment AS seg,
+    CASE WHEN c_custkey % 9 = 0 THEN '' WHEN c_custkey % 5 = 0 THEN '  ' || c_name || ' ' ELSE c_name END AS nm,
+    'https://c' || CAST(c_custkey AS VARCHAR) || '.example' AS site, 'n' || CAST(c_custkey AS VARCHAR) AS note
+  FROM customer)
+SELECT CASE WHEN k % 2 = 0 THEN 'A' ELSE 'B' END AS sheet, CAST(k + 2 AS INTEGER) AS row_no,
+  {_trim('nm')} AS name, site AS website,
+  CASE WHEN k % 2 = 0 THEN (CASE WHEN k % 4 = 2 THEN '' ELSE note END)
+       ELSE (CASE WHEN k % 4 = 1 THEN '' ELSE note END) END AS notes,
+  CASE WHEN k % 2 = 0 THEN (CASE WHEN k % 4 = 2 THEN '' ELSE seg END)
+       ELSE (CASE WHEN k % 4 = 1 THEN '' ELSE seg END) END AS segment
+FROM c WHERE {_trim('nm')} <> ''
+"""
+
+_CITIES = ["San Francisco", "Munich", "Berlin", "Bucharest", "London", "Dublin"]
+_label = (f"CASE WHEN regexp_replace(coalesce(st, '') || ' – ' || coalesce(en, ''), '^[ –]+|[ –]+$', '', 'g') = '' "
+          f"THEN 'unknown' ELSE regexp_replace(coalesce(st, '') || ' – ' || coalesce(en, ''), '^[ –]+|[ –]+$', '', 'g') END")
+SQL["requests"] = f"""
+WITH x AS (
+  SELECT e.event_id, e.event_type || ' ' || CAST(e.event_id AS VARCHAR) AS name,
+    CASE WHEN e.event_id % 5 = 0 THEN '' ELSE n.n_name END AS loc,
+    CASE WHEN e.event_id % 7 = 0 THEN '' ELSE strftime(CAST(e.ts AS DATE), '%b %d, %Y') END AS st,
+    CASE WHEN e.event_id % 3 = 0 THEN '' ELSE strftime(CAST(e.ts AS DATE) + INTERVAL 1 DAY, '%b %d, %Y') END AS en,
+    CASE WHEN e.event_id % 4 = 0 THEN '' ELSE 'https://ev.example/' || CAST(e.event_id AS VARCHAR) END AS site
+  FROM events e JOIN customer c ON e.user_id = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey),
+segs AS (SELECT DISTINCT event_type AS seg FROM events),
+cities AS (SELECT unnest([{', '.join(_lit(c) for c in _CITIES)}]) AS city)
+SELECT 'cfp:' || CAST(event_id AS VARCHAR) AS req_id, 'cfp' AS kind, CAST(event_id AS VARCHAR) AS key,
+  'CFP lookup | ' || name || ' | ' || coalesce(nullif({_trim('loc')}, ''), 'unknown') || ' | ' || {_label}
+    || ' | ' || coalesce(nullif({_trim('site')}, ''), 'unknown') AS text
+FROM x
+UNION ALL
+SELECT 'city:' || seg || ':' || replace(lower(city), ' ', ''), 'meetup', seg || '/' || replace(lower(city), ' ', ''),
+  'Find ' || seg || ' meetups in ' || city || ' (' || replace(lower(city), ' ', '') || ')'
+FROM segs, cities
+"""
