@@ -822,3 +822,95 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
                       F.concat(F.lit("https://ev.example/"), k.cast("string"))).alias("website"))
     segs = e.select(F.col("event_type").alias("segment")).distinct()
     return cfp_requests(ev).unionByName(city_requests(segs))
+
+
+# --------------------------------------------------------------- ical ----
+
+def ics_files(spark, sf) -> DataFrame:
+    """Calendar documents assembled from events: one file per (feed, block of
+    64 event ids), feed = user_id % 3; DTSTART in the four iCal shapes,
+    escaped and folded text, some events without SUMMARY / DTSTART / LOCATION."""
+    e = load(spark, sf, "events")
+    k = F.col("event_id")
+    crlf = F.lit("\r\n")
+
+    def dt(prop, ts):
+        d8 = F.date_format(ts, "yyyyMMdd")
+        t15 = F.date_format(ts, "yyyyMMdd'T'HHmmss")
+        return (F.when(k % 4 == 0, F.concat(F.lit(prop + ";VALUE=DATE:"), d8))
+                .when(k % 4 == 1, F.concat(F.lit(prop + ":"), t15, F.lit("Z")))
+                .when(k % 4 == 2, F.concat(F.lit(prop + ";TZID=America/Los_Angeles:"), t15))
+                .otherwise(F.concat(F.lit(prop + ":"), t15)))
+
+    name = F.when(k % 6 == 0, F.concat(F.col("event_type"), F.lit("\\, "), (k % 50).cast("string"))) \
+        .otherwise(F.concat(F.col("event_type"), F.lit(" "), (k % 50).cast("string")))
+    desc = F.concat(F.lit("DESCRIPTION:Event "), k.cast("string"), F.lit(" of type "), F.col("event_type"),
+                    F.lit("\\, value "), F.round(F.col("value") * 100).cast("long").cast("string"), F.lit("\\nmore"))
+    desc = F.when(F.length(desc) > 30, F.concat(F.substring(desc, 1, 30), crlf, F.lit(" "), F.substring(desc, 31, 100000))) \
+        .otherwise(desc)
+    lines = F.array_compact(F.array(
+        F.lit("BEGIN:VEVENT"),
+        F.when(k % 17 != 0, F.concat(F.lit("SUMMARY:"), name)),
+        F.when(k % 19 != 0, dt("DTSTART", F.col("ts"))),
+        dt("DTEND", F.col("ts") + F.expr("INTERVAL 1 HOUR")),
+        F.when(k % 5 != 0, F.concat(F.lit("LOCATION:City "), (F.col("user_id") % 7).cast("string"))),
+        F.concat(F.lit("URL:https://ev.example/"), k.cast("string")),
+        desc, F.lit("END:VEVENT")))
+    block = F.array_join(lines, "\r\n")
+    x = e.select((F.col("user_id") % 3).cast("int").alias("feed"), F.floor(k / 64).cast("long").alias("chunk"),
+                 k, block.alias("block"))
+    g = x.groupBy("feed", "chunk").agg(F.array_sort(F.collect_list(F.struct("event_id", "block"))).alias("b"))
+    body = F.concat(F.lit("BEGIN:VCALENDAR\r\nVERSION:2.0\r\n"),
+                    F.array_join(F.transform("b", lambda i: i["block"]), "\r\n"), F.lit("\r\nEND:VCALENDAR\r\n"))
+    return g.select(F.format_string("feed%d/%d.ics", F.col("feed"), F.col("chunk")).alias("path"),
+                    body.alias("value"), "feed", "chunk")
+
+
+@query
+def ical_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Upcoming calendar events, first-wins by name."""
+    from ..sources.ical import scan_calendars
+    from ..sources.registry import feed_registry
+
+    files = ics_files(spark, sf)
+    reg = feed_registry(files, F.concat(F.lit("Feed "), F.col("feed").cast("string")),
+                        F.concat(F.lit("Default "), F.col("feed").cast("string")),
+                        (F.col("feed") * 1_000_000 + F.col("chunk")).cast("long"))
+    out = scan_calendars(files.select("path", "value"), reg, AS_OF_EVENTS)
+    return out.select("name", "source", "raw_location", "raw_start_date", "raw_end_date", "website", "card_text")
+
+
+# -------------------------------------------------------------- union ----
+
+def listing_events(spark, sf) -> DataFrame:
+    x = split_listing(_parent_texts(spark, sf))
+    return x.select("name", F.lit("Listing").alias("source"),
+                    X.default_fill(F.col("location"), "Various").alias("raw_location"),
+                    F.coalesce(X.first_nonblank("start_part", "date_raw"), F.lit("")).alias("raw_start_date"),
+                    F.coalesce(X.first_nonblank("end_part", "date_raw"), F.lit("")).alias("raw_end_date"),
+                    F.lit("").alias("website"), F.col("parent_text").alias("card_text"),
+                    F.col("o_orderkey").alias("ord"))
+
+
+def page_link_events(spark, sf) -> DataFrame:
+    pages = load(spark, sf, "pages").select("page_id", "url", "html")
+    reg = registry_df(pages)
+    a = page_links_df(spark, sf).withColumn("host", H.page_host(F.col("url")))
+    a = a.join(reg, "host")
+    return a.select(F.col("text").alias("name"), F.lit("Pages").alias("source"),
+                    X.default_fill(F.lit(""), F.col("default_location")).alias("raw_location"),
+                    F.col("link").alias("website"), F.col("text").alias("card_text"),
+                    (F.col("page_id") * 1000 + F.col("ord")).cast("long").alias("ord"))
+
+
+@query
+def source_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Seeds (status from their pages), page links
+    and listing rows, unioned by name with a source rank."""
+    from ..sources.registry import seed_events, union_sources
+
+    pages = load(spark, sf, "pages").select("url", "html")
+    seeds = C.seed_status(seed_events(spark), pages)
+    u = union_sources([(1, seeds), (2, page_link_events(spark, sf)), (3, listing_events(spark, sf))])
+    return u.select("source", F.col("source_rank").cast("long"), "ord", "name", "website", "raw_location",
+                    "raw_start_date", "cfp_status")

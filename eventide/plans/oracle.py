@@ -786,3 +786,91 @@ SELECT 'city:' || seg || ':' || replace(lower(city), ' ', ''), 'meetup', seg ||
   'Find ' || seg || ' meetups in ' || city || ' (' || replace(lower(city), ' ', '') || ')'
 FROM segs, cities
 """
+
+
+# --------------------------------------------------------------- ical ----
+
+def _ical_date(kind: str, ts: str) -> str:
+    return (f"CASE {kind} WHEN 2 THEN CAST(timezone('UTC', ({ts}) AT TIME ZONE 'America/Los_Angeles') AS DATE) "
+            f"ELSE CAST({ts} AS DATE) END")
+
+
+SQL["ical_scan"] = f"""
+WITH e AS (
+  SELECT event_id, user_id % 3 AS feed, floor(event_id / 64) AS chunk, event_id % 4 AS kind,
+    CASE WHEN event_id % 6 = 0 THEN event_type || ', ' || CAST(event_id % 50 AS VARCHAR)
+         ELSE event_type || ' ' || CAST(event_id % 50 AS VARCHAR) END AS name,
+    CAST(date_trunc('second', ts) AS TIMESTAMP) AS t0,
+    CASE WHEN event_id % 5 = 0 THEN 'Default ' || CAST(user_id % 3 AS VARCHAR)
+         ELSE 'City ' || CAST(user_id % 7 AS VARCHAR) END AS raw_location,
+    'https://ev.example/' || CAST(event_id AS VARCHAR) AS website,
+    'Event ' || CAST(event_id AS VARCHAR) || ' of type ' || event_type || ', value '
+      || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) || chr(10) || 'more' AS card_text,
+    event_id % 17 <> 0 AS has_summary, event_id % 19 <> 0 AS has_start
+  FROM events),
+p AS (SELECT *, row_number() OVER (PARTITION BY feed, chunk ORDER BY event_id) AS pos,
+        {_ical_date('kind', 't0')} AS sd, {_ical_date('kind', 't0 + INTERVAL 1 HOUR')} AS ed FROM e),
+k AS (SELECT * FROM p WHERE has_summary AND has_start
+        AND sd BETWEEN DATE '{AS_OF_EVENTS}' AND DATE '{AS_OF_EVENTS}' + INTERVAL 180 DAY),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY feed * 1000000 + chunk, pos) AS rn
+                     FROM k) WHERE rn = 1)
+SELECT name, 'iCal (Feed ' || CAST(feed AS VARCHAR) || ')' AS source, raw_location,
+  strftime(sd, '%b %d, %Y') AS raw_start_date, strftime(ed, '%b %d, %Y') AS raw_end_date, website,
+  substring(card_text, 1, 400) AS card_text
+FROM w
+"""
+
+
+# -------------------------------------------------------------- union ----
+
+def _seeds_sql() -> str:
+    from ..vocab import SEED_EVENTS, SEED_SOURCES
+
+    rows = []
+    for i, ((n, url, loc, s, e, cat, st), src) in enumerate(zip(SEED_EVENTS, SEED_SOURCES), start=1):
+        rows.append(f"({_lit(src)}, CAST({i} AS BIGINT), {_lit(n)}, {_lit(url)}, {_lit(loc)}, {_lit(s)}, "
+                    f"{'NULL' if st is None else _lit(st)})")
+    return "VALUES " + ", ".join(rows)
+
+
+SQL["source_union"] = f"""
+WITH {_LINKS},
+seeds(source, ord, name, website, raw_location, raw_start_date, st) AS ({_seeds_sql()}),
+pg AS (SELECT DISTINCT ON (url) url, {_cfp_state('html', ['cfp is open', 'call for proposals', 'call for papers', 'submit a talk', 'submit your proposal', 'submit now', 'apply to speak', 'sessionize'], ['cfp is closed', 'submissions are closed', 'cfp closed'], ['cfp is closed', 'submissions closed', 'cfp has closed'])} AS ps FROM pages ORDER BY url),
+reg AS (SELECT DISTINCT {_host('url')} AS host FROM pages),
+x AS (
+  SELECT o.o_orderkey, CAST(o.o_orderdate AS DATE) AS d, c.c_name, n.n_name
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey),
+lp AS (
+  SELECT o_orderkey,
+    concat_ws(' ', CASE o_orderkey % 5
+        WHEN 0 THEN strftime(d, '%b %-d') || '-' || strftime(d + INTERVAL 3 DAY, '%b %-d')
+        WHEN 1 THEN strftime(d, '%b %-d') || '-' || CAST(day(d) + 2 AS VARCHAR)
+        WHEN 2 THEN strftime(d, '%b %-d')
+        WHEN 3 THEN strftime(d, '%b %-d') || ' - ' || CAST(day(d) + 1 AS VARCHAR) END, c_name, n_name) AS parent_text,
+    CASE WHEN o_orderkey % 11 = 0 THEN c_name || ' Summit' ELSE c_name END AS name
+  FROM x),
+lq AS (SELECT *, contains(parent_text, name) AS has, {_trim("split_part(parent_text, name, -1)")} AS after_,
+         {_trim("split_part(parent_text, name, 1)")} AS before_ FROM lp),
+lr AS (SELECT *, CASE WHEN has THEN {_trim("split_part(after_, chr(10), 1)")} ELSE '' END AS location,
+         CASE WHEN has THEN regexp_extract(before_, '{_RX_DATE}', 1) ELSE '' END AS date_raw FROM lq),
+ls AS (SELECT *, {_trim('date_raw')} AS dd FROM lr),
+lt AS (SELECT *,
+  CASE WHEN date_raw = '' THEN ''
+       WHEN regexp_extract(dd, '^([A-Za-z]+ \\d+)-([A-Za-z]+ \\d+)', 1) <> '' THEN regexp_extract(dd, '^([A-Za-z]+ \\d+)-([A-Za-z]+ \\d+)', 1)
+       WHEN regexp_extract(dd, '^([A-Za-z]+) (\\d+)-(\\d+)', 1) <> '' THEN regexp_extract(dd, '^([A-Za-z]+) (\\d+)-(\\d+)', 1) || ' ' || regexp_extract(dd, '^([A-Za-z]+) (\\d+)-(\\d+)', 2)
+       WHEN regexp_extract(dd, '^([A-Za-z]+ \\d+)', 1) <> '' THEN regexp_extract(dd, '^([A-Za-z]+ \\d+)', 1)
+       ELSE dd END AS start_part FROM ls)
+SELECT s.source, CAST(1 AS BIGINT) AS source_rank, s.ord, s.name, s.website, s.raw_location, s.raw_start_date,
+  coalesce(nullif({_trim('s.st')}, ''), pg.ps, 'Check site') AS cfp_status
+FROM seeds s LEFT JOIN pg ON pg.url = s.website
+UNION ALL
+SELECT 'Pages', CAST(2 AS BIGINT), CAST(page_id * 1000 + ord AS BIGINT), text, link,
+  CASE split_part({_host('url')}, '.', -1) WHEN 'com' THEN 'San Francisco, USA' WHEN 'org' THEN 'Berlin, Germany'
+       WHEN 'net' THEN 'London, UK' ELSE 'Various' END, NULL, NULL
+FROM links
+UNION ALL
+SELECT 'Listing', CAST(3 AS BIGINT), o_orderkey, name, '', coalesce(nullif({_trim('location')}, ''), 'Various'),
+  coalesce(coalesce(nullif({_trim('start_part')}, ''), nullif({_trim('date_raw')}, '')), ''), NULL
+FROM lt
+"""
