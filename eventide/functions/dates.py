@@ -12,7 +12,7 @@ import datetime as _dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, ColumnOrName
+from .text import _col, ColumnOrName, let
 
 # The five accepted date formats, in the reference's order of
 # preference, as (shape guard, Spark pattern). The guards reproduce the
@@ -46,8 +46,8 @@ def squeeze_ws(c: ColumnOrName) -> Column:
 
 
 def _parse(c: ColumnOrName, formats) -> Column:
-    s = squeeze_ws(c)
-    return F.coalesce(*[F.when(s.rlike(guard), F.try_to_date(s, pat)) for guard, pat in formats])
+    return let(squeeze_ws(c), lambda s: F.coalesce(
+        *[F.when(s.rlike(guard), F.try_to_date(s, pat)) for guard, pat in formats]))
 
 
 def parse_date(c: ColumnOrName) -> Column:
@@ -62,9 +62,9 @@ def parse_date_days(c: ColumnOrName) -> Column:
 
 def days_span(start: ColumnOrName, end: ColumnOrName) -> Column:
     """inclusive day count, at least 1; NULL when either side does not parse."""
-    s, e = parse_date_days(start), parse_date_days(end)
     # greatest() skips NULLs, so guard explicitly: no count unless both parse
-    return F.when(s.isNotNull() & e.isNotNull(), F.greatest(F.datediff(e, s) + 1, F.lit(1)))
+    n = F.datediff(parse_date_days(end), parse_date_days(start))
+    return let(n, lambda d: F.when(d.isNotNull(), F.greatest(d + 1, F.lit(1))))
 
 
 def fmt_date(d: ColumnOrName) -> Column:
@@ -77,15 +77,16 @@ def infer_year(month_day: ColumnOrName, as_of) -> Column:
     this year if that is not before ``as_of``, else next year; NULL if neither
     calendar date exists (Feb 29) or it lies more than 12 months ahead."""
     a = as_date(as_of)
-    md = squeeze_ws(month_day)
     y = F.year(a)
 
-    def on(year_col):
+    def on(md, year_col):
         return F.try_to_date(F.concat(md, F.lit(", "), year_col.cast("string")), "MMM d, yyyy")
 
-    this_year, next_year = on(y), on(y + 1)
-    return (F.when(this_year >= a, this_year)
-            .when(next_year < F.add_months(a, 12), next_year))
+    def pick(md):
+        return let(F.array(on(md, y), on(md, y + 1)), lambda ds: F.when(ds[0] >= a, ds[0])
+                   .when(ds[1] < F.add_months(a, 12), ds[1]))
+
+    return let(squeeze_ws(month_day), pick)
 
 
 def is_past(d: ColumnOrName, as_of) -> Column:
@@ -131,11 +132,14 @@ def ical_date(value: ColumnOrName, tzid: ColumnOrName | None = None) -> Column:
     ``YYYYMMDD`` is a date; ``...Z`` is UTC; with a TZID parameter the local
     time is converted to UTC; a naive time is taken as is.
     """
-    v = F.regexp_replace(_col(value), r"^\s+|\s+$", "")
     tz = F.lit(None).cast("string") if tzid is None else _col(tzid)
-    ts = F.try_to_timestamp(F.substring(v, 1, 15), F.lit("yyyyMMdd'T'HHmmss"))
-    return (F.when(v.rlike(r"^\d{8}$"), F.try_to_date(v, "yyyyMMdd"))
-            .when(v.rlike(r"^\d{8}T\d{6}Z$"), F.to_date(ts))
-            .when(v.rlike(r"^\d{8}T\d{6}$") & tz.isNotNull() & (tz != ""),
-                  F.to_date(F.to_utc_timestamp(ts, tz)))
-            .when(v.rlike(r"^\d{8}T\d{6}$"), F.to_date(ts)))
+
+    def body(v):
+        ts = F.try_to_timestamp(F.substring(v, 1, 15), F.lit("yyyyMMdd'T'HHmmss"))
+        return (F.when(v.rlike(r"^\d{8}$"), F.try_to_date(v, "yyyyMMdd"))
+                .when(v.rlike(r"^\d{8}T\d{6}Z$"), F.to_date(ts))
+                .when(v.rlike(r"^\d{8}T\d{6}$") & tz.isNotNull() & (tz != ""),
+                      F.to_date(F.to_utc_timestamp(ts, tz)))
+                .when(v.rlike(r"^\d{8}T\d{6}$"), F.to_date(ts)))
+
+    return let(F.regexp_replace(_col(value), r"^\s+|\s+$", ""), body)

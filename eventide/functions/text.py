@@ -22,6 +22,18 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(c: ColumnOrName, body) -> Column:
+    """Evaluate ``c`` once and apply ``body`` to it.
+
+    A function that uses its argument several times would otherwise copy the
+    argument's whole expression into each use; when Catalyst then inlines a
+    projection into a pushed-down filter, nested helpers multiply into huge
+    expression trees. Binding through a one-element array keeps every
+    expression linear in the size of its inputs.
+    """
+    return F.element_at(F.transform(F.array(_col(c)), body), 1)
+
+
 def strip_ws(c: ColumnOrName) -> Column:
     """Trim all leading/trailing whitespace (Spark ``trim`` removes blanks only)."""
     return F.regexp_replace(_col(c), _EDGE_WS, "")
@@ -74,7 +86,7 @@ def contains_any(c: ColumnOrName, terms: Iterable[str], whole_word: bool = False
 def keep_skip(c: ColumnOrName, keep: Iterable[str], skip: Iterable[str],
               whole_word: bool = False) -> Column:
     """Skip-list has precedence over keep-list."""
-    return ~contains_any(c, skip, whole_word) & contains_any(c, keep, whole_word)
+    return let(c, lambda t: ~contains_any(t, skip, whole_word) & contains_any(t, keep, whole_word))
 
 
 def truncate(c: ColumnOrName, n: int) -> Column:
@@ -97,9 +109,8 @@ def cut_query(url: ColumnOrName) -> Column:
 
 def lenient_flag(c: ColumnOrName, default: bool = True) -> Column:
     """yes/true/1/on/y (any case, trimmed) -> True; blank -> default."""
-    v = F.lower(strip_ws(c))
-    return (F.when(v.isNull() | (v == ""), F.lit(default))
-            .otherwise(v.isin("yes", "true", "1", "on", "y")))
+    return let(F.lower(strip_ws(c)), lambda v: F.when(v.isNull() | (v == ""), F.lit(default))
+               .otherwise(v.isin("yes", "true", "1", "on", "y")))
 
 
 def city_key(c: ColumnOrName) -> Column:
@@ -110,17 +121,18 @@ def city_key(c: ColumnOrName) -> Column:
 def strip_code_fence(c: ColumnOrName) -> Column:
     """F23 (classifier variant): text starting with a fence -> the part after it,
     a leading 'json' tag dropped, trimmed."""
-    s = strip_ws(c)
-    inner = F.element_at(F.split(s, "```"), 2)
-    inner = F.regexp_replace(inner, "^json", "")
-    return F.when(s.startswith("```"), strip_ws(inner)).otherwise(s)
+    def body(s):
+        inner = F.regexp_replace(F.element_at(F.split(s, "```"), 2), "^json", "")
+        return F.when(s.startswith("```"), strip_ws(inner)).otherwise(s)
+
+    return let(strip_ws(c), body)
 
 
 def date_range_label(start: ColumnOrName, end: ColumnOrName, default: str = "unknown") -> Column:
     """"start – end" with stray blanks/dashes cut from both ends."""
     s = F.concat(null_to_blank(start), F.lit(" – "), null_to_blank(end))
-    s = F.regexp_replace(s, "^[ –]+|[ –]+$", "")
-    return F.when(s == "", F.lit(default)).otherwise(s)
+    return let(F.regexp_replace(s, "^[ –]+|[ –]+$", ""),
+               lambda v: F.when(v == "", F.lit(default)).otherwise(v))
 
 
 def html_unescape_basic(c: ColumnOrName) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import days_span, parse_date
 from ..functions.text import strip_ws
 from ..schema import MANAGED_FIELDS, MANUAL_FIELDS, TRACKER, TRACKER_COLUMNS
+from ..session import cut_lineage
 from .common import with_positions
 from .dedup import greedy_two_key
 from .match import match_existing
@@ -114,7 +115,7 @@ def upsert(tracker: DataFrame, incoming: DataFrame, sheet: str,
     updated_rows = conform_tracker(updated_rows.select(*sel))
 
     # ---- appends (W5 + K2) -------------------------------------------------
-    fresh = greedy_two_key(unmatched, "name", "website", "ord", case_fold=dedup_case_fold)
+    fresh = greedy_two_key(cut_lineage(unmatched), "name", "website", "ord", case_fold=dedup_case_fold)
     # row_no is positional within the sheet; row_id is unique across the tracker
     base = (target.agg(F.coalesce(F.max("row_no"), F.lit(1)).alias("_base_no"))
             .crossJoin(tracker.agg(F.coalesce(F.max("row_id"), F.lit(0)).alias("_base_id"))))

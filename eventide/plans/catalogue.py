@@ -102,19 +102,26 @@ def split_listing(df: DataFrame, parent: str = "parent_text", name: str = "name"
     before = X.strip_ws(F.call_function("substring_index", p, n, F.lit(1)))
     loc = F.when(has, X.strip_ws(F.substring_index(after, "\n", 1))).otherwise(F.lit(""))
     raw = F.when(has, F.regexp_extract(before, r"([A-Za-z]+ \d+(?:-[A-Za-z]* ?\d+)?)", 1)).otherwise(F.lit(""))
-    d = X.strip_ws(raw)
-    cross1 = F.regexp_extract(d, r"^([A-Za-z]+ \d+)-([A-Za-z]+ \d+)", 1)
-    cross2 = F.regexp_extract(d, r"^([A-Za-z]+ \d+)-([A-Za-z]+ \d+)", 2)
-    s_m = F.regexp_extract(d, r"^([A-Za-z]+) (\d+)-(\d+)", 1)
-    s_a = F.regexp_extract(d, r"^([A-Za-z]+) (\d+)-(\d+)", 2)
-    s_b = F.regexp_extract(d, r"^([A-Za-z]+) (\d+)-(\d+)", 3)
-    single = F.regexp_extract(d, r"^([A-Za-z]+ \d+)", 1)
-    start = (F.when(raw == "", F.lit("")).when(cross1 != "", cross1)
-             .when(s_m != "", F.concat(s_m, F.lit(" "), s_a)).when(single != "", single).otherwise(d))
-    end = (F.when(raw == "", F.lit("")).when(cross1 != "", cross2)
-           .when(s_m != "", F.concat(s_m, F.lit(" "), s_b)).when(single != "", single).otherwise(d))
-    return df.withColumn("date_raw", raw).withColumn("start_part", start) \
-        .withColumn("end_part", end).withColumn("location", loc)
+
+    def parts(d):
+        cross1 = F.regexp_extract(d, r"^([A-Za-z]+ \d+)-([A-Za-z]+ \d+)", 1)
+        cross2 = F.regexp_extract(d, r"^([A-Za-z]+ \d+)-([A-Za-z]+ \d+)", 2)
+        s_m = F.regexp_extract(d, r"^([A-Za-z]+) (\d+)-(\d+)", 1)
+        s_a = F.regexp_extract(d, r"^([A-Za-z]+) (\d+)-(\d+)", 2)
+        s_b = F.regexp_extract(d, r"^([A-Za-z]+) (\d+)-(\d+)", 3)
+        single = F.regexp_extract(d, r"^([A-Za-z]+ \d+)", 1)
+        start = (F.when(d == "", F.lit("")).when(cross1 != "", cross1)
+                 .when(s_m != "", F.concat(s_m, F.lit(" "), s_a)).when(single != "", single).otherwise(d))
+        end = (F.when(d == "", F.lit("")).when(cross1 != "", cross2)
+               .when(s_m != "", F.concat(s_m, F.lit(" "), s_b)).when(single != "", single).otherwise(d))
+        return F.array(start, end)
+
+    # raw is '' exactly when the trimmed date text is '' (the pattern starts
+    # and ends with non-blanks), so the split can key on the trimmed text
+    out = (df.withColumn("date_raw", raw)
+           .withColumn("_se", X.let(X.strip_ws(F.col("date_raw")), parts)))
+    return (out.withColumn("start_part", F.col("_se")[0]).withColumn("end_part", F.col("_se")[1])
+            .withColumn("location", loc).drop("_se"))
 
 
 @query
@@ -914,3 +921,121 @@ def source_union(spark: SparkSession, sf: str) -> DataFrame:
     u = union_sources([(1, seeds), (2, page_link_events(spark, sf)), (3, listing_events(spark, sf))])
     return u.select("source", F.col("source_rank").cast("long"), "ord", "name", "website", "raw_location",
                     "raw_start_date", "cfp_status")
+
+
+# --------------------------------------------------------------- runs ----
+
+_RUN_COLS = ["sheet", "row_id", "row_no", "name", "category", "cfp_status", "start_date", "website", "days"]
+
+
+def run_tracker(spark, sf):
+    """Tracker over orders plus an Excluded table from customers in debt."""
+    from ..operators.upsert import conform_tracker
+
+    c = load(spark, sf, "customer").where(F.col("c_acctbal") < 0)
+    ex = conform_tracker(c.select(F.lit("Excluded").alias("sheet"), (F.lit(10**9) + F.col("c_custkey")).alias("row_id"),
+                                  (F.col("c_custkey") + 2).cast("int").alias("row_no"),
+                                  F.col("c_name").alias("name"), F.lit("").alias("website")))
+    return lifecycle_tracker(spark, sf).unionByName(ex)
+
+
+@query
+def conference_run(spark: SparkSession, sf: str) -> DataFrame:
+    """C1 over the fixture: tracker from orders, candidates from seeds, pages,
+    listings and tracker echoes, editions and CFP facts from orders."""
+    from ..sources.registry import seed_events, union_sources
+    from .runs import conference_run as run, rule_scorer
+
+    o = load(spark, sf, "orders")
+    echoes = o.where(F.col("o_orderpriority") == "1-URGENT").select(
+        F.concat(F.lit("Conf "), F.col("o_custkey").cast("string")).alias("name"), F.lit("Echo").alias("source"),
+        D.fmt_date(F.date_add(F.to_date("o_orderdate"), 400)).alias("raw_start_date"),
+        F.concat(F.lit("City "), (F.col("o_custkey") % 9).cast("string")).alias("raw_location"),
+        F.lit("conf echo").alias("card_text"), F.col("o_orderkey").alias("ord"))
+    pages = load(spark, sf, "pages").select("url", "html")
+    raw = union_sources([(1, C.seed_status(seed_events(spark), pages)), (2, page_link_events(spark, sf)),
+                         (3, listing_events(spark, sf)), (4, echoes)])
+    cand = o.select(F.col("o_orderkey").alias("cand_id"),
+                    F.concat(F.lit("Conf "), F.col("o_custkey").cast("string")).alias("base_name"),
+                    F.lit("").alias("name"), D.fmt_date(F.date_add(F.to_date("o_orderdate"), 900)).alias("start_date"),
+                    F.lit("").alias("end_date"), F.lit("").alias("location"), F.lit("").alias("website"),
+                    F.lit("high").alias("confidence"), F.lit(True).alias("future_edition_found"),
+                    F.lit("").alias("evidence"))
+    res = run(run_tracker(spark, sf), raw, rule_scorer(["customer", "conf", "summit", "kubecon", "cloud"], AS_OF_ORDERS),
+              AS_OF_ORDERS, edition_candidates=cand, cfp_lookups=cfp_fact_rows(spark, sf))
+    return res.tracker.select(*_RUN_COLS).withColumn("days", F.col("days").cast("long"))
+
+
+@query
+def meetup_run(spark: SparkSession, sf: str) -> DataFrame:
+    """C2 over the fixture: calendar scan and discovery replies as sources."""
+    from ..sources.ical import scan_calendars
+    from ..sources.registry import feed_registry, union_sources
+    from ..sources.replies import discovered_events
+    from .runs import meetup_run as run, rule_scorer
+    from .tables import MEETUP_RULES
+
+    files = ics_files(spark, sf)
+    reg = feed_registry(files, F.concat(F.lit("Feed "), F.col("feed").cast("string")),
+                        F.concat(F.lit("Default "), F.col("feed").cast("string")),
+                        (F.col("feed") * 1_000_000 + F.col("chunk")).cast("long"))
+    cal = scan_calendars(files.select("path", "value"), reg, AS_OF_EVENTS).drop("source_rank")
+    disc = discovered_events(replies_df(spark, sf), known_event_names(spark, sf)).drop("source_rank")
+    raw = union_sources([(1, cal), (2, disc)])
+    scorer = rule_scorer(["meetup", "click", "view", "signup", "purchase", "error"], AS_OF_EVENTS,
+                         type_rules=[("meetup", ["ical", "meetup", "web discovery"])])
+    res = run(run_tracker(spark, sf), raw, scorer, AS_OF_EVENTS, rules=MEETUP_RULES)
+    return res.tracker.select(*_RUN_COLS).withColumn("days", F.col("days").cast("long"))
+
+
+# ---------------------------------------------------------- streaming ----
+
+def _weekly_incoming(spark, sf):
+    e = load(spark, sf, "events")
+    k = F.col("event_id")
+    return e.select(
+        k.alias("ord"), F.concat(F.col("event_type"), F.lit(" meetup "), (k % 97).cast("string")).alias("name"),
+        F.concat(F.lit("https://ev.example/"), (k % 500).cast("string")).alias("website"),
+        F.concat(F.lit("City "), (F.col("user_id") % 7).cast("string")).alias("location"),
+        D.fmt_date(F.to_date("ts")).alias("start_date"), F.col("ts").cast("timestamp").alias("scraped_at"),
+        F.floor(F.datediff(F.to_date("ts"), F.to_date(F.lit("2024-01-01"))) / 7).cast("int").alias("week"))
+
+
+def land_weekly(spark, sf, landing: str):
+    """Land the incoming rows as one file per week, oldest first (a test
+    harness standing in for files arriving over time)."""
+    inc = _weekly_incoming(spark, sf)
+    weeks = sorted(r["week"] for r in inc.select("week").distinct().collect())  # a handful of weeks
+    for w in weeks:
+        inc.where(F.col("week") == w).drop("week").coalesce(1).write.mode("append").parquet(landing)
+    return inc.drop("week").schema
+
+
+@query
+def incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Weekly files upserted into Meet-ups one micro-batch per file."""
+    from ..operators.upsert import empty_tracker
+    from ..session import scratch_path
+    from ..streaming.incremental import init_store, run_incremental
+
+    root = scratch_path(spark, "incremental")
+    schema = land_weekly(spark, sf, f"{root}/landing")
+    store = init_store(spark, f"{root}/tracker", empty_tracker(spark))
+    snap = run_incremental(spark, f"{root}/landing", schema, store, "Meet-ups", f"{root}/_stream_ckpt")
+    return snap.select(*_RUN_COLS).withColumn("days", F.col("days").cast("long"))
+
+
+@query
+def first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    """First sighting of each name within a 7-day watermark, streamed."""
+    from ..session import scratch_path
+    from ..streaming.incremental import first_seen as dedup
+
+    root = scratch_path(spark, "first_seen")
+    schema = land_weekly(spark, sf, f"{root}/landing")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
+    out = f"{root}/out"
+    q = (dedup(stream, "name", "scraped_at", "7 days").writeStream.format("parquet")
+         .option("path", out).option("checkpointLocation", f"{root}/_ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(schema).parquet(out).select("ord", "name", "scraped_at")

@@ -33,3 +33,12 @@ ROUTE_DEMO_CITY = "San Francisco"
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+# (label, needles) for the meetup run over the calendar / discovery locations
+MEETUP_RULES = [
+    ("San Francisco", ["city 1", "default 0"]),
+    ("Berlin", ["city 2"]),
+    ("Munich", ["city 3", "default 1"]),
+    ("London", ["city 4"]),
+    ("Dublin", ["city 5"]),
+]
