@@ -74,19 +74,32 @@ def keyword_regex(terms: Iterable[str], whole_word: bool = False) -> str:
     return r"\b" + body + r"\b" if whole_word else body
 
 
-def contains_any(c: ColumnOrName, terms: Iterable[str], whole_word: bool = False) -> Column:
-    """Lower-cased text holds any term (substring test by default).
+def any_in(lowered: Column, terms: Iterable[str]) -> Column:
+    """Substring test of an already lower-cased column against literal terms:
+    ``exists`` over the term array short-circuits at the first hit and each
+    ``contains`` is a byte search, which beats a regex alternation when most
+    texts match nothing (the alternation then scans every position)."""
+    terms = [t.lower() for t in terms if t]
+    if not terms:
+        return F.lit(False)
+    return F.exists(F.array(*[F.lit(t) for t in terms]), lambda k: F.contains(lowered, k))
 
-    NULL text counts as no match.
-    """
-    terms = [t.lower() for t in terms]
-    return F.coalesce(F.lower(_col(c)).rlike(keyword_regex(terms, whole_word)), F.lit(False))
+
+def contains_any(c: ColumnOrName, terms: Iterable[str], whole_word: bool = False) -> Column:
+    """Lower-cased text holds any term (substring test by default; word
+    boundaries with ``whole_word``). NULL text counts as no match."""
+    if whole_word:
+        rx = keyword_regex([t.lower() for t in terms], True)
+        return F.coalesce(F.lower(_col(c)).rlike(rx), F.lit(False))
+    return F.coalesce(let(F.lower(_col(c)), lambda s: any_in(s, terms)), F.lit(False))
 
 
 def keep_skip(c: ColumnOrName, keep: Iterable[str], skip: Iterable[str],
               whole_word: bool = False) -> Column:
     """Skip-list has precedence over keep-list."""
-    return let(c, lambda t: ~contains_any(t, skip, whole_word) & contains_any(t, keep, whole_word))
+    if whole_word:
+        return let(c, lambda t: ~contains_any(t, skip, True) & contains_any(t, keep, True))
+    return F.coalesce(let(F.lower(_col(c)), lambda s: ~any_in(s, skip) & any_in(s, keep)), F.lit(False))
 
 
 def truncate(c: ColumnOrName, n: int) -> Column:
