@@ -105,6 +105,17 @@ def in_lookahead(d: ColumnOrName, as_of, days: int = LOOKAHEAD_DAYS) -> Column:
     return F.coalesce(_col(d).between(a, F.date_add(a, days)), F.lit(False))
 
 
+def timestamp_day_range(df, col: str, as_of, days: int):
+    """P5 on a stored timestamp column, stated so Parquet can skip row groups:
+    ``to_date(col)`` in [as_of, as_of + days] <=> col in [as_of 00:00,
+    as_of + days + 1 00:00). The bounds take the column's own type (TIMESTAMP
+    or TIMESTAMP_NTZ), so the column is never cast and the filter is pushed."""
+    a = as_date(as_of)
+    kind = df.schema[col].dataType.simpleString()
+    lo, hi = a.cast(kind), F.date_add(a, days + 1).cast(kind)
+    return df.where((F.col(col) >= lo) & (F.col(col) < hi))
+
+
 def strip_year(c: ColumnOrName) -> Column:
     """remove a stand-alone 20xx year and the blanks around it."""
     return F.regexp_replace(F.regexp_replace(_col(c), r"\s*\b(20\d{2})\b\s*", " "), r"^\s+|\s+$", "")

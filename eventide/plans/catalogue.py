@@ -161,11 +161,7 @@ def past_future(spark: SparkSession, sf: str) -> DataFrame:
 def lookahead(spark: SparkSession, sf: str) -> DataFrame:
     """P5: orders starting within 180 days of as_of, filter pushed to the scan."""
     o = load(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    a = D.as_date(AS_OF_ORDERS)
-    # d in [a, a+180] <=> ts in [a 00:00, a+181 00:00): a range on the stored
-    # column, so parquet row groups are skipped by their min/max.
-    o = o.where((F.col("o_orderdate") >= a.cast("timestamp"))
-                & (F.col("o_orderdate") < F.date_add(a, 181).cast("timestamp")))
+    o = D.timestamp_day_range(o, "o_orderdate", AS_OF_ORDERS, 180)
     return o.select("o_orderkey", D.fmt_date(F.to_date("o_orderdate")).alias("raw_start_date"))
 
 
