@@ -1035,3 +1035,83 @@ def first_seen(spark: SparkSession, sf: str) -> DataFrame:
          .option("path", out).option("checkpointLocation", f"{root}/_ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(schema).parquet(out).select("ord", "name", "scraped_at")
+
+
+# ------------------------------------------------------ lookup replies ----
+
+def classifier_reply_rows(spark, sf):
+    """One classifier reply per event: fenced JSON, bare JSON, or prose."""
+    e = load(spark, sf, "events")
+    k = F.col("event_id")
+    rec = F.struct(
+        (F.col("value") > 50).alias("relevant"),
+        F.when(F.col("event_type").isin("click", "view"), F.lit("meetup")).otherwise(F.lit("conference")).alias("event_type"),
+        F.concat(F.col("event_type"), F.lit(" "), k.cast("string")).alias("name"),
+        F.when(k % 2 == 0, F.lit("DevOps")).otherwise(F.lit("Agentic AI")).alias("category"),
+        F.concat(F.lit("City "), (F.col("user_id") % 7).cast("string")).alias("location"),
+        D.fmt_date(F.to_date("ts")).alias("start_date"), F.lit("").alias("end_date"), F.lit("").alias("cfp_date"),
+        F.when(k % 5 == 0, F.lit("Open")).otherwise(F.lit("Check site")).alias("cfp_status"),
+        F.concat(F.lit("https://ev.example/"), k.cast("string")).alias("website"),
+        F.get_json_object("props", "$.k").cast("int").alias("fit_score"),
+        (F.col("value") > 100).alias("demo_suitable"), F.lit("fits").alias("relevance_note"))
+    j = F.to_json(rec)
+    text = (F.when(k % 3 == 0, F.concat(F.lit("```json\n"), j, F.lit("\n```")))
+            .when(k % 3 == 1, F.concat(F.lit("  "), j)).otherwise(F.lit("Sorry, I cannot classify this.")))
+    raw_status = F.when(k % 4 == 0, F.lit("Closed")).when(k % 4 == 1, F.lit("Check site")).otherwise(F.lit(""))
+    return e.select(k.alias("req_id"), text.alias("text"), raw_status.alias("cfp_status"),
+                    F.col("event_type").alias("source"))
+
+
+@query
+def classifier_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """F23 M2 (reply scorer) P8 F17: classifier replies parsed per event;
+    outcome relevant / rejected / failed; the source's CFP status wins."""
+    from ..operators.classify import classify_batch
+    from ..sources.replies import reply_scorer
+
+    rows = classifier_reply_rows(spark, sf)
+    raw = rows.select("req_id", "cfp_status", "source", F.lit("").alias("name"), F.lit("").alias("website"))
+    empty = key_set(raw.where(F.lit(False)), "name")
+    _, _, scored = classify_batch(raw, reply_scorer(rows.select("req_id", "text")), empty, empty)
+    return scored.select(F.col("req_id").alias("event_id"), "outcome", F.col("model_event_type").alias("event_type"),
+                         F.col("model_fit_score").cast("long").alias("fit_score"),
+                         C.cfp_precedence(F.col("cfp_status"), F.col("model_cfp_status")).alias("cfp_status"))
+
+
+def cfp_reply_rows(spark, sf):
+    """One CFP lookup reply per order: prose-wrapped, truncated in the URL, or
+    without any JSON."""
+    o = load(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    rec = F.struct(
+        F.when(F.col("o_orderstatus") == "F", F.lit("Open")).when(F.col("o_orderstatus") == "O", F.lit("Closed"))
+         .otherwise(F.lit("Unknown")).alias("cfp_status"),
+        F.when(k % 3 == 0, F.lit("")).otherwise(D.fmt_date(F.date_add(F.to_date("o_orderdate"), 30))).alias("cfp_deadline"),
+        F.concat(F.lit("https://cfp.example/"), k.cast("string")).alias("cfp_url"),
+        F.lit("high").alias("confidence"))
+    j = F.to_json(rec)
+    cut = F.substring(j, 1, F.instr(j, '"cfp_url":"') + 14)
+    text = (F.when(k % 4 == 0, F.concat(F.lit("Found it: "), j, F.lit(" (source: web)")))
+            .when(k % 4 == 1, cut).when(k % 4 == 2, j).otherwise(F.lit("No data.")))
+    return o.select(k.alias("reply_id"), F.concat(F.lit("Conf "), k.cast("string")).alias("label"), text.alias("text"))
+
+
+@query
+def cfp_lookup_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """CFP lookup replies -> one fact per event key."""
+    from ..sources.replies import cfp_lookups
+
+    facts = C.facts_from_lookups(cfp_lookups(cfp_reply_rows(spark, sf)), AS_OF_ORDERS)
+    return facts.select("fact_key", "fact_status", "fact_date", "fact_url")
+
+
+@query
+def discovery_round(spark: SparkSession, sf: str) -> DataFrame:
+    """M7 A5: one discovery round over the replies: new candidates per
+    search label against per-search targets, with the retry flag."""
+    from .runs import discovery_round as run
+
+    targets = spark.createDataFrame([("CFP-open conference", 5), ("ticketed conference", 5), ("meetup/Berlin", 3)],
+                                    "segment string, wanted long")
+    _, short = run(replies_df(spark, sf), known_event_names(spark, sf), targets)
+    return short

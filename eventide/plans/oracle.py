@@ -874,3 +874,39 @@ SELECT 'Listing', CAST(3 AS BIGINT), o_orderkey, name, '', coalesce(nullif({_tri
   coalesce(coalesce(nullif({_trim('start_part')}, ''), nullif({_trim('date_raw')}, '')), ''), NULL
 FROM lt
 """
+
+
+# ------------------------------------------------------ lookup replies ----
+
+SQL["classifier_replies"] = """
+SELECT event_id,
+  CASE WHEN event_id % 3 = 2 THEN 'failed' WHEN value > 50 THEN 'relevant' ELSE 'rejected' END AS outcome,
+  CASE WHEN event_id % 3 = 2 THEN NULL WHEN event_type IN ('click', 'view') THEN 'meetup' ELSE 'conference' END AS event_type,
+  CASE WHEN event_id % 3 = 2 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS fit_score,
+  CASE WHEN event_id % 4 = 0 THEN 'Closed'
+       WHEN event_id % 3 = 2 THEN NULL
+       WHEN event_id % 5 = 0 THEN 'Open' ELSE 'Check site' END AS cfp_status
+FROM events
+"""
+
+SQL["cfp_lookup_replies"] = f"""
+WITH f AS (
+  SELECT 'conf ' || CAST(o_orderkey AS VARCHAR) AS fact_key,
+    CASE o_orderstatus WHEN 'F' THEN 'Open' WHEN 'O' THEN 'Closed' ELSE 'Unknown' END AS st,
+    CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE strftime(CAST(o_orderdate AS DATE) + INTERVAL 30 DAY, '%b %d, %Y') END AS fact_date,
+    CASE WHEN o_orderkey % 4 = 1 THEN '' ELSE 'https://cfp.example/' || CAST(o_orderkey AS VARCHAR) END AS fact_url
+  FROM orders WHERE o_orderkey % 4 <> 3)
+SELECT fact_key,
+  CASE WHEN st = 'Open' AND coalesce({_parse5('fact_date')} < {AS_O}, false) THEN 'Closed' ELSE st END AS fact_status,
+  fact_date, fact_url
+FROM f
+"""
+
+SQL["discovery_round"] = f"""
+WITH d AS ({_disc_sql(False)}),
+c AS (SELECT regexp_extract(source, '^Web discovery \\((.*)\\)$', 1) AS segment, count(*) AS found FROM d GROUP BY 1),
+t(segment, wanted) AS (VALUES ('CFP-open conference', 5), ('ticketed conference', 5), ('meetup/Berlin', 3))
+SELECT t.segment, CAST(t.wanted AS BIGINT) AS wanted, CAST(coalesce(c.found, 0) AS BIGINT) AS found,
+  CAST(greatest(t.wanted - coalesce(c.found, 0), 0) AS BIGINT) AS short, coalesce(c.found, 0) < t.wanted AS retry
+FROM t LEFT JOIN c ON c.segment = t.segment
+"""
