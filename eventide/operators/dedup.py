@@ -67,9 +67,13 @@ def greedy_two_key(df: DataFrame, name: str | Column, url: str | Column, ord_col
     """
     name_c = F.col(name) if isinstance(name, str) else name
     url_c = F.col(url) if isinstance(url, str) else url
-    spark = df.sparkSession
-    undecided = cut_lineage(df.select(F.col(ord_col).alias("_ord"),
-                                      dedup_keys(name_c, url_c, case_fold).alias("_keys")))
+    # one checkpoint of the input: the rounds and the final pick both read it
+    base = cut_lineage(df.withColumn("_keys", dedup_keys(name_c, url_c, case_fold)))
+    edges0 = base.select(F.col(ord_col).alias("_ord"), F.explode("_keys").alias("_key"))
+    # fast path: no key shared by two rows -> every row is kept
+    if edges0.groupBy("_key").count().where("count > 1").isEmpty():
+        return base.drop("_keys")
+    undecided = base.select(F.col(ord_col).alias("_ord"), "_keys")
     kept_parts: list[DataFrame] = []
     rounds = 0
     while not undecided.isEmpty():
@@ -87,11 +91,11 @@ def greedy_two_key(df: DataFrame, name: str | Column, url: str | Column, ord_col
         blocked = edges.join(kept_keys, "_key", "left_semi").select("_ord")
         undecided = cut_lineage(undecided.join(blocked, "_ord", "left_anti"))
     if not kept_parts:
-        return df.limit(0)
+        return base.drop("_keys").limit(0)
     kept_all = kept_parts[0]
     for k in kept_parts[1:]:
         kept_all = kept_all.unionByName(k)
-    return df.join(kept_all.withColumnRenamed("_ord", ord_col), ord_col, "left_semi")
+    return base.join(kept_all.withColumnRenamed("_ord", ord_col), ord_col, "left_semi").drop("_keys")
 
 
 def greedy_two_key_model(rows, case_fold: bool = True):

@@ -74,6 +74,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
+    """Reliable checkpoint into the shared checkpoint folder named by
+    ``spark.checkpoint.dir`` (survives executor loss; never a local
+    checkpoint). Measured at the bench scale, a plain eager checkpoint beat
+    both persist-then-checkpoint and write-and-reread."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Materialise ``df`` as a Parquet table in the shared folder and read it
+    back (for large intermediate results that later steps filter or prune)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
