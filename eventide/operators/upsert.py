@@ -115,14 +115,15 @@ def upsert(tracker: DataFrame, incoming: DataFrame, sheet: str,
 
     # ---- appends (W5 + K2) -------------------------------------------------
     fresh = greedy_two_key(unmatched, "name", "website", "ord", case_fold=dedup_case_fold)
-    # row_no is positional within the sheet; row_id is unique across the tracker
-    base = (target.agg(F.coalesce(F.max("row_no"), F.lit(1)).alias("_base_no"))
-            .crossJoin(tracker.agg(F.coalesce(F.max("row_id"), F.lit(0)).alias("_base_id"))))
-    fresh = with_positions(fresh, "ord", "_pos", start=1).crossJoin(base)
+    # row_no is positional within the sheet; row_id is unique across the tracker.
+    # Both offsets are one-row aggregates, read as scalars.
+    base_no = target.agg(F.coalesce(F.max("row_no"), F.lit(1))).first()[0]
+    base_id = tracker.agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0]
+    fresh = with_positions(fresh, "ord", "_pos", start=1)
     appended = fresh.select(
         F.lit(sheet).alias("sheet"),
-        (F.col("_base_id") + F.col("_pos")).cast("long").alias("row_id"),
-        (F.col("_base_no") + F.col("_pos")).cast("int").alias("row_no"),
+        (F.lit(base_id) + F.col("_pos")).cast("long").alias("row_id"),
+        (F.lit(base_no) + F.col("_pos")).cast("int").alias("row_no"),
         strip_ws(_blank("name")).alias("name"),
         *[_blank(c).alias(c) for c in MANAGED_FIELDS],
         strip_ws(_blank("website")).alias("website"),
@@ -149,9 +150,10 @@ def upsert(tracker: DataFrame, incoming: DataFrame, sheet: str,
                           F.lit("name").alias("field"), F.lit(None).cast("string").alias("old"),
                           F.col("name").alias("new"))
     changes = upd.unionByName(ins)
-    counts = (appended.agg(F.count("*").alias("added"))
-              .crossJoin(m.agg(F.sum(F.col("_changed").cast("long")).alias("updated")))
-              .select(F.col("added").cast("long"), F.coalesce("updated", F.lit(0)).cast("long").alias("updated")))
+    counts = (appended.select(F.lit(1).alias("_a"), F.lit(0).alias("_u"))
+              .unionByName(m.select(F.lit(0).alias("_a"), F.col("_changed").cast("int").alias("_u")))
+              .agg(F.coalesce(F.sum("_a"), F.lit(0)).cast("long").alias("added"),
+                   F.coalesce(F.sum("_u"), F.lit(0)).cast("long").alias("updated")))
     return UpsertResult(snapshot=snapshot, changes=changes, counts=counts)
 
 
