@@ -179,3 +179,21 @@ def delete_rows(tracker: DataFrame, row_ids: DataFrame) -> DataFrame:
 
 def tracker_columns() -> list[str]:
     return ["sheet", "row_id", "row_no"] + TRACKER_COLUMNS + ["start_dt", "end_dt"]
+
+
+def save_tracker(df: DataFrame, path: str) -> None:
+    """K2/K5 sink: one tracker snapshot as Parquet partitioned by ``sheet``,
+    so a read of one named table prunes to its partition."""
+    conform_tracker(df).write.mode("overwrite").partitionBy("sheet").parquet(path)
+
+
+def load_tracker(spark, path: str, sheets: list[str] | None = None) -> DataFrame:
+    """Read a saved snapshot (optionally only some named tables: partition
+    pruning), columns in tracker order; a missing snapshot is an empty table."""
+    try:
+        df = spark.read.schema(TRACKER).parquet(path)
+    except Exception:  # no snapshot yet
+        return empty_tracker(spark)
+    if sheets:
+        df = df.where(F.col("sheet").isin(*sheets))
+    return df.select(*[f.name for f in TRACKER.fields])

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import norm_key
-from ..operators.upsert import replace_sheet, upsert
+from ..operators.upsert import load_tracker, replace_sheet, save_tracker, upsert
 
 _COMMIT_SCHEMA = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("path", T.StringType())])
 
@@ -46,11 +46,11 @@ class SnapshotStore:
         last = self.latest()
         if last is None:
             raise RuntimeError(f"no committed snapshot under {self.root}")
-        return self.spark.read.parquet(last[1])
+        return load_tracker(self.spark, last[1])
 
     def commit(self, batch_id: int, df: DataFrame) -> str:
         path = f"{self.root}/v{batch_id + 1:09d}"
-        df.write.mode("overwrite").parquet(path)
+        save_tracker(df, path)
         self.spark.createDataFrame([(batch_id, path)], _COMMIT_SCHEMA).coalesce(1) \
             .write.mode("append").parquet(self.commits)
         return path
