@@ -44,3 +44,39 @@ def with_positions(df: DataFrame, order_col: str, out_col: str = "_pos",
             .withColumn(out_col, F.col("_off") + (F.col("_mono") - (F.col("_pid").cast("long") * (1 << 33)))
                         + F.lit(start))
             .drop("_pid", "_mono", "_off"))
+
+
+def _aqe_splits_skew(spark) -> bool:
+    conf = spark.conf
+    return (conf.get("spark.sql.adaptive.enabled", "true").lower() == "true"
+            and conf.get("spark.sql.adaptive.skewJoin.enabled", "true").lower() == "true")
+
+
+def hot_key_join(big: DataFrame, small: DataFrame, on, key: str, small_key: str, how: str = "inner",
+                 hot_rows: int = 1_000_000, max_hot: int = 1_000, force: bool = False) -> DataFrame:
+    """Join a large side to a lookup with at most one row per ``key`` value
+    while one key value may hold a large share of the large side.
+
+    With AQE skew-join splitting on, Spark splits hot partitions at run time,
+    and this is a plain join. Otherwise (or with ``force``), the keys holding
+    at least ``hot_rows`` rows are found by one partial aggregate (at most
+    ``max_hot`` keys reach the driver). Their rows join a broadcast of just the
+    matching lookup rows (bounded: one per hot key), and the remaining rows take
+    the normal shuffle join. The union is exact for inner, left, left-semi and
+    left-anti joins because both halves are split on the join key of the large
+    side. ``on`` is the join condition (a Column or key list) as for
+    ``DataFrame.join``; ``key`` / ``small_key`` name the join key on each side.
+    """
+    spark = big.sparkSession
+    if not force and _aqe_splits_skew(spark):
+        return big.join(small, on, how)
+    hot = (big.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= hot_rows)
+           .orderBy(F.col("count").desc()).limit(max_hot).collect())
+    if not hot:
+        return big.join(small, on, how)
+    keys = [r[key] for r in hot]
+    is_hot = F.col(key).isin(keys)
+    hot_side = big.where(is_hot)
+    cold_side = big.where(~is_hot | F.col(key).isNull())
+    small_hot = small.where(F.col(small_key).isin(keys))  # <= max_hot rows: one per hot key
+    return hot_side.join(F.broadcast(small_hot), on, how).unionByName(cold_side.join(small, on, how))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key
-from .common import sized_broadcast
+from .common import hot_key_join, sized_broadcast
 
 
 def _nonempty_key(c) -> F.Column:
@@ -42,8 +42,8 @@ def block_anti(df: DataFrame, name: str, url: str, blocked_names: DataFrame,
     bu = sized_broadcast(blocked_urls.select(F.col(blocked_urls.columns[0]).alias("_bu")))
     out = (df.withColumn("_nk", _nonempty_key(F.col(name)))
            .withColumn("_uk", _nonempty_key(F.col(url))))
-    out = out.join(bn, out["_nk"] == bn["_bn"], "left_anti")
-    out = out.join(bu, out["_uk"] == bu["_bu"], "left_anti")
+    out = hot_key_join(out, bn, F.col("_nk") == F.col("_bn"), "_nk", "_bn", "left_anti")
+    out = hot_key_join(out, bu, F.col("_uk") == F.col("_bu"), "_uk", "_bu", "left_anti")
     return out.drop("_nk", "_uk")
 
 
@@ -66,7 +66,7 @@ def known_anti(df: DataFrame, name: str, known: DataFrame) -> DataFrame:
     """Drop rows whose name key is already known."""
     k = known.select(F.col(known.columns[0]).alias("_known"))
     x = df.withColumn("_nk", _nonempty_key(F.col(name)))
-    return x.join(k, x["_nk"] == k["_known"], "left_anti").drop("_nk")
+    return hot_key_join(x, k.distinct(), F.col("_nk") == F.col("_known"), "_nk", "_known", "left_anti").drop("_nk")
 
 
 def last_row_per_key(existing: DataFrame, key_col, row_id: str = "row_id",
@@ -90,8 +90,9 @@ def match_existing(incoming: DataFrame, existing: DataFrame, name: str = "name",
         .withColumnRenamed(row_id, "_rid_u")
     x = (incoming.withColumn("_nk", _nonempty_key(F.col(name)))
          .withColumn("_uk", _nonempty_key(F.col(url))))
-    x = x.join(by_name, x["_nk"] == by_name["_mk_n"], "left")
-    x = x.join(by_url, x["_uk"] == by_url["_mk_u"], "left")
+    # one lookup row per key, while an incoming key may be hot
+    x = hot_key_join(x, by_name, F.col("_nk") == F.col("_mk_n"), "_nk", "_mk_n", "left")
+    x = hot_key_join(x, by_url, F.col("_uk") == F.col("_mk_u"), "_uk", "_mk_u", "left")
     return (x.withColumn(out, F.coalesce("_rid_n", "_rid_u"))
             .withColumn("match_by", F.when(F.col("_rid_n").isNotNull(), F.lit("name"))
                         .when(F.col("_rid_u").isNotNull(), F.lit("url")))
