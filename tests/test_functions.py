@@ -126,3 +126,14 @@ def test_reply_json_golden(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "i int, t string")
     states = [r[0] for r in df.orderBy("i").select(reply_json("t")["parse_state"]).collect()]
     assert states == [c[2] for c in cases]
+
+
+def test_classifier_reply_strict(spark):
+    from eventide.sources.replies import classifier_replies
+
+    cases = [(1, '```json {"relevant": true, "name": "A"} ```'), (2, '{"relevant": true} and {"x":1}'),
+             (3, '{"relevant": false}'), (4, "no"), (5, '{"relevant": true}, {"relevant": false}'),
+             (6, '```\njson\n{"relevant": true}\n```')]
+    df = spark.createDataFrame(cases, "req_id long, text string")
+    got = {r.req_id: (None if r.reply is None else r.reply.relevant) for r in classifier_replies(df).collect()}
+    assert got == {1: True, 2: None, 3: False, 4: None, 5: None, 6: None}
