@@ -280,14 +280,15 @@ def known_anti_q(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def text_norm(spark: SparkSession, sf: str) -> DataFrame:
-    """Match key of a padded text head, lenient flag, 400-char cut."""
+    """Match key of the whole padded text, lenient flag,
+    400-char card text (the reference's card budget)."""
     d = load(spark, sf, "documents").select("doc_id", "text")
     k = F.col("doc_id")
     pad = (F.when(k % 3 == 0, F.lit("\t ")).when(k % 3 == 1, F.lit("\n")).otherwise(F.lit("")))
-    head = F.concat(pad, F.substring("text", 1, 30), F.lit("  "), pad)
+    padded = F.concat(pad, F.col("text"), F.lit("  "), pad)
     flag = (F.when(k % 6 == 0, F.lit(" Yes ")).when(k % 6 == 1, F.lit("off")).when(k % 6 == 2, F.lit(""))
             .when(k % 6 == 3, F.lit("ON")).when(k % 6 == 4, F.lit("maybe")).otherwise(F.lit("1")))
-    return d.select("doc_id", X.norm_key(head).alias("key"), X.lenient_flag(flag, True).alias("flag"),
+    return d.select("doc_id", X.norm_key(padded).alias("key"), X.lenient_flag(flag, True).alias("flag"),
                     X.truncate("text", 400).alias("card_text"))
 
 
@@ -531,7 +532,8 @@ def learn_patterns(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def signal_score(spark: SparkSession, sf: str) -> DataFrame:
     """Every document scored with the learned signals after
-    the exact block (documents whose head equals a toxic document's head)."""
+    the exact block (exact copies of a toxic document, keyed by a hash of the
+    whole text)."""
     from ..operators.classify import classify_batch, native_scorer
     from ..operators.patterns import learn_signals
 
@@ -539,7 +541,7 @@ def signal_score(spark: SparkSession, sf: str) -> DataFrame:
     # integer micro-weights: sums are exact whatever the summation order
     sig = sig.withColumn("weight", (F.round(F.col("weight") * 1_000_000)).cast("long"))
     d = load(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("category"),
-                                            F.substring("text", 1, 30).alias("name"), F.lit("").alias("website"))
+                                            F.sha2("text", 256).alias("name"), F.lit("").alias("website"))
     lab = load(spark, sf, "labels").where(F.col("toxic") == 1).select("doc_id")
     toxic_names = key_set(d.join(lab, "doc_id").select("name"), "name")
     empty = key_set(d.where(F.lit(False)).select("website"), "website")

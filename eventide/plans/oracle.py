@@ -283,7 +283,7 @@ WITH d AS (
     CASE doc_id % 6 WHEN 0 THEN ' Yes ' WHEN 1 THEN 'off' WHEN 2 THEN '' WHEN 3 THEN 'ON'
                     WHEN 4 THEN 'maybe' ELSE '1' END AS flag0
   FROM documents)
-SELECT doc_id, lower({_trim("pad || substring(text, 1, 30) || '  ' || pad")}) AS key,
+SELECT doc_id, lower({_trim("pad || text || '  ' || pad")}) AS key,
   CASE WHEN {_trim('flag0')} = '' THEN true ELSE lower({_trim('flag0')}) IN ('yes', 'true', '1', 'on', 'y') END AS flag,
   substring(text, 1, 400) AS card_text
 FROM d
@@ -534,7 +534,7 @@ SQL["learn_patterns"] = f"WITH {_LEARN} SELECT * FROM signals"
 
 SQL["signal_score"] = f"""
 WITH {_LEARN},
-d AS (SELECT doc_id, text, lang AS category, substring(text, 1, 30) AS name FROM documents),
+d AS (SELECT doc_id, text, lang AS category, sha256(text) AS name FROM documents),
 tox AS (SELECT DISTINCT {_key('d.name')} AS k FROM d JOIN labels l ON d.doc_id = l.doc_id
         WHERE l.toxic = 1 AND {_key('d.name')} IS NOT NULL),
 bl AS (SELECT d.*, EXISTS (SELECT 1 FROM tox WHERE tox.k = {_key('d.name')}) AS blocked FROM d),
