@@ -117,8 +117,9 @@ def upsert(tracker: DataFrame, incoming: DataFrame, sheet: str,
     fresh = greedy_two_key(unmatched, "name", "website", "ord", case_fold=dedup_case_fold)
     # row_no is positional within the sheet; row_id is unique across the tracker.
     # Both offsets are one-row aggregates, read as scalars.
-    base_no = target.agg(F.coalesce(F.max("row_no"), F.lit(1))).first()[0]
-    base_id = tracker.agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0]
+    b = tracker.agg(F.coalesce(F.max(F.when(F.col("sheet") == sheet, F.col("row_no"))), F.lit(1)).alias("n"),
+                    F.coalesce(F.max("row_id"), F.lit(0)).alias("i")).first()
+    base_no, base_id = b["n"], b["i"]
     fresh = with_positions(fresh, "ord", "_pos", start=1)
     appended = fresh.select(
         F.lit(sheet).alias("sheet"),
