@@ -42,7 +42,7 @@ def learn_signals(labelled: DataFrame, text: str = "text", category: str = "cate
                F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).cast("long").alias("pos_df"))
           .where(F.col("neg_df") + F.col("pos_df") >= min_support))
     a = F.lit(float(alpha))
-    x = df.join(F.broadcast(totals), "category")  # one row per category
+    x = df.join(sized_broadcast(totals), "category")  # one row per category, size-checked
     w = (F.log((F.col("neg_df") + a) / (F.col("n_neg") - F.col("neg_df") + a))
          - F.log((F.col("pos_df") + a) / (F.col("n_pos") - F.col("pos_df") + a)))
     x = x.withColumn("weight", F.round(w, decimals)).where(F.col("weight") != 0)
