@@ -61,3 +61,18 @@ def test_rule_table_paths_agree(spark):
     finally:
         RU.COMPILE_LIMIT = old
     assert compiled == joined == {1: "San Francisco", 2: "Munich", 3: None, 4: "San Francisco"}
+
+
+def test_outcome_counts_observed_in_flight(spark):
+    from pyspark.sql import Observation
+
+    raw = spark.createDataFrame([(1, 1, "A", ""), (1, 2, "B", ""), (1, 3, "C", "")],
+                                "source_rank int, ord long, name string, website string").withColumn("source", F.lit("s"))
+    empty = key_set(spark.createDataFrame([], "name string"), "name")
+    scorer = lambda df: df.withColumn(
+        "relevant", F.when(F.col("ord") == 1, F.lit(True)).when(F.col("ord") == 2, F.lit(False)))
+    obs = Observation("classify")
+    _, _, scored = classify_batch(raw, scorer, empty, key_set(spark.createDataFrame([], "website string"), "website"),
+                                  observation=obs)
+    scored.write.format("noop").mode("overwrite").save()
+    assert obs.get == {"relevant": 1, "rejected": 1, "failed": 1}
