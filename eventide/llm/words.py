@@ -96,21 +96,44 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hash of each word's bytes (A-Z as a-z if ``lower``)."""
+def byte_prefix(data: np.ndarray, lower: bool = False) -> np.ndarray:
+    """Prefix sums of a text buffer (A-Z as a-z if ``lower``) for
+    :func:`span_hashes`."""
     n = len(data)
-    if len(starts) == 0:
-        return np.zeros(0, dtype=np.uint64)
     prefix = np.empty(n + 1, dtype=np.uint64)
     prefix[0] = 0
     values = (_LOWER[data] if lower else data).astype(np.uint64)
     values += np.uint64(1)
     values *= _pow(_BASE, n, "up")
     np.cumsum(values, out=prefix[1:])
-    h = (prefix[ends] - prefix[starts]) * _pow(_BASE_INV, n, "down")[starts]
+    return prefix
+
+
+def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span ``[start, end)``."""
+    if len(starts) == 0:
+        return np.zeros(0, dtype=np.uint64)
+    h = (prefix[ends] - prefix[starts]) * _pow(_BASE_INV, len(prefix), "down")[starts]
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """64-bit hash of each word's bytes (A-Z as a-z if ``lower``)."""
+    return span_hashes(byte_prefix(data, lower), starts, ends)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The buffer with A-Z as a-z."""
+    return _LOWER[data]
+
+
+def per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sum of ``flags`` between consecutive ``bounds``."""
+    total = np.zeros(len(flags) + 1, dtype=np.int64)
+    np.cumsum(flags, out=total[1:])
+    return total[bounds[1:]] - total[bounds[:-1]]
+
+
 def gram_hashes(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """Hash of each run of ``k`` consecutive entries (runs over text borders
     included: callers keep those whose start lies in the text)."""
