@@ -23,11 +23,12 @@ import re
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_core import Vocabulary, cut_words, normalised, vocabulary, word_symbols
+from .bpe_core import Vocabulary, normalised, read_vocabulary, vocabulary, word_symbols
 
 PIECE_CHARS = 1 << 20
 MEMO_WORDS = 200_000
@@ -80,7 +81,7 @@ class TrieEncoder:
 
     def encode(self, texts: list[str]) -> Iterator[list[Encoded]]:
         """The encoded words of each text, in order."""
-        cut = [[(special, cut_words(normalised(piece)) if special is None else [piece])
+        cut = [[(special, self.vocab.cut_words(normalised(piece)) if special is None else [piece])
                 for piece, special in self.vocab.pieces(text)] for text in texts]
         self.learn({w for text in cut for special, ws in text if special is None for w in ws})
         of = self.memo.__getitem__
@@ -171,13 +172,14 @@ def encode(docs: DataFrame, vocab_file: str, text: str = "text", full: bool = Tr
     """The documents' columns but the text, with n_tokens, ids_sha256,
     decoded_sha256 and, if ``full``, token_ids (array of int) and decoded. The
     vocabulary file is read on the driver (a file of fixed size) and broadcast."""
-    with open(vocab_file, encoding="utf-8") as f:
-        raw = docs.sparkSession.sparkContext.broadcast(f.read())
+    raw = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocab_file))
     new = ["n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids", "decoded"] if full else [])]
     others = [c for c in docs.columns if c.lower() not in (text.lower(), *new)]
     given = docs.select(*[docs[f"`{c}`"].alias(f"p{i}") for i, c in enumerate(others)],
                         docs[f"`{text}`"].cast("string").alias("body"))
 
+    names = [*given.columns[:-1], *new]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body = batch.column(len(others))
@@ -187,13 +189,11 @@ def encode(docs: DataFrame, vocab_file: str, text: str = "text", full: bool = Tr
                 n, ids, ids_sha, shown, shown_sha = zip(*rows)
                 cols = [pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(shown_sha)]
                 if full:
-                    import numpy as np
-
                     flat = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
                     cuts = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
                     cols += [pa.ListArray.from_arrays(cuts, flat), pa.array(shown, pa.string())]
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(lo, 256) for i in range(len(others))], *cols],
-                                                 names=[*given.columns[:-1], *new])
+                                                 names=names)
 
     kinds = ["long", "string", "string", "array<int>", "string"]
     schema = ", ".join([f"`p{i}` {given.schema[f'p{i}'].dataType.simpleString()}" for i in range(len(others))]

@@ -18,16 +18,66 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import regex
 
 # The pattern of the vocabulary file, for texts in Latin-1 and for all others.
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-_L1 = "a-zA-Zªµºß-öø-ÿÀ-ÖØ-Þ"
-_N1 = "0-9²³¹¼-¾"
-_S1 = r"\t-\r \x85\xa0"
-_LATIN = re.compile(rf"{_CONTRACTIONS}|[{_L1}]+|[{_N1}]|[^{_S1}{_L1}{_N1}]+")
-_ANY = regex.compile(rf"{_CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^\p{{White_Space}}\p{{L}}\p{{N}}]+")
+_BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Capitals newer than Python's tables, (first, last, distance to the small letter).
+_NEW_CAPITALS = (
+    (0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1),
+    (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC),
+    (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B),
+)
+_lower_new = {c: c + d for lo, hi, d in _NEW_CAPITALS for c in range(lo, hi + 1)}
+_has_new = re.compile("[" + "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi, _ in _NEW_CAPITALS) + "]")
+
+
+def _ranges(points: list[int]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return out
+
+
+@lru_cache(maxsize=4)
+def read_vocabulary(path: str) -> str:
+    """The text of a vocabulary file with the letters and numbers, as code
+    point ranges, that the library's own Unicode tables know (Python's tables
+    if the library is not installed). Runs on the driver; the text is of fixed
+    size and goes to the tasks as a broadcast."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    signs = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    points = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", signs)]  # the newest tables: none is missing here
+    try:
+        from tokenizers import Tokenizer
+    except ImportError:
+        kinds = [unicodedata.category(chr(c))[0] for c in points]
+    else:
+        cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        kinds = []
+        for lo in range(0, len(points), 1 << 16):
+            some = points[lo:lo + (1 << 16)]
+            # between two a's a doubled letter makes one piece, a doubled number four, any other sign three
+            probe = "\n".join(f"a{chr(c)}{chr(c)}a" for c in some)
+            pieces = [0] * len(some)
+            for _, (begin, _end) in cut(probe):
+                pieces[begin // 5] += 1
+            kinds += [{1: "L", 4: "N"}.get(n, "") for n in pieces]
+    spec["classes"] = {k: _ranges([c for c, kind in zip(points, kinds) if kind == k]) for k in "LN"}
+    return json.dumps(spec)
+
+
+def _pattern(classes: dict[str, list[list[int]]], limit: int) -> re.Pattern:
+    """The word pattern for code points below ``limit``."""
+    letters, numbers = ("".join(f"{chr(a)}-{chr(min(b, limit - 1))}" for a, b in classes[k] if a < limit) for k in "LN")
+    return re.compile(f"{_CONTRACTIONS}|[{letters}]+|[{numbers}]|[^{_BLANKS}{letters}{numbers}]+")
 
 
 def normalised(text: str) -> str:
@@ -36,20 +86,13 @@ def normalised(text: str) -> str:
         return text.lower()
     if not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
+    if _has_new.search(text):
+        text = text.translate(_lower_new)
     return text.replace("Σ", "σ").lower()
 
 
-def cut_words(text: str) -> list[str]:
-    """The words of a normalised text."""
-    try:
-        text.encode("latin-1")
-        return _LATIN.findall(text)
-    except UnicodeEncodeError:
-        return _ANY.findall(text)
-
-
 class Vocabulary:
-    """Tokens and merges of a vocabulary file. Symbols are characters: byte b
+    """Tokens and merges of a text from :func:`read_vocabulary`. Symbols are characters: byte b
     inside a word is ``chr(b)``, as a word's last byte ``chr(256 + b)``."""
 
     def __init__(self, raw: str):
@@ -86,6 +129,7 @@ class Vocabulary:
             if a is not None and b is not None:
                 self.rank.setdefault((a, b), n)
         self.longest = max(map(len, self.id_of))
+        self._latin, self._any = _pattern(spec["classes"], 256), _pattern(spec["classes"], 0x110000)
         self._fits: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
 
@@ -128,6 +172,14 @@ class Vocabulary:
             got = self._fits[key] = self.whole(right) and self.merged(a + b) == [a, b]
         return got
 
+    def cut_words(self, text: str) -> list[str]:
+        """The words of a normalised text."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self._any.findall(text)
+        return self._latin.findall(text)
+
     def pieces(self, text: str) -> Iterator[tuple[str, int | None]]:
         """(ordinary text, None) and (special string, its id) in order."""
         if self.special_split is None or "<" not in text:

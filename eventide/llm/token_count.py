@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_core import Bounded, Vocabulary, cut_words, normalised, vocabulary, word_symbols
+from .bpe_core import Bounded, Vocabulary, normalised, read_vocabulary, vocabulary, word_symbols
 
 CHUNK_CHARS = 1 << 16
 MEMO_WORDS = 300_000
@@ -93,7 +93,7 @@ class Transducer:
         """Token count of a text that begins and ends at the start state."""
         total, of = 0, self.memo.__getitem__
         for piece, special in self.vocab.pieces(text):
-            total += 1 if special is not None else sum(map(of, cut_words(normalised(piece))))
+            total += 1 if special is not None else sum(map(of, self.vocab.cut_words(normalised(piece))))
         return total
 
 
@@ -142,8 +142,7 @@ def count_tokens(docs: DataFrame, vocab_file: str, text: str = "text", out: str
     """The documents' columns but the text, and the token count. The
     vocabulary file is read on the driver (a file of fixed size) and broadcast."""
     spark = docs.sparkSession
-    with open(vocab_file, encoding="utf-8") as f:
-        raw = spark.sparkContext.broadcast(f.read())
+    raw = spark.sparkContext.broadcast(read_vocabulary(vocab_file))
     others = [c for c in docs.columns if c.lower() not in (text.lower(), out.lower())]
     body = F.coalesce(docs[f"`{text}`"].cast("string"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("row"),
