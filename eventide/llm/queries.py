@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe_codec, decontam, quality, sharding, token_count, warc
+from . import bpe_codec, decontam, quality, sharding, substring, token_count, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 Q: dict[str, Query] = {}
@@ -171,3 +171,26 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN p USING (r) LEFT JOIN q USING (r)
 """
+
+
+# ---------------------------------------------------- op10: substring dedup
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document outside the passages of 35 words that repeat."""
+    return substring.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), full=False)
+
+
+SQL["op10_substring_dedup"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT r, i, md5(array_to_string(ws[i:i + 34], ' ')) AS win
+      FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM d WHERE len(ws) >= 35)),
+twice AS (SELECT win FROM w GROUP BY win HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM w SEMI JOIN twice USING (win)),
+k AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS j FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY j) AS t FROM k ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
