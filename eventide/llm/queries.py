@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe_codec, decontam, near_dedup, quality, sharding, substring, token_count, warc
+from . import bpe_codec, decontam, licenses, near_dedup, pii, quality, sharding, substring, token_count, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 Q: dict[str, Query] = {}
@@ -151,6 +151,55 @@ SELECT *, NOT base_failed AND 100 * chars_removed <= 50 * word_chars AS kept FRO
 """
 
 
+# ------------------------------------------------------ op5: licence scan
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document's sentences show."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
+def _license_sql() -> str:
+    known = ", ".join(f"('{s}', '{i}')" for s, i in licenses.SENTENCES.items())
+    steps, before = [], "coded"
+    for n, (seq, name) in enumerate(licenses.RULES):
+        code = "".join(f"<{i}>" for i in seq)
+        steps.append(f"r{n} AS (SELECT r, ids, replace(rest, '{code}', '|') AS rest, "
+                     f"CASE WHEN contains(rest, '{code}') THEN list_append(found, '{name}') ELSE found END AS found "
+                     f"FROM {before})")
+        before = f"r{n}"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+known(s, id) AS (VALUES {known}),
+c AS (SELECT r, regexp_replace(regexp_replace(t, '([.!?])[ \t\r\n]+', '\1' || chr(1), 'g'),
+                               '[ \t\r]*\n[ \t\r\n]*([^a-z \t\r\n])', chr(1) || '\1', 'g') AS t FROM d),
+p AS (SELECT r, unnest(string_split(t, chr(1))) AS s, generate_subscripts(string_split(t, chr(1)), 1) AS k FROM c),
+n AS (SELECT r, k, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS s FROM p),
+ids AS (SELECT r, list(id ORDER BY k) AS ids FROM n JOIN known USING (s) GROUP BY r),
+coded AS (SELECT r, ids, array_to_string([concat('<', x, '>') for x in ids], '') AS rest, CAST([] AS VARCHAR[]) AS found
+          FROM ids),
+{", ".join(steps)}
+SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_known,
+       coalesce(array_to_string(ids, ' '), '') AS identifiers,
+       coalesce(array_to_string(list_sort(list_distinct(found)), ','), '') AS licenses,
+       coalesce(regexp_replace(regexp_replace(replace(rest, '|', ''), '><', ' ', 'g'), '[<>]', '', 'g'), '') AS unmatched
+FROM d LEFT JOIN {before} USING (r)
+"""
+
+
+SQL["op5_license_scan"] = _license_sql()
+
+
+# ------------------------------------------------------ op6: personal data
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans and the method's."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.fit(docs), redacted=None).select(
+        "doc_id", *[f"n_{k}" for k in pii.KINDS], "base_sha256", "spans")
+
+
 # ------------------------------------------------- op7: BPE encode, decode
 
 @query
