@@ -118,19 +118,15 @@ _STOP = r"""'[.!?"'')\]:;…”’»。！？]$'"""
 _PHRASE = " OR ".join(f"contains(lower(l), '{p}')" for p in quality.PHRASES)
 SQL["op4_line_quality"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^ 	-
-]+') AS ws FROM d),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
 g AS (SELECT r, i, array_to_string(ws[i:i + 7], ' ') AS win
       FROM (SELECT r, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS c FROM g) WHERE c > 1),
 rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM twice) GROUP BY r),
 l0 AS (SELECT r, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d),
-l1 AS (SELECT r, k, l, regexp_extract_all(l, '[^ 	-
-]+') AS lw FROM l0
-       WHERE regexp_matches(l, '[^ 	-
-]')),
-l2 AS (SELECT r, l, len(regexp_replace(l, '[ 	-
-]', '', 'g')) AS chars,
+l1 AS (SELECT r, k, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS lw FROM l0
+       WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
+l2 AS (SELECT r, l, len(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS chars,
               len(l) - len(regexp_replace(l, '[#*$%&|<>]', '', 'g')) AS syms,
               len(l) - len(regexp_replace(l, '[|<>]', '', 'g')) AS bars,
               len([x for x in lw if regexp_matches(x, {_STOP})]) AS stops,
@@ -139,8 +135,7 @@ l3 AS (SELECT *, stops = 0 OR bars >= 2 OR dup OR 100 * syms > 10 * chars OR {_P
 ls AS (SELECT r, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad, count(*) FILTER (dup) AS n_dup,
               coalesce(sum(chars) FILTER (bad), 0) AS lost FROM l3 GROUP BY r),
 b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
-             CAST(len(regexp_replace(t, '[ 	-
-]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(len(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
              CAST(len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
              CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_bad, 0) AS BIGINT) AS n_lines_removed,
