@@ -23,12 +23,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours point to the smallest neighbour or itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = cut_lineage(low)  # a plain shuffle on either side of the join, so that Spark may split a hot node
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours point to the smallest of them."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
+    low = cut_lineage(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 

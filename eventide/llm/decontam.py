@@ -139,18 +139,20 @@ def remove_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     keyed = _keyed(docs, doc_id, text)
     windows = cut_lineage(benchmark_windows(items, item_id, item_text, n))
     _, hits = _hits(keyed, windows, n)
-    found = spans(hits.distinct())
-    with_key = docs.withColumn("_key", F.struct(docs[f"`{doc_id}`"].alias("id"),
-                                                F.xxhash64(docs[f"`{text}`"].cast("string")).alias("t")))
-    joined = with_key.join(found, with_key["_key"] == found["key"], "left")
-    body = joined[f"`{text}`"].cast("string")
-    # each word with what follows it, and what precedes the first word
-    word, gap = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]*"
-    parts = F.regexp_extract_all(body, F.lit(f"({word}{gap})"), F.lit(1))
-    lead = F.regexp_extract(body, f"^({gap})", 1)
+    found = spans(hits.distinct()).withColumnRenamed("key", "hit_key")
+    kept = F.struct(*[docs[f"`{c}`"].alias(f"p{i}") for i, c in enumerate(docs.columns)]).alias("kept")
+    t = docs[f"`{text}`"].cast("string")
+    given = docs.select(kept, F.struct(docs[f"`{doc_id}`"].alias("id"), F.xxhash64(t).alias("t")).alias("key"), t.alias("body"))
+    joined = given.join(found, F.col("key") == F.col("hit_key"), "left")
+    # each word, as it stands with its capitals, and what follows it; and what precedes the first word
+    breaks = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+    word, gap = f"[^{breaks}]+", f"[{breaks}]*"
+    parts = F.regexp_extract_all("body", F.lit(f"({word}{gap})"), F.lit(1))
+    lead = F.regexp_extract("body", f"^({gap})", 1)
     hit_words = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    kept = F.filter(parts, lambda p, i: ~F.exists("spans", lambda x: (x["start"] <= i) & (i < x["end"])))
-    cleaned = F.when(F.col("spans").isNull(), body).otherwise(F.concat(lead, F.array_join(kept, "")))
+    rest = F.filter(parts, lambda p, i: ~F.exists("spans", lambda x: (x["start"] <= i) & (i < x["end"])))
+    clean = F.when(F.col("spans").isNull(), F.col("body")).otherwise(F.concat(lead, F.array_join(rest, "")))
     share = F.when(F.col("spans").isNull(), F.lit(0.0)).otherwise(hit_words / F.size(parts))
-    return (joined.withColumn("_share", share).withColumn("_text", cleaned).where(F.col("_share") <= drop_share)
-            .select(*[F.col("_text").alias(c) if c.lower() == text.lower() else joined[f"`{c}`"] for c in docs.columns]))
+    out = joined.select("kept", clean.alias("clean"), share.alias("share")).where(F.col("share") <= drop_share)
+    return out.select(*[(F.col("clean") if c.lower() == text.lower() else F.col(f"kept.p{i}")).alias(c)
+                        for i, c in enumerate(docs.columns)])

@@ -182,7 +182,8 @@ def _sized(members: DataFrame) -> DataFrame:
     nodes = members.groupBy("node").agg(
         F.count("*").alias("m"), F.sum("n").alias("weight"), F.bit_xor(F.xxhash64("id")).alias("f1"),
         F.sum(F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(1 << 31))).alias("f2")).where("m > 1")
-    return members.join(nodes, "node")
+    # sums are written before they are joined: Spark splits a hot key only between plain shuffles
+    return members.join(write_table(nodes, "near-nodes"), "node")
 
 
 def nodes(sets: DataFrame, trees: int, leaf: int = LEAF, leaf_shingles: int = LEAF_SHINGLES,
@@ -228,7 +229,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     sketches = write_table(rows.mapInArrow(_sketch(shingle, trees + DEEPER),
                                            "id long, n long, s1 long, s2 long, low array<long>"), "near-sketches")
     with_set = sketches.where("n > 0 and id is not null")
-    same = with_set.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
+    same = write_table(with_set.groupBy("s1", "s2").agg(F.min("id").alias("rep")), "near-same")
     owned = with_set.select("id", "s1", "s2").join(same, ["s1", "s2"]).select("id", "rep")
     sets = (with_set.join(same.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi")
             .dropDuplicates(["id", "s1", "s2"]).select("id", "n", "low"))

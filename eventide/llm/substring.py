@@ -140,6 +140,8 @@ def duplicate_windows(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     index = rows.mapInArrow(_block_rows(window, anchor), "key long, a long, b long, pos long")
     again = (index.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("lo"), F.max("b").alias("hi"))
              .where("n > 1").select("a", (F.col("lo") != F.col("hi")).alias("differ")))
+    # sums are written before they are joined: Spark splits a hot key only between plain shuffles
+    again = write_table(again, "substring-anchors")
     shared = write_table(index.join(again, "a"), "substring-blocks")
     pos_at, pos_n = F.shiftright("pos", 8), F.col("pos").bitwiseAND(F.lit(255).cast("long"))
     equal = shared.where(~F.col("differ")).select("key", pos_at.alias("at"), pos_n.alias("count"))
@@ -149,7 +151,7 @@ def duplicate_windows(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     kinds = write_table(kinds, "substring-kinds")  # the copy that stands for a block is chosen once
     repeated = (mixed.join(kinds.where("n > 1").select("a", "b"), ["a", "b"], "left_semi")
                 .select("key", pos_at.alias("at"), pos_n.alias("count")))
-    open_anchors = kinds.where("n = 1").select("a").distinct()
+    open_anchors = write_table(kinds.where("n = 1").select("a").distinct(), "substring-open")
     listed = (kinds.join(open_anchors, "a", "left_semi")
               .groupBy("key").agg(F.collect_list(F.struct("a", "pos", (F.col("n") == 1).alias("single"))).alias("listed")))
     packed = rows.mapInArrow(_packed, "key long, packed binary")
@@ -157,7 +159,7 @@ def duplicate_windows(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     chosen = packed.join(listed, "key").dropDuplicates(["key"]).select("key", "packed", "listed")
     windows = write_table(chosen.mapInArrow(_window_rows(window), "a long, h long, key long, at long, single boolean"),
                           "substring-windows")
-    twice = windows.groupBy("a", "h").count().where("count > 1").select("a", "h")
+    twice = write_table(windows.groupBy("a", "h").count().where("count > 1").select("a", "h"), "substring-twice")
     border = (windows.where("single").join(twice, ["a", "h"], "left_semi")
               .select("key", "at", F.lit(1).cast("long").alias("count")))
     return equal.unionByName(repeated).unionByName(border)

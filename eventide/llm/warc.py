@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
 REVISIT_BYTES = 1000
@@ -60,6 +62,7 @@ def revisit_plan(pages: DataFrame, page_id: str, html: str, revisit_bytes: int =
     long_ones = rows.where(F.octet_length("payload") >= revisit_bytes).select("page_id", "payload_digest")
     last = (long_ones.groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
             .where("n > 1").select("payload_digest", "last"))
+    last = cut_lineage(last)  # written before it is joined: Spark splits a hot digest only between plain shuffles
     revisits = (long_ones.distinct().join(last, "payload_digest")
                 .where(~F.col("page_id").eqNullSafe(F.col("last")))
                 .select(F.col("page_id").alias("r_id"), F.col("payload_digest").alias("r_digest"),
