@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions import dates as D
 from eventide.functions import text as X
-from eventide.functions.jsonx import parse_reply
+from eventide.functions.jsonx import reply_json
 from eventide.operators import cfp as C
 from eventide.operators.rules import first_rule
 
@@ -118,14 +118,17 @@ def test_reply_json_golden(spark):
              ("no object", None, "failed")]
     import json
 
-    for text, obj, state in cases:
-        got, st = parse_reply(text)
-        assert st == state and (json.loads(got) if got else None) == obj
-    from eventide.functions.jsonx import reply_json
-
+    tail = '{"events":[{"name":"A"},{"tags":[' + ",".join(f'"t{i}"' for i in range(300)) + ',"cut'
+    cases += [(tail, {"events": [{"name": "A"}, {"tags": [f"t{i}" for i in range(300)]}]}, "repaired"),
+              ('{"a":"x\\"y","b":[1,2', {"a": 'x"y', "b": [1, 2]}, "repaired"), ('{"a":1,"b":-', {"a": 1}, "repaired"),
+              ('{"a":1,"b"', {"a": 1}, "repaired"), ('{"a":1,"b":', {"a": 1}, "repaired"), ("{", {}, "repaired"),
+              ('{"a"', None, "failed"), ('{"a":1}]{"b":2}', None, "failed"), ('{"a":1}}{"b":2}', None, "failed"),
+              ('{"a":1},"x":{"b":2}', None, "failed"), ('{"a":1,"a":2}', {"a": 2}, "ok"), (None, None, "failed"), ("", None, "failed"),
+              ("```\n{\"a\":1}\n```\n```json\n{\"b\":22}\n```", {"b": 22}, "ok"), ('{"a":1,"b":tru', {"a": 1}, "repaired")]
     df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "i int, t string")
-    states = [r[0] for r in df.orderBy("i").select(reply_json("t")["parse_state"]).collect()]
-    assert states == [c[2] for c in cases]
+    got = [(r[0]["json"], r[0]["parse_state"]) for r in df.orderBy("i").select(reply_json("t")).collect()]
+    for (text, obj, state), (out, st) in zip(cases, got):
+        assert st == state and (json.loads(out) if out else None) == obj, text
 
 
 def test_classifier_reply_strict(spark):
@@ -133,7 +136,11 @@ def test_classifier_reply_strict(spark):
 
     cases = [(1, '```json {"relevant": true, "name": "A"} ```'), (2, '{"relevant": true} and {"x":1}'),
              (3, '{"relevant": false}'), (4, "no"), (5, '{"relevant": true}, {"relevant": false}'),
-             (6, '```\njson\n{"relevant": true}\n```')]
+             (6, '```\njson\n{"relevant": true}\n```'), (7, '{"relevant":true}]{"relevant":false}'),
+             (8, '{"relevant":true}}{"relevant":false}')]
     df = spark.createDataFrame(cases, "req_id long, text string")
     got = {r.req_id: (None if r.reply is None else r.reply.relevant) for r in classifier_replies(df).collect()}
-    assert got == {1: True, 2: None, 3: False, 4: None, 5: None, 6: None}
+    assert got == {1: True, 2: None, 3: False, 4: None, 5: None, 6: None, 7: None, 8: None}
+    scores = spark.createDataFrame([(1, '{"fit_score": "85"}'), (2, '{"fit_score": 85.5}'), (3, '{"fit_score": 7}'),
+                                    (4, '{"fit_score": "high"}')], "req_id long, text string")
+    assert [r.reply.fit_score for r in classifier_replies(scores).orderBy("req_id").collect()] == [85, 85, 7, None]
