@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import datetime as _dt
 
+import zoneinfo
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -137,13 +139,38 @@ def gate(rule: Column, force: bool | Column = False) -> Column:
     return f | F.coalesce(rule, F.lit(False))
 
 
+# Zone names of a common calendar program and their places.
+WINDOWS_ZONES = {
+    "Pacific Standard Time": "America/Los_Angeles", "Mountain Standard Time": "America/Denver",
+    "Central Standard Time": "America/Chicago", "Eastern Standard Time": "America/New_York",
+    "Atlantic Standard Time": "America/Halifax", "E. South America Standard Time": "America/Sao_Paulo",
+    "GMT Standard Time": "Europe/London", "Greenwich Standard Time": "Atlantic/Reykjavik",
+    "W. Europe Standard Time": "Europe/Berlin", "Central Europe Standard Time": "Europe/Budapest",
+    "Romance Standard Time": "Europe/Paris", "Central European Standard Time": "Europe/Warsaw",
+    "GTB Standard Time": "Europe/Bucharest", "FLE Standard Time": "Europe/Kiev", "Russian Standard Time": "Europe/Moscow",
+    "Israel Standard Time": "Asia/Jerusalem", "Arabian Standard Time": "Asia/Dubai", "India Standard Time": "Asia/Kolkata",
+    "China Standard Time": "Asia/Shanghai", "Singapore Standard Time": "Asia/Singapore",
+    "Tokyo Standard Time": "Asia/Tokyo", "Korea Standard Time": "Asia/Seoul", "AUS Eastern Standard Time": "Australia/Sydney",
+    "New Zealand Standard Time": "Pacific/Auckland", "UTC": "UTC",
+}
+
+
+def known_zone(tzid: ColumnOrName) -> Column:
+    """The zone of a TZID, or NULL if the name is not known (an unknown zone
+    would end the job)."""
+    places = sorted(z for z in zoneinfo.available_timezones() if "/" in z) + ["UTC", "GMT"]
+    names = F.create_map(*[F.lit(x) for pair in WINDOWS_ZONES.items() for x in pair])
+    return let(F.trim(_col(tzid)), lambda t: F.when(t.isin(places), t).otherwise(names[t]))
+
+
 def ical_date(value: ColumnOrName, tzid: ColumnOrName | None = None) -> Column:
     """iCal DATE / DATE-TIME text -> UTC calendar date.
 
     ``YYYYMMDD`` is a date; ``...Z`` is UTC; with a TZID parameter the local
-    time is converted to UTC; a naive time is taken as is.
+    time is converted to UTC; a naive time, or one whose zone is not known, is
+    taken as is.
     """
-    tz = F.lit(None).cast("string") if tzid is None else _col(tzid)
+    tz = F.lit(None).cast("string") if tzid is None else known_zone(tzid)
 
     def body(v):
         ts = F.try_to_timestamp(F.substring(v, 1, 15), F.lit("yyyyMMdd'T'HHmmss"))

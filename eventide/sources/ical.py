@@ -1,8 +1,7 @@
 """Calendar (.ics) scan (S1, F7, F8, W2, P5, P13, P14) -- native text handling.
 
-Input is ``(path, value)`` rows, one per calendar document (as produced by
-``spark.read.text(paths, wholetext=True)`` plus ``input_file_name()``, or any
-table of landed feeds). Each document is one task's work; the VEVENT blocks
+Input is ``(path, value)`` rows, one per calendar document (any table of landed
+feeds). Each document is one task's work; the VEVENT blocks
 it holds are exploded into rows and every property is a ``regexp_extract``.
 """
 
@@ -13,21 +12,27 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import fmt_date, ical_date, in_lookahead
 from ..functions.text import default_fill, strip_ws, truncate
-from ..operators.common import sized_broadcast
+from ..operators.common import order_key, sized_broadcast
 from ..operators.dedup import first_wins
 from ..vocab import SUMMARY_CARD_CHARS
 
 _BLOCK_RE = r"(?s)BEGIN:VEVENT\r?\n(.*?)END:VEVENT"
 
 
+# Parameters of a property; a quoted value may hold colons and semicolons.
+_PARAMS = r'((?:;[^":\r\n]*(?:"[^"\r\n]*"[^":\r\n]*)*)?)'
+# Components inside an event (alarms) have properties of their own.
+_NESTED = r"(?s)BEGIN:([A-Z-]+)\r?\n.*?END:\1(?:\r?\n)?"
+
+
 def _prop(block, name: str):
     """Value of the first ``NAME[;params]:value`` line, or NULL when absent."""
-    pat = rf"(?m)^{name}(?:;[^:\r\n]*)?:([^\r\n]*)"
-    return F.when(block.rlike(pat), F.regexp_extract(block, pat, 1))
+    pat = rf"(?m)^{name}{_PARAMS}:([^\r\n]*)"
+    return F.when(block.rlike(pat), F.regexp_extract(block, pat, 2))
 
 
 def _params(block, name: str):
-    return F.regexp_extract(block, rf"(?m)^{name}((?:;[^:\r\n]*)?):", 1)
+    return F.regexp_extract(block, rf"(?m)^{name}{_PARAMS}:", 1)
 
 
 def unescape_text(c):
@@ -38,18 +43,13 @@ def unescape_text(c):
     return F.replace(s, F.lit("\u0000"), F.lit("\\"))
 
 
-def read_feeds(spark, paths) -> DataFrame:
-    """Landed .ics files -> (path, value), one row per file."""
-    return (spark.read.text(paths, wholetext=True)
-            .select(F.input_file_name().alias("path"), F.col("value")))
-
-
 def vevents(feeds: DataFrame) -> DataFrame:
     """(path, pos, name, dtstart, tzid, dtend, end_tzid, location, url, description)."""
     unfolded = feeds.select("path", F.regexp_replace("value", r"\r?\n[ \t]", "").alias("_v"))
     blocks = unfolded.select("path", F.posexplode(F.regexp_extract_all("_v", F.lit(_BLOCK_RE), 1)).alias("pos", "_b"))
+    blocks = blocks.withColumn("_b", F.regexp_replace("_b", _NESTED, ""))
     b = F.col("_b")
-    tz = lambda n: F.regexp_extract(_params(b, n), r"TZID=([^;:]*)", 1)
+    tz = lambda n: F.regexp_extract(_params(b, n), r'TZID="?([^;:"]*)', 1)
     return blocks.select(
         "path", (F.col("pos") + 1).cast("int").alias("pos"),
         strip_ws(unescape_text(F.coalesce(_prop(b, "SUMMARY"), F.lit("")))).alias("name"),
@@ -66,7 +66,8 @@ def scan_calendars(feeds: DataFrame, registry: DataFrame, as_of, lookahead_days:
 
     ``registry``: path, label, default_location, rank (a small dimension).
     """
-    ev = vevents(feeds).join(sized_broadcast(registry.select("path", "label", "default_location", "rank")), "path")
+    rank = F.col("rank") if dict(registry.dtypes)["rank"].startswith("array") else order_key("rank")
+    ev = vevents(feeds).join(sized_broadcast(registry.select("path", "label", "default_location", rank.alias("rank"))), "path")
     start = ical_date(F.col("dtstart"), F.col("tzid"))
     end = ical_date(F.col("dtend"), F.col("end_tzid"))
     ev = (ev.where(F.col("name") != "")
@@ -79,4 +80,4 @@ def scan_calendars(feeds: DataFrame, registry: DataFrame, as_of, lookahead_days:
         fmt_date("_start").alias("raw_start_date"),
         F.coalesce(fmt_date("_end"), F.lit("")).alias("raw_end_date"),
         F.col("url").alias("website"), truncate(F.col("description"), SUMMARY_CARD_CHARS).alias("card_text"),
-        F.col("rank").alias("source_rank"), F.col("pos").cast("long").alias("ord"))
+        F.concat("rank", order_key("pos")).alias("ord"))

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_ws
+from ..operators.common import order_key
 from ..schema import RAW_EVENT
 from ..vocab import SEED_EVENTS, SEED_SOURCES
 
@@ -47,6 +47,8 @@ def registered() -> list[Source]:
 
 def conform_raw(df: DataFrame) -> DataFrame:
     """Give a source's rows the raw-event schema (missing columns NULL)."""
+    if dict(df.dtypes).get("ord") in ("int", "bigint"):
+        df = df.withColumn("ord", order_key("ord"))
     return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                        for f in RAW_EVENT.fields])
 
@@ -76,11 +78,8 @@ def seed_events(spark: SparkSession) -> DataFrame:
               "raw_end_date string, website string, cfp_status string, ord long")
 
 
-def feed_registry(feeds: DataFrame, label: F.Column, default_location: F.Column, rank: F.Column) -> DataFrame:
-    """S7 for landed files: one row per path with label, default location, rank."""
+def feed_registry(feeds: DataFrame, label: F.Column, default_location: F.Column, *rank: F.Column) -> DataFrame:
+    """S7 for landed files: one row per path with label, default location and
+    rank (one or more columns, compared in order)."""
     return feeds.select("path", label.alias("label"), default_location.alias("default_location"),
-                        rank.alias("rank"))
-
-
-def trimmed(c: str) -> F.Column:
-    return strip_ws(F.col(c))
+                        order_key(*rank).alias("rank"))

@@ -69,3 +69,55 @@ def test_cards_dom_finds_heading_and_slug(spark):
         assert c.title == heads[c.page_id]
         assert c.href == native_slug.get(c.page_id, (None, None))[1]
         assert len(c.card_text) > 0
+
+
+def _pages(spark, *htmls):
+    return spark.createDataFrame([(i, "https://h.example/p", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+
+
+def test_markup_that_pages_really_have(spark):
+    from eventide.sources.html import anchors
+
+    mixed = ("<p><a href='/one'>1</a> <a href=/two>2</a><!-- <a href=\"/gone\">x</a> -->"
+             "<a href=\"/caf&eacute;\">caf&eacute;&nbsp;x</a><script>var s = '<a href=\"/no\">n</a>';</script>")
+    plain = '<ul><li><a href="/x">X</a></li><li><a href="/y">Y</a></li></ul>'
+    nested = '<a href="/a">A <a href="/b">B</a></a>'
+    got = [(r.page_id, r.ord, r.href, r.text) for r in anchors(_pages(spark, mixed, plain, nested)).orderBy("page_id", "ord").collect()]
+    assert got[:5] == [(0, 1, "/one", "1"), (0, 2, "/two", "2"), (0, 3, "/café", "café\xa0x"), (1, 1, "/x", "X"), (1, 2, "/y", "Y")]
+    assert [(r[2]) for r in got[5:]] == ["/a", "/b"]
+
+
+def test_deep_and_flat_pages_stay_linear(spark):
+    unclosed = "<ul>" + "".join(f'<li><a href="/e/{i}">event {i}</a>' for i in range(5000))
+    deep = "<div>" * 5000 + '<a href="/deep">d</a>'
+    flat = "<div>" + "".join(f'<a href="/r2/{i}">name {i}</a> Jun {i % 28 + 1} Berlin ' for i in range(2000)) + "</div>"
+    rows = anchors_dom(_pages(spark, unclosed, deep, flat)).collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r.page_id, []).append(r)
+    assert [len(per[i]) for i in range(3)] == [5000, 1, 2000]
+    assert all(r.parent_text == r.text for r in per[0])  # an item is closed by the next
+    assert sum(len(r.parent_text) + len(r.parent_tight) + len(r.location) for r in per[2]) < 2000 * 1600
+
+
+def test_listing_reads_around_the_name(spark):
+    from eventide.sources.listing import scan_listing
+
+    page = '<div>Jun 29-Jul 2 <a href="/r2/1">AI Summit</a> Berlin</div><div>Sep 17 <a href="/r2/2">AI Day</a> Munich</div>'
+    got = [(r["name"], r.raw_start_date, r.raw_end_date, r.raw_location, r.website, list(r.ord))
+           for r in scan_listing(_pages(spark, page), keep=["ai"], skip=["xx"]).orderBy("name").collect()]
+    assert got == [("AI Day", "Sep 17", "Sep 17", "Munich", "https://h.example/r2/2", [0, 2]),
+                   ("AI Summit", "Jun 29", "Jul 2", "Berlin", "https://h.example/r2/1", [0, 1])]
+
+
+def test_calendar_with_odd_properties(spark):
+    ev = ("BEGIN:VEVENT\r\nBEGIN:VALARM\r\nDESCRIPTION:alarm\r\nSUMMARY:alarm\r\nEND:VALARM\r\n"
+          'SUMMARY;ALTREP="http://x/y;z":Real name\r\nDTSTART;TZID=Pacific Standard Time:20260605T200000\r\n'
+          "DESCRIPTION:own\r\nEND:VEVENT\r\n"
+          "BEGIN:VEVENT\r\nSUMMARY:No zone\r\nDTSTART;TZID=Mars/Base:20260605T200000\r\nEND:VEVENT\r\n"
+          'BEGIN:VEVENT\r\nSUMMARY:Quoted\r\nDTSTART;TZID="America/Los_Angeles":20260605T200000\r\nEND:VEVENT\r\n')
+    feeds = spark.createDataFrame([("f", _ics([ev])), ("g", _ics([ev.replace("Real", "Other")]))], "path string, value string")
+    reg = spark.createDataFrame([("f", "F", "X", 2), ("g", "G", "Y", 1)], "path string, label string, default_location string, rank int")
+    got = {r.name: (r.raw_start_date, r.card_text, list(r.ord)) for r in scan_calendars(feeds, reg, "2026-06-01").collect()}
+    assert got == {"Real name": ("Jun 06, 2026", "own", [2, 1]), "Other name": ("Jun 06, 2026", "own", [1, 1]),
+                   "No zone": ("Jun 05, 2026", "", [1, 2]), "Quoted": ("Jun 06, 2026", "", [1, 3])}
