@@ -48,19 +48,18 @@ def test_demo_fold(spark):
     assert a == {1: "SF Product Demos", 2: "Meet-ups"} and b == {1: "Meet-ups", 2: "Meet-ups"}
 
 
-def test_rule_table_paths_agree(spark):
-    locs = spark.createDataFrame([(1, "Menlo Park, CA"), (2, "MÜNCHEN"), (3, "Paris"), (4, "94 Baker Street, London")],
-                                 "id int, loc string")
-    rules = rules_table(spark)
-    compiled = {r.id: r.label for r in first_rule_from_table(locs, "loc", rules, "id").collect()}
-    from eventide.operators import rules as RU
-    old = RU.COMPILE_LIMIT
-    try:
-        RU.COMPILE_LIMIT = 1  # force the broadcast non-equi join path
-        joined = {r.id: r.label for r in first_rule_from_table(locs, "loc", rules, "id").collect()}
-    finally:
-        RU.COMPILE_LIMIT = old
-    assert compiled == joined == {1: "San Francisco", 2: "Munich", 3: None, 4: "San Francisco"}
+def test_rule_table(spark):
+    locs = spark.createDataFrame([(1, "Menlo Park, CA"), (2, "MÜNCHEN"), (3, "Paris"), (4, "94 Baker Street, London"),
+                                  (4, "Berlin")], "id int, loc string")
+    own = rules_table(spark)
+    many = spark.range(2000).select((F.col("id") + 100).cast("int").alias("priority"), F.lit("L").alias("label"),
+                                    F.concat(F.lit("no such place "), F.col("id")).alias("needle"))
+    odd = spark.createDataFrame([(50, "L3", ""), (50, "B", "paris"), (50, "A", "PAR")], "priority int, label string, needle string")
+    want = [(1, "San Francisco"), (2, "Munich"), (3, None), (4, "Berlin"), (4, "San Francisco")]
+    for rules, third in ((own, None), (own.unionByName(many), None), (own.unionByName(odd), "A")):
+        got = sorted(((r.id, r.label) for r in first_rule_from_table(locs, "loc", rules).collect()), key=str)
+        assert got == sorted([(i, third if i == 3 else x) for i, x in want], key=str)
+    assert first_rule_from_table(locs, "loc", own.limit(0)).where("label is not null").count() == 0
 
 
 def test_outcome_counts_observed_in_flight(spark):
