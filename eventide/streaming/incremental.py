@@ -3,25 +3,33 @@
 I1: newly landed event files are read as a stream; every micro-batch is one
 "run" that upserts into the tracker. The tracker is a sequence of immutable
 snapshot versions in a shared folder plus an append-only commit log
-``(batch_id, path)``; a micro-batch writes its version, then commits it.
-Replaying a batch whose id is already committed is a no-op, and a batch that
-died before its commit is simply redone (its version directory is
-overwritten), so executor or driver loss never leaves a half-applied upsert.
-
-I2: first-seen dedup of names across runs with bounded state:
-``dropDuplicatesWithinWatermark`` on the name key over ``scraped_at``.
+``(version, query, batch_id, path)``; a micro-batch writes its version, then
+commits it. A batch is known by the stream it belongs to and its number in it:
+replaying a committed batch is a no-op, while the first batch of a stream that
+was started anew is new data. A batch that died before its commit is simply
+redone (into a folder of its own), so executor or driver loss never leaves a
+half-applied upsert.
+
+I2: first-seen dedup of names across runs with bounded state: a keyed state
+that the watermark over ``scraped_at`` ends.
 """
 
 from __future__ import annotations
 
+import uuid
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.text import norm_key
 from ..operators.upsert import load_tracker, replace_sheet, save_tracker, upsert
 
-_COMMIT_SCHEMA = T.StructType([T.StructField("batch_id", T.LongType()), T.StructField("path", T.StringType())])
+_COMMIT_SCHEMA = T.StructType([T.StructField("version", T.LongType()), T.StructField("query", T.StringType()),
+                               T.StructField("batch_id", T.LongType()), T.StructField("path", T.StringType())])
 
 
 class SnapshotStore:
@@ -34,47 +42,54 @@ class SnapshotStore:
     def _log(self) -> DataFrame:
         try:
             return self.spark.read.schema(_COMMIT_SCHEMA).parquet(self.commits)
-        except Exception:  # no commit yet
-            return self.spark.createDataFrame([], _COMMIT_SCHEMA)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], _COMMIT_SCHEMA)  # no commit yet
 
     def latest(self):
-        """(batch_id, path) of the newest committed version, or None."""
-        row = self._log().orderBy(F.col("batch_id").desc()).limit(1).collect()
-        return (row[0]["batch_id"], row[0]["path"]) if row else None
+        """(version, path) of the newest committed version, or None."""
+        row = self._log().orderBy(F.col("version").desc()).limit(1).collect()
+        return (row[0]["version"], row[0]["path"]) if row else None
+
+    def applied(self, query: str, batch_id: int) -> bool:
+        return not self._log().where((F.col("query") == query) & (F.col("batch_id") == batch_id)).isEmpty()
 
     def read(self) -> DataFrame:
         last = self.latest()
         if last is None:
             raise RuntimeError(f"no committed snapshot under {self.root}")
-        return load_tracker(self.spark, last[1])
+        return load_tracker(self.spark, last[1], must_exist=True)
 
-    def commit(self, batch_id: int, df: DataFrame) -> str:
-        path = f"{self.root}/v{batch_id + 1:09d}"
+    def commit(self, query: str, batch_id: int, df: DataFrame) -> str:
+        last = self.latest()
+        version = 0 if last is None else last[0] + 1
+        path = f"{self.root}/v{version:09d}-{uuid.uuid4().hex[:8]}"
         save_tracker(df, path)
-        self.spark.createDataFrame([(batch_id, path)], _COMMIT_SCHEMA).coalesce(1) \
+        self.spark.createDataFrame([(version, query, batch_id, path)], _COMMIT_SCHEMA).coalesce(1) \
             .write.mode("append").parquet(self.commits)
         return path
 
 
 def init_store(spark: SparkSession, root: str, tracker: DataFrame) -> SnapshotStore:
-    """Store with ``tracker`` committed as version 0 (batch id -1)."""
+    """Store with ``tracker`` committed as version 0."""
     store = SnapshotStore(spark, root)
     if store.latest() is None:
-        store.commit(-1, tracker)
+        store.commit("", -1, tracker)
     return store
 
 
-def upsert_batch(store: SnapshotStore, sheet: str):
+def upsert_batch(store: SnapshotStore, sheet: str, query: str):
     """foreachBatch function: one K1 upsert per micro-batch, idempotent by
-    batch id."""
+    (query, batch id). ``query`` names the stream: its checkpoint folder, which
+    a restart keeps and a new stream does not share."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        last = store.latest()
-        if last is not None and last[0] >= batch_id:
-            return  # replayed batch: already applied
+        if store.applied(query, batch_id):
+            return  # replayed batch
         current = store.read()
         res = upsert(current, batch, sheet)
-        store.commit(batch_id, replace_sheet(current, sheet, res.snapshot))
+        store.commit(query, batch_id, replace_sheet(current, sheet, res.snapshot))
 
     return run
 
@@ -85,16 +100,39 @@ def run_incremental(spark: SparkSession, landing: str, schema: T.StructType, sto
     micro-batch, and return the final snapshot."""
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
               .parquet(landing))
-    q = (stream.writeStream.foreachBatch(upsert_batch(store, sheet))
+    q = (stream.writeStream.foreachBatch(upsert_batch(store, sheet, checkpoint))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return store.read()
 
 
 def first_seen(stream: DataFrame, name_col: str = "name", ts_col: str = "scraped_at",
-               delay: str = "7 days") -> DataFrame:
+               delay: str = "7 days", order_col: str = "ord") -> DataFrame:
     """Keep the first row per name key within the watermark delay (state
     is bounded by the delay; exact all-time dedup stays with the known-name
-    anti join, J2)."""
-    return (stream.withColumn("_name_key", norm_key(name_col)).withWatermark(ts_col, delay)
-            .dropDuplicatesWithinWatermark(["_name_key"]).drop("_name_key"))
+    anti join, J2). Of a name's rows in one micro-batch the one with the
+    smallest (time, order) is kept, whatever the partitions; a name is free
+    again once the watermark has passed its first time by the delay."""
+    columns = list(stream.columns)
+    hold = int(pd.Timedelta(delay).total_seconds() * 1000)
+
+    def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first = None
+        for frame in frames:
+            row = frame.sort_values([ts_col, order_col]).iloc[[0]]
+            if first is None or (row[ts_col].iloc[0], row[order_col].iloc[0]) < (first[ts_col].iloc[0],
+                                                                                 first[order_col].iloc[0]):
+                first = row
+        now = state.getCurrentWatermarkMs()
+        if first is None or (state.exists and state.get[0] > now):
+            return
+        until = int(first[ts_col].iloc[0].timestamp() * 1000) + hold
+        state.update((until,))
+        state.setTimeoutTimestamp(max(until, now + 1))
+        yield first[columns]
+
+    return (stream.withColumn("_name_key", norm_key(name_col)).withWatermark(ts_col, delay).groupBy("_name_key")
+            .applyInPandasWithState(step, stream.schema, "until long", "append", GroupStateTimeout.EventTimeTimeout))

@@ -26,6 +26,47 @@ def test_stream_equals_sequential_batches(spark):
     assert a == b and len(a) > 0
     # replaying an applied batch id changes nothing
     before = store.latest()
-    upsert_batch(store, "Meet-ups")(inc.limit(5).drop("week"), 0)
+    upsert_batch(store, "Meet-ups", f"{root}/ckpt")(inc.limit(5).drop("week"), 0)
     assert store.latest() == before
+    # the first batch of another stream is new data
+    fresh = inc.limit(1).drop("week").withColumn("name", F.lit("Only here")).withColumn("website", F.lit("only.example"))
+    upsert_batch(store, "Meet-ups", f"{root}/other")(fresh, 0)
+    assert store.read().where("name = 'Only here'").count() == 1
     assert isinstance(store, SnapshotStore)
+
+
+def test_unreadable_snapshot_is_an_error(spark, tmp_path):
+    import pytest
+
+    from eventide.operators.upsert import load_tracker, save_tracker
+
+    assert load_tracker(spark, str(tmp_path / "none")).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        load_tracker(spark, str(tmp_path / "none"), must_exist=True)
+    save_tracker(empty_tracker(spark), str(tmp_path / "t"))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"no parquet file")
+    with pytest.raises(Exception):
+        load_tracker(spark, str(tmp_path / "bad")).count()
+
+
+def test_first_seen_is_determined(spark):
+    """The earliest row of a name is kept, in one batch or many, and a name is
+    free again after the delay."""
+    from eventide.streaming.incremental import first_seen
+
+    rows = [(i, f" Name{i % 4} ", f"2024-01-{1 + i // 8:02d} {i % 8:02d}:00:00") for i in range(200)]
+    df = spark.createDataFrame(rows, "ord long, name string, t string").selectExpr("ord", "name", "timestamp(t) scraped_at")
+    root = scratch_path(spark, "t-first")
+    for day in range(1, 26):
+        df.where(F.dayofmonth("scraped_at") == day).repartition(3).write.mode("append").parquet(f"{root}/in/d{day:02d}")
+
+    def run(n, files):
+        stream = (spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true")
+                  .parquet(f"{root}/in"))
+        q = (first_seen(stream, delay="40 days").writeStream.format("parquet").option("path", f"{root}/out{n}")
+             .option("checkpointLocation", f"{root}/c{n}").trigger(availableNow=True).start())
+        q.awaitTermination()
+        return sorted(r.ord for r in spark.read.schema(df.schema).parquet(f"{root}/out{n}").collect())
+
+    assert run(1, 1000) == [0, 1, 2, 3]
