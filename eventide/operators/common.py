@@ -19,6 +19,20 @@ def sized_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFr
     return F.broadcast(df) if n <= max_rows else df
 
 
+def order_key(*parts) -> F.Column:
+    """Arrival order over several columns as one sortable value: an array of
+    longs, compared part by part. Nothing is packed, so no part has a limit."""
+    cols = [F.col(p) if isinstance(p, str) else p for p in parts]
+    return F.array(*[c.cast("long") for c in cols])
+
+
+def require_unique(df: DataFrame, order_col: str, what: str) -> None:
+    """Raise if two rows hold the same order value: every rule that keeps the
+    first or last row needs one order, or rows are lost."""
+    if not df.groupBy(order_col).count().where("count > 1").isEmpty():
+        raise ValueError(f"{what}: the order column {order_col!r} holds the same value twice")
+
+
 def with_positions(df: DataFrame, order_col: str, out_col: str = "_pos",
                    start: int = 1) -> DataFrame:
     """Dense 1-based positions in ``order_col`` order without a single-task window.

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import norm_key, strip_ws
 from ..session import cut_lineage
+from .common import require_unique
 
 
 def _pick(df: DataFrame, keys: list[str | Column], order: list[str], first: bool) -> DataFrame:
@@ -55,7 +56,7 @@ def dedup_keys(name: Column, url: Column, case_fold: bool = True) -> Column:
 
 
 def greedy_two_key(df: DataFrame, name: str | Column, url: str | Column, ord_col: str,
-                   case_fold: bool = True, max_rounds: int = 10_000) -> DataFrame:
+                   case_fold: bool = True, max_rounds: int = 10_000, check_order: bool = True) -> DataFrame:
     """Walk rows in ``ord_col`` order and keep a row unless one of its keys
     belongs to an already kept row. Exact, computed by rounds:
 
@@ -63,12 +64,15 @@ def greedy_two_key(df: DataFrame, name: str | Column, url: str | Column, ord_col
     2. a row whose ord equals m(key) for all of its keys is kept;
     3. undecided rows sharing a key with a row kept in 2 are dropped.
 
-    Returns the kept rows of ``df`` (all columns).
+    ``ord_col`` must be unique (rows are told apart by it); a repeated value
+    raises ``ValueError``. Returns the kept rows of ``df`` (all columns).
     """
     name_c = F.col(name) if isinstance(name, str) else name
     url_c = F.col(url) if isinstance(url, str) else url
     # one checkpoint of the input: the rounds and the final pick both read it
     base = cut_lineage(df.withColumn("_keys", dedup_keys(name_c, url_c, case_fold)))
+    if check_order:
+        require_unique(base, ord_col, "greedy_two_key")
     edges0 = base.select(F.col(ord_col).alias("_ord"), F.explode("_keys").alias("_key"))
     # fast path: no key shared by two rows -> every row is kept
     if edges0.groupBy("_key").count().where("count > 1").isEmpty():
@@ -97,20 +101,3 @@ def greedy_two_key(df: DataFrame, name: str | Column, url: str | Column, ord_col
         kept_all = kept_all.unionByName(k)
     return base.join(kept_all.withColumnRenamed("_ord", ord_col), ord_col, "left_semi").drop("_keys")
 
-
-def greedy_two_key_model(rows, case_fold: bool = True):
-    """Sequential reference model of W5 over (ord, name, url) tuples; for tests."""
-    seen: set[str] = set()
-    out = []
-    for o, n, u in sorted(rows):
-        n = (n or "").strip()
-        u = (u or "").strip()
-        if case_fold:
-            n, u = n.lower(), u.lower()
-        if n in seen or (u and u in seen):
-            continue
-        seen.add(n)
-        if u:
-            seen.add(u)
-        out.append(o)
-    return out

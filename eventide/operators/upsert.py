@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import days_span, parse_date
 from ..functions.text import strip_ws
-from ..schema import MANAGED_FIELDS, MANUAL_FIELDS, TRACKER, TRACKER_COLUMNS
-from .common import with_positions
+from ..schema import MANAGED_FIELDS, MANUAL_FIELDS, TRACKER
+from ..session import cut_lineage
+from .common import require_unique, with_positions
 from .dedup import greedy_two_key
 from .match import match_existing
 
@@ -77,7 +78,10 @@ def upsert(tracker: DataFrame, incoming: DataFrame, sheet: str,
     inc = inc.select("ord", *[F.col(c).cast("string").alias(c) for c in _EVENT_FIELDS],
                      *([F.col(c).cast("string").alias(c) for c in MANUAL_FIELDS] if carry_manual else []))
 
+    inc = cut_lineage(inc)
+    require_unique(inc, "ord", "upsert")
     matched_all = match_existing(inc, target, "name", "website", "row_id", "row_no")
+    matched_all = cut_lineage(matched_all)  # read by updates, appends and counts
     matched = matched_all.where(F.col("match_row_id").isNotNull())
     unmatched = matched_all.where(F.col("match_row_id").isNull()).drop("match_row_id", "match_by")
 
@@ -114,7 +118,7 @@ def upsert(tracker: DataFrame, incoming: DataFrame, sheet: str,
     updated_rows = conform_tracker(updated_rows.select(*sel))
 
     # ---- appends (W5 + K2) -------------------------------------------------
-    fresh = greedy_two_key(unmatched, "name", "website", "ord", case_fold=dedup_case_fold)
+    fresh = greedy_two_key(unmatched, "name", "website", "ord", case_fold=dedup_case_fold, check_order=False)
     # row_no is positional within the sheet; row_id is unique across the tracker.
     # Both offsets are one-row aggregates, read as scalars.
     b = tracker.agg(F.coalesce(F.max(F.when(F.col("sheet") == sheet, F.col("row_no"))), F.lit(1)).alias("n"),
@@ -124,7 +128,7 @@ def upsert(tracker: DataFrame, incoming: DataFrame, sheet: str,
     appended = fresh.select(
         F.lit(sheet).alias("sheet"),
         (F.lit(base_id) + F.col("_pos")).cast("long").alias("row_id"),
-        (F.lit(base_no) + F.col("_pos")).cast("int").alias("row_no"),
+        (F.lit(base_no) + F.col("_pos")).cast("long").alias("row_no"),
         strip_ws(_blank("name")).alias("name"),
         *[_blank(c).alias(c) for c in MANAGED_FIELDS],
         strip_ws(_blank("website")).alias("website"),
@@ -178,22 +182,24 @@ def delete_rows(tracker: DataFrame, row_ids: DataFrame) -> DataFrame:
     return tracker.join(row_ids.select("row_id").distinct(), "row_id", "left_anti").select(*tracker.columns)
 
 
-def tracker_columns() -> list[str]:
-    return ["sheet", "row_id", "row_no"] + TRACKER_COLUMNS + ["start_dt", "end_dt"]
-
-
 def save_tracker(df: DataFrame, path: str) -> None:
     """K2/K5 sink: one tracker snapshot as Parquet partitioned by ``sheet``,
     so a read of one named table prunes to its partition."""
     conform_tracker(df).write.mode("overwrite").partitionBy("sheet").parquet(path)
 
 
-def load_tracker(spark, path: str, sheets: list[str] | None = None) -> DataFrame:
+def load_tracker(spark, path: str, sheets: list[str] | None = None, must_exist: bool = False) -> DataFrame:
     """Read a saved snapshot (optionally only some named tables: partition
-    pruning), columns in tracker order; a missing snapshot is an empty table."""
+    pruning), columns in tracker order. A path that is not there is an empty
+    table, unless it ``must_exist`` (a commit names it); any other failure to
+    read is raised."""
+    from pyspark.errors import AnalysisException
+
     try:
         df = spark.read.schema(TRACKER).parquet(path)
-    except Exception:  # no snapshot yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND" or must_exist:
+            raise
         return empty_tracker(spark)
     if sheets:
         df = df.where(F.col("sheet").isin(*sheets))

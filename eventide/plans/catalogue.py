@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as X
 from ..operators import cfp as C
+from ..operators.common import order_key
 from ..operators.dedup import first_wins, greedy_two_key
 from ..operators.match import block_anti, key_set, known_anti, union_keys
 from ..operators.report import known_block
@@ -176,7 +177,7 @@ def cfp_state(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_links_df(spark, sf) -> DataFrame:
     pages = load(spark, sf, "pages").select("page_id", "url", "html")
-    a = H.anchors_native(pages).withColumn("base", H.page_base(F.col("url")))
+    a = H.anchors(pages).withColumn("base", H.page_base(F.col("url")))
     a = H.link_candidates(a)
     a = first_wins(a, ["page_id", "link"], ["page_id", "ord"])            # W3, before the name test
     return a.where(F.length("text") >= 5)                                  # P3
@@ -202,7 +203,7 @@ def page_title_dedup(spark: SparkSession, sf: str) -> DataFrame:
     across pages."""
     pages = load(spark, sf, "pages").select("page_id", "url", "html")
     t = H.headings_native(pages).where(F.col("title") != "")
-    a = H.anchors_native(pages).where(F.col("href").rlike(r"^/[a-zA-Z0-9_-]{4,}$"))
+    a = H.anchors(pages).where(F.col("href").rlike(r"^/[a-zA-Z0-9_-]{4,}$"))
     first_slug = a.groupBy("page_id").agg(F.min_by("href", "ord").alias("slug"))
     x = t.join(first_slug, "page_id").withColumn(
         "card_link", F.concat(H.page_base(F.col("url")), F.col("slug")))
@@ -344,7 +345,7 @@ def upsert_inputs(spark, sf):
                                F.lit(".example/"), (sz + off).cast("string"))
     ex = p.where(F.col("p_partkey") % 2 == 0).select(
         F.lit("Conferences").alias("sheet"), F.col("p_partkey").alias("row_id"),
-        (F.col("p_partkey") / 2 + 2).cast("int").alias("row_no"),
+        (F.col("p_partkey") / 2 + 2).cast("long").alias("row_no"),
         F.col("p_name").alias("name"), F.col("p_type").alias("category"),
         F.lit("").alias("cfp_date"), F.when(sz % 4 == 0, F.lit("Open")).otherwise(F.lit("")).alias("cfp_status"),
         F.concat(F.lit("Loc "), (sz % 10).cast("string")).alias("location"),
@@ -460,7 +461,7 @@ def replies_df(spark, sf, truncate_odd: bool = False) -> DataFrame:
                     F.concat(F.lit("https://ev.example/"), k.cast("string")).alias("website"),
                     F.col("event_type").alias("why_relevant"),
                     F.when(rank == 2, F.col("value") > 50).alias("demo_suitable"))
-    x = e.select((F.col("user_id") * 10_000_000 + F.floor(k / 64)).cast("long").alias("reply_id"),
+    x = e.select((F.shiftleft("user_id", 32) + F.floor(k / 64)).cast("long").alias("reply_id"),
                  rank.alias("search_rank"), k, F.to_json(item).alias("j"), name.alias("_n"))
     g = x.groupBy("reply_id", "search_rank").agg(
         F.array_sort(F.collect_list(F.struct("event_id", "j", "_n"))).alias("items"))
@@ -490,8 +491,10 @@ def known_event_names(spark, sf) -> DataFrame:
     return key_set(e.select(F.concat(F.col("event_type"), F.lit(" meetup "), (k % 97).cast("string")).alias("n")), "n")
 
 
+# An order key as text, for results that are compared with SQL.
+_ORD_TEXT = "array_join(cast(ord as array<string>), ':') as ord"
 _DISC_COLS = ["name", "source", "raw_location", "raw_start_date", "raw_end_date", "website", "card_text",
-              "cfp_status", "cfp_date", "hint_demo_suitable", "source_rank", "ord"]
+              "cfp_status", "cfp_date", "hint_demo_suitable", "source_rank", _ORD_TEXT]
 
 
 @query
@@ -499,7 +502,7 @@ def reply_explode(spark: SparkSession, sf: str) -> DataFrame:
     """Discovery replies -> new raw events."""
     from ..sources.replies import discovered_events
 
-    return discovered_events(replies_df(spark, sf), known_event_names(spark, sf)).select(*_DISC_COLS)
+    return discovered_events(replies_df(spark, sf), known_event_names(spark, sf)).selectExpr(*_DISC_COLS)
 
 
 @query
@@ -508,7 +511,7 @@ def reply_repair(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.replies import discovered_events
 
     return discovered_events(replies_df(spark, sf, truncate_odd=True),
-                             known_event_names(spark, sf)).select(*_DISC_COLS)
+                             known_event_names(spark, sf)).selectExpr(*_DISC_COLS)
 
 
 # ----------------------------------------------------------- patterns ----
@@ -615,7 +618,7 @@ def cfp_tracker(spark, sf):
     status = (F.when(k % 8 == 0, F.lit("")).when(k % 8 == 1, F.lit(" Check Site ")).when(k % 8 == 2, F.lit("Unknown"))
               .when(k % 8 == 3, F.lit("not yet announced")).when(k % 8 == 4, F.lit("Open"))
               .when(k % 8 == 5, F.lit("Closed")).when(k % 8 == 6, F.lit("—")))
-    t = o.select(F.lit("Conferences").alias("sheet"), k.alias("row_id"), (k + 2).cast("int").alias("row_no"),
+    t = o.select(F.lit("Conferences").alias("sheet"), k.alias("row_id"), (k + 2).cast("long").alias("row_no"),
                  F.concat(F.lit("Conf "), k.cast("string")).alias("name"),
                  F.when(k % 10 == 0, F.lit("TBC")).otherwise(D.fmt_date(F.to_date("o_orderdate"))).alias("start_date"),
                  status.alias("cfp_status"), F.lit("").alias("cfp_date"))
@@ -668,7 +671,7 @@ def lifecycle_tracker(spark, sf):
     sheet = (F.when(F.col("o_orderstatus") == "F", F.lit("Time Passed"))
              .when(F.col("o_orderstatus") == "O", F.lit("Conferences"))
              .when(k % 2 == 0, F.lit("Meet-ups")).otherwise(F.lit("SF Product Demos")))
-    t = o.select(sheet.alias("sheet"), k.alias("row_id"), (k + 2).cast("int").alias("row_no"),
+    t = o.select(sheet.alias("sheet"), k.alias("row_id"), (k + 2).cast("long").alias("row_no"),
                  F.concat(F.lit("Conf "), F.col("o_custkey").cast("string")).alias("name"),
                  F.col("o_orderpriority").alias("category"),
                  F.when(k % 10 == 0, F.lit("TBC")).otherwise(D.fmt_date(F.to_date("o_orderdate"))).alias("start_date"),
@@ -759,11 +762,11 @@ def sheet_rows_df(spark, sf) -> DataFrame:
     b_cells = F.array(site, name, F.col("c_mktsegment"), F.lit("old"), note)
     b_cells = F.when(k % 4 == 1, F.slice(b_cells, 1, 2)).otherwise(b_cells)
     rows = c.select(F.when(k % 2 == 0, F.lit("A")).otherwise(F.lit("B")).alias("sheet"),
-                    (k + 2).cast("int").alias("row_no"),
+                    (k + 2).cast("long").alias("row_no"),
                     F.when(k % 2 == 0, a_cells).otherwise(b_cells).alias("cells"))
     hdr = spark.createDataFrame([("A", 1, ["", " Name ", "Website", "Notes", "Segment"]),
                                  ("B", 1, ["Website", "name ", "SEGMENT", "Notes", "notes"])],
-                                "sheet string, row_no int, cells array<string>")
+                                "sheet string, row_no long, cells array<string>")
     return rows.unionByName(hdr)
 
 
@@ -821,7 +824,7 @@ def ics_files(spark, sf) -> DataFrame:
         .otherwise(F.concat(F.col("event_type"), F.lit(" "), (k % 50).cast("string")))
     desc = F.concat(F.lit("DESCRIPTION:Event "), k.cast("string"), F.lit(" of type "), F.col("event_type"),
                     F.lit("\\, value "), F.round(F.col("value") * 100).cast("long").cast("string"), F.lit("\\nmore"))
-    desc = F.when(F.length(desc) > 30, F.concat(F.substring(desc, 1, 30), crlf, F.lit(" "), F.substring(desc, 31, 100000))) \
+    desc = F.when(F.length(desc) > 30, F.concat(F.substring(desc, 1, 30), crlf, F.lit(" "), F.substring(desc, F.lit(31), F.length(desc)))) \
         .otherwise(desc)
     lines = F.array_compact(F.array(
         F.lit("BEGIN:VEVENT"),
@@ -850,7 +853,7 @@ def ical_scan(spark: SparkSession, sf: str) -> DataFrame:
     files = ics_files(spark, sf)
     reg = feed_registry(files, F.concat(F.lit("Feed "), F.col("feed").cast("string")),
                         F.concat(F.lit("Default "), F.col("feed").cast("string")),
-                        (F.col("feed") * 1_000_000 + F.col("chunk")).cast("long"))
+                        F.col("feed"), F.col("chunk"))
     out = scan_calendars(files.select("path", "value"), reg, AS_OF_EVENTS)
     return out.select("name", "source", "raw_location", "raw_start_date", "raw_end_date", "website", "card_text")
 
@@ -875,7 +878,7 @@ def page_link_events(spark, sf) -> DataFrame:
     return a.select(F.col("text").alias("name"), F.lit("Pages").alias("source"),
                     X.default_fill(F.lit(""), F.col("default_location")).alias("raw_location"),
                     F.col("link").alias("website"), F.col("text").alias("card_text"),
-                    (F.col("page_id") * 1000 + F.col("ord")).cast("long").alias("ord"))
+                    order_key("page_id", "ord").alias("ord"))
 
 
 @query
@@ -887,7 +890,7 @@ def source_union(spark: SparkSession, sf: str) -> DataFrame:
     pages = load(spark, sf, "pages").select("url", "html")
     seeds = C.seed_status(seed_events(spark), pages)
     u = union_sources([(1, seeds), (2, page_link_events(spark, sf)), (3, listing_events(spark, sf))])
-    return u.select("source", F.col("source_rank").cast("long"), "ord", "name", "website", "raw_location",
+    return u.select("source", F.col("source_rank").cast("long"), F.expr(_ORD_TEXT), "name", "website", "raw_location",
                     "raw_start_date", "cfp_status")
 
 
@@ -902,7 +905,7 @@ def run_tracker(spark, sf):
 
     c = load(spark, sf, "customer").where(F.col("c_acctbal") < 0)
     ex = conform_tracker(c.select(F.lit("Excluded").alias("sheet"), (F.lit(10**9) + F.col("c_custkey")).alias("row_id"),
-                                  (F.col("c_custkey") + 2).cast("int").alias("row_no"),
+                                  (F.col("c_custkey") + 2).cast("long").alias("row_no"),
                                   F.col("c_name").alias("name"), F.lit("").alias("website")))
     return lifecycle_tracker(spark, sf).unionByName(ex)
 
@@ -946,8 +949,8 @@ def meetup_run(spark: SparkSession, sf: str) -> DataFrame:
     files = ics_files(spark, sf)
     reg = feed_registry(files, F.concat(F.lit("Feed "), F.col("feed").cast("string")),
                         F.concat(F.lit("Default "), F.col("feed").cast("string")),
-                        (F.col("feed") * 1_000_000 + F.col("chunk")).cast("long"))
-    cal = scan_calendars(files.select("path", "value"), reg, AS_OF_EVENTS).drop("source_rank")
+                        F.col("feed"), F.col("chunk"))
+    cal = scan_calendars(files.select("path", "value"), reg, AS_OF_EVENTS)
     disc = discovered_events(replies_df(spark, sf), known_event_names(spark, sf)).drop("source_rank")
     raw = union_sources([(1, cal), (2, disc)])
     scorer = rule_scorer(["meetup", "click", "view", "signup", "purchase", "error"], AS_OF_EVENTS,
@@ -1097,7 +1100,7 @@ def _host_location(pages):
             .when(tld == "net", F.lit("London, UK")).otherwise(F.lit("Various")))
 
 
-_SCAN_COLS = ["name", "source", "raw_location", "website", "ord"]
+_SCAN_COLS = ["name", "source", "raw_location", "website", _ORD_TEXT]
 
 
 @query
@@ -1108,7 +1111,7 @@ def listing_scan(spark: SparkSession, sf: str) -> DataFrame:
 
     pages = load(spark, sf, "pages").select("page_id", "url", "html")
     out = scan_listing(pages, href_contains="/", keep=DOC_KEEP + ["the"], skip=["gnu", "und"])
-    return out.select(*_SCAN_COLS, "raw_start_date", "raw_end_date")
+    return out.selectExpr(*_SCAN_COLS, "raw_start_date", "raw_end_date")
 
 
 @query
@@ -1118,7 +1121,7 @@ def card_scan(spark: SparkSession, sf: str) -> DataFrame:
 
     pages = load(spark, sf, "pages").select("page_id", "url", "html")
     out = scan_cards(pages, _host_location(pages), heading_tag="h1", keep=["e", "a"])
-    return out.select(*_SCAN_COLS)
+    return out.selectExpr(*_SCAN_COLS)
 
 
 @query
@@ -1128,7 +1131,7 @@ def group_scan(spark: SparkSession, sf: str) -> DataFrame:
 
     pages = load(spark, sf, "pages").select("page_id", "url", "html")
     out = scan_group_pages(pages, _host_location(pages), href_pattern=r"^/[A-Za-z]{5,}$", keep=["e"])
-    return out.select(*_SCAN_COLS)
+    return out.selectExpr(*_SCAN_COLS)
 
 
 @query
@@ -1137,4 +1140,4 @@ def side_event_scan(spark: SparkSession, sf: str) -> DataFrame:
     from ..sources.listing import scan_side_events
 
     pages = load(spark, sf, "pages").select("page_id", "url", "html")
-    return scan_side_events(pages).select(*_SCAN_COLS, "card_text")
+    return scan_side_events(pages).selectExpr(*_SCAN_COLS, "card_text")

@@ -352,7 +352,7 @@ def _url_sql(off: int) -> str:
 
 
 _UPSERT_IN = f"""
-ex AS (SELECT 'Conferences' AS sheet, p_partkey AS row_id, CAST(p_partkey / 2 + 2 AS INTEGER) AS row_no,
+ex AS (SELECT 'Conferences' AS sheet, p_partkey AS row_id, CAST(p_partkey / 2 + 2 AS BIGINT) AS row_no,
          p_name AS name, p_type AS category, '' AS cfp_date, CASE WHEN p_size % 4 = 0 THEN 'Open' ELSE '' END AS cfp_status,
          'Loc ' || CAST(p_size % 10 AS VARCHAR) AS location, {_dfmt_sql('p_size')} AS start_date,
          {_dfmt_sql('p_size + 2')} AS end_date, {_url_sql(0)} AS website, 3 AS days,
@@ -406,7 +406,7 @@ src AS (SELECT ord, name, website FROM mt WHERE match_row_id IS NULL),
 {_greedy_sql('src', 'ord')},
 appended AS (SELECT 'Conferences' AS sheet,
          (SELECT max(row_id) FROM ex) + row_number() OVER (ORDER BY u.ord) AS row_id,
-         CAST((SELECT max(row_no) FROM ex) + row_number() OVER (ORDER BY u.ord) AS INTEGER) AS row_no,
+         CAST((SELECT max(row_no) FROM ex) + row_number() OVER (ORDER BY u.ord) AS BIGINT) AS row_no,
          {_trim("coalesce(u.name, '')")} AS name,
          {', '.join(f"coalesce(u.{c}, '') AS {c}" for c in _MANAGED)},
          {_trim("coalesce(u.website, '')")} AS website,
@@ -481,7 +481,7 @@ def _disc_sql(truncate_odd: bool) -> str:
     drop_last = "AND NOT (reply_id % 2 = 1 AND pos = n_items)" if truncate_odd else ""
     return f"""
 WITH it AS (
-  SELECT CAST(user_id * 10000000 + floor(event_id / 64) AS BIGINT) AS reply_id,
+  SELECT CAST(user_id * 4294967296 + floor(event_id / 64) AS BIGINT) AS reply_id,
     CAST(user_id % 3 AS INTEGER) AS search_rank, event_id,
     CASE WHEN event_id % 13 = 0 THEN '' ELSE event_type || ' meetup ' || CAST(event_id % 97 AS VARCHAR) END AS name,
     'City ' || CAST(user_id % 7 AS VARCHAR) AS location, strftime(CAST(ts AS DATE), '%b %d, %Y') AS start_date,
@@ -503,7 +503,7 @@ SELECT {_trim('name')} AS name,
   CASE search_rank WHEN 0 THEN 'CFP-open conference' WHEN 1 THEN 'ticketed conference' ELSE 'meetup/Berlin' END
     || '. ' || why AS card_text,
   CAST(NULL AS VARCHAR) AS cfp_status, CAST(NULL AS VARCHAR) AS cfp_date, demo AS hint_demo_suitable,
-  search_rank AS source_rank, CAST(reply_id * 100000 + pos - 1 AS BIGINT) AS ord
+  search_rank AS source_rank, concat(reply_id, ':', pos - 1) AS ord
 FROM w
 """
 
@@ -640,7 +640,7 @@ FROM ev LEFT JOIN facts ON lower({_trim('ev.name')}) = facts.fact_key
 _LIFE = f"""
 tr AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'Time Passed' WHEN o_orderstatus = 'O' THEN 'Conferences'
                    WHEN o_orderkey % 2 = 0 THEN 'Meet-ups' ELSE 'SF Product Demos' END AS sheet,
-         o_orderkey AS row_id, CAST(o_orderkey + 2 AS INTEGER) AS row_no, 'Conf ' || CAST(o_custkey AS VARCHAR) AS name,
+         o_orderkey AS row_id, CAST(o_orderkey + 2 AS BIGINT) AS row_no, 'Conf ' || CAST(o_custkey AS VARCHAR) AS name,
          o_orderpriority AS category, CAST(NULL AS VARCHAR) AS cfp_date, CAST(NULL AS VARCHAR) AS cfp_status,
          CAST(NULL AS VARCHAR) AS location,
          CASE WHEN o_orderkey % 10 = 0 THEN 'TBC' ELSE strftime(CAST(o_orderdate AS DATE), '%b %d, %Y') END AS start_date,
@@ -690,7 +690,7 @@ u_src AS (SELECT ord, name, website FROM u_mt WHERE match_row_id IS NULL),
 {_greedy_sql('u_src', 'ord')},
 u_app AS (SELECT '{sheet}' AS sheet,
             (SELECT coalesce(max(row_id), 0) FROM {all_rows}) + row_number() OVER (ORDER BY u.ord) AS row_id,
-            CAST((SELECT coalesce(max(row_no), 1) FROM {target}) + row_number() OVER (ORDER BY u.ord) AS INTEGER) AS row_no,
+            CAST((SELECT coalesce(max(row_no), 1) FROM {target}) + row_number() OVER (ORDER BY u.ord) AS BIGINT) AS row_no,
             {_trim("coalesce(u.name, '')")} AS name, {', '.join(f"coalesce(u.{c}, '') AS {c}" for c in _MANAGED)},
             {_trim("coalesce(u.website, '')")} AS website,
             {_days("coalesce(u.start_date, '')", "coalesce(u.end_date, '')")} AS days, {notes} AS notes
@@ -755,7 +755,7 @@ WITH c AS (
     CASE WHEN c_custkey % 9 = 0 THEN '' WHEN c_custkey % 5 = 0 THEN '  ' || c_name || ' ' ELSE c_name END AS nm,
     'https://c' || CAST(c_custkey AS VARCHAR) || '.example' AS site, 'n' || CAST(c_custkey AS VARCHAR) AS note
   FROM customer)
-SELECT CASE WHEN k % 2 = 0 THEN 'A' ELSE 'B' END AS sheet, CAST(k + 2 AS INTEGER) AS row_no,
+SELECT CASE WHEN k % 2 = 0 THEN 'A' ELSE 'B' END AS sheet, CAST(k + 2 AS BIGINT) AS row_no,
   {_trim('nm')} AS name, site AS website,
   CASE WHEN k % 2 = 0 THEN (CASE WHEN k % 4 = 2 THEN '' ELSE note END)
        ELSE (CASE WHEN k % 4 = 1 THEN '' ELSE note END) END AS notes,
@@ -812,7 +812,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY feed, chunk ORDER BY event_id) A
         {_ical_date('kind', 't0')} AS sd, {_ical_date('kind', 't0 + INTERVAL 1 HOUR')} AS ed FROM e),
 k AS (SELECT * FROM p WHERE has_summary AND has_start
         AND sd BETWEEN DATE '{AS_OF_EVENTS}' AND DATE '{AS_OF_EVENTS}' + INTERVAL 180 DAY),
-w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY feed * 1000000 + chunk, pos) AS rn
+w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY feed, chunk, pos) AS rn
                      FROM k) WHERE rn = 1)
 SELECT name, 'iCal (Feed ' || CAST(feed AS VARCHAR) || ')' AS source, raw_location,
   strftime(sd, '%b %d, %Y') AS raw_start_date, strftime(ed, '%b %d, %Y') AS raw_end_date, website,
@@ -861,16 +861,16 @@ lt AS (SELECT *,
        WHEN regexp_extract(dd, '^([A-Za-z]+) (\\d+)-(\\d+)', 1) <> '' THEN regexp_extract(dd, '^([A-Za-z]+) (\\d+)-(\\d+)', 1) || ' ' || regexp_extract(dd, '^([A-Za-z]+) (\\d+)-(\\d+)', 2)
        WHEN regexp_extract(dd, '^([A-Za-z]+ \\d+)', 1) <> '' THEN regexp_extract(dd, '^([A-Za-z]+ \\d+)', 1)
        ELSE dd END AS start_part FROM ls)
-SELECT s.source, CAST(1 AS BIGINT) AS source_rank, s.ord, s.name, s.website, s.raw_location, s.raw_start_date,
+SELECT s.source, CAST(1 AS BIGINT) AS source_rank, CAST(s.ord AS VARCHAR) AS ord, s.name, s.website, s.raw_location, s.raw_start_date,
   coalesce(nullif({_trim('s.st')}, ''), pg.ps, 'Check site') AS cfp_status
 FROM seeds s LEFT JOIN pg ON pg.url = s.website
 UNION ALL
-SELECT 'Pages', CAST(2 AS BIGINT), CAST(page_id * 1000 + ord AS BIGINT), text, link,
+SELECT 'Pages', CAST(2 AS BIGINT), concat(page_id, ':', ord), text, link,
   CASE split_part({_host('url')}, '.', -1) WHEN 'com' THEN 'San Francisco, USA' WHEN 'org' THEN 'Berlin, Germany'
        WHEN 'net' THEN 'London, UK' ELSE 'Various' END, NULL, NULL
 FROM links
 UNION ALL
-SELECT 'Listing', CAST(3 AS BIGINT), o_orderkey, name, '', coalesce(nullif({_trim('location')}, ''), 'Various'),
+SELECT 'Listing', CAST(3 AS BIGINT), CAST(o_orderkey AS VARCHAR), name, '', coalesce(nullif({_trim('location')}, ''), 'Various'),
   coalesce(coalesce(nullif({_trim('start_part')}, ''), nullif({_trim('date_raw')}, '')), ''), NULL
 FROM lt
 """
@@ -934,7 +934,7 @@ SQL["listing_scan"] = f"""
 WITH {_RAW_A},
 x AS (SELECT * FROM rb WHERE contains(href, '/') AND text <> '')
 SELECT text AS name, 'Listing' AS source, '' AS raw_location, base || href AS website,
-  CAST(page_id * 1000000 + ord AS BIGINT) AS ord, '' AS raw_start_date, '' AS raw_end_date
+  concat(page_id, ':', ord) AS ord, '' AS raw_start_date, '' AS raw_end_date
 FROM x WHERE NOT {_any('text', ['gnu', 'und'])} AND {_any('text', DOC_KEEP + ['the'])}
 """
 
@@ -946,7 +946,7 @@ y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, website
 z AS (SELECT * FROM y WHERE length(text) >= 5 AND {_any('text', ['e'])}),
 w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY website ORDER BY page_id, ord) AS rn2 FROM z) WHERE rn2 = 1)
 SELECT text AS name, 'Groups' AS source, {_LOC.format(h=_host('url'))} AS raw_location, website,
-  CAST(page_id * 1000000 + ord AS BIGINT) AS ord
+  concat(page_id, ':', ord) AS ord
 FROM w
 """
 
@@ -957,7 +957,7 @@ x AS (SELECT *, CASE WHEN starts_with(href, 'http') THEN href ELSE base || href
 y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY page_id, website ORDER BY ord) AS rn FROM x) WHERE rn = 1),
 w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY website ORDER BY page_id, ord) AS rn2 FROM y) WHERE rn2 = 1)
 SELECT text AS name, 'Side events' AS source, 'Various' AS raw_location, website,
-  CAST(page_id * 1000000 + ord AS BIGINT) AS ord, substring(text, 1, 400) AS card_text
+  concat(page_id, ':', ord) AS ord, substring(text, 1, 400) AS card_text
 FROM w
 """
 
@@ -972,6 +972,6 @@ x AS (SELECT t.page_id, t.url, t.title, {_base('t.url')} || s.slug AS website FR
       WHERE t.title <> '' AND NOT {_any('s.slug', ['/discover', '/signin', '/pricing', '/help', '/app'])}),
 w AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY website ORDER BY page_id) AS rn FROM x) WHERE rn = 1)
 SELECT title AS name, 'Cards' AS source, {_LOC.format(h=_host('url'))} AS raw_location, website,
-  CAST(page_id * 1000000 + 1 AS BIGINT) AS ord
+  concat(page_id, ':', 1) AS ord
 FROM w
 """

@@ -14,16 +14,7 @@ RAW_EVENT = T.StructType([
     T.StructField("cfp_status", S), T.StructField("cfp_date", S),
     T.StructField("hint_demo_suitable", T.BooleanType()),
     T.StructField("scraped_at", T.TimestampType()),
-    T.StructField("source_rank", T.IntegerType()), T.StructField("ord", T.LongType()),
-])
-
-CLASSIFIED = T.StructType([
-    T.StructField("relevant", T.BooleanType()), T.StructField("event_type", S),
-    T.StructField("name", S), T.StructField("category", S), T.StructField("location", S),
-    T.StructField("start_date", S), T.StructField("end_date", S), T.StructField("cfp_date", S),
-    T.StructField("cfp_status", S), T.StructField("website", S),
-    T.StructField("fit_score", T.IntegerType()), T.StructField("demo_suitable", T.BooleanType()),
-    T.StructField("relevance_note", S), T.StructField("ord", T.LongType()),
+    T.StructField("source_rank", T.IntegerType()), T.StructField("ord", T.ArrayType(T.LongType())),
 ])
 
 # The tracker's columns in sheet order (B..O), the pipeline-managed
@@ -31,15 +22,12 @@ CLASSIFIED = T.StructType([
 TRACKER_COLUMNS = ["name", "category", "cfp_date", "cfp_status", "location", "start_date",
                    "end_date", "website", "days", "notes", "assignee", "attendees",
                    "engagement", "comment"]
-TRACKER_HEADER = ["Name", "Category", "CFP Date", "CFP Status", "Location", "Start Date",
-                  "End Date", "Website", "Days", "Notes", "Assignee", "Attendees",
-                  "Engagement", "Comment"]
 MANAGED_FIELDS = ["category", "cfp_date", "cfp_status", "location", "start_date", "end_date"]
 MANUAL_FIELDS = ["notes", "assignee", "attendees", "engagement", "comment"]
 
 TRACKER = T.StructType(
     [T.StructField("sheet", S), T.StructField("row_id", T.LongType()),
-     T.StructField("row_no", T.IntegerType())]
+     T.StructField("row_no", T.LongType())]
     + [T.StructField(c, T.IntegerType() if c == "days" else S) for c in TRACKER_COLUMNS]
     + [T.StructField("start_dt", T.DateType()), T.StructField("end_dt", T.DateType())]
 )

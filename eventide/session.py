@@ -29,6 +29,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     """Return the active session, creating a local one if none exists."""
     active = SparkSession.getActiveSession()
     if active is not None:
+        zone = active.conf.get("spark.sql.session.timeZone")
+        if zone not in ("UTC", "Etc/UTC", "Z", "+00:00", "GMT"):
+            raise ValueError(f"the session's time zone is {zone}; dates of this library need UTC")
         ensure_checkpoint_dir(active)
         return active
     builder = SparkSession.builder.appName(app_name)
@@ -48,8 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the launcher sets it to a shared (distributed) folder and we
-    only read it.  Only when it is unset (local runs, tests) do we pick a fresh
-    scratch folder of our own.
+    only read it.  Only when it is unset and the master is local (tests) do we
+    pick a fresh scratch folder of our own; elsewhere that is an error.
     """
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
@@ -59,6 +62,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="eventide-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -3,7 +3,12 @@ import random
 
 from pyspark.sql import functions as F
 
-from eventide.operators.dedup import first_wins, greedy_two_key, greedy_two_key_model
+import pytest
+
+from eventide.operators.common import order_key
+from eventide.operators.dedup import first_wins, greedy_two_key
+
+from models import kept_by_two_keys
 
 
 def test_w5_golden(spark):
@@ -22,7 +27,7 @@ def test_w5_random_against_model(spark):
         data = [(i, rnd.choice(keys), rnd.choice(keys)) for i in rnd.sample(range(1000), 40)]
         df = spark.createDataFrame(data, "ord long, name string, url string").repartition(5)
         got = sorted(r.ord for r in greedy_two_key(df, "name", "url", "ord").collect())
-        assert got == greedy_two_key_model(data)
+        assert got == kept_by_two_keys(data)
 
 
 def test_first_wins_is_partition_independent(spark):
@@ -31,3 +36,19 @@ def test_first_wins_is_partition_independent(spark):
     a = sorted(tuple(r) for r in first_wins(df, ["key"], ["ord"]).collect())
     b = sorted(tuple(r) for r in first_wins(df.repartition(13, "v"), ["key"], ["ord"]).collect())
     assert a == b and len(a) == 7 and all(r[0] < 7 for r in a)
+
+
+def test_w5_needs_a_unique_order(spark):
+    rows = [(0, 0, "a", ""), (1, 0, "a", "u1"), (1, 1, "b", "u2"), (2001, 0, "a", "u1"), (2001, 1, "a", "u2")]
+    df = spark.createDataFrame(rows, "page long, pos long, name string, url string")
+    with pytest.raises(ValueError, match="same value twice"):
+        greedy_two_key(df, "name", "url", "page")
+    kept = greedy_two_key(df.withColumn("ord", order_key("page", "pos")), "name", "url", "ord")
+    assert sorted((r.page, r.pos) for r in kept.collect()) == [(0, 0), (1, 1)]
+
+
+def test_order_keys_have_no_limit(spark):
+    big = 2_000_000
+    rows = [(1, big, "x", "u"), (2, 0, "x", "v"), (10**13, 5, "y", "")]
+    df = spark.createDataFrame(rows, "page long, pos long, name string, url string").withColumn("ord", order_key("page", "pos"))
+    assert sorted(r.page for r in greedy_two_key(df, "name", "url", "ord").collect()) == [1, 10**13]

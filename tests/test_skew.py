@@ -3,10 +3,12 @@ import random
 
 from pyspark.sql import functions as F
 
-from eventide.operators.dedup import first_wins, greedy_two_key, greedy_two_key_model
+from eventide.operators.dedup import first_wins, greedy_two_key
 from eventide.operators.editions import next_editions
 from eventide.operators.upsert import conform_tracker, upsert
 
+from models import kept_by_two_keys
+
 
 def test_first_wins_hot_key(spark):
     n = 3000
@@ -22,7 +24,7 @@ def test_greedy_hot_empty_name(spark):
             for i in range(900)]
     df = spark.createDataFrame(rows, "ord long, name string, url string").repartition(8)
     got = sorted(r.ord for r in greedy_two_key(df, "name", "url", "ord").collect())
-    assert got == greedy_two_key_model(rows)
+    assert got == kept_by_two_keys(rows)
 
 
 def test_upsert_hot_match(spark):

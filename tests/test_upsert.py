@@ -1,5 +1,4 @@
-"""K1 / A4 / W5 against a sequential model of the reference's loop."""
-import datetime as dt
+"""The golden case, and random inputs against the rules' model."""
 import random
 
 from pyspark.sql import functions as F
@@ -7,61 +6,7 @@ from pyspark.sql import functions as F
 from eventide.operators.upsert import conform_tracker, upsert
 from eventide.schema import MANAGED_FIELDS
 
-FMT3 = ["%b %d, %Y", "%B %d, %Y", "%Y-%m-%d"]
-
-
-def days_model(s, e):
-    def p(x):
-        for f in FMT3:
-            try:
-                return dt.datetime.strptime((x or "").strip(), f).date()
-            except ValueError:
-                pass
-        return None
-    a, b = p(s), p(e)
-    return max((b - a).days + 1, 1) if a and b else None
-
-
-def upsert_model(existing, events):
-    cur = {r["row_id"]: dict(r) for r in existing}
-    by_name, by_url = {}, {}
-    for r in sorted(existing, key=lambda r: r["row_no"]):
-        nm, wu = (r["name"] or "").strip().lower(), (r["website"] or "").strip().lower()
-        if not nm:
-            continue
-        by_name[nm] = r["row_id"]
-        if wu:
-            by_url[wu] = r["row_id"]
-    old = {r["row_id"]: r for r in existing}
-    updated, fresh, seen = 0, [], set()
-    for ev in sorted(events, key=lambda e: e["ord"]):
-        name, url = (ev.get("name") or "").strip(), (ev.get("website") or "").strip()
-        nk, uk = name.lower(), url.lower()
-        m = by_name.get(nk)
-        if m is None and uk:
-            m = by_url.get(uk)
-        if m is not None:
-            o, changed = old[m], []
-            for f in MANAGED_FIELDS:
-                new = (ev.get(f) or "").strip()
-                if new and new != (o[f] or "").strip():
-                    cur[m][f] = new
-                    changed.append(f)
-            if "start_date" in changed or "end_date" in changed:
-                d = days_model(ev.get("start_date") or (o["start_date"] or "").strip(),
-                               ev.get("end_date") or (o["end_date"] or "").strip())
-                if d:
-                    cur[m]["days"] = d
-            updated += bool(changed)
-            continue
-        if nk in seen or (uk and uk in seen):
-            continue
-        seen.add(nk)
-        if uk:
-            seen.add(uk)
-        fresh.append((name, url))
-    return cur, fresh, updated
-
+from models import TrackerModel
 
 def test_golden_case(spark):
     ex = conform_tracker(spark.createDataFrame(
@@ -116,7 +61,7 @@ def test_random_against_model(spark):
                                     "ord long,name string,website string,category string,cfp_date string,"
                                     "cfp_status string,location string,start_date string,end_date string")
         res = upsert(ex, inc, "Conferences")
-        want_rows, want_fresh, want_upd = upsert_model(existing, events)
+        want_rows, want_fresh, want_upd = TrackerModel(existing, MANAGED_FIELDS).run(events)
         got = {r.row_id: r for r in res.snapshot.collect()}
         for rid, w in want_rows.items():
             g = got[rid]
@@ -152,3 +97,11 @@ def test_upsert_twice_is_stable(spark):
     a = sorted(tuple(r) for r in first.snapshot.select(*cols).collect())
     b = sorted(tuple(r) for r in second.snapshot.select(*cols).collect())
     assert a == b
+
+
+def test_repeated_order_is_an_error(spark):
+    import pytest
+
+    inc = spark.createDataFrame([(1, "a"), (1, "b")], "ord long, name string")
+    with pytest.raises(ValueError, match="same value twice"):
+        upsert(conform_tracker(spark.createDataFrame([], "sheet string, row_id long, row_no long")), inc, "Conferences")
