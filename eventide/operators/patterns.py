@@ -5,8 +5,7 @@ The reference asks a hosted model once per run to summarise the rejected
 rows. Re-aimed as a distributed job: tokenise, document frequency per class
 and category (hash aggregate with map-side combine, so a term present in
 every document is no hot spot), smoothed log-odds, minimum support, top-k
-per (category, side). The learned table is bounded by
-categories x 2 x k rows, which is what makes broadcasting it safe.
+per (category, side).
 """
 
 from __future__ import annotations
@@ -15,22 +14,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import _col, ColumnOrName
+from ..session import cut_lineage
 from .common import sized_broadcast
 
-TOKEN_RE = r"[a-z]{3,}"
+TOKEN_RE = r"\p{L}+"
+
+# Signals up to this number are sent to the tasks as one map per category
+# (about 60 bytes each); beyond it, terms and signals meet in a join.
+MAX_MAP_SIGNALS = 20_000
 
 
 def tokens(text: ColumnOrName) -> Column:
-    """Distinct lower-cased ASCII letter runs of length >= 3."""
+    """Distinct lower-cased runs of letters of any script."""
     return F.array_distinct(F.regexp_extract_all(F.lower(_col(text)), F.lit(TOKEN_RE), 0))
 
 
 def learn_signals(labelled: DataFrame, text: str = "text", category: str = "category",
-                  label: str = "label", min_support: int = 5, top_k: int = 10,
+                  label: str = "label", min_support: int | None = None, top_k: int | None = None,
                   alpha: float = 1.0, decimals: int = 6) -> DataFrame:
     """A3. ``labelled``: one row per document with ``label`` 0 (rejected) or 1
     (kept). Returns category, side ('reject' | 'prefer'), rank, term, weight,
-    neg_df, pos_df; weight > 0 marks reject evidence."""
+    neg_df, pos_df; weight > 0 marks reject evidence. ``min_support`` (documents
+    that hold a term) and ``top_k`` (terms per category and side) are off unless
+    given; without ``top_k`` there is no rank."""
     docs = labelled.select(F.col(category).alias("category"), F.col(label).cast("int").alias("label"),
                            tokens(F.col(text)).alias("_toks"))
     totals = docs.groupBy("category").agg(
@@ -40,13 +46,17 @@ def learn_signals(labelled: DataFrame, text: str = "text", category: str = "cate
           .groupBy("category", "term")
           .agg(F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).cast("long").alias("neg_df"),
                F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).cast("long").alias("pos_df"))
-          .where(F.col("neg_df") + F.col("pos_df") >= min_support))
+          )
+    if min_support is not None:
+        df = df.where(F.col("neg_df") + F.col("pos_df") >= min_support)
     a = F.lit(float(alpha))
     x = df.join(sized_broadcast(totals), "category")  # one row per category, size-checked
     w = (F.log((F.col("neg_df") + a) / (F.col("n_neg") - F.col("neg_df") + a))
          - F.log((F.col("pos_df") + a) / (F.col("n_pos") - F.col("pos_df") + a)))
     x = x.withColumn("weight", F.round(w, decimals)).where(F.col("weight") != 0)
     x = x.withColumn("side", F.when(F.col("weight") > 0, F.lit("reject")).otherwise(F.lit("prefer")))
+    if top_k is None:
+        return x.select("category", "side", F.lit(None).cast("int").alias("rank"), "term", "weight", "neg_df", "pos_df")
     rank_w = Window.partitionBy("category", "side").orderBy(F.abs("weight").desc(), F.col("term"))
     return (x.withColumn("rank", F.row_number().over(rank_w)).where(F.col("rank") <= top_k)
             .select("category", "side", F.col("rank").cast("int"), "term", "weight", "neg_df", "pos_df"))
@@ -55,12 +65,22 @@ def learn_signals(labelled: DataFrame, text: str = "text", category: str = "cate
 def signal_evidence(docs: DataFrame, signals: DataFrame, key: str, text: str = "text",
                     category: str = "category") -> DataFrame:
     """M3: per document, the summed weight of the learned terms it contains
-    and the number of such terms (left join: documents without a hit get 0)."""
-    sig = sized_broadcast(signals.select(F.col("category").alias("_cat"), F.col("term").alias("_term"),
-                                         "weight"))
+    and the number of such terms (0 without a hit). The signals are worked out
+    once. While they are few, each row sums them from its category's map, and
+    no text is shuffled; beyond ``MAX_MAP_SIGNALS`` terms join signals and the
+    sums join the documents by ``key``."""
+    sig = cut_lineage(signals.select(F.col("category").alias("_cat"), F.col("term").alias("_term"), "weight"))
+    if sig.limit(MAX_MAP_SIGNALS + 1).count() <= MAX_MAP_SIGNALS:
+        maps = sig.groupBy("_cat").agg(F.map_from_entries(F.collect_list(F.struct("_term", "weight"))).alias("_map"))
+        x = docs.join(F.broadcast(maps), F.col(category).eqNullSafe(F.col("_cat")), "left")
+        hits = F.transform(F.array_intersect(tokens(F.col(text)), F.map_keys("_map")), lambda t: F.col("_map")[t])
+        kind = dict(sig.dtypes)["weight"]
+        return (x.withColumn("_hits", F.coalesce(hits, F.array().cast(f"array<{kind}>")))
+                .withColumn("evidence", F.aggregate("_hits", F.lit(0).cast(kind), lambda a, w: a + w))
+                .withColumn("n_signals", F.size("_hits").cast("long")).drop("_cat", "_map", "_hits"))
     hits = (docs.select(key, F.col(category).alias("_cat"), F.explode(tokens(F.col(text))).alias("_term"))
             .join(sig, ["_cat", "_term"])
             .groupBy(key).agg(F.sum("weight").alias("evidence"), F.count("*").cast("long").alias("n_signals")))
     return (docs.join(hits, key, "left")
-            .withColumn("evidence", F.coalesce(F.col("evidence"), F.lit(0.0)))
+            .withColumn("evidence", F.coalesce(F.col("evidence"), F.lit(0)))
             .withColumn("n_signals", F.coalesce(F.col("n_signals"), F.lit(0)).cast("long")))

@@ -251,7 +251,7 @@ def exclude_anti(spark: SparkSession, sf: str) -> DataFrame:
     excl = ev.where(F.col("p_size") < 5).select(
         F.concat(F.lit("  "), F.upper("name"), F.lit("\t")).alias("name"),
         F.when(F.col("ord") % 3 == 0, F.lit("")).otherwise(F.upper("website")).alias("website"))
-    out = block_anti(ev.where(F.col("p_size") >= 5), "name", "website",
+    out = block_anti(ev, "name", "website",
                      key_set(excl, "name"), key_set(excl, "website"))
     return out.select("ord", "name", "website")
 
@@ -627,7 +627,7 @@ def cfp_tracker(spark, sf):
 
 def cfp_fact_rows(spark, sf):
     """Lookup results keyed by event name: orders above a price."""
-    o = load(spark, sf, "orders").where(F.col("o_totalprice") > 100000)
+    o = load(spark, sf, "orders")
     k = F.col("o_orderkey")
     return o.select(F.concat(F.lit("Conf "), k.cast("string")).alias("key"), k.alias("ord"),
                     F.when(F.col("o_orderstatus") == "F", F.lit("Open"))
@@ -708,10 +708,10 @@ def shortfall(spark: SparkSession, sf: str) -> DataFrame:
     """A5 M7: new candidates per segment against targets; retry flag."""
     from ..operators.report import per_city_target, run_target, shortfall as short
 
-    e = load(spark, sf, "events").where(F.col("value") > 140)
+    e = load(spark, sf, "events")
     found = e.groupBy(F.col("event_type").alias("segment")).agg(F.count("*").cast("long").alias("found"))
     targets = spark.createDataFrame(
-        [("click", run_target(True)), ("view", run_target(True)), ("signup", run_target(False)),
+        [("click", 3000), ("view", run_target(True)), ("signup", run_target(False)),
          ("purchase", run_target(False)), ("error", run_target(False)), ("per_city", per_city_target())],
         "segment string, wanted long")
     return short(found, targets)
@@ -918,7 +918,7 @@ def conference_run(spark: SparkSession, sf: str) -> DataFrame:
     from .runs import conference_run as run, rule_scorer
 
     o = load(spark, sf, "orders")
-    echoes = o.where(F.col("o_orderpriority") == "1-URGENT").select(
+    echoes = o.select(
         F.concat(F.lit("Conf "), F.col("o_custkey").cast("string")).alias("name"), F.lit("Echo").alias("source"),
         D.fmt_date(F.date_add(F.to_date("o_orderdate"), 400)).alias("raw_start_date"),
         F.concat(F.lit("City "), (F.col("o_custkey") % 9).cast("string")).alias("raw_location"),
@@ -1141,3 +1141,136 @@ def side_event_scan(spark: SparkSession, sf: str) -> DataFrame:
 
     pages = load(spark, sf, "pages").select("page_id", "url", "html")
     return scan_side_events(pages).selectExpr(*_SCAN_COLS, "card_text")
+
+
+# ------------------------------------------- options and plans of operators ----
+
+@query
+def rule_table(spark: SparkSession, sf: str) -> DataFrame:
+    """J4 with rules as data: parts by the first rule, in priority order, whose
+    needle their name holds; rules from nations and brands, some needles empty."""
+    from ..operators.rules import first_rule_from_table
+
+    n = load(spark, sf, "nation")
+    words = F.split(F.lower(F.replace("n_name", F.lit("_"), F.lit(" "))), " ")
+    rules = n.select((F.col("n_nationkey") % 7).cast("int").alias("priority"),
+                     F.concat(F.lit("L"), F.col("n_regionkey").cast("string")).alias("label"),
+                     F.when(F.col("n_nationkey") % 5 == 0, F.lit("")).otherwise(F.element_at(words, -1)).alias("needle"))
+    o = load(spark, sf, "orders").select("o_orderkey", F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")).alias("t"))
+    return first_rule_from_table(o, "t", rules).select("o_orderkey", "label")
+
+
+@query
+def capped_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 80 events in arrival order, and no others."""
+    from ..operators.classify import cap_in_order
+
+    e = load(spark, sf, "events").select((F.col("user_id") % 3).alias("source_rank"), F.col("event_id").alias("ord"))
+    return cap_in_order(e, 80)
+
+
+@query
+def demo_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """The routing of city_route with demos folded into Meet-ups."""
+    from ..operators.route import route_meetups
+    from .tables import ROUTE_RULES
+
+    out = route_meetups(classified_events(spark, sf), AS_OF_EVENTS, ROUTE_RULES, include_demos=False)
+    return out.groupBy("sheet", "city", "is_demo").agg(F.count("*").alias("n"))
+
+
+@query
+def category_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: category of every part by ordered rules over its type."""
+    from ..operators.rules import first_rule
+    from .tables import CATEGORY_RULES
+
+    return load(spark, sf, "part").select("p_partkey", first_rule("p_type", CATEGORY_RULES).alias("category"))
+
+
+@query
+def registered_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """Registered sources of a mode, collected in rank order."""
+    from ..sources.registry import Source, collect_sources
+
+    def of(kind):
+        def rows(spark, cfg):
+            e = load(spark, cfg["sf"], "events").where(F.col("event_type") == kind)
+            return e.select(F.concat(F.lit(kind + " "), F.col("event_id").cast("string")).alias("name"),
+                            F.lit(kind).alias("source"), F.col("event_id").alias("ord"))
+        return rows
+
+    sources = [Source("views", 2, of("view"), {"conference", "meetup"}), Source("clicks", 1, of("click"), {"conference"}),
+               Source("errors", 3, of("error"), {"meetup"})]
+    got = collect_sources(spark, {"sf": sf}, "conference", sources)
+    return got.select(F.col("source_rank").cast("long"), "source", "name", F.expr(_ORD_TEXT))
+
+
+@query
+def exclusion_load(spark: SparkSession, sf: str) -> DataFrame:
+    """The key sets of the tracker's Excluded table."""
+    from .runs import load_exclusions
+
+    names, urls, _ = load_exclusions(run_tracker(spark, sf))
+    return (names.select(F.lit("name").alias("kind"), F.col(names.columns[0]).alias("k"))
+            .unionByName(urls.select(F.lit("url").alias("kind"), F.col(urls.columns[0]).alias("k"))))
+
+
+@query
+def lifecycle_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """K8: what migration and purge would do, without doing it."""
+    from ..operators.lifecycle import plan_migrate, plan_purge
+
+    t = lifecycle_tracker(spark, sf)
+    return plan_migrate(t, AS_OF_ORDERS).unionByName(plan_purge(t, AS_OF_ORDERS))
+
+
+@query
+def route_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """K8: rows that each table would receive from the routing."""
+    from ..operators.route import plan_routes, route_meetups
+    from .tables import ROUTE_RULES
+
+    return plan_routes(route_meetups(classified_events(spark, sf), AS_OF_EVENTS, ROUTE_RULES))
+
+
+def edition_reply_rows(spark, sf):
+    """One next-edition reply per order, wrapped in prose or bare."""
+    o = load(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    j = F.to_json(F.struct(
+        (k % 5 != 0).alias("future_edition_found"), F.when(k % 4 == 0, F.lit("low")).otherwise(F.lit("high")).alias("confidence"),
+        F.lit("").alias("name"), D.fmt_date(F.date_add(F.to_date("o_orderdate"), 900)).alias("start_date"),
+        F.lit("").alias("end_date"), F.lit("").alias("location"), F.lit("").alias("website"),
+        F.concat(F.lit("seen "), k.cast("string")).alias("evidence")))
+    text = F.when(k % 2 == 0, F.concat(F.lit("I found: "), j, F.lit(" (web)"))).otherwise(j)
+    return o.select(k.alias("reply_id"), F.concat(F.lit("Conf "), F.col("o_custkey").cast("string")).alias("label"),
+                    text.alias("text"))
+
+
+@query
+def edition_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Next-edition replies linked to the archived rows of their event,
+    with the evidence as a note."""
+    from ..operators.editions import next_editions
+    from ..sources.replies import edition_lookups
+
+    past = lifecycle_tracker(spark, sf).where(F.col("sheet") == "Time Passed").select(
+        "row_id", "name", "start_date", "category", "location", "website")
+    out = next_editions(past, edition_lookups(edition_reply_rows(spark, sf)), AS_OF_ORDERS)
+    return out.select("row_id", "next_name", "start_date", "cand_id", "note")
+
+
+@query
+def lookup_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Classification, next-edition and discovery requests, and the
+    retry requests of the segments that fell short."""
+    from ..operators import requests as R
+
+    ev = load(spark, sf, "part").select(
+        F.col("p_partkey").alias("key"), F.col("p_name").alias("name"), F.lit("Parts").alias("source"),
+        F.col("p_brand").alias("location"), F.lit("").alias("start_date"), F.col("p_type").alias("card_text"),
+        F.when(F.col("p_size") % 2 == 0, F.lit("https://p.example")).otherwise(F.lit("")).alias("website"))
+    short = shortfall(spark, sf).withColumn("known", F.lit("  - A"))
+    return (R.classify_requests(ev).unionByName(R.edition_requests(ev, AS_OF_ORDERS))
+            .unionByName(R.discovery_requests(short)).unionByName(R.retry_requests(short)))

@@ -6,7 +6,9 @@ definitions, over the pre-registered driver tables.
 
 from __future__ import annotations
 
-from .tables import (AS_OF_DOCS, AS_OF_EVENTS, AS_OF_ORDERS, DOC_CFP_CLOSED, DOC_CFP_CLOSED_WHEN_OPEN,
+import re
+
+from .tables import (AS_OF_DOCS, AS_OF_EVENTS, AS_OF_ORDERS, CATEGORY_RULES, DOC_CFP_CLOSED, DOC_CFP_CLOSED_WHEN_OPEN,
                      DOC_CFP_OPEN, DOC_KEEP, DOC_SKIP, ROUTE_RULES)
 
 SQL: dict[str, str] = {}
@@ -259,8 +261,7 @@ ex AS (SELECT '  ' || upper(name) || chr(9) AS name, CASE WHEN ord % 3 = 0 THEN
 bn AS (SELECT DISTINCT {_key('name')} AS k FROM ex WHERE {_key('name')} IS NOT NULL),
 bu AS (SELECT DISTINCT {_key('website')} AS k FROM ex WHERE {_key('website')} IS NOT NULL)
 SELECT ord, name, website FROM ev
-WHERE p_size >= 5
-  AND NOT EXISTS (SELECT 1 FROM bn WHERE bn.k = {_key('ev.name')})
+WHERE NOT EXISTS (SELECT 1 FROM bn WHERE bn.k = {_key('ev.name')})
   AND NOT EXISTS (SELECT 1 FROM bu WHERE bu.k = {_key('ev.website')})
 """
 
@@ -519,7 +520,7 @@ ld AS (SELECT d.doc_id, d.text, d.lang AS category, l.quality AS label
        FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
 tot AS (SELECT category, CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_neg,
                CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_pos FROM ld GROUP BY 1),
-tk AS (SELECT category, label, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) AS term FROM ld),
+tk AS (SELECT category, label, unnest(list_distinct(regexp_extract_all(lower(text), '\\p{L}+'))) AS term FROM ld),
 dfc AS (SELECT category, term, CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg_df,
                CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos_df
         FROM tk GROUP BY 1, 2 HAVING neg_df + pos_df >= 5),
@@ -538,7 +539,7 @@ d AS (SELECT doc_id, text, lang AS category, sha256(text) AS name FROM documents
 tox AS (SELECT DISTINCT {_key('d.name')} AS k FROM d JOIN labels l ON d.doc_id = l.doc_id
         WHERE l.toxic = 1 AND {_key('d.name')} IS NOT NULL),
 bl AS (SELECT d.*, EXISTS (SELECT 1 FROM tox WHERE tox.k = {_key('d.name')}) AS blocked FROM d),
-toks AS (SELECT doc_id, category, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{{3,}}'))) AS term
+toks AS (SELECT doc_id, category, unnest(list_distinct(regexp_extract_all(lower(text), '\\p{{L}}+'))) AS term
          FROM bl WHERE NOT blocked),
 ev AS (SELECT t.doc_id, CAST(sum(CAST(round(s.weight * 1000000) AS BIGINT)) AS BIGINT) AS ev, CAST(count(*) AS BIGINT) AS n
        FROM toks t JOIN signals s ON s.category = t.category AND s.term = t.term GROUP BY 1),
@@ -607,7 +608,7 @@ t AS (SELECT o_orderkey AS row_id, 'Conf ' || CAST(o_orderkey AS VARCHAR) AS nam
 f0 AS (SELECT 'Conf ' || CAST(o_orderkey AS VARCHAR) AS key, o_orderkey AS ord,
          coalesce(CASE o_orderstatus WHEN 'F' THEN 'Open' WHEN 'O' THEN 'Closed' END, 'Unknown') AS st,
          CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE strftime(CAST(o_orderdate AS DATE) + INTERVAL 30 DAY, '%b %d, %Y') END AS fact_date
-       FROM orders WHERE o_totalprice > 100000),
+       FROM orders),
 facts AS (SELECT lower({_trim('key')}) AS fact_key,
             CASE WHEN st = 'Open' AND coalesce({_parse5('fact_date')} < {AS_O}, false) THEN 'Closed' ELSE st END AS fact_status,
             fact_date FROM (SELECT *, row_number() OVER (PARTITION BY lower({_trim('key')}) ORDER BY ord) AS rn FROM f0) WHERE rn = 1)
@@ -719,8 +720,8 @@ SELECT sheet, row_id, row_no, name, category, start_date, website, days, notes F
 # ------------------------------------------------------------ reports ----
 
 SQL["shortfall"] = """
-WITH t(segment, wanted) AS (VALUES ('click', 15), ('view', 15), ('signup', 5), ('purchase', 5), ('error', 5), ('per_city', 3)),
-f AS (SELECT event_type AS segment, count(*) AS found FROM events WHERE value > 140 GROUP BY 1)
+WITH t(segment, wanted) AS (VALUES ('click', 3000), ('view', 15), ('signup', 5), ('purchase', 5), ('error', 5), ('per_city', 3)),
+f AS (SELECT event_type AS segment, count(*) AS found FROM events GROUP BY 1)
 SELECT t.segment, CAST(t.wanted AS BIGINT) AS wanted, CAST(coalesce(f.found, 0) AS BIGINT) AS found,
   CAST(greatest(t.wanted - coalesce(f.found, 0), 0) AS BIGINT) AS short, coalesce(f.found, 0) < t.wanted AS retry
 FROM t LEFT JOIN f ON f.segment = t.segment
@@ -975,3 +976,132 @@ SELECT title AS name, 'Cards' AS source, {_LOC.format(h=_host('url'))} AS raw_lo
   concat(page_id, ':', 1) AS ord
 FROM w
 """
+
+
+# ------------------------------------------- options and plans of operators ----
+
+SQL["rule_table"] = """
+WITH rules AS (
+  SELECT n_nationkey % 7 AS priority, 'L' || CAST(n_regionkey AS VARCHAR) AS label,
+    CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE list_last(string_split(lower(replace(n_name, '_', ' ')), ' ')) END AS needle
+  FROM nation),
+o AS (SELECT o_orderkey, 'customer ' || CAST(o_custkey AS VARCHAR) AS t FROM orders),
+h AS (SELECT o_orderkey, label, row_number() OVER (PARTITION BY o_orderkey ORDER BY priority, label) AS rn
+      FROM o JOIN rules ON needle <> '' AND contains(t, needle))
+SELECT o.o_orderkey, h.label FROM o LEFT JOIN h ON h.o_orderkey = o.o_orderkey AND h.rn = 1
+"""
+
+SQL["capped_batch"] = """
+SELECT user_id % 3 AS source_rank, event_id AS ord FROM events ORDER BY source_rank, ord LIMIT 80
+"""
+
+SQL["demo_fold"] = f"""
+WITH {_CLASSIFIED},
+f AS (SELECT *, {_first_rule_sql('location', ROUTE_RULES)} AS city,
+        coalesce(TRY_CAST(fit_raw AS INTEGER), 0) AS fit_score,
+        coalesce(demo_suitable, false) OR coalesce(hint, false) AS is_demo
+      FROM cl WHERE event_type = 'meetup'
+        AND NOT coalesce({_parse5('start_date')} < DATE '{AS_OF_EVENTS}', false))
+SELECT 'Meet-ups' AS sheet, city, is_demo, count(*) AS n FROM f
+WHERE city IS NOT NULL AND fit_score >= 0 GROUP BY ALL
+"""
+
+SQL["category_rules"] = f"""
+SELECT p_partkey, {_first_rule_sql('p_type', CATEGORY_RULES)} AS category FROM part
+"""
+
+SQL["registered_sources"] = """
+SELECT CAST(CASE event_type WHEN 'click' THEN 1 ELSE 2 END AS BIGINT) AS source_rank, event_type AS source,
+  event_type || ' ' || CAST(event_id AS VARCHAR) AS name, CAST(event_id AS VARCHAR) AS ord
+FROM events WHERE event_type IN ('click', 'view')
+"""
+
+SQL["exclusion_load"] = f"""
+SELECT DISTINCT 'name' AS kind, {_key('c_name')} AS k FROM customer WHERE c_acctbal < 0 AND {_key('c_name')} IS NOT NULL
+"""
+
+SQL["lifecycle_plan"] = f"""
+WITH {_LIFE}
+SELECT CASE WHEN sheet = 'Conferences' THEN 'migrate' ELSE 'purge' END AS action, sheet,
+  CASE WHEN sheet = 'Conferences' THEN 'Time Passed' END AS target, row_id, name
+FROM tr WHERE sheet <> 'Time Passed' AND coalesce({_parse5('start_date')} < {AS_O}, false)
+"""
+
+SQL["route_plan"] = f"""
+WITH r AS ({SQL["city_route"]})
+SELECT 'route' AS action, sheet, count(*) AS rows FROM r GROUP BY sheet
+"""
+
+SQL["edition_replies"] = f"""
+WITH {_LIFE},
+pk AS (SELECT row_id, name, lower({_strip_year_sql('name')}) AS base, {_parse5('start_date')} AS pd
+       FROM tr WHERE sheet = 'Time Passed'),
+c AS (SELECT o_orderkey AS cand_id, lower('Conf ' || CAST(o_custkey AS VARCHAR)) AS base,
+        CAST(o_orderdate AS DATE) + INTERVAL 900 DAY AS cd FROM orders
+      WHERE o_orderkey % 5 <> 0 AND o_orderkey % 4 <> 0),
+f AS (SELECT * FROM c WHERE cd >= {AS_O}),
+nd AS (SELECT pk.row_id, min(f.cd) AS nd FROM pk JOIN f USING (base) WHERE pk.pd IS NULL OR f.cd > pk.pd GROUP BY 1),
+b AS (SELECT nd.row_id, nd.nd, min(f.cand_id) AS cand_id
+      FROM nd JOIN pk USING (row_id) JOIN f ON f.base = pk.base AND f.cd = nd.nd GROUP BY 1, 2)
+SELECT b.row_id, {_strip_year_sql('pk.name')} || ' ' || CAST(year({AS_O}) + 1 AS VARCHAR) AS next_name,
+  strftime(b.nd, '%b %d, %Y') AS start_date, b.cand_id, 'seen ' || CAST(b.cand_id AS VARCHAR) AS note
+FROM b JOIN pk USING (row_id)
+"""
+
+SQL["lookup_requests"] = f"""
+WITH s AS ({SQL["shortfall"]}),
+p AS (SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS name, p_brand AS location, p_type AS card_text,
+        CASE WHEN p_size % 2 = 0 THEN 'https://p.example' ELSE 'unknown' END AS website FROM part)
+SELECT 'classify:' || key AS req_id, 'classify' AS kind, key,
+  'Classify | ' || name || ' | Parts | ' || location || ' | unknown | ' || website || ' | ' || card_text AS text FROM p
+UNION ALL
+SELECT 'edition:' || key, 'edition', key,
+  'Next edition | ' || {_strip_year_sql('name')} || ' | after ' || CAST(year({AS_O}) AS VARCHAR) || ' | ' || location || ' | ' || website FROM p
+UNION ALL
+SELECT 'discover:' || segment, 'discover', segment, 'Find new ' || segment || ' events. Already known:' || chr(10) || '  - A' FROM s
+UNION ALL
+SELECT 'retry:' || segment, 'retry', segment,
+  'Find ' || CAST(short AS VARCHAR) || ' more ' || segment || ' events; search more widely.' FROM s WHERE retry
+"""
+
+
+# ---------------------------------------------------------- streaming ----
+
+def _incremental_sql(weeks: int) -> str:
+    """One upsert after the other, a week at a time."""
+    parts = [f"""
+inc AS (SELECT event_id AS ord, event_type || ' meetup ' || CAST(event_id % 97 AS VARCHAR) AS name,
+          'https://ev.example/' || CAST(event_id % 500 AS VARCHAR) AS website,
+          {', '.join(f"CAST(NULL AS VARCHAR) AS {c}" for c in _MANAGED if c not in ('location', 'start_date'))},
+          'City ' || CAST(user_id % 7 AS VARCHAR) AS location, strftime(CAST(ts AS DATE), '%b %d, %Y') AS start_date,
+          CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7) AS INTEGER) AS week FROM events),
+t0 AS (SELECT 'Meet-ups' AS sheet, CAST(0 AS BIGINT) AS row_id, CAST(0 AS BIGINT) AS row_no, '' AS name,
+         {', '.join(f"'' AS {c}" for c in _MANAGED)}, '' AS website, CAST(0 AS BIGINT) AS days, '' AS notes WHERE false)"""]
+    for w in range(weeks):
+        step = _upsert_sql(f"t{w}", f"inc{w}", f"t{w}", "Meet-ups", False)
+        step = re.sub(r"\b(u_\w+|g0|walk|greedy)\b", rf"\1_w{w}", step)
+        step = re.sub(r"\barch AS \(", f"t{w + 1} AS (", step)
+        parts.append(f"inc{w} AS (SELECT * FROM inc WHERE week = {w})")
+        parts.append(step.strip())
+    cols = "sheet, row_id, row_no, name, category, cfp_status, start_date, website, days"
+    return f"WITH RECURSIVE {', '.join(parts)} SELECT {cols} FROM t{weeks}"
+
+
+SQL["incremental"] = _incremental_sql(5)
+
+SQL["first_seen"] = f"""
+WITH RECURSIVE e AS (
+  SELECT event_id AS ord, event_type || ' meetup ' || CAST(event_id % 97 AS VARCHAR) AS name, ts AS scraped_at,
+    CAST(floor(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) / 7) AS INTEGER) AS week FROM events),
+wk AS (SELECT week, max(scraped_at) AS top FROM e GROUP BY week),
+wm AS (SELECT week, max(top) OVER (ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 7 DAY AS mark FROM wk),
+f AS (SELECT *, row_number() OVER (PARTITION BY lower(name), week ORDER BY scraped_at, ord) AS rn FROM e),
+b AS (SELECT lower(name) AS k, name, ord, scraped_at, week, row_number() OVER (PARTITION BY lower(name) ORDER BY week) AS n
+      FROM f WHERE rn = 1),
+walk AS (
+  SELECT k, n, scraped_at + INTERVAL 7 DAY AS until, true AS kept FROM b WHERE n = 1
+  UNION ALL
+  SELECT b.k, b.n, CASE WHEN w.until > wm.mark THEN w.until ELSE b.scraped_at + INTERVAL 7 DAY END, NOT (w.until > wm.mark)
+  FROM walk w JOIN b ON b.k = w.k AND b.n = w.n + 1 JOIN wm ON wm.week = b.week)
+SELECT b.ord, b.name, b.scraped_at FROM b JOIN walk USING (k, n) WHERE walk.kept
+"""

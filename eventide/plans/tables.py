@@ -28,6 +28,8 @@ ROUTE_RULES = [
     ("London", ["asia"]),
     ("Dublin", ["nation_2"]),
 ]
+# (category, needles) in priority order, over part types
+CATEGORY_RULES = [("Metal", ["copper", "brass", "steel"]), ("Small", ["small"]), ("Promo", ["promo", "e"])]
 ROUTE_DEMO_CITY = "San Francisco"
 
 
