@@ -2,12 +2,12 @@
 
 Texts are folded (A-Z as a-z) and cut into words of digits, letters a-z and
 anything outside ASCII. Every run of ``n`` words of a benchmark item is a
-window; an item with fewer words is one window of its own length. The windows'
-hashes are a table of one row each, whose size is checked before it is
-broadcast (beyond ``MAX_BROADCAST_WINDOWS`` the same join is a shuffle join).
-Documents are scanned once: their window hashes are exploded and met with that
-table in the same stage, so only hits leave it; each hit is verified word by
-word against the benchmark window. Hits are reduced to distinct positions and
+window; an item with fewer words is one window of its own length. The windows
+are a table of one row each, whose size is checked before it is broadcast (beyond ``MAX_BROADCAST_WINDOWS`` the same join is a shuffle join).
+Documents are scanned once: each window's key, a hash of its first, middle and
+last word, is exploded and met with that table in the same stage; where a key
+is found, the window is verified word by word, so only hits leave the stage.
+Hits are reduced to distinct positions and
 distinct windows before they are grouped by document.
 
 Documents meet their hits on (id, hash of text), so that repeated ids do not
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 N = 10
-# 24 bytes a row: less than 100 MB of broadcast.
-MAX_BROADCAST_WINDOWS = 2_000_000
+# About 150 bytes a row (a key and ten words): 75 MB of broadcast.
+MAX_BROADCAST_WINDOWS = 500_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -45,12 +45,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), _BREAK), lambda w: w != "")
 
 
-def window_hashes(ws: Column, n: Column | int) -> Column:
-    """Hashes of all runs of ``n`` words, in order; none if there are fewer."""
-    n = F.lit(n) if isinstance(n, int) else n
-    return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1),
-                                               lambda i: F.xxhash64(F.slice(ws, i, n)))).otherwise(
-        F.array().cast("array<bigint>"))
+def window_keys(ws: Column, n: int) -> Column:
+    """For each run of ``n`` words, in order, a hash of its first, middle and
+    last word; none if there are fewer words."""
+    return F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(0), F.size(ws) - n), lambda i: F.xxhash64(
+        ws[i], ws[i + n // 2], ws[i + (n - 1)]))).otherwise(F.array().cast("array<bigint>"))
 
 
 def benchmark_windows(items: DataFrame, item_id: str, text: str, n: int = N) -> DataFrame:
@@ -73,12 +72,13 @@ def _hits(docs: DataFrame, windows: DataFrame, n: int) -> tuple[DataFrame, DataF
     counted = docs.select("id", "key", F.size(ws).cast("long").alias("n_words"))
     found = None
     for length in lengths:
-        own = grams.where(F.col("len") == length).select(F.col("h").alias("g_h"), F.col("gram").alias("g"))
+        own = grams.where(F.col("len") == length).select(
+            window_keys(F.col("gram"), length)[0].alias("g_key"), F.col("gram").alias("g"), "h")
         # the word array is bound once: inside a lambda it would be cut anew for each window
-        both = F.transform(F.array(ws), lambda w: F.struct(w.alias("ws"), window_hashes(w, length).alias("hs")))[0]
-        hashes = docs.select("key", both.alias("both")).select("key", F.col("both.ws").alias("ws"),
-                                                               F.posexplode("both.hs").alias("start", "h"))
-        hit = (hashes.join(F.broadcast(own) if few else own, F.col("h") == F.col("g_h"))
+        both = F.transform(F.array(ws), lambda w: F.struct(w.alias("ws"), window_keys(w, length).alias("ks")))[0]
+        keys = docs.select("key", both.alias("both")).select("key", F.col("both.ws").alias("ws"),
+                                                               F.posexplode("both.ks").alias("start", "k"))
+        hit = (keys.join(F.broadcast(own) if few else own, F.col("k") == F.col("g_key"))
                .where(F.slice("ws", F.col("start") + 1, length) == F.col("g"))
                .select("key", "start", F.lit(length).alias("len"), "h"))
         found = hit if found is None else found.unionByName(hit)
