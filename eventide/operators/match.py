@@ -57,7 +57,8 @@ def blocked_flag(df: DataFrame, name: str, url: str, blocked_names: DataFrame,
     bu = sized_broadcast(bu.withColumn("_hu", F.lit(True)))
     x = (df.withColumn("_nk", _nonempty_key(F.col(name)))
          .withColumn("_uk", _nonempty_key(F.col(url))))
-    x = x.join(bn, x["_nk"] == bn["_bn"], "left").join(bu, x["_uk"] == bu["_bu"], "left")
+    x = hot_key_join(x, bn, F.col("_nk") == F.col("_bn"), "_nk", "_bn", "left")
+    x = hot_key_join(x, bu, F.col("_uk") == F.col("_bu"), "_uk", "_bu", "left")
     return (x.withColumn(out, F.coalesce(F.col("_hn"), F.col("_hu"), F.lit(False)))
             .drop("_nk", "_uk", "_bn", "_bu", "_hn", "_hu"))
 

@@ -915,6 +915,7 @@ def conference_run(spark: SparkSession, sf: str) -> DataFrame:
     """C1 over the fixture: tracker from orders, candidates from seeds, pages,
     listings and tracker echoes, editions and CFP facts from orders."""
     from ..sources.registry import seed_events, union_sources
+    from ..sources.replies import discovered_events
     from .runs import conference_run as run, rule_scorer
 
     o = load(spark, sf, "orders")
@@ -924,15 +925,18 @@ def conference_run(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("City "), (F.col("o_custkey") % 9).cast("string")).alias("raw_location"),
         F.lit("conf echo").alias("card_text"), F.col("o_orderkey").alias("ord"))
     pages = load(spark, sf, "pages").select("url", "html")
+    tracker = run_tracker(spark, sf)
+    # discovery asks for what no table of the tracker knows yet
+    disc = discovered_events(replies_df(spark, sf), key_set(tracker, "name")).drop("source_rank")
     raw = union_sources([(1, C.seed_status(seed_events(spark), pages)), (2, page_link_events(spark, sf)),
-                         (3, listing_events(spark, sf)), (4, echoes)])
+                         (3, listing_events(spark, sf)), (4, echoes), (5, disc)])
     cand = o.select(F.col("o_orderkey").alias("cand_id"),
                     F.concat(F.lit("Conf "), F.col("o_custkey").cast("string")).alias("base_name"),
                     F.lit("").alias("name"), D.fmt_date(F.date_add(F.to_date("o_orderdate"), 900)).alias("start_date"),
                     F.lit("").alias("end_date"), F.lit("").alias("location"), F.lit("").alias("website"),
                     F.lit("high").alias("confidence"), F.lit(True).alias("future_edition_found"),
                     F.lit("").alias("evidence"))
-    res = run(run_tracker(spark, sf), raw, rule_scorer(["customer", "conf", "summit", "kubecon", "cloud"], AS_OF_ORDERS),
+    res = run(tracker, raw, rule_scorer(["customer", "conf", "summit", "kubecon", "cloud"], AS_OF_ORDERS),
               AS_OF_ORDERS, edition_candidates=cand, cfp_lookups=cfp_fact_rows(spark, sf))
     return res.tracker.select(*_RUN_COLS).withColumn("days", F.col("days").cast("long"))
 
@@ -951,11 +955,12 @@ def meetup_run(spark: SparkSession, sf: str) -> DataFrame:
                         F.concat(F.lit("Default "), F.col("feed").cast("string")),
                         F.col("feed"), F.col("chunk"))
     cal = scan_calendars(files.select("path", "value"), reg, AS_OF_EVENTS)
-    disc = discovered_events(replies_df(spark, sf), known_event_names(spark, sf)).drop("source_rank")
+    tracker = run_tracker(spark, sf)
+    disc = discovered_events(replies_df(spark, sf), key_set(tracker, "name")).drop("source_rank")
     raw = union_sources([(1, cal), (2, disc)])
     scorer = rule_scorer(["meetup", "click", "view", "signup", "purchase", "error"], AS_OF_EVENTS,
                          type_rules=[("meetup", ["ical", "meetup", "web discovery"])])
-    res = run(run_tracker(spark, sf), raw, scorer, AS_OF_EVENTS, rules=MEETUP_RULES)
+    res = run(tracker, raw, scorer, AS_OF_EVENTS, rules=MEETUP_RULES)
     return res.tracker.select(*_RUN_COLS).withColumn("days", F.col("days").cast("long"))
 
 
@@ -972,43 +977,52 @@ def _weekly_incoming(spark, sf):
         F.floor(F.datediff(F.to_date("ts"), F.to_date(F.lit("2024-01-01"))) / 7).cast("int").alias("week"))
 
 
-def land_weekly(spark, sf, landing: str):
-    """Land the incoming rows as one file per week, oldest first (a test
-    harness standing in for files arriving over time)."""
+def stage_weeks(spark, sf, staging: str):
+    """Write the incoming rows by week, in one pass; (schema, weeks in order)."""
     inc = _weekly_incoming(spark, sf)
-    weeks = sorted(r["week"] for r in inc.select("week").distinct().collect())  # a handful of weeks
-    for w in weeks:
-        inc.where(F.col("week") == w).drop("week").coalesce(1).write.mode("append").parquet(landing)
-    return inc.drop("week").schema
+    inc.write.partitionBy("week").parquet(staging)
+    weeks = sorted(r["week"] for r in spark.read.parquet(staging).select("week").distinct().collect())  # a handful
+    return inc.drop("week").schema, weeks
+
+
+def land_week(spark, schema, staging: str, week: int, landing: str) -> None:
+    """Files of one week arrive (a test harness standing in for a weekly feed)."""
+    spark.read.schema(schema).parquet(f"{staging}/week={week}").write.mode("append").parquet(landing)
 
 
 @query
 def incremental(spark: SparkSession, sf: str) -> DataFrame:
-    """Weekly files upserted into Meet-ups one micro-batch per file."""
+    """Each week's files arrive and are upserted into Meet-ups as one
+    micro-batch."""
     from ..operators.upsert import empty_tracker
     from ..session import scratch_path
     from ..streaming.incremental import init_store, run_incremental
 
     root = scratch_path(spark, "incremental")
-    schema = land_weekly(spark, sf, f"{root}/landing")
+    schema, weeks = stage_weeks(spark, sf, f"{root}/staging")
     store = init_store(spark, f"{root}/tracker", empty_tracker(spark))
-    snap = run_incremental(spark, f"{root}/landing", schema, store, "Meet-ups", f"{root}/_stream_ckpt")
+    for week in weeks:
+        land_week(spark, schema, f"{root}/staging", week, f"{root}/landing")
+        snap = run_incremental(spark, f"{root}/landing", schema, store, "Meet-ups", f"{root}/_stream_ckpt")
     return snap.select(*_RUN_COLS).withColumn("days", F.col("days").cast("long"))
 
 
 @query
 def first_seen(spark: SparkSession, sf: str) -> DataFrame:
-    """First sighting of each name within a 7-day watermark, streamed."""
+    """First sighting of each name within a 7-day watermark, streamed week
+    by week."""
     from ..session import scratch_path
     from ..streaming.incremental import first_seen as dedup
 
     root = scratch_path(spark, "first_seen")
-    schema = land_weekly(spark, sf, f"{root}/landing")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
+    schema, weeks = stage_weeks(spark, sf, f"{root}/staging")
     out = f"{root}/out"
-    q = (dedup(stream, "name", "scraped_at", "7 days").writeStream.format("parquet")
-         .option("path", out).option("checkpointLocation", f"{root}/_ckpt").trigger(availableNow=True).start())
-    q.awaitTermination()
+    for week in weeks:
+        land_week(spark, schema, f"{root}/staging", week, f"{root}/landing")
+        stream = spark.readStream.schema(schema).parquet(f"{root}/landing")
+        q = (dedup(stream, "name", "scraped_at", "7 days").writeStream.format("parquet")
+             .option("path", out).option("checkpointLocation", f"{root}/_ckpt").trigger(availableNow=True).start())
+        q.awaitTermination()
     return spark.read.schema(schema).parquet(out).select("ord", "name", "scraped_at")
 
 

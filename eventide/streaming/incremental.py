@@ -95,11 +95,12 @@ def upsert_batch(store: SnapshotStore, sheet: str, query: str):
 
 
 def run_incremental(spark: SparkSession, landing: str, schema: T.StructType, store: SnapshotStore,
-                    sheet: str, checkpoint: str, files_per_batch: int = 1) -> DataFrame:
-    """Drain everything landed so far (``availableNow``), one upsert per
-    micro-batch, and return the final snapshot."""
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-              .parquet(landing))
+                    sheet: str, checkpoint: str, files_per_batch: int | None = None) -> DataFrame:
+    """Drain everything landed since the last call (``availableNow``), one
+    upsert per micro-batch (of ``files_per_batch`` files, or all that wait), and
+    return the final snapshot."""
+    reader = spark.readStream.schema(schema)
+    stream = (reader if files_per_batch is None else reader.option("maxFilesPerTrigger", files_per_batch)).parquet(landing)
     q = (stream.writeStream.foreachBatch(upsert_batch(store, sheet, checkpoint))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()

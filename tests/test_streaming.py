@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from eventide.operators.upsert import empty_tracker, replace_sheet, upsert
-from eventide.plans.catalogue import _weekly_incoming, land_weekly
+from eventide.plans.catalogue import _weekly_incoming, land_week, stage_weeks
 from eventide.session import scratch_path
 from eventide.streaming.incremental import SnapshotStore, init_store, run_incremental, upsert_batch
 
@@ -12,9 +12,11 @@ COLS = ["row_id", "name", "location", "start_date", "website", "days"]
 
 def test_stream_equals_sequential_batches(spark):
     root = scratch_path(spark, "t-incr")
-    schema = land_weekly(spark, SF, f"{root}/landing")
+    schema, weeks = stage_weeks(spark, SF, f"{root}/staging")
     store = init_store(spark, f"{root}/tracker", empty_tracker(spark))
-    got = run_incremental(spark, f"{root}/landing", schema, store, "Meet-ups", f"{root}/ckpt")
+    for w in weeks:
+        land_week(spark, schema, f"{root}/staging", w, f"{root}/landing")
+        got = run_incremental(spark, f"{root}/landing", schema, store, "Meet-ups", f"{root}/ckpt")
     inc = _weekly_incoming(spark, SF)
     t = empty_tracker(spark)
     for w in sorted(r.week for r in inc.select("week").distinct().collect()):
