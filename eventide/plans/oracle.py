@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import re
 
+from ..vocab import CATEGORIES
 from .tables import (AS_OF_DOCS, AS_OF_EVENTS, AS_OF_ORDERS, CATEGORY_RULES, DOC_CFP_CLOSED, DOC_CFP_CLOSED_WHEN_OPEN,
-                     DOC_CFP_OPEN, DOC_KEEP, DOC_SKIP, ROUTE_RULES)
+                     DOC_CFP_OPEN, DOC_KEEP, DOC_SKIP, MEETUP_RULES, ROUTE_RULES)
 
 SQL: dict[str, str] = {}
 
@@ -1105,3 +1106,48 @@ walk AS (
   FROM walk w JOIN b ON b.k = w.k AND b.n = w.n + 1 JOIN wm ON wm.week = b.week)
 SELECT b.ord, b.name, b.scraped_at FROM b JOIN walk USING (k, n) WHERE walk.kept
 """
+
+
+# --------------------------------------------------------------- runs ----
+
+def _meetup_run_sql() -> str:
+    """The meetup run from its parts: purge, the two sources in rank order,
+    scorer, routing and one upsert (no demo is left without the hints)."""
+    cal = SQL["ical_scan"].replace("FROM w\n", ", 1 AS source_rank, CAST(feed AS BIGINT) AS o1, CAST(chunk AS BIGINT) AS o2, pos AS o3 FROM w\n")
+    disc = SQL["reply_explode"].replace(
+        "search_rank AS source_rank, concat(reply_id, ':', pos - 1) AS ord",
+        "2 AS source_rank, reply_id AS o1, pos - 1 AS o2, CAST(0 AS BIGINT) AS o3")
+    a, b = disc.index("known AS ("), disc.index("c AS (SELECT * FROM p")
+    disc = disc[:a] + f"known AS (SELECT DISTINCT {_key('name')} AS k FROM t),\n" + disc[b:]
+    cols = "name, source, raw_location, raw_start_date, raw_end_date, website, card_text, source_rank, o1, o2, o3"
+    text = "concat_ws(' ', name, card_text)"
+    categories = [(c, [c.split(" /")[0].lower()]) for c in CATEGORIES]
+    fixed = f"""
+x AS (SELECT sheet, row_id, row_no, name, {', '.join(_MANAGED)}, website, days, notes FROM tr
+      UNION ALL
+      SELECT 'Excluded', 1000000000 + c_custkey, c_custkey + 2, c_name, {', '.join('NULL' for _ in _MANAGED)}, '', NULL, NULL
+      FROM customer WHERE c_acctbal < 0),
+t AS (SELECT * FROM x WHERE NOT (sheet IN ('Meet-ups', 'SF Product Demos')
+                                 AND coalesce({_parse5('start_date')} < DATE '{AS_OF_EVENTS}', false))),
+target AS (SELECT * FROM t WHERE sheet = 'Meet-ups'),
+raw AS (SELECT {cols} FROM ({cal}) UNION ALL SELECT {cols} FROM ({disc})),
+scored AS (SELECT *, {_any("concat_ws(' ', name, source)", ["ical", "meetup", "web discovery"])} AS is_meetup,
+             coalesce({_first_rule_sql(text, categories)}, 'Startup / General Tech') AS category,
+             coalesce(strftime({_parse5('raw_start_date')}, '%b %d, %Y'), '') AS start_date,
+             coalesce(strftime({_parse5('raw_end_date')}, '%b %d, %Y'), '') AS end_date,
+             {_first_rule_sql('raw_location', MEETUP_RULES)} AS city
+           FROM raw WHERE {_any(text, ["meetup", "click", "view", "signup", "purchase", "error"])}
+             AND NOT EXISTS (SELECT 1 FROM x WHERE x.sheet = 'Excluded' AND {_key('x.name')} = {_key('raw.name')})),
+inc AS (SELECT row_number() OVER (ORDER BY source_rank, o1, o2, o3) AS ord, name, website, category, '' AS cfp_date,
+          'Check site' AS cfp_status, raw_location AS location, start_date, end_date
+        FROM scored WHERE is_meetup AND city IS NOT NULL
+          AND NOT coalesce({_parse5('start_date')} < DATE '{AS_OF_EVENTS}', false))"""
+    out = "sheet, row_id, row_no, name, category, cfp_status, start_date, website, days"
+    return f"""
+WITH RECURSIVE {_LIFE}, {fixed},
+{_upsert_sql('target', 'inc', 't', 'Meet-ups', False)}
+SELECT {out} FROM t WHERE sheet <> 'Meet-ups' UNION ALL SELECT {out} FROM arch
+"""
+
+
+SQL["meetup_run"] = _meetup_run_sql()
