@@ -59,7 +59,8 @@ def revisit_plan(pages: DataFrame, page_id: str, html: str, revisit_bytes: int =
     rows = pages.select(pid.alias("page_id"),
                         F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha1("payload"))
-    long_ones = rows.where(F.octet_length("payload") >= revisit_bytes).select("page_id", "payload_digest")
+    # ids and digests of the long ones, hashed once and read twice
+    long_ones = cut_lineage(rows.where(F.octet_length("payload") >= revisit_bytes).select("page_id", "payload_digest"))
     last = (long_ones.groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
             .where("n > 1").select("payload_digest", "last"))
     last = cut_lineage(last)  # written before it is joined: Spark splits a hot digest only between plain shuffles
