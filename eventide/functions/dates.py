@@ -8,7 +8,6 @@ literal or a Column) so results are reproducible. All parsing uses the
 from __future__ import annotations
 
 import datetime as _dt
-
 import zoneinfo
 
 from pyspark.sql import Column

@@ -91,7 +91,6 @@ PARTY_TEXT_CHARS = 400
 GROUP_NAME_CHARS = 120
 SUMMARY_CARD_CHARS = 400
 MIN_GROUP_NAME_LEN = 5
-CARD_ANCESTOR_LEVELS = 6
 
 # Seed events (name, url, location, start, end, category, status).
 SEED_EVENTS = [
