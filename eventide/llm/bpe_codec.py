@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .bpe_core import Vocabulary, normalised, read_vocabulary, vocabulary, word_symbols
 
 PIECE_CHARS = 1 << 20
-MEMO_WORDS = 200_000
+MEMO_WORDS = 600_000
 
 Encoded = tuple[bytes, str]  # ids as little-endian 32-bit integers, decoded text
 
