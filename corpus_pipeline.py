@@ -56,7 +56,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of ids and decoded text."""
-    return bpe_codec.encode(docs, vocab_file()).select(
+    return bpe_codec.encode(docs, vocab_file(), decoded=False).select(
         "doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .bpe_core import Vocabulary, normalised, read_vocabulary, vocabulary, word_symbols
 
 PIECE_CHARS = 1 << 20
-MEMO_WORDS = 600_000
+MEMO_WORDS = 200_000
 
 Encoded = tuple[bytes, str]  # ids as little-endian 32-bit integers, decoded text
 
@@ -168,12 +168,13 @@ def flush_one(enc: TrieEncoder, piece: str) -> Iterator[tuple[int, bytes, str, s
         yield len(ids) // 4, ids, "", " ".join([g[1] for g in got]), ""
 
 
-def encode(docs: DataFrame, vocab_file: str, text: str = "text", full: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocab_file: str, text: str = "text", full: bool = True, decoded: bool = True) -> DataFrame:
     """The documents' columns but the text, with n_tokens, ids_sha256,
-    decoded_sha256 and, if ``full``, token_ids (array of int) and decoded. The
-    vocabulary file is read on the driver (a file of fixed size) and broadcast."""
+    decoded_sha256 and, if ``full``, token_ids (array of int) and, unless
+    ``decoded`` is off, the decoded text. The vocabulary file is read on the driver (a file of fixed size) and broadcast."""
     raw = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocab_file))
-    new = ["n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids", "decoded"] if full else [])]
+    new = ["n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids"] if full else []),
+           *(["decoded"] if full and decoded else [])]
     others = [c for c in docs.columns if c.lower() not in (text.lower(), *new)]
     given = docs.select(*[docs[f"`{c}`"].alias(f"p{i}") for i, c in enumerate(others)],
                         docs[f"`{text}`"].cast("string").alias("body"))
@@ -191,7 +192,9 @@ def encode(docs: DataFrame, vocab_file: str, text: str = "text", full: bool = Tr
                 if full:
                     flat = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))
                     cuts = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                    cols += [pa.ListArray.from_arrays(cuts, flat), pa.array(shown, pa.string())]
+                    cols.append(pa.ListArray.from_arrays(cuts, flat))
+                    if decoded:
+                        cols.append(pa.array(shown, pa.string()))
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(lo, 256) for i in range(len(others))], *cols],
                                                  names=names)
 

@@ -166,7 +166,7 @@ class Vocabulary:
         key = left << 20 | right
         got = self._fits.get(key)
         if got is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 300_000:
                 self._fits.clear()
             a, b = self.text_of[left], self.text_of[right]
             got = self._fits[key] = self.whole(right) and self.merged(a + b) == [a, b]

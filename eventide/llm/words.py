@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text handled at once; working arrays are about 40 times as large.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
