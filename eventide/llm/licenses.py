@@ -1,9 +1,13 @@
 """Licence scan by sentence rules (native).
 
-A text is cut into sentences (after a stop and a blank, and at a line break
-that a capital, digit or sign follows), sentences are normalised to lower-case
-words, and each that is known is replaced by its identifier; the others fall
-out. What remains is the text's sequence of identifiers. Ordered rules are
+A text is cut into sentences (after a stop and a blank, at a blank line and at
+a list mark), sentences are normalised to lower-case words, and each that is
+known is replaced by its identifier; the others fall out. A single line break
+that a capital, digit or sign follows may end a sentence or stand inside one: a
+known sentence begins and ends at a cut or such a break, and the longest that
+fits is taken, so that it is found on a line of its own as well as hard-wrapped,
+indented or behind comment signs. What remains is the text's sequence of
+identifiers. Ordered rules are
 matched against it, the most specific first: a rule whose identifiers stand
 there one after the other names its licence and takes those identifiers out,
 wherever they stand, so that a later, more general rule does not see them
@@ -81,7 +85,10 @@ RULES = (
 )
 
 # Every known sentence has one of these.
-SIGNS = ("licens", "redistribut", "warranty", "permission", "all rights reserved")
+SIGNS = ("licens", "redistribut", "warranty", "permission", "reserved")
+
+# Marks of a cut, of a line break that may be one, and of a blank line.
+CUT, BREAK, BLANK_LINE = "\u0001", "\u0002", "\u0003"
 
 
 def _coded(ids: tuple[str, ...]) -> str:
@@ -89,12 +96,27 @@ def _coded(ids: tuple[str, ...]) -> str:
     return "".join(f"<{i}>" for i in ids)
 
 
-def sentences(text: Column) -> Column:
-    """The normalised sentences of a text."""
-    cut = F.regexp_replace(text, "([.!?])[ \\t\\r\\n]+", "$1\u0001")
-    cut = F.regexp_replace(cut, "[ \\t\\r]*\\n[ \\t\\r\\n]*([^a-z \\t\\r\\n])", "\u0001$1")
-    return F.transform(F.split(cut, "\u0001"),
-                       lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", F.lit(" "))))
+def marked(text: Column) -> Column:
+    """The words of a text in lower case, joined by a blank, CUT or BREAK, with
+    CUT at both ends."""
+    t = F.translate(text, BREAK + BLANK_LINE, "  ")
+    t = F.regexp_replace(t, "(?:^|\\n)[ \\t]*+(?:dnl|REM)\\b", "\n#")  # comment signs made of letters
+    t = F.regexp_replace(t, "\\n[^A-Za-z0-9(\\n]*+(?:[(]?(?:[0-9]{1,2}|[A-Za-z])[)]|[a-z][.])[ \\t]+", CUT)
+    t = F.regexp_replace(t, "([.!?])[ \\t\\r\\n]+", f"$1{CUT}")
+    t = F.regexp_replace(t, "\\n[ \\t\\r]*+\\n[ \\t\\r\\n]*+", BLANK_LINE)
+    t = F.regexp_replace(t, f"{BLANK_LINE}([^a-z])", f"{CUT}$1")
+    t = F.regexp_replace(t, f"{BLANK_LINE}|\\n[ \\t\\r]*+(?=[^a-z \\t\\r\\n])", BREAK)
+    t = F.regexp_replace(F.concat(F.lit(CUT), F.lower(t), F.lit(CUT)), f"[^a-z0-9{CUT}{BREAK}]+", " ")
+    t = F.regexp_replace(t, f" ?{BREAK}[ {BREAK}]*+", BREAK)
+    return F.regexp_replace(t, f"[ {BREAK}]?{CUT}[ {CUT}{BREAK}]*+", CUT)
+
+
+def known_sentences(text: Column) -> Column:
+    """The known sentences of a text, in order."""
+    longest_first = sorted(SENTENCES, key=lambda s: (-len(s), s))
+    one = "|".join(s.replace(" ", f"[ {BREAK}]") for s in longest_first)
+    found = F.regexp_extract_all(marked(text), F.lit(f"(?<=[{CUT}{BREAK}])(?:{one})(?=[{CUT}{BREAK}])"), F.lit(0))
+    return F.transform(found, lambda s: F.replace(s, F.lit(BREAK), F.lit(" ")))
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -104,7 +126,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(docs[f"`{text}`"].cast("string"), F.lit(""))
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
     signed = F.lower(body).rlike("|".join(SIGNS))
-    ids = F.when(signed, F.filter(F.transform(sentences(body), lambda s: known[s]), lambda i: i.isNotNull()))
+    ids = F.when(signed, F.transform(known_sentences(body), lambda s: known[s]))
     ids = F.coalesce(ids, F.array().cast("array<string>"))
     rules = F.array(*[F.struct(F.lit(_coded(seq)).alias("seq"), F.lit(name).alias("name")) for seq, name in RULES])
     start = F.transform(F.array(ids), lambda x: F.struct(

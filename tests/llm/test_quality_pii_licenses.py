@@ -164,3 +164,66 @@ def test_licenses(spark, odd_docs, no_docs):
         "MIT", "Apache-2.0", "GPL-3.0", "GPL-3.0-or-later", "CC-BY-NC-4.0,MIT", "", "Apache-2.0", ""]
     assert got[5]["n_known"] == 3 and got[8]["unmatched"] == "gpl-see" and got[4]["unmatched"] == "gpl-see"
     assert licenses.scan(odd_docs).count() == odd_docs.count() and licenses.scan(no_docs).count() == 0
+
+
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+MIT = """MIT License
+
+Copyright (c) 2020 A Name
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+%s Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+%s Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+APACHE = """Licensed under the Apache License, Version 2.0
+(the "License"); you may not use this file except in compliance
+with the License.  You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law, the software is distributed on an "AS IS" BASIS."""
+
+
+def test_wrapped_notices(spark):
+    """Hard-wrapped notices, plain, indented and inside comments."""
+    whole = [(GPL3, "GPL-3.0-or-later", "gpl3-later gpl-warranty gpl-see"), (MIT, "MIT", "mit-notice mit-warranty"),
+             (APACHE, "Apache-2.0", "apache2-both apache2-copy")]
+    whole += [(BSD % marks, "BSD-2-Clause", "bsd-start bsd-source bsd-binary")
+              for marks in (("1.", "2."), ("(1)", "(2)"), ("a.", "b."), ("a)", "b)"), ("*", "*"), ("-", "-"))]
+    rows = []
+    for sign in ("", "# ", " * ", "// ", "-- ", ";; ", "dnl ", "REM ", "\t", "> "):
+        rows += [("\n".join((sign + x).rstrip() for x in text.split("\n")), *want) for text, *want in whole]
+    rows += [(t.replace("\n", "\r\n"), *want) for t, *want in rows]
+    rows += [("All rights\nReserved.", "Proprietary", "all-rights"),
+             ("Words stand here. This project is licensed under the\n  MIT License.\nMore.", "MIT", "mit-ref"),
+             ("Licensed under the\n\nMIT License.", "", ""), ("A name\nReleased under the MIT License\nMore", "MIT", "mit-ref"),
+             ("We were never\nlicensed under the MIT License.", "", "")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    for i, (text, name, ids) in enumerate(rows):
+        assert (got[i]["licenses"], got[i]["identifiers"], got[i]["unmatched"]) == (name, ids, ""), text
