@@ -110,6 +110,32 @@ def test_listing_reads_around_the_name(spark):
                    ("AI Summit", "Jun 29", "Jul 2", "Berlin", "https://h.example/r2/1", [0, 1])]
 
 
+def test_listing_tests_the_whole_line(spark):
+    from eventide.sources.listing import scan_listing
+
+    far = " word" * 200
+    page = (f'<div>Jun 1 <a href="/r2/1">AI Late Skip</a> Berlin{far} webinar</div>'
+            f'<div><a href="/r2/2">Late Keep</a> Rome{far} genai</div><div><a href="/r2/3">AI Two</a> Oslo\u00a0\U0001f600{far}\n end</div>'
+            '<div><a href="/other">AI Other</a></div><a href="/r2/4"> AI Top </a>'
+            '<p>x <a href="/r2/5">AI In</a> <b><a href="/r2/6">AI Deep</a> Bern</b> Graz</p>')
+    got = {r["name"]: (r.raw_location, r.card_text, list(r.ord))
+           for r in scan_listing(_pages(spark, page), keep=["ai"], skip=["webinar"]).collect()}
+    assert got == {"Late Keep": (f"Rome{far} genai", f"Late Keep Rome{far} genai", [0, 2]),
+                   "AI Two": (f"Oslo\u00a0\U0001f600{far}", f"AI Two Oslo\u00a0\U0001f600{far}\n end", [0, 3]),
+                   "AI Top": ("", "", [0, 5]), "AI In": ("AI Deep Bern Graz", "x AI In AI Deep Bern Graz", [0, 6]),
+                   "AI Deep": ("Bern", "AI Deep Bern", [0, 7])}
+
+
+def test_listing_hands_over_a_parent_once():
+    import pandas as pd
+
+    from eventide.sources.html import _listing_rows
+
+    flat = "<div>" + "".join(f'<a href="/r2/{i}">name {i}</a> Jun {i % 28 + 1} Berlin ' for i in range(3000)) + "</div>"
+    out, = _listing_rows("/r2/")([pd.DataFrame({"page_id": [1], "url": ["u"], "html": [flat]})])
+    assert len(out) == 1 and len(out["anchors"][0]) == 3000 and len(out["parent_text"][0]) < len(flat)
+
+
 def test_calendar_with_odd_properties(spark):
     ev = ("BEGIN:VEVENT\r\nBEGIN:VALARM\r\nDESCRIPTION:alarm\r\nSUMMARY:alarm\r\nEND:VALARM\r\n"
           'SUMMARY;ALTREP="http://x/y;z":Real name\r\nDTSTART;TZID=Pacific Standard Time:20260605T200000\r\n'
