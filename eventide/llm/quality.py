@@ -8,9 +8,13 @@ fails by the first of these rules:
 * ``punctuation``: no word of it ends in a sentence end, closing quote or
   bracket;
 * ``navigation``: it holds ``nav_bars`` or more of the bars and angles that
-  separate menu entries;
-* ``boilerplate``: it holds a known page phrase, or symbols make up more than
-  ``symbol_pct`` per cent of it, or it equals an earlier line of the text.
+  separate menu entries, and they make up more than ``nav_pct`` per cent of it;
+* ``boilerplate``: it holds a known page phrase for every ``phrase_words`` words
+  or fewer, or symbols make up more than ``symbol_pct`` per cent of it, or it
+  equals an earlier line of the text.
+
+Bars and phrases are measured by the line's length: a paragraph, or a document
+on a single line, does not fail for two bars or one phrase.
 
 A text is one task's work, in numpy arrays over bounded slices; nothing is
 shuffled.
@@ -51,6 +55,8 @@ class Rules:
     window: int = 8
     repeat_pct: int = 30
     nav_bars: int = 2
+    nav_pct: int = 3
+    phrase_words: int = 20
     symbol_pct: int = 10
     lost_pct: int = 50
 
@@ -140,15 +146,18 @@ def judge(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> tuple[dict[str
     chars, symbols, bars = total[:, fe] - total[:, fs]
     stops = np.zeros(len(starts) + 1, dtype=np.int64)
     np.cumsum(_ends_in_stop(data, ends), out=stops[1:])
-    bad = (stops[wh] == stops[wl]) | (bars >= rules.nav_bars) | dup | (100 * symbols > rules.symbol_pct * chars)
+    bad = ((stops[wh] == stops[wl]) | ((bars >= rules.nav_bars) & (100 * bars > rules.nav_pct * chars)) | dup
+           | (100 * symbols > rules.symbol_pct * chars))
+    phrases = np.zeros(len(fs), dtype=np.int64)
     low = WD.lowered(data).tobytes()
     for phrase in PHRASES:
         code, found = phrase.encode(), low.find(phrase.encode())
         while found >= 0:
             line = np.searchsorted(fs, found, side="right") - 1
             if line >= 0 and found + len(code) <= fe[line]:
-                bad[line] = True
+                phrases[line] += 1
             found = low.find(code, found + 1)
+    bad |= (phrases > 0) & (phrases * rules.phrase_words >= wh - wl)
 
     lost = np.bincount(ft[bad], weights=chars[bad], minlength=n).astype(np.int64)
     out["n_lines"] = np.bincount(ft, minlength=n)

@@ -66,6 +66,30 @@ def test_quality_tables(spark, odd_docs, no_docs):
     assert got["clean_text"] == "A clean sentence stands here.\nAnd one more of them." and got["n_lines_removed"] == 2
 
 
+def test_quality_measures_lines_by_length(spark):
+    def prose(lo, hi):
+        return " ".join(f"Sentence {i} tells of w{i} and of x{i * 7}." for i in range(lo, hi))
+
+    parts = ["If a < b, c < d holds, then so it does.", "Please click here for it.", "The row is 1 | 2 | 3 there.",
+             "The shop asks you to read more on it.", "See the terms of use."]
+    clean = [f"{prose(0, 30)} {x} {prose(30, 60)}" for x in parts]
+    clean += [" ".join(f"{prose(40 * i, 40 * i + 40)} {x}" for i, x in enumerate(parts))]
+    short = "Twenty and more clean words stand on this one line, and the last of them say where to {} for all that is left."
+    clean += [short.format("click here"), short.format("find a < b, c < d")]
+    menu = " ".join(f"Shop{i} | News{i} | Sport{i}. |" for i in range(80))
+    notes = " ".join(f"Read more on {i}. Click here for {i}." for i in range(80))
+    mixed = [f"{prose(0, 30)}\n{x}\n{prose(30, 60)}" for x in parts]
+    texts = clean + [menu, notes] + mixed
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r for r in quality.clean(docs).orderBy("doc_id").collect()]
+    n = len(clean)
+    for row in got[:n]:
+        assert row["kept"] and row["clean_text"] == row["text"], row["text"][:80]
+    assert [(r["kept"], r["n_lines_removed"]) for r in got[n:n + 2]] == [(False, 1)] * 2
+    for row in got[n + 2:]:  # short lines fail as before
+        assert row["kept"] and row["clean_text"] == f"{prose(0, 30)}\n{prose(30, 60)}"
+
+
 def plain_spans(t):
     out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t)
