@@ -6,9 +6,10 @@ together by branching trees: a tree's root node is split by one minwise token
 of similarity J land in one child with probability J. A node of at most
 ``leaf`` sets is compared exhaustively; a larger one is split again by two
 further minwise tokens, each choosing its own branch, so that a similar pair
-stays together in one of them with probability 1 - (1 - J)^2. Independent
-trees are repeated until the miss probability of a pair at the threshold is
-below ``miss``. Nodes that stay large to the last level hold sets that really
+stays together in one of them with probability 1 - (1 - J)^2. Every tree has
+tokens of its own for each level, so that trees are independent; they are
+repeated until the miss probability of a pair at the threshold is below ``miss``
+even if all its nodes are split to the last level. Nodes that stay large to the last level hold sets that really
 are alike; they are compared exhaustively in blocks, each pair of blocks in its
 own task.
 
@@ -45,14 +46,22 @@ SHINGLE = 5
 PERCENT = 85  # links: 100 * intersection >= PERCENT * union
 MISS = 1e-8  # of a pair at the threshold, over all trees
 BRANCHES = 2
-DEEPER = 22  # minwise tokens from which deeper levels choose
 LEVELS = 4
 LEAF = 2048  # sets of a node compared in one task
 LEAF_SHINGLES = 1_500_000  # and their shingles
 
 
 def n_trees(percent: int = PERCENT, miss: float = MISS) -> int:
-    return max(1, math.ceil(math.log(miss) / math.log(1 - percent / 100)))
+    """Trees until a pair at the threshold is missed with probability
+    ``miss``, if it has to stay together through every level."""
+    j = percent / 100
+    found = j * (1 - (1 - j) ** BRANCHES) ** (LEVELS - 1)
+    return max(1, math.ceil(math.log(miss) / math.log(1 - found))) if found < 1 else 1
+
+
+def n_tokens(trees: int, levels: int = LEVELS) -> int:
+    """Minwise tokens of a set: each tree's root, and its branches at each deeper level."""
+    return trees * (1 + (levels - 1) * BRANCHES)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -189,8 +198,8 @@ def _sized(members: DataFrame) -> DataFrame:
 def nodes(sets: DataFrame, trees: int, leaf: int = LEAF, leaf_shingles: int = LEAF_SHINGLES,
           levels: int = LEVELS) -> DataFrame:
     """(node, id): the nodes to be compared. ``sets`` is (id, n, low)."""
-    roots = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
-                                  lambda t: F.xxhash64(t, F.col("low")[t]))).alias("node")
+    roots = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
+                                     lambda t: F.xxhash64(t, F.col("low")[t]))).alias("tree", "node")
     level = cut_lineage(_sized(sets.select("id", "n", roots)))
     small = (F.col("m") <= leaf) & (F.col("weight") <= leaf_shingles)
     done = []
@@ -199,10 +208,9 @@ def nodes(sets: DataFrame, trees: int, leaf: int = LEAF, leaf_shingles: int = LE
         if depth == levels - 1 or level.where(~small).isEmpty():
             break
         branch = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda j: F.xxhash64(
-            F.col("node"), j, F.col("low")[F.lit(trees) + F.pmod(F.xxhash64(F.col("node"), j), F.lit(DEEPER)).cast("int")]
-        ))).alias("child")
-        split = (level.where(~small).select("node", "id", "n").join(sets.select("id", "low"), "id")
-                 .select("id", "n", branch).withColumnRenamed("child", "node").distinct())
+            F.col("node"), j, F.col("low")[trees + (F.col("tree") * (levels - 1) + depth) * BRANCHES + j]))).alias("child")
+        split = (level.where(~small).select("tree", "node", "id", "n").join(sets.select("id", "low"), "id")
+                 .select("id", "n", "tree", branch).withColumnRenamed("child", "node").distinct())
         level = cut_lineage(_sized(split))
     leaves = done[0]
     for more in done[1:]:
@@ -226,7 +234,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     """(id, n_shingles, component) for every row."""
     trees = n_trees(percent, miss)
     rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("id"), docs[f"`{text}`"].cast("string").alias("text"))
-    sketches = write_table(rows.mapInArrow(_sketch(shingle, trees + DEEPER),
+    sketches = write_table(rows.mapInArrow(_sketch(shingle, n_tokens(trees)),
                                            "id long, n long, s1 long, s2 long, low array<long>"), "near-sketches")
     with_set = sketches.where("n > 0 and id is not null")
     same = write_table(with_set.groupBy("s1", "s2").agg(F.min("id").alias("rep")), "near-same")

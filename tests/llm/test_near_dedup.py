@@ -79,6 +79,25 @@ def test_trees_reach_the_target():
     assert 0.15 ** near_dedup.n_trees(85, 1e-8) <= 1e-8 and near_dedup.n_trees(80, 1e-8) > near_dedup.n_trees(85, 1e-8)
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_trees_reach_the_target_through_all_levels(spark, percent):
+    j, trees = percent / 100, near_dedup.n_trees(percent)
+    kept = j * (1 - (1 - j) ** near_dedup.BRANCHES) ** (near_dedup.LEVELS - 1)
+    assert (1 - kept) ** trees <= near_dedup.MISS < (1 - kept) ** (trees - 1)
+    # sets that agree in one tree's tokens only: they are split away by every other tree, and stay together in that one
+    n, per = near_dedup.n_tokens(trees), (near_dedup.LEVELS - 1) * near_dedup.BRANCHES
+    for tree in (0, trees - 1):
+        own = {tree, *range(trees + tree * per, trees + (tree + 1) * per)}
+        assert max(own) < n
+        rows = [(i, 10, [7 if k in own else i * 1000 + k for k in range(n)]) for i in range(6)]
+        rows += [(100 + i, 10, [7 if k == tree else -i * 1000 - k for k in range(n)]) for i in range(30)]
+        sets = spark.createDataFrame(rows, "id long, n long, low array<long>")
+        met = {}
+        for r in near_dedup.nodes(sets, trees, leaf=8).collect():
+            met.setdefault(r["node"], set()).add(r["id"])
+        assert any(x == set(range(6)) for x in met.values())
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_equal_union_find(spark, seed):
     r = random.Random(seed)
