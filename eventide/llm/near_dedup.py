@@ -59,9 +59,9 @@ def n_trees(percent: int = PERCENT, miss: float = MISS) -> int:
     return max(1, math.ceil(math.log(miss) / math.log(1 - found))) if found < 1 else 1
 
 
-def n_tokens(trees: int, levels: int = LEVELS) -> int:
-    """Minwise tokens of a set: each tree's root, and its branches at each deeper level."""
-    return trees * (1 + (levels - 1) * BRANCHES)
+def n_deep(trees: int, levels: int = LEVELS) -> int:
+    """Minwise tokens of a set for the branches of all trees at their deeper levels."""
+    return trees * (levels - 1) * BRANCHES
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -80,7 +80,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> lis
     return out
 
 
-def _sketch(k: int, n: int):
+def _lists(tokens: np.ndarray, size: int) -> pa.ListArray:
+    """Rows of tokens, cut to a number of bytes: equal tokens stay equal, others rarely become so."""
+    values = tokens.astype(f"u{size}", order="C").view(f"i{size}").reshape(-1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * tokens.shape[1]), pa.array(values))
+
+
+def _sketch(k: int, trees: int):
+    n = trees + n_deep(trees)
     factors = WD.mix(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,11 +105,11 @@ def _sketch(k: int, n: int):
                         sums[row, full] = np.add.reduceat(WD.mix(flat ^ np.uint64(salt)), begin)
                     for j, factor in enumerate(factors):
                         low[full, j] = np.minimum.reduceat(flat * factor, begin)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * n),
-                                                 pa.array(low.reshape(-1).view(np.int64)))
+                low = WD.mix(low)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, len(sets)), pa.array(size), pa.array(sums[0].view(np.int64)),
-                     pa.array(sums[1].view(np.int64)), lists], names=["id", "n", "s1", "s2", "low"])
+                     pa.array(sums[1].view(np.int64)), _lists(low[:, :trees], 4), _lists(low[:, trees:], 2)],
+                    names=["id", "n", "s1", "s2", "low", "deep"])
 
     return run
 
@@ -197,7 +204,7 @@ def _sized(members: DataFrame) -> DataFrame:
 
 def nodes(sets: DataFrame, trees: int, leaf: int = LEAF, leaf_shingles: int = LEAF_SHINGLES,
           levels: int = LEVELS) -> DataFrame:
-    """(node, id): the nodes to be compared. ``sets`` is (id, n, low)."""
+    """(node, id): the nodes to be compared. ``sets`` is (id, n, low, deep)."""
     roots = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)),
                                      lambda t: F.xxhash64(t, F.col("low")[t]))).alias("tree", "node")
     level = cut_lineage(_sized(sets.select("id", "n", roots)))
@@ -208,8 +215,8 @@ def nodes(sets: DataFrame, trees: int, leaf: int = LEAF, leaf_shingles: int = LE
         if depth == levels - 1 or level.where(~small).isEmpty():
             break
         branch = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda j: F.xxhash64(
-            F.col("node"), j, F.col("low")[trees + (F.col("tree") * (levels - 1) + depth) * BRANCHES + j]))).alias("child")
-        split = (level.where(~small).select("tree", "node", "id", "n").join(sets.select("id", "low"), "id")
+            F.col("node"), j, F.col("deep")[(F.col("tree") * (levels - 1) + depth) * BRANCHES + j]))).alias("child")
+        split = (level.where(~small).select("tree", "node", "id", "n").join(sets.select("id", "deep"), "id")
                  .select("id", "n", "tree", branch).withColumnRenamed("child", "node").distinct())
         level = cut_lineage(_sized(split))
     leaves = done[0]
@@ -234,13 +241,13 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     """(id, n_shingles, component) for every row."""
     trees = n_trees(percent, miss)
     rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("id"), docs[f"`{text}`"].cast("string").alias("text"))
-    sketches = write_table(rows.mapInArrow(_sketch(shingle, n_tokens(trees)),
-                                           "id long, n long, s1 long, s2 long, low array<long>"), "near-sketches")
+    sketches = write_table(rows.mapInArrow(_sketch(shingle, trees),
+                                           "id long, n long, s1 long, s2 long, low array<int>, deep array<smallint>"), "near-sketches")
     with_set = sketches.where("n > 0 and id is not null")
     same = write_table(with_set.groupBy("s1", "s2").agg(F.min("id").alias("rep")), "near-same")
     owned = with_set.select("id", "s1", "s2").join(same, ["s1", "s2"]).select("id", "rep")
     sets = (with_set.join(same.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi")
-            .dropDuplicates(["id", "s1", "s2"]).select("id", "n", "low"))
+            .dropDuplicates(["id", "s1", "s2"]).select("id", "n", "low", "deep"))
     members = nodes(sets, trees, leaf)
     packed = rows.where("id is not null and text is not null").mapInArrow(_packed, "id long, packed binary")
     met = (members.join(packed, "id").select("node", "id", "packed")

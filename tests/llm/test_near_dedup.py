@@ -85,13 +85,18 @@ def test_trees_reach_the_target_through_all_levels(spark, percent):
     kept = j * (1 - (1 - j) ** near_dedup.BRANCHES) ** (near_dedup.LEVELS - 1)
     assert (1 - kept) ** trees <= near_dedup.MISS < (1 - kept) ** (trees - 1)
     # sets that agree in one tree's tokens only: they are split away by every other tree, and stay together in that one
-    n, per = near_dedup.n_tokens(trees), (near_dedup.LEVELS - 1) * near_dedup.BRANCHES
+    per = (near_dedup.LEVELS - 1) * near_dedup.BRANCHES
+    n = near_dedup.n_deep(trees)
     for tree in (0, trees - 1):
-        own = {tree, *range(trees + tree * per, trees + (tree + 1) * per)}
-        assert max(own) < n
-        rows = [(i, 10, [7 if k in own else i * 1000 + k for k in range(n)]) for i in range(6)]
-        rows += [(100 + i, 10, [7 if k == tree else -i * 1000 - k for k in range(n)]) for i in range(30)]
-        sets = spark.createDataFrame(rows, "id long, n long, low array<long>")
+        own = range(tree * per, (tree + 1) * per)
+        assert own[-1] < n
+
+        def low(i):
+            return [7 if t == tree else i * 100 + t for t in range(trees)]
+
+        rows = [(i, 10, low(i), [7 if k in own else i * 500 + k for k in range(n)]) for i in range(6)]
+        rows += [(10 + i, 10, low(10 + i), [-1 - i * 500 - k for k in range(n)]) for i in range(30)]
+        sets = spark.createDataFrame(rows, "id long, n long, low array<int>, deep array<smallint>")
         met = {}
         for r in near_dedup.nodes(sets, trees, leaf=8).collect():
             met.setdefault(r["node"], set()).add(r["id"])
