@@ -115,12 +115,11 @@ def judge(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> tuple[dict[str
     n = len(offsets) - 1
     starts, ends, first = WD.word_bounds(data, offsets)
     n_words = np.diff(first)
-    prefix = WD.byte_prefix(data)
     word_chars = _WORD_CHAR[data]
     out = {"n_words": n_words, "word_chars": WD.per_text(word_chars, offsets),
            "n_symbols": WD.per_text(_SYMBOL[data], offsets)}
 
-    grams = WD.gram_hashes(WD.span_hashes(prefix, starts, ends), rules.window)
+    grams = WD.gram_hashes(WD.span_hashes(data, starts, ends), rules.window)
     text_of_word = np.repeat(np.arange(n), n_words)
     at = np.flatnonzero(np.arange(len(grams)) + rules.window <= first[text_of_word[:len(grams)] + 1])
     again = repeated_words(grams[at], text_of_word[at], at, rules.window, len(starts))
@@ -135,7 +134,7 @@ def judge(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> tuple[dict[str
     full = word_hi > word_lo
     fs, fe, ft, wl, wh = (x[full] for x in (line_start, line_end, text_of, word_lo, word_hi))
 
-    keyed = WD.span_hashes(prefix, fs, fe) ^ WD.mix(ft.astype(np.uint64) + np.uint64(1))
+    keyed = WD.span_hashes(data, fs, fe) ^ WD.mix(ft.astype(np.uint64) + np.uint64(1))
     dup = np.ones(len(keyed), dtype=bool)
     dup[np.unique(keyed, return_index=True)[1]] = False  # the first of each stays
     out["n_dup_lines"] = np.bincount(ft[dup], minlength=n)

@@ -12,6 +12,7 @@ is the same as the pattern ``[^\\x20\\x09-\\x0D]+`` over code points.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}
 
+LONG_SPAN = 128
+_SEED = np.uint64(0xD6E8FEB86659FD93)
+_LOW_BYTES = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=np.uint64)
+
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -96,30 +101,34 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def byte_prefix(data: np.ndarray, lower: bool = False) -> np.ndarray:
-    """Prefix sums of a text buffer (A-Z as a-z if ``lower``) for
-    :func:`span_hashes`."""
-    n = len(data)
-    prefix = np.empty(n + 1, dtype=np.uint64)
-    prefix[0] = 0
-    values = (_LOWER[data] if lower else data).astype(np.uint64)
-    values += np.uint64(1)
-    values *= _pow(_BASE, n, "up")
-    np.cumsum(values, out=prefix[1:])
-    return prefix
-
-
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span ``[start, end)``."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span ``[start, end)``: its length and eight
+    bytes at a time through :func:`mix`, a bijection, so that spans of one
+    length of at most eight bytes never collide. Spans of over ``LONG_SPAN``
+    bytes are hashed by BLAKE2b."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + _SEED)
     if len(starts) == 0:
-        return np.zeros(0, dtype=np.uint64)
-    h = (prefix[ends] - prefix[starts]) * _pow(_BASE_INV, len(prefix), "down")[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return out
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eight = np.ascontiguousarray(np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,)))
+    out = mix(out ^ (eight[starts] & _LOW_BYTES[np.minimum(size, 8)]))
+    live = np.flatnonzero((size > 8) & (size <= LONG_SPAN))
+    done = 8
+    while len(live):
+        part = eight[starts[live] + done] & _LOW_BYTES[np.minimum(size[live] - done, 8)]
+        out[live] = mix(out[live] ^ part)
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
+        out[i] = np.frombuffer(digest, dtype="<u8")[0]
+    return out
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hash of each word's bytes (A-Z as a-z if ``lower``)."""
-    return span_hashes(byte_prefix(data, lower), starts, ends)
+    return span_hashes(_LOWER[data] if lower else data, starts, ends)
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
