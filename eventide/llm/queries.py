@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import bpe_codec, decontam, licenses, near_dedup, pii, quality, sharding, substring, token_count, warc
+from . import (bpe_codec, decontam, filter_audit, licenses, near_dedup, pii, quality, sharding, substring, token_count,
+               warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 Q: dict[str, Query] = {}
@@ -269,3 +270,43 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
        sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)
 """
+
+
+# --------------------------------------------- op11: filter interaction audit
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps and Shapley values of five filters in all orders, for each language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op11_filter_audit"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic
+      FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS MATERIALIZED (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws),
+          100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * len(t), regexp_matches(t, '[#$%&*|]'),
+          coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM d LEFT JOIN l USING (doc_id)),
+orders(o) AS (SELECT '' UNION ALL SELECT o || c FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c)
+              WHERE NOT contains(o, c)),
+steps AS (SELECT o AS filter_order, CAST(unnest(range(1, 6)) AS INT) AS step FROM orders WHERE len(o) = 5),
+kinds AS MATERIALIZED (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT part, filter_order, step, filter_order[step] AS filter, n, good, toxic, fails,
+             fails[ascii(filter_order[step]) - 64] AS own,
+             len([c FOR c IN string_split(filter_order[1:step - 1], '') IF c <> '' AND fails[ascii(c) - 64]]) > 0 AS gone
+      FROM kinds, steps),
+r AS (SELECT part, filter_order, step, filter,
+             CAST(coalesce(sum(n) FILTER (NOT gone AND NOT own), 0) AS BIGINT) AS kept,
+             CAST(coalesce(sum(n) FILTER (NOT gone AND own), 0) AS BIGINT) AS removed,
+             CAST(coalesce(sum(n) FILTER (gone AND own), 0) AS BIGINT) AS redundant,
+             CAST(coalesce(sum(n) FILTER (own AND len([y FOR y IN fails IF y]) = 1), 0) AS BIGINT) AS unique_fails,
+             CAST(coalesce(sum(n) FILTER (NOT gone AND own AND good = 1), 0) AS BIGINT) AS good_lost,
+             CAST(coalesce(sum(n) FILTER (NOT gone AND own AND toxic = 1), 0) AS BIGINT) AS toxic_lost
+      FROM x GROUP BY ALL)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r
+"""

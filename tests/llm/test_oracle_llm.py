@@ -5,7 +5,7 @@ import pytest
 from eventide.llm.queries import SQL, Q
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages", "benchmark")
+TABLES = ("documents", "pages", "benchmark", "labels")
 
 
 @pytest.fixture(scope="module")
