@@ -114,7 +114,7 @@ def _sketch(k: int, trees: int):
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     squeeze = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         for lo in range(0, max(1, batch.num_rows), 1024):
@@ -249,7 +249,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     sets = (with_set.join(same.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi")
             .dropDuplicates(["id", "s1", "s2"]).select("id", "n", "low", "deep"))
     members = nodes(sets, trees, leaf)
-    packed = rows.where("id is not null and text is not null").mapInArrow(_packed, "id long, packed binary")
+    packed = rows.where("id is not null and text is not null").mapInArrow(packed_texts, "id long, packed binary")
     met = (members.join(packed, "id").select("node", "id", "packed")
            .repartition(F.col("node")).sortWithinPartitions("node"))
     links = met.mapInArrow(_compare(shingle, percent), "a long, b long")

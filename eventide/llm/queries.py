@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (bpe_codec, decontam, filter_audit, licenses, near_dedup, pii, quality, sharding, substring, token_count,
-               warc)
+from . import (bpe_codec, decontam, filter_audit, licenses, near_dedup, parity_join, pii, quality, sharding,
+               substring, token_count, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
 Q: dict[str, Query] = {}
@@ -310,3 +310,17 @@ r AS (SELECT part, filter_order, step, filter,
       FROM x GROUP BY ALL)
 SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM r
 """
+
+
+# ------------------------------------------------- op13: n-gram Jaccard join
+
+@query
+def op13_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the links at a Jaccard similarity of 0.85 on four-word shingles."""
+    got = parity_join.groups(table(spark, sf_dir, "documents"))
+    return got.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+SQL["op13_jaccard_join"] = (SQL["op2_near_dedup"].replace("ws[i:i + 4]", "ws[i:i + 3]")
+                            .replace("greatest(len(ws) - 3, 2)", "greatest(len(ws) - 2, 2)")
+                            .replace("component_id,\n       d.doc_id <= coalesce(m, d.doc_id) AS kept", "component_id"))
