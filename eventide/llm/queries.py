@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import (bpe_codec, decontam, filter_audit, licenses, near_dedup, parity_join, pii, quality, sharding,
+from . import (bpe_codec, decontam, filter_audit, lexical, licenses, near_dedup, parity_join, pii, quality, sharding,
                substring, token_count, warc)
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -312,6 +312,36 @@ SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapl
 """
 
 
+# --------------------------------------------------- op12: ranked search
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    index = lexical.build(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"))
+
+
+SQL["op12_ranked_search"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+                  regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+q AS MATERIALIZED (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all({_FOLDED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark),
+c AS (SELECT count(*) AS n_docs, sum(len(ws)) AS n_terms FROM d WHERE len(ws) > 0),
+t AS MATERIALIZED (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS term FROM d)
+  WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM t, c GROUP BY term, n_docs),
+s AS (SELECT item_id, r, doc_id,
+             CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM q JOIN t USING (term) JOIN w USING (term), c GROUP BY ALL),
+x AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+      FROM s WHERE score > 0)
+SELECT * FROM x WHERE rank <= 50
+"""
+
+
 # ------------------------------------------------- op13: n-gram Jaccard join
 
 @query

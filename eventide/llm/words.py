@@ -84,10 +84,11 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         lo = hi
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end (exclusive) of each word, and for each text the index of
-    its first word (one more entry at the end)."""
-    inside = ~BLANK[data]
+    its first word (one more entry at the end). ``inside`` flags the bytes of
+    words, if they are others than those outside blanks."""
+    inside = ~BLANK[data] if inside is None else inside
     n = len(data)
     start = inside.copy()
     start[1:] &= ~inside[:-1]
