@@ -5,16 +5,16 @@ when ``100 * intersection >= percent * union``, which bounds their symmetric
 difference by ``(100 - percent) * (|a| + |b|) / (100 + percent)``.
 
 *Sketches.* Tokens are XORed into sketches in two ways. The *parity sketch* has
-1,024 bits and a token flips one of them; the Hamming distance of two sketches
-is at most the symmetric difference. The *segments* are the words of a wider
+512 bits, or as many as the set has tokens, and a token flips one of them; the
+Hamming distance of two sketches is at most the symmetric difference. The *segments* are the words of a wider
 sketch: a token is XORed, as 64 bits, into one of them, so that no more segments
 differ than there are different tokens.
 
 *Pigeonhole join.* Sizes fall into bands such that a set's partners lie in its
 own band or in a neighbouring one. A band has ``d + 1 + 2 z`` segments, where d
 is the largest symmetric difference of a link in it; linked sets share at least
-``2 z + 1`` of them. A set enters its own band and, as a smaller partner, the
-next one, and meets others under equal segments. Of the segments that very many
+``2 z + 1`` of them. A set enters its own band and, if it may have a larger
+partner there, the next one, and meets others under equal segments. Of the segments that very many
 sets share (an empty one, a passage found everywhere) a set leaves out the z most
 common: a linked pair still has one in common. The join is exact: apart from
 64-bit hashes that agree by chance, no linked pair is lost at any size.
@@ -22,11 +22,12 @@ common: a linked pair still has one in common. The join is exact: apart from
 *Verification.* No pairs are formed within a group. Its smallest set is compared
 with each other one (sizes and Hamming distance first, then the full sets), and
 the links' components are taken. Groups that then lie in one component are done.
-Of the others, the members without a partner in another component within the
-Hamming bound are dropped, and the rest are compared on full sets, group by
-group. A group too large for a task is cut into blocks, each pair of blocks in
-its own task. Documents with equal sets are one set from the start. Texts move
-compressed, for verification only.
+In the others, members of different components within the Hamming bound are
+connected, and what hangs together over all groups is one cluster, whose full
+sets are compared with each other, each text once. A group or cluster too large
+for a task is cut into blocks, each pair of blocks in its own task. Documents
+with equal sets are one set from the start. Texts move compressed, for
+verification only.
 
 Defined cases: a text without words or null has the empty set and is linked with
 nothing; fewer words than a shingle's make one shingle; a null id is in no group
@@ -56,7 +57,7 @@ PERCENT = 85
 LEAF = 2048  # sets of a group compared in one task
 LEAF_SHINGLES = 1_500_000  # and their shingles
 STAR_ROWS = 512  # sets that are compared with one copy of a group's smallest set
-PARITY_BITS = 1024
+PARITY_BITS = 512  # of the smallest parity sketch
 _SEEN = 100_000  # fingerprints a task remembers, so that copies send their segments once
 _SEGMENT, _TOKEN, _BIT = (np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0x1D8E4E27C47D124F, 0xA24BAED4963EE407))
 
@@ -73,21 +74,24 @@ class Bands:
 
 
 def bands(percent: int = PERCENT) -> Bands:
-    """A partner of a set of the band is no larger than the next band's largest."""
+    """A partner of a set of the band is no larger than the next band's largest.
+    Bands are twice as wide as that asks, so that only half of the sets enter two."""
     if not 0 < percent < 100:
         raise ValueError("percent must lie between 1 and 99")
     low = [1]
     while low[-1] < 1 << 36:
-        low.append(low[-1] * 100 // percent + 1)
+        low.append((low[-1] * 100 // percent + 1) * 100 // percent + 1)
     most = np.array([2 * (high - 1) * (100 - percent) // (100 + percent) for high in low[1:]], dtype=np.int64)
     spare = 1 + most // 32
     return Bands(np.array(low[:-1], dtype=np.int64), np.where(most > 0, most + 1 + 2 * spare, 0), spare)
 
 
-def segment_keys(tokens: np.ndarray, owner: np.ndarray, band: np.ndarray, all_bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, keys per set): for each set its segments in the given band, each
-    hashed with its place. ``owner`` is each token's set. The lowest bit tells odd bands."""
-    count = all_bands.segments[band]
+def segment_keys(tokens: np.ndarray, owner: np.ndarray, band: np.ndarray, all_bands: Bands,
+                 wanted: np.ndarray | bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, keys per set): for each wanted set its segments in the given band,
+    each hashed with its place. ``owner`` is each token's set. The lowest bit
+    tells odd bands."""
+    count = np.where(wanted, all_bands.segments[band], 0)
     base = np.cumsum(count) - count
     used = count[owner] > 0
     tokens, owner = tokens[used], owner[used]
@@ -106,16 +110,20 @@ def segment_keys(tokens: np.ndarray, owner: np.ndarray, band: np.ndarray, all_ba
     return keys | (band[of] & 1).astype(np.uint64), count
 
 
-def parity_sketches(tokens: np.ndarray, owner: np.ndarray, n_sets: int) -> np.ndarray:
-    """(n_sets, PARITY_BITS / 64) words; each token flips one bit of its set's sketch."""
-    bit = (WD.mix(tokens ^ _BIT) % np.uint64(PARITY_BITS)).astype(np.int64)
-    out = np.empty((n_sets, PARITY_BITS // 64), dtype=np.uint64)
-    for lo in range(0, n_sets, 512):
+def parity_sketches(tokens: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, words per set): each token flips one bit of its set's sketch. A
+    sketch has at least as many bits as its set has tokens, a power of two, so
+    that XORing its halves gives the sketch of half the length."""
+    n_bits = PARITY_BITS << np.maximum(0, np.ceil(np.log2(np.maximum(sizes, 1) / PARITY_BITS))).astype(np.int64)
+    salted, parts = WD.mix(tokens ^ _BIT), [np.zeros(0, dtype=np.uint64)]
+    for lo in range(0, len(sizes), 512):
         a, b = np.searchsorted(owner, [lo, lo + 512])
-        rows = min(512, n_sets - lo)
-        odd = np.bincount((owner[a:b] - lo) * PARITY_BITS + bit[a:b], minlength=rows * PARITY_BITS) & 1
-        out[lo:lo + rows] = np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8").reshape(rows, -1)
-    return out
+        length = n_bits[lo:lo + 512]
+        base, of = np.cumsum(length) - length, owner[a:b] - lo
+        bit = base[of] + (salted[a:b] & (length[of] - 1).astype(np.uint64)).astype(np.int64)
+        odd = np.bincount(bit, minlength=int(length.sum())) & 1
+        parts.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8"))
+    return np.concatenate(parts), n_bits // 64
 
 
 def _lists(values: np.ndarray, count: np.ndarray) -> pa.ListArray:
@@ -136,7 +144,7 @@ def _sketch(k: int, percent: int):
                 size = np.array([len(s) for s in sets], dtype=np.int64)
                 full = np.flatnonzero((size > 0) & ids.is_valid().to_numpy(zero_copy_only=False))
                 sums = np.zeros((2, len(sets)), dtype=np.uint64)
-                bits = np.zeros((len(sets), PARITY_BITS // 64), dtype=np.uint64)
+                bits, n_words = np.zeros(0, dtype=np.uint64), np.zeros(len(sets), dtype=np.int64)
                 spare = np.zeros(len(sets), dtype=np.int64)
                 keys, n_keys = [np.zeros(0, dtype=np.uint64)], np.zeros(len(sets), dtype=np.int64)
                 if len(full):
@@ -145,7 +153,7 @@ def _sketch(k: int, percent: int):
                     begin = np.cumsum(size[full]) - size[full]
                     for row, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
                         sums[row, full] = np.add.reduceat(WD.mix(flat ^ np.uint64(salt)), begin)
-                    bits[full] = parity_sketches(flat, owner, len(full))
+                    bits, n_words[full] = parity_sketches(flat, owner, size[full])
                     spare[full] = all_bands.spare[all_bands.of(size[full])]
                     fresh = []
                     for at, print_ in enumerate(zip(*sums[:, full].tolist())):
@@ -159,14 +167,15 @@ def _sketch(k: int, percent: int):
                     owner = np.repeat(np.arange(len(fresh)), fresh_size)
                     own = all_bands.of(fresh_size)
                     a, n_a = segment_keys(flat, owner, own, all_bands)
-                    b, n_b = segment_keys(flat, owner, own + 1, all_bands)
+                    above = fresh_size * 100 // percent >= all_bands.low[own + 1]  # a partner may lie in the next band
+                    b, n_b = segment_keys(flat, owner, own + 1, all_bands, above)
                     n_keys[full[fresh]] = n_a + n_b
                     ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
                     for i in range(len(fresh)):
                         keys += [a[ends_a[i] - n_a[i]:ends_a[i]], b[ends_b[i] - n_b[i]:ends_b[i]]]
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
-                     _lists(bits.reshape(-1), np.full(len(sets), PARITY_BITS // 64)), pa.array(spare),
+                     _lists(bits, n_words), pa.array(spare),
                      _lists(np.concatenate(keys), n_keys)],
                     names=["id", "n", "s1", "s2", "bits", "spare", "keys"])
 
@@ -178,9 +187,18 @@ SKETCH = "id long, n long, s1 long, s2 long, bits array<long>, spare long, keys
 
 def may_link(percent: int, n_a: Column, bits_a: Column, n_b: Column, bits_b: Column) -> Column:
     """Whether sizes and Hamming distance leave a link possible."""
-    distance = F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    def xor(x: Column, y: Column) -> Column:
+        return x.bitwiseXOR(y)
+
+    def folded(x: Column, other: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.when(F.size(x) > F.size(other), F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), xor)).otherwise(x)
+
+    differ = F.zip_with(folded(bits_a, bits_b), folded(bits_b, bits_a), lambda x, y: F.bit_count(xor(x, y)))
+    distance = F.aggregate(differ, F.lit(0), lambda s, x: s + x)
+    # without a value where lengths still differ, as at low thresholds
     return ((100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
-            & ((100 + percent) * distance <= (100 - percent) * (n_a + n_b)))
+            & F.coalesce((100 + percent) * distance <= (100 - percent) * (n_a + n_b), F.lit(True)))
 
 
 def segment_groups(sketches: DataFrame, owned: DataFrame, leaf: int = LEAF) -> DataFrame:
@@ -239,31 +257,36 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return met.mapInArrow(_star_links(shingle, percent), "a long, b long")
 
 
-def _near_members(percent: int):
-    """The members of each node with a partner in another component within the
-    Hamming bound; the rows of a node follow one another."""
+def _near_edges(percent: int):
+    """A spanning forest, for each node, of the pairs of members in different
+    components within the Hamming bound; the rows of a node follow one another."""
     def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            yield from zip(*(batch.column(i).to_pylist() for i in range(4)),
-                           batch.column(4).flatten().to_numpy().view(np.uint64).reshape(batch.num_rows, -1))
+            bits = (x.values.to_numpy().view(np.uint64) for x in batch.column(4))
+            yield from zip(*(batch.column(i).to_pylist() for i in range(4)), bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, ids = [], []
-        for node, members in groupby(rows(batches), key=lambda r: r[0]):
+        found: list[tuple[int, int]] = []
+        for _, members in groupby(rows(batches), key=lambda r: r[0]):
             _, doc, own, n, bits = zip(*members)
-            own, n, bits = np.array(own), np.array(n), np.array(bits)
-            near = np.zeros(len(n), dtype=bool)
+            own, n, length = np.array(own), np.array(n), min(map(len, bits))
+            bits = np.array([np.bitwise_xor.reduce(x.reshape(-1, length)) for x in bits])  # all of one length
+            root = np.arange(len(n))
             for i in range(len(n)):
+                if (root == root[0]).all():
+                    break
                 distance = np.bitwise_count(bits ^ bits[i]).sum(axis=1, dtype=np.int64)
-                near[i] = ((own != own[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-                           & ((100 + percent) * distance <= (100 - percent) * (n + n[i]))).any()
-            nodes += [node] * int(near.sum())
-            ids += [d for d, keep in zip(doc, near.tolist()) if keep]
-            if len(ids) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(ids, pa.int64())], names=["node", "id"])
-                nodes, ids = [], []
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(ids, pa.int64())], names=["node", "id"])
+                near = ((own != own[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+                        & ((100 + percent) * distance <= (100 - percent) * (n + n[i])))
+                for j in np.flatnonzero(near & (root != root[i])).tolist():
+                    if root[i] != root[j]:
+                        found.append((doc[i], doc[j]))
+                        root[root == root[j]] = root[i]
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
+                found = []
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["a", "b"])
 
     return run
 
@@ -290,7 +313,8 @@ def _node_links(k: int, percent: int):
 
 def _blocks(members: DataFrame, leaf: int, leaf_shingles: int) -> DataFrame:
     """(node, id, own, n): nodes too large for a task are cut into blocks, and
-    each pair of blocks is a node of its own. ``members`` has m and weight."""
+    each pair of blocks is a node of its own. ``members`` has m, the node's
+    members, and weight, their shingles."""
     n_blocks = F.greatest(F.ceil(F.col("m") * 2 / leaf), F.ceil(F.col("weight") * 2 / leaf_shingles))
     small = (F.col("m") <= leaf) & (F.col("weight") <= leaf_shingles)
     block = F.pmod(F.xxhash64(F.lit(2), "id"), n_blocks)
@@ -336,11 +360,14 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     split = write_table(placed.groupBy("node").agg(
         F.count("*").alias("m"), F.sum("n").alias("weight"), F.min("own").alias("lo"), F.max("own").alias("hi"))
         .where("lo <> hi").select("node", "m", "weight"), "parity-split")
-    cut = _blocks(placed.join(split, "node"), leaf, leaf_shingles)
+    cut = _blocks(placed.join(split, "node"), leaf, 16 * leaf_shingles)  # sketches, not sets
     near = (cut.join(prints.select("id", "bits", F.col("n").alias("size")), "id").select("node", "id", "own", "size", "bits")
-            .repartition(F.col("node")).sortWithinPartitions("node")
-            .mapInArrow(_near_members(percent), "node long, id long").distinct())
-    met = (write_table(near, "parity-near").join(texts, "id").select("node", "id", "packed")
+            .repartition(F.col("node")).sortWithinPartitions("node").mapInArrow(_near_edges(percent), "a long, b long"))
+    clusters = components(near).select(F.col("node").alias("id"), F.col("component").alias("node")).join(sizes, "id")
+    clusters = write_table(clusters.withColumn("own", F.col("id")), "parity-clusters")
+    weights = write_table(clusters.groupBy("node").agg(F.count("*").alias("m"), F.sum("n").alias("weight")), "parity-weights")
+    clusters = _blocks(clusters.join(weights, "node"), leaf, leaf_shingles).select("node", "id")
+    met = (clusters.join(texts, "id").select("node", "id", "packed")
            .repartition(F.col("node")).sortWithinPartitions("node"))
     links = links.unionByName(met.mapInArrow(_node_links(shingle, percent), "a long, b long"))
     # rows of one id with different texts tie their sets together

@@ -57,7 +57,7 @@ def family(seed, n_docs, sizes):
 
 @pytest.mark.parametrize("percent", [85, 60])
 def test_equals_all_pairs(spark, percent):
-    docs = family(1, 150, (9, 14, 25, 60, 130, 300))
+    docs = family(1, 150, (9, 14, 25, 60, 130, 300, 520, 1040))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert got(PJ.groups(df, percent=percent)) == brute(docs, percent)
 
@@ -73,12 +73,13 @@ def test_linked_pairs_share_segments():
     r = random.Random(5)
     b = PJ.bands(85)
     for _ in range(400):
-        n = r.choice([1, 3, 6, 7, 8, 20, 100, 700, 3000])
+        n = r.choice([1, 3, 6, 7, 8, 20, 100, 500, 700, 1030, 3000])
         pool = np.array([r.getrandbits(64) for _ in range(2 * n + 4)], dtype=np.uint64)
         one = pool[:n]
         two = np.concatenate([one[:n - r.randint(0, n // 8)], pool[n:n + r.randint(0, n // 8 + 1)]])
         common, union = len(np.intersect1d(one, two)), len(np.union1d(one, two))
-        x, y = (PJ.parity_sketches(np.sort(s), np.zeros(len(s), dtype=np.int64), 1)[0] for s in (one, two))
+        x, y = (PJ.parity_sketches(np.sort(s), np.zeros(len(s), dtype=np.int64), np.array([len(s)]))[0] for s in (one, two))
+        x, y = (np.bitwise_xor.reduce(w.reshape(-1, min(len(x), len(y)))) for w in (x, y))
         assert np.bitwise_count(x ^ y).sum() <= union - common
         if not len(two) or 100 * common < 85 * union or union == common:
             continue
