@@ -49,7 +49,7 @@ BATCH_TERMS = 200_000
 BLOCK_DOCS = 512  # documents whose bounds are computed at once
 RESCORED = 64  # documents rescored between two looks at the threshold
 LANES = 64  # first step of the merge
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# bytes of the terms [^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+
 _INSIDE = np.zeros(256, dtype=bool)
 _INSIDE[ord("0"):ord("9") + 1] = _INSIDE[ord("A"):ord("Z") + 1] = _INSIDE[ord("a"):ord("z") + 1] = True
 _INSIDE[0x80:] = True
@@ -125,6 +125,14 @@ def _index_rows(n_docs: int, n_terms: int):
     return run
 
 
+def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents with terms and their terms with repeats."""
+    for batch in batches:
+        for _, data, offsets in WD.text_slices(batch.column(0)):
+            n = np.diff(WD.word_bounds(data, offsets, _INSIDE[data])[2])
+            yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], names=["docs", "terms"])
+
+
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         term, count = np.unique(_flat(batch.column(0), "<u8")[0], return_counts=True)
@@ -144,8 +152,8 @@ class Index:
 def build(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Index:
     """Index of every document, written to the shared folder."""
     rows = docs.select(docs[f"`{doc_id}`"].cast("long").alias("id"), docs[f"`{text}`"].cast("string").alias("text"))
-    n = F.regexp_count("text", F.lit(TERM)).cast("long")
-    sums = rows.select(n.alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.sum("n").alias("terms")).collect()[0]
+    sums = (rows.select("text").mapInArrow(_lengths, "docs long, terms long")
+            .agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.sum("terms").alias("terms")).collect()[0])
     n_docs, n_terms = sums["docs"], sums["terms"] or 0
     schema = "id long, n long, terms binary, counts binary, places binary, tops binary"
     index = write_table(rows.mapInArrow(_index_rows(n_docs, n_terms), schema), "search-index")
