@@ -1174,6 +1174,37 @@ def rule_table(spark: SparkSession, sf: str) -> DataFrame:
     return first_rule_from_table(o, "t", rules).select("o_orderkey", "label")
 
 
+def vocabulary(spark, sf) -> DataFrame:
+    """Words of four letters or more of the benchmark texts, with the number of
+    texts that hold them."""
+    b = load(spark, sf, "benchmark").select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z]+"))).alias("term"))
+    return b.where(F.length("term") >= 4).groupBy("term").agg(F.count("*").alias("n_texts"))
+
+
+@query
+def keyword_table(spark: SparkSession, sf: str) -> DataFrame:
+    """P1 with keywords as a table: documents that hold any of the rare long
+    words of the benchmark texts, anywhere and as whole words."""
+    from ..operators.rules import holds_term_from_table
+
+    terms = vocabulary(spark, sf).where((F.col("n_texts") == 1) & (F.length("term") >= 9))
+    d = load(spark, sf, "documents").select("doc_id", "text")
+    d = holds_term_from_table(d, "text", terms, out="anywhere")
+    return holds_term_from_table(d, "text", terms, out="as_word", whole_word=True).drop("text")
+
+
+@query
+def rule_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """J4 M4 with a rule for each word of the benchmark texts: documents by the
+    rarest such word they hold (of equally rare ones the first label)."""
+    from ..operators.rules import first_rule_from_table
+
+    rules = vocabulary(spark, sf).select(F.col("n_texts").alias("priority"), F.upper("term").alias("label"),
+                                         F.col("term").alias("needle"))
+    d = load(spark, sf, "documents").select("doc_id", "text")
+    return first_rule_from_table(d, "text", rules).select("doc_id", "label")
+
+
 @query
 def capped_batch(spark: SparkSession, sf: str) -> DataFrame:
     """The first 80 events in arrival order, and no others."""

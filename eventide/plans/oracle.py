@@ -992,6 +992,29 @@ h AS (SELECT o_orderkey, label, row_number() OVER (PARTITION BY o_orderkey ORDER
 SELECT o.o_orderkey, h.label FROM o LEFT JOIN h ON h.o_orderkey = o.o_orderkey AND h.rn = 1
 """
 
+_VOCABULARY = """
+v AS MATERIALIZED (SELECT term, count(*) AS n_texts
+  FROM (SELECT item_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[^a-z]+'))) AS term FROM benchmark)
+  WHERE length(term) >= 4 GROUP BY term)
+"""
+
+SQL["keyword_table"] = f"""
+WITH {_VOCABULARY},
+t AS (SELECT term FROM v WHERE n_texts = 1 AND length(term) >= 9),
+a AS (SELECT DISTINCT doc_id FROM documents JOIN t ON contains(lower(text), term)),
+w AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS term FROM documents)
+      SEMI JOIN t USING (term))
+SELECT doc_id, a.doc_id IS NOT NULL AS anywhere, w.doc_id IS NOT NULL AS as_word
+FROM documents d LEFT JOIN a USING (doc_id) LEFT JOIN w USING (doc_id)
+"""
+
+SQL["rule_vocabulary"] = f"""
+WITH {_VOCABULARY},
+h AS (SELECT doc_id, arg_min(upper(term), struct_pack(a := n_texts, b := upper(term))) AS label
+      FROM documents JOIN v ON contains(lower(text), term) GROUP BY doc_id)
+SELECT doc_id, label FROM documents LEFT JOIN h USING (doc_id)
+"""
+
 SQL["capped_batch"] = """
 SELECT user_id % 3 AS source_rank, event_id AS ord FROM events ORDER BY source_rank, ord LIMIT 80
 """
