@@ -858,6 +858,24 @@ def ical_scan(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("name", "source", "raw_location", "raw_start_date", "raw_end_date", "website", "card_text")
 
 
+FEEDS = [(0, "Feed 0", "Default 0"), (1, "Feed 1", "Default 1"), (2, "Feed 2", "Default 2")]
+
+
+@query
+def ical_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The calendars of ical_scan landed as one file per feed, read
+    event by event from byte ranges of the files, joined to a feed table."""
+    from ..session import scratch_path
+    from ..sources.ical import read_calendars, scan_calendars
+
+    root = scratch_path(spark, "calendars")
+    files = ics_files(spark, sf).repartition("feed").sortWithinPartitions("feed", "chunk")
+    files.select("feed", "value").write.partitionBy("feed").text(root)
+    reg = spark.createDataFrame([(*f, f[0]) for f in FEEDS], "feed int, label string, default_location string, rank long")
+    out = scan_calendars(read_calendars(spark, root), reg, AS_OF_EVENTS, key="feed")
+    return out.select("name", "source", "raw_location", "raw_start_date", "raw_end_date", "website", "card_text")
+
+
 # -------------------------------------------------------------- union ----
 
 def listing_events(spark, sf) -> DataFrame:

@@ -823,6 +823,9 @@ FROM w
 """
 
 
+SQL["ical_files"] = SQL["ical_scan"]
+
+
 # -------------------------------------------------------------- union ----
 
 def _seeds_sql() -> str:

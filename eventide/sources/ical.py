@@ -1,13 +1,15 @@
 """Calendar (.ics) scan (S1, F7, F8, W2, P5, P13, P14) -- native text handling.
 
-Input is ``(path, value)`` rows, one per calendar document (any table of landed
-feeds). Each document is one task's work; the VEVENT blocks
-it holds are exploded into rows and every property is a ``regexp_extract``.
+Calendars come in two forms. A table of documents has ``(path, value)`` rows, and
+a document is one task's work (:func:`vevents`). Landed files are read event by
+event (:func:`read_calendars`): Spark cuts a file into byte ranges and hands its
+records, ended by ``BEGIN:VEVENT``, to as many tasks, so that one calendar of any
+size is read by many. Every property is a ``regexp_extract``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import fmt_date, ical_date, in_lookahead
@@ -17,6 +19,7 @@ from ..operators.dedup import first_wins
 from ..vocab import SUMMARY_CARD_CHARS
 
 _BLOCK_RE = r"(?s)BEGIN:VEVENT\r?\n(.*?)END:VEVENT"
+_RECORD_RE = r"(?s)^\r?\n(.*?)END:VEVENT"  # of a record, which follows its BEGIN:VEVENT
 
 
 # Parameters of a property; a quoted value may hold colons and semicolons.
@@ -47,11 +50,30 @@ def vevents(feeds: DataFrame) -> DataFrame:
     """(path, pos, name, dtstart, tzid, dtend, end_tzid, location, url, description)."""
     unfolded = feeds.select("path", F.regexp_replace("value", r"\r?\n[ \t]", "").alias("_v"))
     blocks = unfolded.select("path", F.posexplode(F.regexp_extract_all("_v", F.lit(_BLOCK_RE), 1)).alias("pos", "_b"))
+    return _event_fields(blocks.select("path", (F.col("pos") + 1).cast("int").alias("pos"), "_b"))
+
+
+def read_calendars(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pos, ...) as :func:`vevents`, from the calendar files under
+    ``path``, which may be split; ``pos`` is an array that orders the events of a
+    file: the start of their byte range and their place in it. An event ends
+    with its first ``END:VEVENT``; one that never ends is left out. Columns of a
+    partitioned folder are kept."""
+    records = (spark.read.option("lineSep", "BEGIN:VEVENT").text(path)
+               .withColumn("path", F.col("_metadata.file_path"))
+               .withColumn("pos", F.array(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())))
+    body = F.regexp_extract(F.regexp_replace("value", r"\r?\n[ \t]", ""), _RECORD_RE, 1)
+    return _event_fields(records.withColumn("_b", body).drop("value").where(F.col("_b") != ""))
+
+
+def _event_fields(blocks: DataFrame) -> DataFrame:
+    """Properties of the event blocks ``_b``; other columns are kept."""
+    others = [c for c in blocks.columns if c != "_b"]
     blocks = blocks.withColumn("_b", F.regexp_replace("_b", _NESTED, ""))
     b = F.col("_b")
     tz = lambda n: F.regexp_extract(_params(b, n), r'TZID="?([^;:"]*)', 1)
     return blocks.select(
-        "path", (F.col("pos") + 1).cast("int").alias("pos"),
+        *others,
         strip_ws(unescape_text(F.coalesce(_prop(b, "SUMMARY"), F.lit("")))).alias("name"),
         _prop(b, "DTSTART").alias("dtstart"), tz("DTSTART").alias("tzid"),
         _prop(b, "DTEND").alias("dtend"), tz("DTEND").alias("end_tzid"),
@@ -60,14 +82,17 @@ def vevents(feeds: DataFrame) -> DataFrame:
         strip_ws(unescape_text(F.coalesce(_prop(b, "DESCRIPTION"), F.lit("")))).alias("description"))
 
 
-def scan_calendars(feeds: DataFrame, registry: DataFrame, as_of, lookahead_days: int = 180) -> DataFrame:
+def scan_calendars(feeds: DataFrame, registry: DataFrame, as_of, lookahead_days: int = 180, key: str = "path") -> DataFrame:
     """Upcoming named events of every feed; location defaults to the
     feed's; first-wins by lower-cased name across feeds in registry order.
 
-    ``registry``: path, label, default_location, rank (a small dimension).
+    ``feeds`` are documents (path, value) or the events of
+    :func:`read_calendars`; ``registry``: ``key`` (path, or another column of the
+    events), label, default_location, rank (a small dimension).
     """
     rank = F.col("rank") if dict(registry.dtypes)["rank"].startswith("array") else order_key("rank")
-    ev = vevents(feeds).join(sized_broadcast(registry.select("path", "label", "default_location", rank.alias("rank"))), "path")
+    events = vevents(feeds).withColumn("pos", order_key("pos")) if "value" in feeds.columns else feeds
+    ev = events.join(sized_broadcast(registry.select(key, "label", "default_location", rank.alias("rank"))), key)
     start = ical_date(F.col("dtstart"), F.col("tzid"))
     end = ical_date(F.col("dtend"), F.col("end_tzid"))
     ev = (ev.where(F.col("name") != "")
@@ -80,4 +105,4 @@ def scan_calendars(feeds: DataFrame, registry: DataFrame, as_of, lookahead_days:
         fmt_date("_start").alias("raw_start_date"),
         F.coalesce(fmt_date("_end"), F.lit("")).alias("raw_end_date"),
         F.col("url").alias("website"), truncate(F.col("description"), SUMMARY_CARD_CHARS).alias("card_text"),
-        F.concat("rank", order_key("pos")).alias("ord"))
+        F.concat("rank", "pos").alias("ord"))
