@@ -9,19 +9,29 @@ Scale notes
   with partial (map-side) aggregation, so a key that holds a third of all rows
   is reduced inside each map task before the shuffle -- unlike a
   ``row_number()`` window, which would sort that whole key in one task.
-* ``greedy_two_key`` (W5) decides rows in rounds; each round is two key-joins
-  and the undecided set is checkpointed into the shared checkpoint folder so
-  lineage stays short and a lost executor only replays one round.
+* ``greedy_two_key`` (W5) splits the rows that share keys into connected
+  components. A component of bounded size is walked in order inside one task;
+  larger ones are thinned by rounds of two key-joins first. What is undecided is
+  checkpointed into the shared checkpoint folder, so lineage stays short and a
+  lost executor replays one step only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import norm_key, strip_ws
 from ..session import cut_lineage
 from .common import require_unique
+from .components import components
+
+# Rows of a component that one task walks in order.
+TASK_ROWS = 200_000
 
 
 def _pick(df: DataFrame, keys: list[str | Column], order: list[str], first: bool) -> DataFrame:
@@ -55,49 +65,100 @@ def dedup_keys(name: Column, url: Column, case_fold: bool = True) -> Column:
     return F.when(u.isNull() | (u == ""), F.array(n)).otherwise(F.array(n, u))
 
 
-def greedy_two_key(df: DataFrame, name: str | Column, url: str | Column, ord_col: str,
-                   case_fold: bool = True, max_rounds: int = 10_000, check_order: bool = True) -> DataFrame:
-    """Walk rows in ``ord_col`` order and keep a row unless one of its keys
-    belongs to an already kept row. Exact, computed by rounds:
+def _walk():
+    """The orders that the two-key rule keeps; the rows of a component follow
+    one another in their order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        component, owned = None, set()
+        for batch in batches:
+            keep = []
+            for row, (at, keys) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if at != component:
+                    component, owned = at, set()
+                if owned.isdisjoint(keys):
+                    owned.update(keys)
+                    keep.append(row)
+            yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(keep, pa.int64()))], names=["_ord"])
+
+    return run
+
+
+def _thinned(undecided: DataFrame, rounds: int) -> tuple[list[DataFrame], DataFrame]:
+    """Rows kept by some rounds over (_ord, _keys), and the rows left undecided:
 
     1. m(key) = min(ord) over the undecided rows holding the key;
     2. a row whose ord equals m(key) for all of its keys is kept;
     3. undecided rows sharing a key with a row kept in 2 are dropped.
+    """
+    parts = []
+    for _ in range(rounds):
+        edges = undecided.select("_ord", F.explode("_keys").alias("_key"))
+        first_of_key = edges.groupBy("_key").agg(F.min("_ord").alias("_m"))
+        kept = cut_lineage(edges.join(first_of_key, "_key")
+                           .groupBy("_ord").agg(F.min((F.col("_ord") == F.col("_m")).cast("int")).alias("_all"))
+                           .where("_all = 1").select("_ord"))
+        parts.append(kept)
+        kept_keys = edges.join(kept, "_ord", "left_semi").select("_key").distinct()
+        blocked = edges.join(kept_keys, "_key", "left_semi").select("_ord")
+        undecided = cut_lineage(undecided.join(blocked, "_ord", "left_anti"))
+    return parts, undecided
+
+
+def greedy_two_key(df: DataFrame, name: str | Column, url: str | Column, ord_col: str,
+                   case_fold: bool = True, check_order: bool = True, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Walk rows in ``ord_col`` order and keep a row unless one of its keys
+    belongs to an already kept row. Exact:
+
+    * of rows with the same keys only the first can be kept, so one aggregate
+      reduces them first, and a row that shares no key is kept at once;
+    * the others fall into components of rows that hang together by their keys;
+      a component of at most ``task_rows`` rows is walked in order by a task
+      (few rows in all are walked without looking for components);
+    * a larger component is thinned by rounds and split again. One with a hot
+      key falls apart in a round or two; only a chain of more than ``task_rows``
+      rows in ascending order takes rounds in proportion to its length.
 
     ``ord_col`` must be unique (rows are told apart by it); a repeated value
     raises ``ValueError``. Returns the kept rows of ``df`` (all columns).
     """
     name_c = F.col(name) if isinstance(name, str) else name
     url_c = F.col(url) if isinstance(url, str) else url
-    # one checkpoint of the input: the rounds and the final pick both read it
-    base = cut_lineage(df.withColumn("_keys", dedup_keys(name_c, url_c, case_fold)))
+    # one checkpoint of the input: the walk and the final pick both read it
+    base = cut_lineage(df.withColumn("_keys", F.array_distinct(dedup_keys(name_c, url_c, case_fold))))
     if check_order:
         require_unique(base, ord_col, "greedy_two_key")
-    edges0 = base.select(F.col(ord_col).alias("_ord"), F.explode("_keys").alias("_key"))
-    # fast path: no key shared by two rows -> every row is kept
-    if edges0.groupBy("_key").count().where("count > 1").isEmpty():
-        return base.drop("_keys")
-    undecided = base.select(F.col(ord_col).alias("_ord"), "_keys")
+    undecided = cut_lineage(base.groupBy("_keys").agg(F.min(ord_col).alias("_ord")).select("_ord", "_keys"))
     kept_parts: list[DataFrame] = []
-    rounds = 0
-    while not undecided.isEmpty():
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"greedy_two_key: no fixpoint after {max_rounds} rounds")
+    schema = T.StructType([T.StructField("_ord", base.schema[ord_col].dataType)])
+    while True:
         edges = undecided.select("_ord", F.explode("_keys").alias("_key"))
-        first_of_key = edges.groupBy("_key").agg(F.min("_ord").alias("_m"))
-        kept = (edges.join(first_of_key, "_key")
-                .groupBy("_ord").agg(F.min((F.col("_ord") == F.col("_m")).cast("int")).alias("_all"))
-                .where("_all = 1").select("_ord"))
-        kept = cut_lineage(kept)
-        kept_parts.append(kept)
-        kept_keys = edges.join(kept, "_ord", "left_semi").select("_key").distinct()
-        blocked = edges.join(kept_keys, "_key", "left_semi").select("_ord")
-        undecided = cut_lineage(undecided.join(blocked, "_ord", "left_anti"))
-    if not kept_parts:
-        return base.drop("_keys").limit(0)
+        shared = edges.groupBy("_key").count().where("count > 1").select("_key")
+        rivals = edges.join(shared, "_key", "left_semi").select("_ord").distinct()
+        rest = cut_lineage(undecided.join(rivals, "_ord", "left_semi"))
+        kept_parts.append(undecided.join(rest.select("_ord"), "_ord", "left_anti").select("_ord"))
+        n_rest = rest.count()
+        if not n_rest:
+            break
+        nodes = F.transform("_keys", lambda k: F.xxhash64(k))
+        if n_rest <= task_rows:
+            small, large = rest.select(F.lit(0).cast("long").alias("_component"), "_keys", "_ord"), None
+        else:
+            pairs = rest.where(F.size("_keys") > 1).select(nodes[0].alias("a"), nodes[1].alias("b"))
+            found = components(pairs).withColumnRenamed("component", "_found")
+            placed = rest.withColumn("_node", nodes[0]).join(found, F.col("_node") == F.col("node"), "left")
+            placed = cut_lineage(placed.select(F.coalesce("_found", "_node").alias("_component"), "_keys", "_ord"))
+            sizes = placed.groupBy("_component").count().where(F.col("count") > task_rows).select("_component")
+            sizes = cut_lineage(sizes)
+            small = placed.join(sizes, "_component", "left_anti")
+            large = None if sizes.isEmpty() else placed.join(sizes, "_component", "left_semi").select("_ord", "_keys")
+        walked = (small.repartition(F.col("_component")).sortWithinPartitions("_component", "_ord")
+                  .select("_component", "_keys", "_ord").mapInArrow(_walk(), schema))
+        kept_parts.append(cut_lineage(walked))
+        if large is None:
+            break
+        parts, undecided = _thinned(large, 2)
+        kept_parts += parts
     kept_all = kept_parts[0]
     for k in kept_parts[1:]:
         kept_all = kept_all.unionByName(k)
     return base.join(kept_all.withColumnRenamed("_ord", ord_col), ord_col, "left_semi").drop("_keys")
-

@@ -11,8 +11,9 @@ operations:
   the last row with manual columns blank;
 * ``updated`` counts inputs that changed something, ``added`` counts appends.
 
-Nothing is collected; the result is a new snapshot DataFrame plus a change
-plan (K8) that can be shown without applying it.
+Nothing is collected; the result is a new snapshot DataFrame, a change list to
+show (K8), and the whole plan, which can be stored and applied later
+(:func:`apply_changes`) to the table or to the part of it that it touches.
 """
 
 from __future__ import annotations
@@ -24,19 +25,21 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import days_span, parse_date
 from ..functions.text import strip_ws
-from ..schema import MANAGED_FIELDS, MANUAL_FIELDS, TRACKER
+from ..schema import MANAGED_FIELDS, MANUAL_FIELDS, TRACKER, TRACKER_COLUMNS
 from ..session import cut_lineage
 from .common import require_unique, with_positions
 from .dedup import greedy_two_key
 from .match import match_existing
 
 _EVENT_FIELDS = ["name", "website"] + MANAGED_FIELDS
+_PLANNED = ["row_no", *TRACKER_COLUMNS]  # fields that a plan may set
 
 
 @dataclass
 class UpsertResult:
     snapshot: DataFrame      # all rows of the target sheet after the upsert
-    changes: DataFrame       # K8 plan: action, sheet, row_id, field, old, new
+    changes: DataFrame       # K8 list: action, sheet, row_id, field, old, new; an insert by its name
+    plan: DataFrame          # the same with every field of an insert, to be applied
     counts: DataFrame        # one row: added, updated
 
 
@@ -155,11 +158,44 @@ def upsert(tracker: DataFrame, incoming: DataFrame, sheet: str,
                           F.lit("name").alias("field"), F.lit(None).cast("string").alias("old"),
                           F.col("name").alias("new"))
     changes = upd.unionByName(ins)
+    cells = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("new")) for f in _PLANNED]
+    rows = appended.select("row_id", F.explode(F.array(*cells)).alias("_c")).where(F.coalesce("_c.new", F.lit("")) != "")
+    plan = upd.unionByName(rows.select(F.lit("insert").alias("action"), F.lit(sheet).alias("sheet"), "row_id", "_c.field",
+                                       F.lit(None).cast("string").alias("old"), "_c.new"))
     counts = (appended.select(F.lit(1).alias("_a"), F.lit(0).alias("_u"))
               .unionByName(m.select(F.lit(0).alias("_a"), F.col("_changed").cast("int").alias("_u")))
               .agg(F.coalesce(F.sum("_a"), F.lit(0)).cast("long").alias("added"),
                    F.coalesce(F.sum("_u"), F.lit(0)).cast("long").alias("updated")))
-    return UpsertResult(snapshot=snapshot, changes=changes, counts=counts)
+    return UpsertResult(snapshot=snapshot, changes=changes, plan=plan, counts=counts)
+
+
+def apply_changes(tracker: DataFrame, plan: DataFrame) -> DataFrame:
+    """K8: the tracker after a plan (action, sheet, row_id, field, old, new):
+    updates set single fields of rows by id, inserts add rows, a field that is
+    not planned being blank, and deletes drop rows. Ids that the tracker does
+    not hold are updated nowhere, so a plan may be applied to a part of it. The
+    plan's rows are folded by id in one aggregate and met in one join."""
+    wide = plan.groupBy("row_id").agg(
+        F.first("action").alias("_action"), F.first("sheet").alias("_sheet"),
+        *[F.max(F.when(F.col("field") == f, F.col("new"))).alias(f"_new_{f}") for f in _PLANNED])
+    kept = tracker.join(wide.where("_action <> 'insert'"), "row_id", "left").where("coalesce(_action, '') <> 'delete'")
+    kept = kept.select(*[F.coalesce(F.col(f"_new_{c}").cast(tracker.schema[c].dataType), F.col(c)).alias(c)
+                         if c in _PLANNED else F.col(c) for c in tracker.columns])
+    blank = {f.name: F.lit("") for f in TRACKER.fields if f.dataType.simpleString() == "string"}
+    added = wide.where("_action = 'insert'").select(
+        F.col("_sheet").alias("sheet"), "row_id",
+        *[F.coalesce(F.col(f"_new_{f}"), blank[f]).alias(f) if f in blank else F.col(f"_new_{f}").alias(f) for f in _PLANNED])
+    return conform_tracker(kept).unionByName(conform_tracker(added))
+
+
+def stale_changes(tracker: DataFrame, plan: DataFrame) -> DataFrame:
+    """Updates of a stored plan whose row is gone or no longer holds the old
+    value: (row_id, field, old, current)."""
+    cells = tracker.select("row_id", F.explode(F.array(*[
+        F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("current")) for f in _PLANNED])).alias("_c"))
+    updates = plan.where("action = 'update'").select("row_id", "field", "old")
+    return (updates.join(cells.select("row_id", "_c.*"), ["row_id", "field"], "left")
+            .where(F.coalesce("old", F.lit("")) != F.coalesce("current", F.lit(""))))
 
 
 def replace_sheet(tracker: DataFrame, sheet: str, rows: DataFrame) -> DataFrame:

@@ -399,6 +399,17 @@ def change_plan(spark: SparkSession, sf: str) -> DataFrame:
     return upsert(ex, inc, "Conferences").changes
 
 
+@query
+def plan_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """K8: the upsert's plan, stored and applied by a call of its own."""
+    from ..operators.upsert import apply_changes, upsert
+    from ..session import write_table
+
+    ex, inc = upsert_inputs(spark, sf)
+    plan = write_table(upsert(ex, inc, "Conferences").plan, "plan")
+    return apply_changes(ex, plan).select(*_SNAP_COLS).withColumn("days", F.col("days").cast("long"))
+
+
 @query
 def upsert_counts(spark: SparkSession, sf: str) -> DataFrame:
     """K1 return values: rows added, inputs that updated a row."""
@@ -1288,6 +1299,17 @@ def lifecycle_plan(spark: SparkSession, sf: str) -> DataFrame:
     return plan_migrate(t, AS_OF_ORDERS).unionByName(plan_purge(t, AS_OF_ORDERS))
 
 
+@query
+def lifecycle_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """K8 K6 K7: the lifecycle plan, stored and applied by a call of its own."""
+    from ..operators.lifecycle import apply_lifecycle, plan_migrate, plan_purge
+    from ..session import write_table
+
+    t = lifecycle_tracker(spark, sf)
+    plan = write_table(plan_migrate(t, AS_OF_ORDERS).unionByName(plan_purge(t, AS_OF_ORDERS)), "plan")
+    return apply_lifecycle(t, plan).select(*_LIFE_COLS).withColumn("days", F.col("days").cast("long"))
+
+
 @query
 def route_plan(spark: SparkSession, sf: str) -> DataFrame:
     """K8: rows that each table would receive from the routing."""

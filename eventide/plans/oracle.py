@@ -426,6 +426,8 @@ SELECT sheet, row_id, row_no, name, category, cfp_date, cfp_status, location, st
 FROM appended
 """
 
+SQL["plan_apply"] = SQL["upsert_snapshot"]
+
 _fields_unnest = ", ".join(
     f"{{'field': '{c}', 'old': ex.{c}, 'new': p.fin_{c}}}" for c in _MANAGED)
 
@@ -1054,6 +1056,11 @@ SELECT CASE WHEN sheet = 'Conferences' THEN 'migrate' ELSE 'purge' END AS action
 FROM tr WHERE sheet <> 'Time Passed' AND coalesce({_parse5('start_date')} < {AS_O}, false)
 """
 
+SQL["lifecycle_apply"] = f"""
+SELECT * FROM ({SQL["migrate_past"]})
+WHERE NOT (sheet IN ('Meet-ups', 'SF Product Demos') AND coalesce({_parse5('start_date')} < {AS_O}, false))
+"""
+
 SQL["route_plan"] = f"""
 WITH r AS ({SQL["city_route"]})
 SELECT 'route' AS action, sheet, count(*) AS rows FROM r GROUP BY sheet

@@ -93,3 +93,42 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file that must not exist yet, all at once: the text goes to
+    a file of its own, which is then renamed. False if the path is taken. Works
+    on any file system that Spark writes to; of two writers one gets the path
+    where renaming without overwriting is atomic, as on HDFS."""
+    import uuid
+
+    from py4j.protocol import Py4JJavaError
+
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    target = hadoop.Path(path)
+    fs = target.getFileSystem(conf)
+    target = fs.makeQualified(target)
+    draft = fs.makeQualified(hadoop.Path(target.getParent(), f"_draft-{uuid.uuid4().hex}"))
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    no_options = spark.sparkContext._gateway.new_array(getattr(hadoop, "Options$Rename"), 0)
+    try:
+        hadoop.FileContext.getFileContext(target.toUri(), conf).rename(draft, target, no_options)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in str(e.java_exception):
+            raise
+        fs.delete(draft, False)
+        return False
+    return True
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder that are no drafts; none if it does not exist."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    names = (status.getPath().getName() for status in fs.listStatus(folder))
+    return sorted(n for n in names if not n.startswith(("_", ".")))

@@ -1,81 +1,129 @@
 """Incremental curation with Structured Streaming.
 
 I1: newly landed event files are read as a stream; every micro-batch is one
-"run" that upserts into the tracker. The tracker is a sequence of immutable
-snapshot versions in a shared folder plus an append-only commit log
-``(version, query, batch_id, path)``; a micro-batch writes its version, then
-commits it. A batch is known by the stream it belongs to and its number in it:
-replaying a committed batch is a no-op, while the first batch of a stream that
-was started anew is new data. A batch that died before its commit is simply
-redone (into a folder of its own), so executor or driver loss never leaves a
-half-applied upsert.
+"run" that upserts into the tracker. The tracker lies in a shared folder, cut
+into slots: the rows of one named table whose ids fall into one range of
+``slot_rows``. A commit is a small file that lists the folder of each slot. A
+micro-batch works out its change plan, rewrites the slots that the plan touches
+into a folder of its own and publishes the next commit, which names the new
+folders and, for the rest, the old ones; so what is written follows the batch,
+not the tracker. Commits are numbered, and a number is published once: a writer
+that comes second works its batch out again on the new state. A batch is known
+by the stream it belongs to and its number in it: replaying a committed batch is
+a no-op, while the first batch of a stream that was started anew is new data. A
+batch that died before its commit is redone, so executor or driver loss never
+leaves a half-applied upsert.
 
 I2: first-seen dedup of names across runs with bounded state: a keyed state
-that the watermark over ``scraped_at`` ends.
+that the watermark over ``scraped_at`` ends, behind a map-side minimum.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.text import norm_key
-from ..operators.upsert import load_tracker, replace_sheet, save_tracker, upsert
+from ..operators.upsert import apply_changes, conform_tracker, empty_tracker, upsert
+from ..schema import TRACKER
+from ..session import cut_lineage, file_names, publish
 
-_COMMIT_SCHEMA = T.StructType([T.StructField("version", T.LongType()), T.StructField("query", T.StringType()),
-                               T.StructField("batch_id", T.LongType()), T.StructField("path", T.StringType())])
+SLOT_ROWS = 65_536
 
 
-class SnapshotStore:
-    """Versioned tracker snapshots under ``root`` (a shared folder)."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        self.commits = f"{self.root}/_commits"
+@dataclass(frozen=True)
+class Commit:
+    """A published state: the folder of each slot, and the last batch of each stream."""
+    version: int
+    slots: dict[str, str] = field(default_factory=dict)
+    applied: dict[str, int] = field(default_factory=dict)
+    slot_rows: int = SLOT_ROWS
 
-    def _log(self) -> DataFrame:
-        try:
-            return self.spark.read.schema(_COMMIT_SCHEMA).parquet(self.commits)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return self.spark.createDataFrame([], _COMMIT_SCHEMA)  # no commit yet
 
-    def latest(self):
-        """(version, path) of the newest committed version, or None."""
-        row = self._log().orderBy(F.col("version").desc()).limit(1).collect()
-        return (row[0]["version"], row[0]["path"]) if row else None
+def _sheet_code(sheet: Column) -> Column:
+    return F.lower(F.hex(F.xxhash64(F.coalesce(sheet, F.lit("")))))
 
-    def applied(self, query: str, batch_id: int) -> bool:
-        return not self._log().where((F.col("query") == query) & (F.col("batch_id") == batch_id)).isEmpty()
 
-    def read(self) -> DataFrame:
-        last = self.latest()
-        if last is None:
-            raise RuntimeError(f"no committed snapshot under {self.root}")
-        return load_tracker(self.spark, last[1], must_exist=True)
+class SnapshotStore:
+    """The tracker under ``root`` (a shared folder). ``slot_rows`` is fixed by
+    the first commit."""
 
-    def commit(self, query: str, batch_id: int, df: DataFrame) -> str:
-        last = self.latest()
-        version = 0 if last is None else last[0] + 1
-        path = f"{self.root}/v{version:09d}-{uuid.uuid4().hex[:8]}"
-        save_tracker(df, path)
-        self.spark.createDataFrame([(version, query, batch_id, path)], _COMMIT_SCHEMA).coalesce(1) \
-            .write.mode("append").parquet(self.commits)
-        return path
+    def __init__(self, spark: SparkSession, root: str, slot_rows: int = SLOT_ROWS):
+        self.spark, self.root, self.slot_rows = spark, root.rstrip("/"), slot_rows
+        self.commits = f"{self.root}/commits"
 
+    def latest(self) -> Commit | None:
+        """The newest commit, or None."""
+        names = file_names(self.spark, self.commits)
+        if not names:
+            return None
+        text = self.spark.read.text(f"{self.commits}/{names[-1]}", wholetext=True).first()["value"]  # one small file
+        return Commit(**json.loads(text))
 
-def init_store(spark: SparkSession, root: str, tracker: DataFrame) -> SnapshotStore:
-    """Store with ``tracker`` committed as version 0."""
-    store = SnapshotStore(spark, root)
+    def applied(self, query: str, batch_id: int) -> bool:
+        last = self.latest()
+        return last is not None and batch_id <= last.applied.get(query, -1)
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return empty_tracker(self.spark)
+        return self.spark.read.schema(TRACKER).parquet(*sorted(folders))
+
+    def read(self, commit: Commit | None = None, sheets: list[str] | None = None) -> DataFrame:
+        """The tracker as of a commit (the newest by default), or some of its
+        named tables, of which only their slots are read."""
+        commit = commit or self.latest()
+        if commit is None:
+            raise RuntimeError(f"no committed snapshot under {self.root}")
+        if sheets is None:
+            return self._read(list(commit.slots.values()))
+        given = self.spark.createDataFrame([(s,) for s in sheets], "sheet string")
+        codes = {r["code"] for r in given.select(_sheet_code(F.col("sheet")).alias("code")).collect()}
+        return self._read([d for slot, d in commit.slots.items() if slot.split("-")[0] in codes])
+
+    def slot(self, slot_rows: int) -> Column:
+        """Name of a row's slot, from its sheet and row_id."""
+        return F.concat_ws("-", _sheet_code(F.col("sheet")), F.expr(f"row_id div {slot_rows}").cast("string"))
+
+    def _write(self, rows: DataFrame, slot_rows: int) -> dict[str, str]:
+        """Rows of whole slots, written; the folder of each slot."""
+        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        conform_tracker(rows).withColumn("slot", self.slot(slot_rows)).write.partitionBy("slot").parquet(folder)
+        names = file_names(self.spark, folder)
+        return {n.removeprefix("slot="): f"{folder}/{n}" for n in names}
+
+    def _publish(self, commit: Commit) -> bool:
+        text = json.dumps({"version": commit.version, "slots": commit.slots, "applied": commit.applied,
+                           "slot_rows": commit.slot_rows})
+        return publish(self.spark, f"{self.commits}/{commit.version:012d}", text)
+
+    def create(self, tracker: DataFrame) -> bool:
+        """Commit 0 with the whole tracker; False if there is one."""
+        return self._publish(Commit(0, self._write(tracker, self.slot_rows), {}, self.slot_rows))
+
+    def commit(self, query: str, batch_id: int, base: Commit, plan: DataFrame) -> bool:
+        """Apply a plan worked out on ``base`` and publish the result; False if
+        another commit came first. Only touched slots are read and written."""
+        touched = [r["slot"] for r in plan.select(self.slot(base.slot_rows).alias("slot")).distinct().collect()]
+        part = self._read([base.slots[s] for s in touched if s in base.slots])
+        written = self._write(apply_changes(part, plan), base.slot_rows) if touched else {}
+        rest = {s: d for s, d in base.slots.items() if s not in set(touched)}
+        return self._publish(Commit(base.version + 1, rest | written, base.applied | {query: batch_id}, base.slot_rows))
+
+
+def init_store(spark: SparkSession, root: str, tracker: DataFrame, slot_rows: int = SLOT_ROWS) -> SnapshotStore:
+    """Store with ``tracker`` committed as version 0, unless it has commits."""
+    store = SnapshotStore(spark, root, slot_rows)
     if store.latest() is None:
-        store.commit("", -1, tracker)
+        store.create(tracker)
     return store
 
 
@@ -85,11 +133,16 @@ def upsert_batch(store: SnapshotStore, sheet: str, query: str):
     a restart keeps and a new stream does not share."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if store.applied(query, batch_id):
-            return  # replayed batch
-        current = store.read()
-        res = upsert(current, batch, sheet)
-        store.commit(query, batch_id, replace_sheet(current, sheet, res.snapshot))
+        batch = cut_lineage(batch)
+        while True:
+            base = store.latest()
+            if base is None:
+                raise RuntimeError(f"no committed snapshot under {store.root}")
+            if batch_id <= base.applied.get(query, -1):
+                return  # replayed batch
+            plan = cut_lineage(upsert(store.read(base), batch, sheet).plan)
+            if store.commit(query, batch_id, base, plan):
+                return
 
     return run
 
@@ -107,13 +160,34 @@ def run_incremental(spark: SparkSession, landing: str, schema: T.StructType, sto
     return store.read()
 
 
+def _first_rows(ts_col: str, order_col: str):
+    """Per task, the first row of each name and one row with the latest time
+    (which moves the watermark as the task's whole rows would)."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = last = None
+        for frame in frames:
+            if not len(frame):
+                continue
+            top = frame.loc[[frame[ts_col].idxmax()]] if frame[ts_col].notna().any() else frame.iloc[:0]
+            last = top if last is None or not len(last) or (len(top) and top[ts_col].iloc[0] > last[ts_col].iloc[0]) else last
+            both = frame if first is None else pd.concat([first, frame])
+            first = both.sort_values([ts_col, order_col]).drop_duplicates("_name_key")
+        if first is not None:
+            yield first
+            yield last
+
+    return run
+
+
 def first_seen(stream: DataFrame, name_col: str = "name", ts_col: str = "scraped_at",
                delay: str = "7 days", order_col: str = "ord") -> DataFrame:
     """Keep the first row per name key within the watermark delay (state
     is bounded by the delay; exact all-time dedup stays with the known-name
     anti join, J2). Of a name's rows in one micro-batch the one with the
     smallest (time, order) is kept, whatever the partitions; a name is free
-    again once the watermark has passed its first time by the delay."""
+    again once the watermark has passed its first time by the delay. A task
+    sends one row for each of its names to the state, however often it holds it
+    (a task keeps its distinct names in memory)."""
     columns = list(stream.columns)
     hold = int(pd.Timedelta(delay).total_seconds() * 1000)
 
@@ -135,5 +209,7 @@ def first_seen(stream: DataFrame, name_col: str = "name", ts_col: str = "scraped
         state.setTimeoutTimestamp(max(until, now + 1))
         yield first[columns]
 
-    return (stream.withColumn("_name_key", norm_key(name_col)).withWatermark(ts_col, delay).groupBy("_name_key")
+    keyed = stream.withColumn("_name_key", norm_key(name_col))
+    return (keyed.mapInPandas(_first_rows(ts_col, order_col), keyed.schema)
+            .withWatermark(ts_col, delay).groupBy("_name_key")
             .applyInPandasWithState(step, stream.schema, "until long", "append", GroupStateTimeout.EventTimeTimeout))

@@ -52,3 +52,34 @@ def test_order_keys_have_no_limit(spark):
     rows = [(1, big, "x", "u"), (2, 0, "x", "v"), (10**13, 5, "y", "")]
     df = spark.createDataFrame(rows, "page long, pos long, name string, url string").withColumn("ord", order_key("page", "pos"))
     assert sorted(r.page for r in greedy_two_key(df, "name", "url", "ord").collect()) == [1, 10**13]
+
+
+def _kept(df, **options):
+    return sorted(r.ord for r in greedy_two_key(df, "name", "website", "ord", **options).select("ord").collect())
+
+
+def test_chain_of_100000_rows(spark):
+    """Each row shares its name with the row before and its URL with the next."""
+    df = spark.range(100_000).selectExpr("id as ord", "concat('n', cast((id + 1) div 2 as string)) as name",
+                                         "concat('u', cast(id div 2 as string)) as website")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = _kept(df.repartition(5))
+    jobs = len(tracker.getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert got == list(range(0, 100_000, 2)) and jobs < 60
+
+
+def test_components_in_tasks_of_a_few_rows(spark):
+    """Many chains and stars, far more rows than a task may walk, some larger."""
+    r = random.Random(6)
+    rows = []
+    for chain in range(60):
+        rows += [(f"n{chain}_{(i + 1) // 2}", f"u{chain}_{i // 2}") for i in range(r.randint(2, 12))]
+    rows += [("hot", f"h{i}") for i in range(60)] + [(f"x{i % 7}", f"y{i % 11}") for i in range(90)] + [("", "")] * 5
+    r.shuffle(rows)
+    data = [(i, n, u) for i, (n, u) in enumerate(rows)]
+    df = spark.createDataFrame(data, "ord long, name string, website string").repartition(6)
+    want = kept_by_two_keys(data)
+    for size in (3, 20, 10_000):
+        assert _kept(df, task_rows=size) == want

@@ -37,6 +37,50 @@ def test_stream_equals_sequential_batches(spark):
     assert isinstance(store, SnapshotStore)
 
 
+def _batch(spark, rows):
+    return spark.createDataFrame(rows, "ord long, name string, website string").selectExpr(
+        "*", "'City' as location", "'Jan 02, 2026' as start_date")
+
+
+def test_commit_writes_touched_slots_only(spark):
+    """Slots of ten rows: a batch of one update and one insert rewrites two of them."""
+    root = scratch_path(spark, "t-slots")
+    store = init_store(spark, root, empty_tracker(spark), slot_rows=10)
+    run = upsert_batch(store, "Meet-ups", "a")
+    run(_batch(spark, [(i, f"name {i}", f"u{i}.example") for i in range(95)]), 0)
+    first = store.latest()
+    assert len(first.slots) == 10 and store.read().count() == 95
+    change = _batch(spark, [(1, "NAME 33", ""), (2, "brand new", "new.example")]).withColumn("location", F.lit("Elsewhere"))
+    run(change, 1)
+    second = store.latest()
+    moved = {s for s in second.slots if second.slots[s] != first.slots.get(s)}
+    assert len(moved) == 2 and set(second.slots) == set(first.slots)
+    rows = {r.name: r.location for r in store.read().collect()}
+    assert len(rows) == 96 and rows["name 33"] == rows["brand new"] == "Elsewhere" and rows["name 34"] == "City"
+    assert store.read(first).count() == 95  # the old state is still there
+    assert store.read(sheets=["Conferences"]).count() == 0 and store.read(sheets=["Meet-ups"]).count() == 96
+
+
+def test_second_writer_starts_again(spark, monkeypatch):
+    """A commit that slips in between base and publish is not lost."""
+    root = scratch_path(spark, "t-race")
+    store = init_store(spark, root, empty_tracker(spark))
+    other = SnapshotStore(spark, root)
+    plain, calls = SnapshotStore.commit, []
+
+    def slow(self, query, batch_id, base, plan):
+        calls.append(query)
+        if calls == ["a"]:
+            upsert_batch(other, "Meet-ups", "b")(_batch(spark, [(1, "from b", "b.example")]), 0)
+        return plain(self, query, batch_id, base, plan)
+
+    monkeypatch.setattr(SnapshotStore, "commit", slow)
+    upsert_batch(store, "Meet-ups", "a")(_batch(spark, [(1, "from a", "a.example"), (2, "from b", "c.example")]), 0)
+    assert calls == ["a", "b", "a"]
+    assert sorted((r.row_id, r.name) for r in store.read().collect()) == [(1, "from b"), (2, "from a")]
+    assert store.latest().version == 2 and store.latest().applied == {"a": 0, "b": 0}
+
+
 def test_unreadable_snapshot_is_an_error(spark, tmp_path):
     import pytest
 
@@ -72,3 +116,16 @@ def test_first_seen_is_determined(spark):
         return sorted(r.ord for r in spark.read.schema(df.schema).parquet(f"{root}/out{n}").collect())
 
     assert run(1, 1000) == [0, 1, 2, 3]
+
+
+def test_hot_name_sends_a_row_per_task(spark):
+    """A task hands on the first row of each name and its latest row."""
+    import pandas as pd
+
+    from eventide.streaming.incremental import _first_rows
+
+    frames = [pd.DataFrame({"_name_key": ["hot"] * 500 + ["b"], "scraped_at": pd.date_range("2024-01-02", periods=501, freq="s")[::-1],
+                            "ord": range(k, k + 501)}) for k in (0, 600)]
+    out = pd.concat(_first_rows("scraped_at", "ord")(iter(frames)))
+    assert len(out) == 3 and out["scraped_at"].max() == frames[0]["scraped_at"].max()
+    assert sorted(out["ord"].tolist()) == [0, 499, 500]
