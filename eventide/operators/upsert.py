@@ -18,7 +18,7 @@ show (K8), and the whole plan, which can be stored and applied later
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,14 +35,6 @@ _EVENT_FIELDS = ["name", "website"] + MANAGED_FIELDS
 _PLANNED = ["row_no", *TRACKER_COLUMNS]  # fields that a plan may set
 
 
-@dataclass
-class UpsertResult:
-    snapshot: DataFrame      # all rows of the target sheet after the upsert
-    changes: DataFrame       # K8 list: action, sheet, row_id, field, old, new; an insert by its name
-    plan: DataFrame          # the same with every field of an insert, to be applied
-    counts: DataFrame        # one row: added, updated
-
-
 def _blank(c):
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -65,6 +57,66 @@ def empty_tracker(spark) -> DataFrame:
     return spark.createDataFrame([], TRACKER)
 
 
+class UpsertResult:
+    """An upsert worked out: the result frames are built when they are asked for.
+
+    * ``snapshot``: all rows of the target sheet after the upsert;
+    * ``changes``: K8 list (action, sheet, row_id, field, old, new), an insert by
+      its name;
+    * ``plan``: the same with every field of an insert, to be applied;
+    * ``counts``: one row (added, updated).
+    """
+
+    def __init__(self, sheet: str, target: DataFrame, compared: DataFrame, per_row: DataFrame, appended: DataFrame):
+        self._sheet, self._target, self._compared = sheet, target, compared
+        self._per_row, self._appended = per_row, appended
+
+    @cached_property
+    def snapshot(self) -> DataFrame:
+        updated = self._target.join(self._per_row, "row_id", "left")
+        sel = []
+        for f in TRACKER.fields:
+            if f.name in MANAGED_FIELDS:
+                sel.append(F.coalesce(F.col(f"_fin_{f.name}"), F.col(f.name)).alias(f.name))
+            elif f.name == "days":
+                sel.append(F.coalesce(F.col("_fin_days"), F.col("days")).alias("days"))
+            elif f.name not in ("start_dt", "end_dt"):
+                sel.append(F.col(f.name))
+        return conform_tracker(updated.select(*sel)).unionByName(conform_tracker(self._appended))
+
+    @cached_property
+    def _updates(self) -> DataFrame:
+        fields = MANAGED_FIELDS + ["days"]
+        old = self._target.select("row_id", *[F.col(c).cast("string").alias(f"_o_{c}") for c in fields])
+        cells = [F.struct(F.lit(c).alias("field"), F.col(f"_o_{c}").alias("old"),
+                          F.col(f"_fin_{c}").cast("string").alias("new")) for c in fields]
+        return (self._per_row.join(old, "row_id").select("row_id", F.explode(F.array(*cells)).alias("_c"))
+                .where(F.col("_c.new").isNotNull())
+                .select(F.lit("update").alias("action"), F.lit(self._sheet).alias("sheet"), "row_id", "_c.field", "_c.old", "_c.new"))
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        return self._updates.unionByName(self._appended.select(
+            F.lit("insert").alias("action"), F.lit(self._sheet).alias("sheet"), "row_id", F.lit("name").alias("field"),
+            F.lit(None).cast("string").alias("old"), F.col("name").alias("new")))
+
+    @cached_property
+    def plan(self) -> DataFrame:
+        cells = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("new")) for f in _PLANNED]
+        rows = (self._appended.select("row_id", F.explode(F.array(*cells)).alias("_c"))
+                .where(F.coalesce("_c.new", F.lit("")) != ""))
+        return self._updates.unionByName(rows.select(
+            F.lit("insert").alias("action"), F.lit(self._sheet).alias("sheet"), "row_id", "_c.field",
+            F.lit(None).cast("string").alias("old"), "_c.new"))
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        return (self._appended.select(F.lit(1).alias("_a"), F.lit(0).alias("_u"))
+                .unionByName(self._compared.select(F.lit(0).alias("_a"), F.col("_changed").cast("int").alias("_u")))
+                .agg(F.coalesce(F.sum("_a"), F.lit(0)).cast("long").alias("added"),
+                     F.coalesce(F.sum("_u"), F.lit(0)).cast("long").alias("updated")))
+
+
 def upsert(tracker: DataFrame, incoming: DataFrame, sheet: str,
            carry_manual: bool = False, dedup_case_fold: bool = True) -> UpsertResult:
     """K1 into one named table of ``tracker``.
@@ -74,51 +126,29 @@ def upsert(tracker: DataFrame, incoming: DataFrame, sheet: str,
     for appended rows (the reference writes them blank).
     """
     target = tracker.where(F.col("sheet") == sheet)
-    inc = incoming
-    for c in _EVENT_FIELDS + (MANUAL_FIELDS if carry_manual else []):
-        if c not in inc.columns:
-            inc = inc.withColumn(c, F.lit(None).cast("string"))
-    inc = inc.select("ord", *[F.col(c).cast("string").alias(c) for c in _EVENT_FIELDS],
-                     *([F.col(c).cast("string").alias(c) for c in MANUAL_FIELDS] if carry_manual else []))
-
-    inc = cut_lineage(inc)
+    given = _EVENT_FIELDS + (MANUAL_FIELDS if carry_manual else [])
+    inc = cut_lineage(incoming.select("ord", *[
+        (F.col(c) if c in incoming.columns else F.lit(None)).cast("string").alias(c) for c in given]))
     require_unique(inc, "ord", "upsert")
-    matched_all = match_existing(inc, target, "name", "website", "row_id", "row_no")
-    matched_all = cut_lineage(matched_all)  # read by updates, appends and counts
+    matched_all = cut_lineage(match_existing(inc, target, "name", "website", "row_id", "row_no"))  # read twice
     matched = matched_all.where(F.col("match_row_id").isNotNull())
     unmatched = matched_all.where(F.col("match_row_id").isNull()).drop("match_row_id", "match_by")
 
     # ---- updates (A4) ------------------------------------------------------
     old = target.select(F.col("row_id").alias("match_row_id"),
                         *[strip_ws(_blank(c)).alias(f"_old_{c}") for c in MANAGED_FIELDS])
-    m = matched.join(old, "match_row_id")
-    changed_any = F.lit(False)
-    for c in MANAGED_FIELDS:
-        new = strip_ws(_blank(c))
-        m = m.withColumn(f"_new_{c}", new).withColumn(
-            f"_chg_{c}", (new != "") & (new != F.col(f"_old_{c}")))
-        changed_any = changed_any | F.col(f"_chg_{c}")
-    date_changed = F.col("_chg_start_date") | F.col("_chg_end_date")
+    m = matched.join(old, "match_row_id").withColumns({f"_new_{c}": strip_ws(_blank(c)) for c in MANAGED_FIELDS})
+    changed = {c: (F.col(f"_new_{c}") != "") & (F.col(f"_new_{c}") != F.col(f"_old_{c}")) for c in MANAGED_FIELDS}
+    m = m.withColumns({f"_chg_{c}": condition for c, condition in changed.items()})
     start_for_days = F.when(_blank("start_date") != "", F.col("start_date")).otherwise(F.col("_old_start_date"))
     end_for_days = F.when(_blank("end_date") != "", F.col("end_date")).otherwise(F.col("_old_end_date"))
-    m = (m.withColumn("_changed", changed_any)
-         .withColumn("_days", F.when(date_changed, days_span(start_for_days, end_for_days))))
-
+    date_changed = F.col("_chg_start_date") | F.col("_chg_end_date")
+    m = m.withColumns({"_changed": reduce(lambda a, b: a | b, [F.col(f"_chg_{c}") for c in MANAGED_FIELDS]),
+                       "_days": F.when(date_changed, days_span(start_for_days, end_for_days))})
     aggs = [F.max_by(F.col(f"_new_{c}"), F.when(F.col(f"_chg_{c}"), F.col("ord"))).alias(f"_fin_{c}")
             for c in MANAGED_FIELDS]
     aggs.append(F.max_by(F.col("_days"), F.when(F.col("_days").isNotNull(), F.col("ord"))).alias("_fin_days"))
-    per_row = (m.where("_changed").groupBy(F.col("match_row_id").alias("row_id")).agg(*aggs))
-
-    updated_rows = target.join(per_row, "row_id", "left")
-    sel = []
-    for f in TRACKER.fields:
-        if f.name in MANAGED_FIELDS:
-            sel.append(F.coalesce(F.col(f"_fin_{f.name}"), F.col(f.name)).alias(f.name))
-        elif f.name == "days":
-            sel.append(F.coalesce(F.col("_fin_days"), F.col("days")).alias("days"))
-        elif f.name not in ("start_dt", "end_dt"):
-            sel.append(F.col(f.name))
-    updated_rows = conform_tracker(updated_rows.select(*sel))
+    per_row = m.where("_changed").groupBy(F.col("match_row_id").alias("row_id")).agg(*aggs)
 
     # ---- appends (W5 + K2) -------------------------------------------------
     fresh = greedy_two_key(unmatched, "name", "website", "ord", case_fold=dedup_case_fold, check_order=False)
@@ -126,47 +156,18 @@ def upsert(tracker: DataFrame, incoming: DataFrame, sheet: str,
     # Both offsets are one-row aggregates, read as scalars.
     b = tracker.agg(F.coalesce(F.max(F.when(F.col("sheet") == sheet, F.col("row_no"))), F.lit(1)).alias("n"),
                     F.coalesce(F.max("row_id"), F.lit(0)).alias("i")).first()
-    base_no, base_id = b["n"], b["i"]
     fresh = with_positions(fresh, "ord", "_pos", start=1)
     appended = fresh.select(
         F.lit(sheet).alias("sheet"),
-        (F.lit(base_id) + F.col("_pos")).cast("long").alias("row_id"),
-        (F.lit(base_no) + F.col("_pos")).cast("long").alias("row_no"),
+        (F.lit(b["i"]) + F.col("_pos")).cast("long").alias("row_id"),
+        (F.lit(b["n"]) + F.col("_pos")).cast("long").alias("row_no"),
         strip_ws(_blank("name")).alias("name"),
         *[_blank(c).alias(c) for c in MANAGED_FIELDS],
         strip_ws(_blank("website")).alias("website"),
         days_span(_blank("start_date"), _blank("end_date")).alias("days"),
         *[(_blank(c) if carry_manual else F.lit("")).alias(c) for c in MANUAL_FIELDS],
     )
-    appended = conform_tracker(appended)
-
-    snapshot = updated_rows.unionByName(appended)
-
-    # ---- change plan (K8) and counts ---------------------------------------
-    old_vals = target.select("row_id", *[F.col(c).alias(f"_o_{c}") for c in MANAGED_FIELDS],
-                             F.col("days").cast("string").alias("_o_days"))
-    fields = MANAGED_FIELDS + ["days"]
-    upd = per_row.join(old_vals, "row_id").select(
-        "row_id", F.explode(F.array(*[F.struct(F.lit(c).alias("field"),
-                                               F.col(f"_o_{c}").alias("old"),
-                                               F.col(f"_fin_{c}").cast("string").alias("new"))
-                                      for c in fields])).alias("_c"))
-    upd = upd.where(F.col("_c.new").isNotNull()).select(
-        F.lit("update").alias("action"), F.lit(sheet).alias("sheet"), "row_id",
-        "_c.field", "_c.old", "_c.new")
-    ins = appended.select(F.lit("insert").alias("action"), F.lit(sheet).alias("sheet"), "row_id",
-                          F.lit("name").alias("field"), F.lit(None).cast("string").alias("old"),
-                          F.col("name").alias("new"))
-    changes = upd.unionByName(ins)
-    cells = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("new")) for f in _PLANNED]
-    rows = appended.select("row_id", F.explode(F.array(*cells)).alias("_c")).where(F.coalesce("_c.new", F.lit("")) != "")
-    plan = upd.unionByName(rows.select(F.lit("insert").alias("action"), F.lit(sheet).alias("sheet"), "row_id", "_c.field",
-                                       F.lit(None).cast("string").alias("old"), "_c.new"))
-    counts = (appended.select(F.lit(1).alias("_a"), F.lit(0).alias("_u"))
-              .unionByName(m.select(F.lit(0).alias("_a"), F.col("_changed").cast("int").alias("_u")))
-              .agg(F.coalesce(F.sum("_a"), F.lit(0)).cast("long").alias("added"),
-                   F.coalesce(F.sum("_u"), F.lit(0)).cast("long").alias("updated")))
-    return UpsertResult(snapshot=snapshot, changes=changes, plan=plan, counts=counts)
+    return UpsertResult(sheet, target, m, per_row, appended)
 
 
 def apply_changes(tracker: DataFrame, plan: DataFrame) -> DataFrame:
