@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import norm_key
+from ..session import cut_lineage
 from .common import hot_key_join, sized_broadcast
+from .keysketch import maybe_in
 
 
 def _nonempty_key(c) -> F.Column:
@@ -63,10 +65,18 @@ def blocked_flag(df: DataFrame, name: str, url: str, blocked_names: DataFrame,
             .drop("_nk", "_uk", "_bn", "_bu", "_hn", "_hu"))
 
 
-def known_anti(df: DataFrame, name: str, known: DataFrame) -> DataFrame:
-    """Drop rows whose name key is already known."""
+def known_anti(df: DataFrame, name: str, known: DataFrame, sketch: tuple[DataFrame, int] | None = None) -> DataFrame:
+    """Drop rows whose name key is already known. With a stored ``sketch``
+    of the known keys (``keysketch.load_sketch``), a row is tested where it lies:
+    one that the sketch rules out is new and is not shuffled, only the others
+    meet the keys in a join. ``df`` is written once for the two."""
     k = known.select(F.col(known.columns[0]).alias("_known"))
     x = df.withColumn("_nk", _nonempty_key(F.col(name)))
+    if sketch is not None:
+        x = cut_lineage(x.withColumn("_maybe", maybe_in(F.col("_nk"), *sketch)))
+        new = x.where(~F.col("_maybe")).drop("_nk", "_maybe")
+        probable = hot_key_join(x.where("_maybe"), k.distinct(), F.col("_nk") == F.col("_known"), "_nk", "_known", "left_anti")
+        return new.unionByName(probable.drop("_nk", "_maybe"))
     return hot_key_join(x, k.distinct(), F.col("_nk") == F.col("_known"), "_nk", "_known", "left_anti").drop("_nk")
 
 

@@ -279,6 +279,25 @@ def known_anti_q(spark: SparkSession, sf: str) -> DataFrame:
     return first_wins(cand.withColumn("_k", X.norm_key("name")), ["_k"], ["ord"]).select("ord", "name")
 
 
+@query
+def known_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """known_anti with the four tables' keys sketched, saved, merged
+    and tested map-side; only probable hits are joined."""
+    from ..operators import keysketch as S
+    from ..session import scratch_path
+
+    t = tracker_names(spark, sf)
+    sets = [key_set(t.where(F.col("sheet") == s), "name") for s in ("Conferences", "Time Passed", "Meet-ups", "SF Product Demos")]
+    known = union_keys(*sets)
+    n_bits = S.bits_for(t.count())
+    path = scratch_path(spark, "sketch")
+    S.save_sketch(S.merged(*[S.sketch(k, n_bits) for k in sets]), n_bits, path)
+    cand = load(spark, sf, "part").select(F.col("p_partkey").alias("ord"),
+                                          F.concat(F.col("p_name"), F.lit(" "), F.col("p_brand")).alias("name"))
+    cand = known_anti(cand, "name", known, S.load_sketch(spark, path))
+    return first_wins(cand.withColumn("_k", X.norm_key("name")), ["_k"], ["ord"]).select("ord", "name")
+
+
 @query
 def text_norm(spark: SparkSession, sf: str) -> DataFrame:
     """Match key of the whole padded text, lenient flag,
@@ -543,6 +562,48 @@ def learn_patterns(spark: SparkSession, sf: str) -> DataFrame:
         "category", "side", F.col("rank").cast("long"), "term", "weight", "neg_df", "pos_df")
 
 
+@query
+def reject_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """A3: sets of reject words that rejected documents of a language share."""
+    from ..operators.patterns import learn_signals, reject_patterns as patterns
+    from ..session import cut_lineage
+
+    docs = labelled_docs(spark, sf)
+    signals = cut_lineage(learn_signals(docs, min_support=40, top_k=12))
+    return patterns(docs, signals, min_support=3, top_k=20).select(
+        "category", F.col("rank").cast("long"), "pattern", F.size("signals").cast("long").alias("n_words"), "weight",
+        "neg_df", "pos_df")
+
+
+def _length_model():
+    """A user's model, loaded by a worker: fit by the share of long words; it
+    raises on texts that it cannot read."""
+    def model(rows):
+        import pandas as pd
+
+        if rows["text"].str.contains("|", regex=False).any():
+            raise ValueError("bars")
+        words = rows["text"].str.split()
+        fit = words.map(lambda ws: 100 * sum(len(w) >= 6 for w in ws) // max(1, len(ws)))
+        return pd.DataFrame({"relevant": fit >= 30, "fit_score": fit})
+
+    return model
+
+
+@query
+def scorer_udf(spark: SparkSession, sf: str) -> DataFrame:
+    """M1 M2: documents scored by a user's model in Arrow batches; rows that it
+    raises on are failed, and the batch goes on."""
+    from ..operators.classify import classify_batch, model_scorer
+
+    d = load(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("name"),
+                                            F.lit("").alias("website"))
+    empty = key_set(d.where(F.lit(False)), "name")
+    scorer = model_scorer(_length_model, ["text"], "relevant boolean, fit_score int")
+    _, _, scored = classify_batch(d, scorer, empty, empty)
+    return scored.select("doc_id", "outcome", F.col("fit_score").cast("long").alias("fit_score"), "score_error")
+
+
 @query
 def signal_score(spark: SparkSession, sf: str) -> DataFrame:
     """Every document scored with the learned signals after

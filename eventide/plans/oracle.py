@@ -278,6 +278,8 @@ SELECT ord, name FROM (
   SELECT *, row_number() OVER (PARTITION BY lower({_trim('name')}) ORDER BY ord) AS rn FROM kept) WHERE rn = 1
 """
 
+SQL["known_sketch"] = SQL["known_anti"]
+
 SQL["text_norm"] = f"""
 WITH d AS (
   SELECT doc_id, text,
@@ -536,6 +538,37 @@ signals AS (SELECT category, side, CAST(rank AS BIGINT) AS rank, term, weight, n
 
 SQL["learn_patterns"] = f"WITH {_LEARN} SELECT * FROM signals"
 
+SQL["reject_patterns"] = f"""
+WITH {_LEARN.replace("HAVING neg_df + pos_df >= 5", "HAVING neg_df + pos_df >= 40").replace("rank <= 10", "rank <= 12")},
+bad AS (SELECT category, term FROM signals WHERE side = 'reject'),
+held AS MATERIALIZED (
+  SELECT DISTINCT doc_id, category, label, term
+  FROM (SELECT doc_id, category, label, unnest(list_distinct(regexp_extract_all(lower(text), '\\p{{L}}+'))) AS term FROM ld)
+  JOIN bad USING (category, term)),
+two AS (SELECT a.doc_id, a.category, a.label, a.term || ' + ' || b.term AS pattern, b.term AS last, 2 AS n_words
+        FROM held a JOIN held b ON a.doc_id = b.doc_id AND a.term < b.term),
+three AS (SELECT two.doc_id, two.category, two.label, pattern || ' + ' || c.term AS pattern, c.term AS last, 3 AS n_words
+          FROM two JOIN held c ON c.doc_id = two.doc_id AND two.last < c.term),
+cnt AS (SELECT category, pattern, n_words, count(*) FILTER (label = 0) AS neg_df, count(*) FILTER (label = 1) AS pos_df
+        FROM (SELECT * FROM two UNION ALL SELECT * FROM three) GROUP BY ALL HAVING count(*) FILTER (label = 0) >= 3),
+sc AS (SELECT cnt.*, round(ln((neg_df + 1.0) / (n_neg - neg_df + 1.0)) - ln((pos_df + 1.0) / (n_pos - pos_df + 1.0)), 6) AS weight
+       FROM cnt JOIN tot USING (category)),
+top AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY weight DESC, neg_df DESC, pattern) AS rank
+        FROM sc WHERE weight > 0)
+SELECT category, CAST(rank AS BIGINT) AS rank, pattern, CAST(n_words AS BIGINT) AS n_words, weight,
+  CAST(neg_df AS BIGINT) AS neg_df, CAST(pos_df AS BIGINT) AS pos_df
+FROM top WHERE rank <= 20
+"""
+
+SQL["scorer_udf"] = """
+WITH w AS (SELECT doc_id, contains(coalesce(text, ''), '|') AS bars,
+                  regexp_extract_all(coalesce(text, ''), '\\S+') AS ws FROM documents),
+f AS (SELECT doc_id, bars, CAST(100 * len([x FOR x IN ws IF len(x) >= 6]) // greatest(1, len(ws)) AS BIGINT) AS fit FROM w)
+SELECT doc_id, CASE WHEN bars THEN 'failed' WHEN fit >= 30 THEN 'relevant' ELSE 'rejected' END AS outcome,
+  CASE WHEN NOT bars THEN fit END AS fit_score, CASE WHEN bars THEN 'ValueError: bars' END AS score_error
+FROM f
+"""
+
 SQL["signal_score"] = f"""
 WITH {_LEARN},
 d AS (SELECT doc_id, text, lang AS category, sha256(text) AS name FROM documents),
