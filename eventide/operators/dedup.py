@@ -34,26 +34,39 @@ from .components import components
 TASK_ROWS = 200_000
 
 
-def _pick(df: DataFrame, keys: list[str | Column], order: list[str], first: bool) -> DataFrame:
+def _pick(df: DataFrame, keys: list[str | Column], order: list[str], first: bool, late: bool) -> DataFrame:
     cols = df.columns
     key_cols = [F.col(k) if isinstance(k, str) else k for k in keys]
     key_names = [f"_k{i}" for i in range(len(key_cols))]
     keyed = df.select(*[c.alias(n) for c, n in zip(key_cols, key_names)], *cols)
+    reduce_by = F.min if first else F.max
+    if late:
+        # the order alone is reduced; one column needs no struct and stays in the hash aggregate
+        places = [F.col(o).alias(f"_o{i}") for i, o in enumerate(order)]
+        best = reduce_by(F.col(order[0]) if len(order) == 1 else F.struct(*places))
+        won = keyed.groupBy(*key_names).agg(best.alias("_w"))
+        won = won.select(F.col("_w").alias("_o0")) if len(order) == 1 else won.select("_w.*")
+        same = [F.col(o).eqNullSafe(F.col(f"_o{i}")) for i, o in enumerate(order)]
+        return df.join(won, same, "left_semi")
     payload = F.struct(*[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)],
                        F.struct(*cols).alias("_row"))
-    agg = F.min(payload) if first else F.max(payload)
-    return keyed.groupBy(*key_names).agg(agg.alias("_w")).select("_w._row.*")
+    return keyed.groupBy(*key_names).agg(reduce_by(payload).alias("_w")).select("_w._row.*")
 
 
-def first_wins(df: DataFrame, keys: list[str | Column], order: list[str]) -> DataFrame:
+def first_wins(df: DataFrame, keys: list[str | Column], order: list[str], late: bool = False) -> DataFrame:
     """Keep the first row per key in ``order`` (which must end in a
-    unique column). NULL keys form one group, as '' does in the reference."""
-    return _pick(df, keys, order, first=True)
+    unique column). NULL keys form one group, as '' does in the reference.
 
+    Rows travel through the aggregate, which reads ``df`` once and is best for
+    narrow rows or dear inputs. With ``late`` only keys and order are reduced and
+    the winners' rows are fetched by a semi join on the order: for wide rows of
+    a stored table, which is read twice."""
+    return _pick(df, keys, order, True, late)
 
-def last_wins(df: DataFrame, keys: list[str | Column], order: list[str]) -> DataFrame:
+
+def last_wins(df: DataFrame, keys: list[str | Column], order: list[str], late: bool = False) -> DataFrame:
     """Keep the last row per key (dict-overwrite semantics)."""
-    return _pick(df, keys, order, first=False)
+    return _pick(df, keys, order, False, late)
 
 
 def dedup_keys(name: Column, url: Column, case_fold: bool = True) -> Column:

@@ -298,6 +298,15 @@ def known_sketch(spark: SparkSession, sf: str) -> DataFrame:
     return first_wins(cand.withColumn("_k", X.norm_key("name")), ["_k"], ["ord"]).select("ord", "name")
 
 
+@query
+def wide_first_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """The first document of each source and language that opens with the
+    same word, whole rows fetched after the reduction."""
+    d = load(spark, sf, "documents")
+    word = F.lower(F.regexp_extract("text", r"^\W*(\w*)", 1))
+    return first_wins(d, ["source", "lang", word], ["doc_id"], late=True)
+
+
 @query
 def text_norm(spark: SparkSession, sf: str) -> DataFrame:
     """Match key of the whole padded text, lenient flag,
@@ -604,6 +613,24 @@ def scorer_udf(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", "outcome", F.col("fit_score").cast("long").alias("fit_score"), "score_error")
 
 
+@query
+def observed_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """A2 in flight: the outcome counts of scorer_udf, gathered by the job that
+    writes the scored documents."""
+    from pyspark.sql import Observation
+
+    from ..operators.classify import classify_batch, model_scorer
+    from ..session import write_table
+
+    d = load(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit("").alias("name"),
+                                            F.lit("").alias("website"))
+    empty = key_set(d.where(F.lit(False)), "name")
+    seen = Observation("outcomes")
+    scorer = model_scorer(_length_model, ["text"], "relevant boolean, fit_score int")
+    write_table(classify_batch(d, scorer, empty, empty, observation=seen)[2], "scored")
+    return spark.createDataFrame([(k, n or 0) for k, n in seen.get.items()], "outcome string, n long")
+
+
 @query
 def signal_score(spark: SparkSession, sf: str) -> DataFrame:
     """Every document scored with the learned signals after

@@ -280,6 +280,12 @@ SELECT ord, name FROM (
 
 SQL["known_sketch"] = SQL["known_anti"]
 
+SQL["wide_first_wins"] = r"""
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY source, lang, lower(regexp_extract(text, '^\W*(\w*)', 1)) ORDER BY doc_id) AS rn
+  FROM documents) WHERE rn = 1
+"""
+
 SQL["text_norm"] = f"""
 WITH d AS (
   SELECT doc_id, text,
@@ -569,6 +575,11 @@ SELECT doc_id, CASE WHEN bars THEN 'failed' WHEN fit >= 30 THEN 'relevant' ELSE
 FROM f
 """
 
+SQL["observed_outcomes"] = f"""
+SELECT o.outcome, count(s.outcome) AS n FROM (VALUES ('relevant'), ('rejected'), ('failed')) AS o(outcome)
+LEFT JOIN ({SQL["scorer_udf"]}) s ON s.outcome = o.outcome GROUP BY o.outcome
+"""
+
 SQL["signal_score"] = f"""
 WITH {_LEARN},
 d AS (SELECT doc_id, text, lang AS category, sha256(text) AS name FROM documents),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 import pytest
 
 from eventide.operators.common import order_key
-from eventide.operators.dedup import first_wins, greedy_two_key
+from eventide.operators.dedup import first_wins, greedy_two_key, last_wins
 
 from models import kept_by_two_keys
 
@@ -83,3 +83,16 @@ def test_components_in_tasks_of_a_few_rows(spark):
     want = kept_by_two_keys(data)
     for size in (3, 20, 10_000):
         assert _kept(df, task_rows=size) == want
+
+
+def test_late_rows_equal_early_ones(spark):
+    r = random.Random(11)
+    rows = [(i, r.choice(["a", "B ", None, ""]), r.choice([1, 2, None]), "x" * r.randint(0, 50)) for i in range(300)]
+    df = spark.createDataFrame(rows, "ord long, name string, page int, payload string").repartition(4)
+    for pick in (first_wins, last_wins):
+        for keys, order in ((["name"], ["ord"]), (["name", "page"], ["page", "ord"]), ([F.lower("name")], ["payload", "ord"])):
+            early, late = pick(df, keys, order), pick(df, keys, order, late=True)
+            assert sorted(map(str, early.collect())) == sorted(map(str, late.collect()))
+    plan = first_wins(df, ["name"], ["ord"], late=True)._jdf.queryExecution().optimizedPlan().toString()
+    aggregate = plan[plan.index("Aggregate"):].splitlines()
+    assert "payload" not in aggregate[0] and "payload" not in aggregate[1]
