@@ -1228,3 +1228,126 @@ SELECT {out} FROM t WHERE sheet <> 'Meet-ups' UNION ALL SELECT {out} FROM arch
 
 
 SQL["meetup_run"] = _meetup_run_sql()
+
+
+def _conference_raw_sql() -> str:
+    """Raw events of the conference run: seeds, page links, listing rows, echoes
+    of the tracker (discovery is added by the caller)."""
+    from ..vocab import SEED_EVENTS
+
+    union = SQL["source_union"]
+    parts = union[:union.index("SELECT s.source, CAST(1 AS BIGINT)")]
+    split = SQL["date_range_split"]
+    ends = split[split.index("  CASE WHEN date_raw = '' THEN ''", split.index("AS start_part")):split.index("AS end_part")]
+    parts = parts.replace("ELSE dd END AS start_part FROM ls)", f"ELSE dd END AS start_part, {ends} AS end_part FROM ls)")
+    more = ", ".join(f"(CAST({i} AS BIGINT), {_lit(cat)}, {_lit(e)})" for i, (_, _, _, _, e, cat, _) in enumerate(SEED_EVENTS, 1))
+    first = lambda a, b: f"coalesce(coalesce(nullif({_trim(a)}, ''), nullif({_trim(b)}, '')), '')"
+    return parts.rstrip() + f""",
+more(ord, category, e) AS (VALUES {more})
+SELECT 1 AS source_rank, s.ord AS o1, CAST(0 AS BIGINT) AS o2, s.name, s.source, more.category, s.raw_location, s.raw_start_date,
+  more.e AS raw_end_date, s.website, CAST(NULL AS VARCHAR) AS card_text, coalesce(nullif({_trim('s.st')}, ''), pg.ps, 'Check site') AS cfp_status
+FROM seeds s JOIN more ON more.ord = s.ord LEFT JOIN pg ON pg.url = s.website
+UNION ALL
+SELECT 2, page_id, ord, text, 'Pages', NULL,
+  CASE split_part({_host('url')}, '.', -1) WHEN 'com' THEN 'San Francisco, USA' WHEN 'org' THEN 'Berlin, Germany'
+       WHEN 'net' THEN 'London, UK' ELSE 'Various' END, NULL, NULL, link, text, NULL
+FROM links
+UNION ALL
+SELECT 3, o_orderkey, 0, name, 'Listing', NULL, coalesce(nullif({_trim('location')}, ''), 'Various'),
+  {first('start_part', 'date_raw')}, {first('end_part', 'date_raw')}, '', parent_text, NULL
+FROM lt
+UNION ALL
+SELECT 4, o_orderkey, 0, 'Conf ' || CAST(o_custkey AS VARCHAR), 'Echo', NULL, 'City ' || CAST(o_custkey % 9 AS VARCHAR),
+  strftime(CAST(o_orderdate AS DATE) + INTERVAL 400 DAY, '%b %d, %Y'), NULL, NULL, 'conf echo', NULL
+FROM orders
+"""
+
+
+def _conference_run_sql() -> str:
+    """The conference run from its parts: migration, sources in rank order,
+    rules, routing, editions, CFP facts, two upserts, refresh."""
+    disc = SQL["reply_explode"].replace(
+        "search_rank AS source_rank, concat(reply_id, ':', pos - 1) AS ord", "5 AS source_rank, reply_id AS o1, pos - 1 AS o2")
+    a, b = disc.index("known AS ("), disc.index("c AS (SELECT * FROM p")
+    disc = disc[:a] + f"known AS (SELECT DISTINCT {_key('name')} AS k FROM x),\n" + disc[b:]
+    cols = "source_rank, o1, o2, name, source, category, raw_location, raw_start_date, raw_end_date, website, card_text, cfp_status"
+    facts = _CFP_IN[_CFP_IN.index("f0 AS ("):]
+
+    def upserted(step: str, name: str, *args) -> str:
+        sql = _upsert_sql(*args)
+        # of rows with the same keys only the first can be kept
+        sql = sql.replace("WHERE match_row_id IS NULL)", "WHERE match_row_id IS NULL QUALIFY row_number() OVER "
+                          f"(PARTITION BY {_key('name')}, {_key('website')} ORDER BY ord) = 1)")
+        sql = re.sub(r"\b(u_\w+|g0|walk|greedy)\b", rf"\1_{step}", sql)
+        return re.sub(r"\barch AS \(", f"{name} AS (", sql).strip()
+
+    def date(e: str) -> str:
+        n = f"regexp_replace({_trim(e)}, '\\s+', ' ', 'g')"
+        day = lambda k: (f"CASE WHEN regexp_matches({n}, '^[A-Za-z]{{3}} \\d{{1,2}}$') THEN "
+                         f"CAST(try_strptime({n} || ', ' || CAST(year({AS_O}) + {k} AS VARCHAR), '%b %d, %Y') AS DATE) END")
+        return (f"coalesce(strftime(coalesce({_parse5(e)}, CASE WHEN {day(0)} >= {AS_O} THEN {day(0)} "
+                f"WHEN {day(1)} < {AS_O} + INTERVAL 12 MONTH THEN {day(1)} END), '%b %d, %Y'), '')")
+
+    text = "concat_ws(' ', name, card_text)"
+    categories = [(c, [c.split(" /")[0].lower()]) for c in CATEGORIES]
+    row = f"sheet, row_id, row_no, name, {', '.join(_MANAGED)}, website, days, notes"
+    out = "sheet, row_id, row_no, name, category, cfp_status, start_date, website, days"
+    return f"""
+WITH RECURSIVE {_LIFE},
+x AS (SELECT {row} FROM tr UNION ALL
+      SELECT 'Excluded', 1000000000 + c_custkey, c_custkey + 2, c_name, {', '.join('NULL' for _ in _MANAGED)}, '', NULL, NULL
+      FROM customer WHERE c_acctbal < 0),
+tgt AS (SELECT * FROM x WHERE sheet = 'Time Passed'),
+mv AS (SELECT * FROM x WHERE sheet = 'Conferences' AND coalesce({_parse5('start_date')} < {AS_O}, false)),
+ev AS (SELECT CAST(row_no AS BIGINT) AS ord, name, website, {', '.join(f"nullif({_trim(c)}, '') AS {c}" for c in _MANAGED)}, notes FROM mv),
+{upserted('m', 'arch0', 'tgt', 'ev', 'x', 'Time Passed', True)},
+keys AS (SELECT {_key('name')} AS k FROM arch0 WHERE {_key('name')} IS NOT NULL
+         UNION SELECT {_key('website')} FROM arch0 WHERE {_key('website')} IS NOT NULL),
+gone AS (SELECT row_id FROM mv WHERE {_key('name')} IN (SELECT k FROM keys) OR {_key('website')} IN (SELECT k FROM keys)),
+t1 AS MATERIALIZED (SELECT {row} FROM x WHERE sheet <> 'Time Passed' AND row_id NOT IN (SELECT row_id FROM gone)
+       UNION ALL SELECT {row} FROM arch0),
+raw AS (SELECT {cols} FROM ({_conference_raw_sql()}) UNION ALL
+        SELECT source_rank, o1, o2, name, source, NULL, raw_location, raw_start_date, raw_end_date, website, card_text, cfp_status
+        FROM ({disc})),
+scored AS (SELECT source_rank, o1, o2, name, website, '' AS cfp_date,
+             coalesce(nullif({_trim('category')}, ''), {_first_rule_sql(text, categories)}, 'Startup / General Tech') AS category,
+             CASE WHEN coalesce(cfp_status, '') NOT IN ('', 'Check site') THEN cfp_status ELSE 'Check site' END AS cfp_status,
+             coalesce(raw_location, '') AS location, {date('raw_start_date')} AS start_date, {date('raw_end_date')} AS end_date
+           FROM raw WHERE {_any(text, ["customer", "conf", "summit", "kubecon", "cloud"])}
+             AND NOT EXISTS (SELECT 1 FROM x WHERE x.sheet = 'Excluded' AND {_key('x.name')} = {_key('raw.name')})),
+routed AS MATERIALIZED (SELECT *, coalesce({_parse5('start_date')} < {AS_O}, false) AS past FROM scored),
+pk AS (SELECT row_id, {_strip_year_sql('name')} AS base_name, category, location, website, {_parse5('start_date')} AS pd
+       FROM t1 WHERE sheet = 'Time Passed'),
+ec AS (SELECT lower({_strip_year_sql("'Conf ' || CAST(o_custkey AS VARCHAR)")}) AS base,
+         CAST(o_orderdate AS DATE) + INTERVAL 900 DAY AS cd FROM orders
+       WHERE CAST(o_orderdate AS DATE) + INTERVAL 900 DAY >= {AS_O}),
+nd AS (SELECT pk.row_id, min(ec.cd) AS nd FROM pk JOIN ec ON ec.base = lower(pk.base_name) WHERE pk.pd IS NULL OR ec.cd > pk.pd GROUP BY 1),
+editions AS (SELECT CAST(1099511627776 AS BIGINT) AS source_rank, pk.row_id AS o1, CAST(0 AS BIGINT) AS o2,
+               base_name || ' ' || CAST(year({AS_O}) + 1 AS VARCHAR) AS name, website, '' AS cfp_date, coalesce(category, '') AS category,
+               'Check site' AS cfp_status, location, strftime(nd.nd, '%b %d, %Y') AS start_date, '' AS end_date
+             FROM pk JOIN nd USING (row_id)),
+{facts.strip()},
+f1 AS (SELECT * EXCLUDE (past) FROM routed WHERE NOT past UNION ALL BY NAME SELECT * FROM editions),
+future AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY source_rank, o1, o2) AS ord, f1.name, website, category, location, start_date, end_date,
+    CASE WHEN facts.fact_key IS NOT NULL THEN facts.fact_status ELSE f1.cfp_status END AS cfp_status,
+    CASE WHEN facts.fact_key IS NOT NULL AND facts.fact_date <> '' THEN facts.fact_date ELSE f1.cfp_date END AS cfp_date
+  FROM f1 LEFT JOIN facts ON lower({_trim('f1.name')}) = facts.fact_key),
+passed AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY source_rank, o1, o2) AS ord, name, website, category, location, start_date, end_date, cfp_status, cfp_date
+  FROM routed WHERE past),
+conf AS MATERIALIZED (SELECT * FROM t1 WHERE sheet = 'Conferences'),
+{upserted('c', 'conf1', 'conf', 'future', 't1', 'Conferences', False)},
+t2 AS MATERIALIZED (SELECT {row} FROM t1 WHERE sheet <> 'Conferences' UNION ALL SELECT {row} FROM conf1),
+old AS MATERIALIZED (SELECT * FROM t2 WHERE sheet = 'Time Passed'),
+{upserted('a', 'old1', 'old', 'passed', 't2', 'Time Passed', False)},
+t3 AS MATERIALIZED (SELECT {row} FROM t2 WHERE sheet <> 'Time Passed' UNION ALL SELECT {row} FROM old1),
+pt AS (SELECT t3.row_id, facts.fact_status FROM t3 JOIN facts ON lower({_trim('t3.name')}) = facts.fact_key
+       WHERE sheet = 'Conferences' AND NOT coalesce({_parse5('start_date')} < {AS_O}, false) AND (fact_status <> '' OR fact_date <> '')
+         AND coalesce(lower({_trim('cfp_status')}), '') IN ('', 'check site', 'not yet announced', 'unknown'))
+SELECT {out.replace("cfp_status", "coalesce(nullif(coalesce(pt.fact_status, ''), ''), t3.cfp_status) AS cfp_status").replace("row_id", "t3.row_id")}
+FROM t3 LEFT JOIN pt ON pt.row_id = t3.row_id
+"""
+
+
+SQL["conference_run"] = _conference_run_sql()
