@@ -9,9 +9,10 @@ Slots number a shard's rows without gaps. A shard is a fixed fraction of all
 rows, far too many for one window, so each shard is cut into blocks by a second
 hash; rows are numbered inside their block, and a block starts where
 the sizes of the shard's earlier blocks end. The number of blocks follows the
-row count. A block is chosen by key and content, so a key that many rows share
-spreads; only rows equal in key, size and CRC meet in one block, where the
-window streams them through an external sort.
+row count. A block is chosen by key, content and the task that read the row, so
+that neither a key that many rows share nor a row that is repeated very often
+meets in one block. Rows with their shards are written once, so that every later
+step sees them in the same blocks.
 
 Defined cases: a null text has size 8 and CRC 0; a null key is one more key
 value; repeated rows get slots of their own; an empty table gives no rows;
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import write_table
+
 # Rows of a block; blocks are sorted and numbered by one task each.
 BLOCK_ROWS = 50_000
 
@@ -54,8 +57,9 @@ def assign(docs: DataFrame, key: str, text: str, weights: dict[int, float],
     placed = rows.select(
         "*", pick(F.col("key"), weights).alias("shard"),
         (pick(F.col("key"), grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit("block"), F.col("key"), F.col("text_crc32"), F.col("size")),
+        F.pmod(F.xxhash64(F.lit("block"), F.col("key"), F.col("text_crc32"), F.col("size"), F.spark_partition_id()),
                F.lit(blocks)).alias("block"))
+    placed = write_table(placed, "shards")
     sizes = placed.groupBy("shard", "block").count()
     before = (W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
     starts = sizes.select("shard", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))

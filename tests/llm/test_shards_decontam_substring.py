@@ -48,6 +48,41 @@ def test_shard_tables(odd_docs, no_docs):
     assert sharding.assign(no_docs, "doc_id", "text", w).count() == 0
 
 
+def _plain_shard(key, shards):
+    """Shard of the highest score -1 / ln(hash), hashed as Spark's xxhash64 does."""
+    import math
+    import struct
+
+    import xxhash
+
+    def score(shard):
+        h = xxhash.xxh64_intdigest(b"shard", 42)
+        if key is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", key), h)
+        h = xxhash.xxh64_intdigest(struct.pack("<q", shard), h)
+        return -1 / math.log(((h >> 11) + 0.5) / (1 << 53)), shard
+
+    return max(map(score, range(shards)))[1]
+
+
+def test_shards_recomputed(spark):
+    w = {s: 1.0 for s in range(24)}
+    rows = [(i, f"text {i}") for i in range(-50, 400)] + [(None, "no key"), (2**62, None)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", w, w | {24: 1.0}).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r["shard"], r["grown_shard"]) == (_plain_shard(r["key"], 24), _plain_shard(r["key"], 25))
+
+
+def test_one_row_repeated(spark):
+    """60,000 equal rows: no block holds more than its task read, slots have no gap."""
+    df = spark.range(60_000).selectExpr("cast(null as long) as doc_id", "'same' as text").repartition(12)
+    got = sharding.assign(df, "doc_id", "text", {0: 1.0, 1: 1.0}, block_rows=2000)
+    rows = got.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("a"), F.max("slot").alias("b"),
+                                    F.countDistinct("slot").alias("d")).collect()
+    assert [(r["n"], r["a"], r["b"], r["d"]) for r in rows] == [(60_000, 0, 59_999, 60_000)]
+
+
 FOLD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -97,6 +132,11 @@ def test_contamination_equals_plain(spark, bench_case):
     assert sorted((str(r["id"]), r["n_words"], r["n_hit"], list(r["item_ids"])) for r in got) == plain_contamination(docs, items)
 
 
+def test_windows_beyond_the_broadcast(spark, bench_case, monkeypatch):
+    monkeypatch.setattr(decontam, "MAX_BROADCAST_WINDOWS", 0)
+    test_contamination_equals_plain(spark, bench_case)
+
+
 def test_removed_spans_are_gone(spark, bench_case):
     docs, items = bench_case
     out = decontam.remove_spans(spark.createDataFrame(docs, "doc_id long, text string").withColumn("spans", F.lit(1)),
@@ -177,3 +217,11 @@ def test_substring_spans_and_tables(spark, odd_docs, no_docs, passages):
     odd = substring.remove(odd_docs)
     assert odd.count() == odd_docs.count() and odd.columns.count("spans") == 1 and "key" in odd.columns
     assert substring.remove(no_docs).count() == 0
+
+
+def test_one_document_repeated(spark):
+    """20,000 rows without an id and of one text: each window starts elsewhere too."""
+    text = " ".join(f"w{i}" for i in range(90))
+    df = spark.range(20_000).selectExpr("cast(null as long) as doc_id", f"'{text}' as text").repartition(6)
+    got = substring.remove(df, full=False).groupBy("n_words", "n_removed").count().collect()
+    assert [tuple(r) for r in got] == [(90, 90, 20_000)]
