@@ -3,7 +3,9 @@
 Texts are folded (A-Z as a-z) and cut into words of digits, letters a-z and
 anything outside ASCII. Every run of ``n`` words of a benchmark item is a
 window; an item with fewer words is one window of its own length. The windows
-are a table of one row each, whose size is checked before it is broadcast (beyond ``MAX_BROADCAST_WINDOWS`` the same join is a shuffle join).
+are a table of one row each, whose size is checked before it is broadcast. Beyond
+``MAX_BROADCAST_WINDOWS`` windows are joined by a shuffle, in which a document's
+window is two hashes and its place; what is found is verified against the text.
 Documents are scanned once: each window's key, a hash of its first, middle and
 last word, is exploded and met with that table in the same stage; where a key
 is found, the window is verified word by word, so only hits leave the stage.
@@ -78,15 +80,30 @@ def _hits(docs: DataFrame, windows: DataFrame, n: int) -> tuple[DataFrame, DataF
         both = F.transform(F.array(ws), lambda w: F.struct(w.alias("ws"), window_keys(w, length).alias("ks")))[0]
         keys = docs.select("key", both.alias("both")).select("key", F.col("both.ws").alias("ws"),
                                                                F.posexplode("both.ks").alias("start", "k"))
-        hit = (keys.join(F.broadcast(own) if few else own, F.col("k") == F.col("g_key"))
-               .where(F.slice("ws", F.col("start") + 1, length) == F.col("g"))
-               .select("key", "start", F.lit(length).alias("len"), "h"))
+        if few:
+            hit = (keys.join(F.broadcast(own), F.col("k") == F.col("g_key"))
+                   .where(F.slice("ws", F.col("start") + 1, length) == F.col("g"))
+                   .select("key", "start", F.lit(length).alias("len"), "h"))
+        else:
+            hit = _shuffled_hits(docs, keys, own, length)
         found = hit if found is None else found.unionByName(hit)
     if found is None:
         found = docs.limit(0).select("key", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("h"))
     return counted, found
 
 
+def _shuffled_hits(docs: DataFrame, keys: DataFrame, own: DataFrame, length: int) -> DataFrame:
+    """Hits of windows of one length, however many there are: only hashes are
+    shuffled with the places, and the few that agree meet the texts again."""
+    whole = F.xxhash64(F.slice("ws", F.col("start") + 1, length))
+    found = (keys.select("key", "start", "k", whole.alias("h"))
+             .join(own.withColumnRenamed("g_key", "k"), ["k", "h"]).select("key", "start", "h", "g").distinct())
+    texts = docs.join(cut_lineage(found.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
+    return (found.join(texts.select("key", words(fold(F.col("text"))).alias("ws")), "key")
+            .where(F.slice("ws", F.col("start") + 1, length) == F.col("g"))
+            .select("key", "start", F.lit(length).alias("len"), "h"))
+
+
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     t = docs[f"`{text}`"].cast("string")
     return docs.select(docs[f"`{doc_id}`"].alias("id"), F.struct(docs[f"`{doc_id}`"].alias("id"), F.xxhash64(t).alias("t"))
