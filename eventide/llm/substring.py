@@ -179,7 +179,8 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     kept_sha256 (of the kept words joined by a space) and, if ``full``, spans
     (removed word ranges [start, end)) and kept_text."""
     found = duplicate_windows(keyed(docs, doc_id, text), window, anchor)
-    by_key = found.groupBy("key").agg(F.collect_list(F.struct("at", "count")).alias("found"))
+    # a set: rows that repeat a document have one key, and their equal windows are reduced in each map task
+    by_key = found.groupBy("key").agg(F.collect_set(F.struct("at", "count")).alias("found"))
     new = ["n_words", "n_removed", "kept_sha256", *(["spans", "kept_text"] if full else [])]
     others = [c for c in docs.columns if c.lower() not in (text.lower(), *new)]
     body = docs[f"`{text}`"].cast("string")
