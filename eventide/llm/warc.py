@@ -45,6 +45,7 @@ FILE_BYTES = 16 << 20
 _DATE = "2024-01-01T00:00:00Z"  # archives of the same pages are equal byte for byte
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
+_PIECE = 64 << 10  # of a compressed file, read at once
 
 
 def revisit_plan(pages: DataFrame, page_id: str, html: str, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
@@ -178,11 +179,14 @@ def _members(content: bytes) -> Iterator[bytes]:
     if content[:2] != b"\x1f\x8b":
         yield content
         return
-    rest = content
-    while rest[:2] == b"\x1f\x8b":
-        unzip = zlib.decompressobj(16 + zlib.MAX_WBITS)
-        yield unzip.decompress(rest)
-        rest = unzip.unused_data
+    at = 0
+    while content[at:at + 2] == b"\x1f\x8b":
+        unzip, parts = zlib.decompressobj(16 + zlib.MAX_WBITS), []
+        while not unzip.eof and at < len(content):  # in pieces: what is left over is copied
+            piece = content[at:at + _PIECE]
+            parts.append(unzip.decompress(piece))
+            at += len(piece) - len(unzip.unused_data)
+        yield b"".join(parts)
 
 
 _FIELD = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)")

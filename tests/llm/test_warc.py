@@ -70,3 +70,14 @@ def test_cut_record(spark, tmp_path):
     rec = warc.page_records(1, b"x" * 900, hashlib.sha1(b"x" * 900).hexdigest(), None, "a")[0]
     (tmp_path / "a.warc.gz").write_bytes(gzip.compress(rec[:-50]))
     assert [r["state"] for r in warc.read_pages(spark, str(tmp_path)).collect()] == ["cut"]
+
+
+def test_a_member_for_each_record():
+    import gzip
+    import time
+
+    records = [warc.page_records(i, b"x" * 50, "d", None, str(i))[0] + warc.END for i in range(20_000)]
+    content = b"".join(gzip.compress(r, 1) for r in records)
+    start = time.time()
+    assert [m for m in warc._members(content)] == records and time.time() - start < 20
+    assert list(warc._members(b"")) == [b""] and list(warc._members(b"plain")) == [b"plain"]
