@@ -87,7 +87,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
 
 def calibrate(margin: np.ndarray, y: np.ndarray, precision: float) -> float:
     """The lowest margin from which held-out precision is at least
-    ``precision`` all the way up; infinity if there is none."""
+    ``precision`` all the way up, half-way to the next margin below; infinity if
+    there is none."""
     order = np.argsort(-margin, kind="stable")
     hits = np.cumsum(y[order])
     good = hits >= precision * np.arange(1, len(y) + 1)
@@ -98,4 +99,7 @@ def calibrate(margin: np.ndarray, y: np.ndarray, precision: float) -> float:
     stop = np.flatnonzero(~good & last_of_tie)
     limit = stop[0] if len(stop) else len(y)
     fine = fine[fine < limit]
-    return float(margin[order][fine[-1]]) if len(fine) else float("inf")
+    if not len(fine):
+        return float("inf")
+    ranked, last = margin[order], fine[-1]
+    return float((ranked[last] + ranked[last + 1]) / 2 if last + 1 < len(ranked) else ranked[last])

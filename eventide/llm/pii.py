@@ -15,7 +15,8 @@ least ``precision``. Of accepted candidates that overlap the better stays, and
 none may overlap a base span.
 
 The trees are fitted on candidates that overlap a base span, those equal to it
-being right, on pairs of base spans put side by side, and on copies of base spans
+being right, on pairs of base spans put side by side, on addresses with their signs
+written out and prices that look like them, and on copies of other base spans
 spoilt in a way that the kind's rule forbids. They come from about ``TRAIN_DOCS`` documents, the lowest by a hash of
 their text; everything else covers all texts.
 
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,8 @@ KINDS = ("email", "ip", "card", "phone")
 TRAIN_DOCS = 3000
 TRAIN_PER_DOC = 200  # candidates of a text that the fit uses
 PRECISION = 0.995
-MAX_GROUPS = 6  # digit groups of a candidate: a card has up to 5, a telephone number up to 6
+TREES, DEPTH = 80, 4
+CONTEXT = 32  # characters around a span that features look at, at most
 
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -121,8 +124,11 @@ def candidates(text: str) -> list[Span]:
             groups.append((m.start(), end, sum(c.isdigit() for c in m.group())))
         for i, (start, _, _) in enumerate(groups):
             n = 0
-            for _, end, digits in groups[i:i + MAX_GROUPS]:
+            for j in range(i, len(groups)):
+                _, end, digits = groups[j]
                 n += digits
+                if n > 19:
+                    break
                 if 7 <= n <= 15:
                     out.add((3, start, end))
                 if 13 <= n <= 19:
@@ -156,14 +162,41 @@ def features(text: str, span: Span) -> list[float]:
             sum(c.isdigit() for c in text[end:end + 6])]
 
 
+class Taken:
+    """Spans without overlaps, for the question whether another one overlaps them."""
+
+    def __init__(self, spans: list[Span] = ()):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, start, end in sorted(spans, key=lambda s: s[1]):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        at = bisect_left(self.starts, end)
+        return at > 0 and self.ends[at - 1] > start
+
+    def add(self, start: int, end: int) -> None:
+        """A span that overlaps none."""
+        at = bisect_left(self.starts, start)
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+
+
+def _replaced(text: str, span: Span, s: str) -> tuple[str, int]:
+    """The surroundings of a span with ``s`` in its place, and where that begins."""
+    before = text[max(0, span[1] - CONTEXT):span[1]]
+    return before + s + text[span[2]:span[2] + CONTEXT], len(before)
+
+
 def _spoilt(text: str, span: Span, turn: int) -> tuple[str, Span]:
-    """The text with a span changed so that its kind's rule forbids it."""
+    """A span's surroundings with the span changed so that its kind's rule forbids it."""
     kind, start, end = span
     s = text[start:end]
-    if kind == 0:
-        at = s.rfind(".")
-        s = s[:at] + " " + s[at + 1:] if turn % 2 else s[:at]
-    elif kind == 1:
+    if kind == 1:
         parts = s.split(".")
         parts[turn % 4] = str(256 + (turn * 37) % 700)
         s = ".".join(parts)
@@ -175,19 +208,34 @@ def _spoilt(text: str, span: Span, turn: int) -> tuple[str, Span]:
     else:
         cut = [i for i, c in enumerate(s) if c.isdigit()]
         s = s[:cut[-4 + turn % 2]] if turn % 3 else s[1:cut[-5]]
-    return text[:start] + s + text[end:], (kind, start, start + len(s.rstrip(" .(-")))
+    changed, begin = _replaced(text, span, s)
+    return changed, (kind, begin, begin + len(s.rstrip(" .(-")))
+
+
+def _written_out(text: str, span: Span, turn: int) -> list[tuple[str, Span, int]]:
+    """(surroundings, span, label): an address with its signs written out, and a
+    price or time in its place that looks alike and is none."""
+    local, _, domain = text[span[1]:span[2]].rpartition("@")
+    forms = (f"{local} (at) {domain.replace('.', ' (dot) ')}", f"{local} [at] {domain.replace('.', ' [dot] ')}",
+             f"{local}(at){domain}", f"{local} [at] {domain}", f"{local} @ {domain}", f"{local}@ {domain}")
+    others = (f"{local} @ {turn % 90 + 1}.{turn * 7 % 100:02d}", f"{local} (at) {turn % 23}.{turn * 11 % 60:02d}")
+    out = []
+    for s, label in ((forms[turn % len(forms)], 1), (others[turn % len(others)], 0)):
+        changed, begin = _replaced(text, span, s)
+        out.append((changed, (0, begin, begin + len(s)), label))
+    return out
 
 
 def training_rows(text: str) -> tuple[list[list[float]], list[int]]:
     """Features and labels of the candidates of a text that base spans judge."""
     x, y = [], []
     base = base_spans(text)
-    right = set(base)
+    right, taken = set(base), Taken(base)
     for c in candidates(text) + [b for b in base if b[0] == 0]:
         if c in right:
             x.append(features(text, c))
             y.append(1)
-        elif any(b[1] < c[2] and c[1] < b[2] for b in base):
+        elif taken.overlaps(c[1], c[2]):
             x.append(features(text, c))
             y.append(0)
     for a, b in zip(base, base[1:]):  # two side by side, where the patterns run over
@@ -200,10 +248,12 @@ def training_rows(text: str) -> tuple[list[list[float]], list[int]]:
                 x.append(features(both, c))
                 y.append(int(c in pair))
     for turn, b in enumerate(base):
-        changed, span = _spoilt(text, b, turn + b[1])
-        if span[2] - span[1] > 2:
-            x.append(features(changed, span))
-            y.append(0)
+        # no generator proposes a spoilt address
+        made = _written_out(text, b, turn + b[1]) if b[0] == 0 else [(*_spoilt(text, b, turn + b[1]), 0)]
+        for changed, span, label in made:
+            if span[2] - span[1] > 2:
+                x.append(features(changed, span))
+                y.append(label)
     return x, y
 
 
@@ -223,14 +273,16 @@ class Redactor:
     def added(self, text: str, base: list[Span]) -> list[Span]:
         if self.model is None:
             return []
-        open_ones = [c for c in candidates(text) if not any(b[1] < c[2] and c[1] < b[2] for b in base)]
+        taken = Taken(base)
+        open_ones = [c for c in candidates(text) if not taken.overlaps(c[1], c[2])]
         if not open_ones:
             return []
         margin = self.model.margin(np.array([features(text, c) for c in open_ones], dtype=float))
         out: list[Span] = []
         for i in np.lexsort(([c[1] for c in open_ones], -margin)):
             kind, start, end = open_ones[i]
-            if margin[i] >= self.thresholds[kind] and not any(o[1] < end and start < o[2] for o in out):
+            if margin[i] >= self.thresholds[kind] and not taken.overlaps(start, end):
+                taken.add(start, end)
                 out.append(open_ones[i])
         return out
 
@@ -259,7 +311,7 @@ def fit(docs: DataFrame, text: str = "text", train_docs: int = TRAIN_DOCS, preci
         return Redactor(None, (float("inf"),) * len(KINDS))
     x = np.array([r["x"] for r in got], dtype=float)
     held = np.arange(len(y)) % 4 == 3
-    model = boosting.fit(x[~held], y[~held])
+    model = boosting.fit(x[~held], y[~held], trees=TREES, depth=DEPTH)
     margin = model.margin(x[held])
     thresholds = []
     for kind in range(len(KINDS)):

@@ -153,6 +153,37 @@ def test_method_adds_what_patterns_miss(people):
         assert set(pii.shown(base).split(",")) <= set(got[i]["spans"].split(","))
 
 
+def test_written_out_addresses(spark, people):
+    shown = ["john (at) example (dot) com", "jane.doe [at] mail.example.org", "max@ example.net", "info(at)firm.net"]
+    plain = ["apples @ 3.50 each", "we met (at) 12.30 sharp", "no sign here. Next."]
+    extra = spark.createDataFrame([(5000 + i, f"write to {s} for more of it") for i, s in enumerate(shown + plain)],
+                                  "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find(extra, pii.fit(people)).collect()}
+    for i, s in enumerate(shown + plain):
+        want = "[EMAIL]" if s in shown else s
+        assert got[5000 + i]["redacted"] == f"write to {want} for more of it" and got[5000 + i]["n_email"] == 0
+
+
+def test_many_spans_take_linear_time(people):
+    import time
+
+    redactor = pii.fit(people)
+    text = " ".join(f"user{i}@mail.example.com 10.0.{i % 256}.7 +1 (234) 555-{1000 + i % 9000} and words" for i in range(20_000))
+    start = time.time()
+    base = pii.base_spans(text)
+    spans = sorted(base + redactor.added(text, base))
+    pii.training_rows(text[:200_000])
+    assert len(spans) >= 60_000 and time.time() - start < 60
+
+
+def test_taken_spans():
+    taken = pii.Taken([(0, 5, 9), (1, 8, 12), (2, 20, 21)])
+    assert [taken.overlaps(a, b) for a, b in ((0, 5), (0, 6), (11, 13), (12, 20), (12, 21), (21, 30))] == [
+        False, True, True, False, True, False]
+    taken.add(13, 15)
+    assert taken.overlaps(14, 15) and not taken.overlaps(15, 20)
+
+
 def test_pii_tables(odd_docs, no_docs):
     out = pii.find(odd_docs, pii.fit(odd_docs))
     assert out.count() == odd_docs.count() and out.columns.count("spans") == 1
