@@ -116,7 +116,11 @@ def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP = r"""'[.!?"'')\]:;…”’»。！？]$'"""
-_PHRASE = " OR ".join(f"contains(lower(l), '{p}')" for p in quality.PHRASES)
+# The phrases of page furniture, stated here for the SQL alone.
+_FURNITURE = ("all rights reserved", "cookie policy", "use cookies", "privacy policy", "terms of use", "terms of service",
+              "enable javascript", "lorem ipsum", "sign up for our newsletter", "subscribe to our newsletter", "click here",
+              "read more", "skip to content", "powered by wordpress")
+_N_PHRASES = " + ".join(f"(len(low) - len(replace(low, '{p}', ''))) // {len(p)}" for p in _FURNITURE)
 SQL["op4_line_quality"] = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
@@ -127,12 +131,13 @@ rep AS (SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 8))
 l0 AS (SELECT r, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d),
 l1 AS (SELECT r, k, l, regexp_extract_all(l, '[^\x20\x09-\x0D]+') AS lw FROM l0
        WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
-l2 AS (SELECT r, l, len(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS chars,
+l2 AS (SELECT r, l, len(lw) AS n, {_AZ.replace("coalesce(text, '')", "l")} AS low, len(regexp_replace(l, '[\x20\x09-\x0D]', '', 'g')) AS chars,
               len(l) - len(regexp_replace(l, '[#*$%&|<>]', '', 'g')) AS syms,
               len(l) - len(regexp_replace(l, '[|<>]', '', 'g')) AS bars,
               len([x for x in lw if regexp_matches(x, {_STOP})]) AS stops,
               row_number() OVER (PARTITION BY r, l ORDER BY k) > 1 AS dup FROM l1),
-l3 AS (SELECT *, stops = 0 OR bars >= 2 OR dup OR 100 * syms > 10 * chars OR {_PHRASE} AS bad FROM l2),
+l3 AS (SELECT *, stops = 0 OR (bars >= 2 AND 100 * bars > 3 * chars) OR dup OR 100 * syms > 10 * chars
+              OR ({_N_PHRASES} > 0 AND 20 * ({_N_PHRASES}) >= n) AS bad FROM l2),
 ls AS (SELECT r, count(*) AS n_lines, count(*) FILTER (bad) AS n_bad, count(*) FILTER (dup) AS n_dup,
               coalesce(sum(chars) FILTER (bad), 0) AS lost FROM l3 GROUP BY r),
 b AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words,
