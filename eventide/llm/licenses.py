@@ -59,33 +59,100 @@ SENTENCES = {
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "bsd-source",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "all rights reserved": "all-rights",
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-basis",
+    "see the license for the specific language governing permissions and limitations under the license": "apache2-see",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software": "mit-liability",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "neither the name of the copyright owner nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "neither the names of the copyright holders nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-warranty",
+    "in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage": "bsd-liability",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-only",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-later",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "lgpl-warranty",
+    "see the gnu lesser general public license for more details": "lgpl-see",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later",
+    "see the gnu affero general public license for more details": "agpl-see",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl2-start",
+    "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0": "mpl2-copy",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl2-copy",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness": "isc-warranty",
+    "this is free and unencumbered software released into the public domain": "unlicense-start",
+    "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means": "unlicense-free",
+    "licensed under cc by sa 4 0": "cc-by-sa-4-ref",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-4-ref",
+    "spdx license identifier bsd 2 clause": "spdx-bsd2",
+    "spdx license identifier bsd 3 clause": "spdx-bsd3",
+    "spdx license identifier gpl 2 0 only": "spdx-gpl2",
+    "spdx license identifier gpl 2 0 or later": "spdx-gpl2-later",
+    "spdx license identifier lgpl 2 1 or later": "spdx-lgpl21-later",
+    "spdx license identifier agpl 3 0 or later": "spdx-agpl3-later",
+    "spdx license identifier mpl 2 0": "spdx-mpl2",
+    "spdx license identifier isc": "spdx-isc",
+    "spdx license identifier unlicense": "spdx-unlicense",
 }
 
 # Ordered: a sequence of identifiers, and the licence it shows.
 RULES = (
     (("gpl3-later", "gpl-warranty", "gpl-see"), "GPL-3.0-or-later"),
     (("gpl2-later", "gpl-warranty", "gpl-see"), "GPL-2.0-or-later"),
+    (("gpl2-only", "gpl-warranty", "gpl-see"), "GPL-2.0-only"),
+    (("lgpl21-later", "lgpl-warranty", "lgpl-see"), "LGPL-2.1-or-later"),
+    (("lgpl3-later", "gpl-warranty", "lgpl-see"), "LGPL-3.0-or-later"),
+    (("agpl3-later", "gpl-warranty", "agpl-see"), "AGPL-3.0-or-later"),
     (("gpl3-later",), "GPL-3.0-or-later"),
     (("gpl2-later",), "GPL-2.0-or-later"),
+    (("gpl2-only",), "GPL-2.0-only"),
+    (("lgpl21-later",), "LGPL-2.1-or-later"),
+    (("lgpl3-later",), "LGPL-3.0-or-later"),
+    (("agpl3-later",), "AGPL-3.0-or-later"),
+    (("apache2-start", "apache2-use", "apache2-copy", "apache2-basis", "apache2-see"), "Apache-2.0"),
+    (("apache2-both", "apache2-copy", "apache2-basis", "apache2-see"), "Apache-2.0"),
     (("apache2-start", "apache2-use", "apache2-copy"), "Apache-2.0"),
     (("apache2-both", "apache2-copy"), "Apache-2.0"),
     (("apache2-both",), "Apache-2.0"),
+    (("mit-grant", "mit-notice", "mit-warranty", "mit-liability"), "MIT"),
+    (("mit-grant", "mit-notice", "mit-warranty"), "MIT"),
     (("mit-notice", "mit-warranty"), "MIT"),
+    (("mit-grant", "mit-notice"), "MIT"),
+    (("bsd-start", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty", "bsd-liability"), "BSD-3-Clause"),
+    (("bsd-start", "bsd-source", "bsd-binary", "bsd-endorse"), "BSD-3-Clause"),
+    (("bsd-start", "bsd-source", "bsd-binary", "bsd-warranty", "bsd-liability"), "BSD-2-Clause"),
     (("bsd-start", "bsd-source", "bsd-binary"), "BSD-2-Clause"),
+    (("mpl2-start", "mpl2-copy"), "MPL-2.0"),
+    (("isc-grant", "isc-warranty"), "ISC"),
+    (("isc-grant",), "ISC"),
+    (("unlicense-start", "unlicense-free"), "Unlicense"),
+    (("unlicense-start",), "Unlicense"),
     (("spdx-apache2",), "Apache-2.0"),
     (("spdx-mit",), "MIT"),
     (("spdx-gpl3-later",), "GPL-3.0-or-later"),
     (("spdx-gpl3",), "GPL-3.0-only"),
+    (("spdx-bsd2",), "BSD-2-Clause"),
+    (("spdx-bsd3",), "BSD-3-Clause"),
+    (("spdx-gpl2",), "GPL-2.0-only"),
+    (("spdx-gpl2-later",), "GPL-2.0-or-later"),
+    (("spdx-lgpl21-later",), "LGPL-2.1-or-later"),
+    (("spdx-agpl3-later",), "AGPL-3.0-or-later"),
+    (("spdx-mpl2",), "MPL-2.0"),
+    (("spdx-isc",), "ISC"),
+    (("spdx-unlicense",), "Unlicense"),
     (("apache2-ref",), "Apache-2.0"),
     (("mit-ref",), "MIT"),
     (("gpl3-ref",), "GPL-3.0"),
     (("cc-by-nc-4-ref",), "CC-BY-NC-4.0"),
+    (("cc-by-sa-4-ref",), "CC-BY-SA-4.0"),
     (("cc-by-4-ref",), "CC-BY-4.0"),
     (("all-rights",), "Proprietary"),
 )
+# Said by notices of free licences too: named only where no other rule has found a licence.
+LAST = ("Proprietary",)
 
 # Every known sentence has one of these.
-SIGNS = ("licens", "redistribut", "warranty", "permission", "reserved")
+SIGNS = ("licens", "redistribut", "warranty", "warranties", "permission", "reserved", "liab", "public domain", "anyone is free", "copy of the mpl")
 
 # Marks of a cut, of a line break that may be one, and of a blank line.
 CUT, BREAK, BLANK_LINE = "\u0001", "\u0002", "\u0003"
@@ -128,13 +195,15 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     signed = F.lower(body).rlike("|".join(SIGNS))
     ids = F.when(signed, F.transform(known_sentences(body), lambda s: known[s]))
     ids = F.coalesce(ids, F.array().cast("array<string>"))
-    rules = F.array(*[F.struct(F.lit(_coded(seq)).alias("seq"), F.lit(name).alias("name")) for seq, name in RULES])
+    rules = F.array(*[F.struct(F.lit(_coded(seq)).alias("seq"), F.lit(name).alias("name"), F.lit(name in LAST).alias("last"))
+                      for seq, name in RULES])
     start = F.transform(F.array(ids), lambda x: F.struct(
         F.array_join(F.transform(x, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "").alias("rest"),
         F.array().cast("array<string>").alias("found"), x.alias("ids")))[0]
 
     def apply(state: Column, rule: Column) -> Column:
-        return F.when(F.contains(state["rest"], rule["seq"]), F.struct(
+        held = F.contains(state["rest"], rule["seq"]) & (~rule["last"] | (F.size(state["found"]) == 0))
+        return F.when(held, F.struct(
             F.replace(state["rest"], rule["seq"], F.lit("|")).alias("rest"),
             F.array_union(state["found"], F.array(rule["name"])).alias("found"), state["ids"].alias("ids"))
         ).otherwise(state)

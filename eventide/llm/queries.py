@@ -165,9 +165,9 @@ def _license_sql() -> str:
     steps, before = [], "coded"
     for n, (seq, name) in enumerate(licenses.RULES):
         code = "".join(f"<{i}>" for i in seq)
-        steps.append(f"r{n} AS (SELECT r, ids, replace(rest, '{code}', '|') AS rest, "
-                     f"CASE WHEN contains(rest, '{code}') THEN list_append(found, '{name}') ELSE found END AS found "
-                     f"FROM {before})")
+        held = f"contains(rest, '{code}')" + (" AND len(found) = 0" if name == "Proprietary" else "")
+        steps.append(f"r{n} AS (SELECT r, ids, CASE WHEN {held} THEN replace(rest, '{code}', '|') ELSE rest END AS rest, "
+                     f"CASE WHEN {held} THEN list_append(found, '{name}') ELSE found END AS found FROM {before})")
         before = f"r{n}"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
