@@ -248,6 +248,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent:
     owned = with_set.select("id", "s1", "s2").join(same, ["s1", "s2"]).select("id", "rep")
     sets = (with_set.join(same.select(F.col("rep").alias("id"), "s1", "s2"), ["id", "s1", "s2"], "left_semi")
             .dropDuplicates(["id", "s1", "s2"]).select("id", "n", "low", "deep"))
+    sets = write_table(sets, "near-sets")  # read again by every level of the trees
     members = nodes(sets, trees, leaf)
     packed = rows.where("id is not null and text is not null").mapInArrow(packed_texts, "id long, packed binary")
     met = (members.join(packed, "id").select("node", "id", "packed")
