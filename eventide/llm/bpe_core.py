@@ -21,6 +21,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import regex
+from tokenizers import Tokenizer
+from tokenizers.normalizers import NFC
 
 # The pattern of the vocabulary file, for texts in Latin-1 and for all others.
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -33,6 +35,8 @@ _NEW_CAPITALS = (
 )
 _lower_new = {c: c + d for lo, hi, d in _NEW_CAPITALS for c in range(lo, hi + 1)}
 _has_new = re.compile("[" + "".join(f"{chr(lo)}-{chr(hi)}" for lo, hi, _ in _NEW_CAPITALS) + "]")
+_marks = regex.compile(r"\p{M}")
+_library_nfc = NFC().normalize_str
 
 
 def _ranges(points: list[int]) -> list[list[int]]:
@@ -48,28 +52,22 @@ def _ranges(points: list[int]) -> list[list[int]]:
 @lru_cache(maxsize=4)
 def read_vocabulary(path: str) -> str:
     """The text of a vocabulary file with the letters and numbers, as code
-    point ranges, that the library's own Unicode tables know (Python's tables
-    if the library is not installed). Runs on the driver; the text is of fixed
+    point ranges, that the library's own Unicode tables know. Runs on the driver; the text is of fixed
     size and goes to the tasks as a broadcast."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     signs = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     points = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", signs)]  # the newest tables: none is missing here
-    try:
-        from tokenizers import Tokenizer
-    except ImportError:
-        kinds = [unicodedata.category(chr(c))[0] for c in points]
-    else:
-        cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
-        kinds = []
-        for lo in range(0, len(points), 1 << 16):
-            some = points[lo:lo + (1 << 16)]
-            # between two a's a doubled letter makes one piece, a doubled number four, any other sign three
-            probe = "\n".join(f"a{chr(c)}{chr(c)}a" for c in some)
-            pieces = [0] * len(some)
-            for _, (begin, _end) in cut(probe):
-                pieces[begin // 5] += 1
-            kinds += [{1: "L", 4: "N"}.get(n, "") for n in pieces]
+    cut = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    kinds = []
+    for lo in range(0, len(points), 1 << 16):
+        some = points[lo:lo + (1 << 16)]
+        # between two a's a doubled letter makes one piece, a doubled number four, any other sign three
+        probe = "\n".join(f"a{chr(c)}{chr(c)}a" for c in some)
+        pieces = [0] * len(some)
+        for _, (begin, _end) in cut(probe):
+            pieces[begin // 5] += 1
+        kinds += [{1: "L", 4: "N"}.get(n, "") for n in pieces]
     spec["classes"] = {k: _ranges([c for c, kind in zip(points, kinds) if kind == k]) for k in "LN"}
     return json.dumps(spec)
 
@@ -81,11 +79,12 @@ def _pattern(classes: dict[str, list[list[int]]], limit: int) -> re.Pattern:
 
 
 def normalised(text: str) -> str:
-    """NFC and lower case, letter by letter (a sigma at a word's end included)."""
+    """NFC and lower case, letter by letter (a sigma at a word's end included).
+    Marks are put in the order of the library's own Unicode version."""
     if text.isascii():
         return text.lower()
-    if not unicodedata.is_normalized("NFC", text):
-        text = unicodedata.normalize("NFC", text)
+    if _marks.search(text) or not unicodedata.is_normalized("NFC", text):
+        text = _library_nfc(text)
     if _has_new.search(text):
         text = text.translate(_lower_new)
     return text.replace("Σ", "σ").lower()

@@ -2,12 +2,14 @@
 import hashlib
 import random
 import struct
+import sys
 
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from eventide.llm import bpe_codec, token_count
-from eventide.llm.bpe_core import read_vocabulary
+from eventide.llm.bpe_core import normalised, read_vocabulary
 from eventide.llm.queries import vocab_file
 
 from conftest import ODD
@@ -41,6 +43,16 @@ def test_counts_and_codes_equal_library(raw, library):
         assert got[3] == library.decode(enc.ids, skip_special_tokens=False), text
 
 
+def test_every_sign_is_normalised_as_by_the_library(library):
+    signs = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    marks = regex.compile(r"\p{M}")
+    # every mark beside two others, every other sign before a mark and among plain letters
+    probes = [p for x in signs if marks.match(x) for p in (f"a{x}\u0301", f"a\u0323{x}\u0301", f"\u0301{x}\u0316", f"a{x}\u0316{x}")]
+    probes += [p for x in signs if not marks.match(x) for p in (f"{x}\u0301\u0323", f"a{x}b")]
+    expected = library.normalizer.normalize_str  # also turns blanks into spaces, which our cut does
+    assert [p for p in probes if not any(map(str.isspace, p)) and normalised(p) != expected(p)] == []
+
+
 @pytest.mark.parametrize("size", [1, 7, 50])
 def test_chunk_maps_compose_to_the_whole(raw, size):
     t = token_count.transducer(raw)
