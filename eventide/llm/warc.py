@@ -6,7 +6,8 @@ part keeps the type ``response`` (segment 1), the rest become ``continuation``
 records that carry the origin record's identifier, their number and, on the
 last, the total length. Of pages with equal payloads of at least
 ``revisit_bytes``, that with the largest id is written in full and the others
-as ``revisit`` records that name it. Records are written by Spark's text writer
+as ``revisit`` records that name its target URI and date, as record ids are
+known only to the task that writes the record. Records are written by Spark's text writer
 into gzip members of bounded size: a record ends with a blank line, which is
 the line separator of the file.
 
@@ -122,7 +123,8 @@ def page_records(page_id: int | None, payload: bytes, digest: str, refers_to: in
     if refers_to is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Length: %d\r\n\r\n" % len(payload)
         return [_record([("WARC-Type", "revisit"), ("WARC-Record-ID", f"<urn:record:{serial}>"), *base,
-                         ("WARC-Profile", _PROFILE), ("WARC-Refers-To", _urn(refers_to)),
+                         ("WARC-Profile", _PROFILE), ("WARC-Refers-To-Target-URI", _urn(refers_to)[1:-1]),
+                         ("WARC-Refers-To-Date", _DATE),
                          ("Content-Type", "application/http; msgtype=response")], block)]
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     cuts = range(0, len(block), segment_bytes)
@@ -236,7 +238,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     for f, block in parse_records(data):
                         rows.append((f.get("warc-type"), f.get("warc-record-id"), f.get("warc-segment-origin-id"),
                                      whole(f.get("warc-segment-number")), whole(f.get("warc-segment-total-length")),
-                                     f.get("warc-target-uri"), f.get("warc-payload-digest"), f.get("warc-refers-to"),
+                                     f.get("warc-target-uri"), f.get("warc-payload-digest"), f.get("warc-refers-to-target-uri"),
                                      block))
                         held += len(block or b"")
                         if held >= 4 << 20:

@@ -50,6 +50,16 @@ def test_round_trip(spark, pages):
         assert r["payload"] == (body if r["record_type"] == "response" else None)
 
 
+def test_revisits_name_a_record_of_the_archive(spark, pages):
+    path = scratch_path(spark, "warc-test")
+    warc.write_archives(pages, path)
+    got = warc.read_records(spark, path).where("record_type <> 'continuation'").collect()
+    full = {(r["target"], r["digest"]) for r in got if r["record_type"] == "response"}
+    revisits = [(r["refers_to"], r["digest"]) for r in got if r["record_type"] == "revisit"]
+    assert len(revisits) == 8 and set(revisits) <= full
+    assert len({r["record_id"] for r in got}) == len(got)
+
+
 def test_empty_table(spark, pages):
     path = scratch_path(spark, "warc-test")
     warc.write_archives(pages.limit(0), path)
