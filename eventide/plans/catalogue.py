@@ -1368,6 +1368,29 @@ def registered_sources(spark: SparkSession, sf: str) -> DataFrame:
     return got.select(F.col("source_rank").cast("long"), "source", "name", F.expr(_ORD_TEXT))
 
 
+@query
+def source_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """A run goes on without a source that cannot be read and without
+    one that fails at its last rows; of the latter none are kept."""
+    from ..sources.registry import Source, collect_sources
+
+    def of(kind, table="events", fails=F.lit(False)):
+        def rows(spark, cfg):
+            e = load(spark, cfg["sf"], table).where(F.col("event_type") == kind)
+            name = F.concat(F.lit(kind + " "), F.col("event_id").cast("string"))
+            return e.select(F.when(fails, F.raise_error(F.lit("source broke off"))).otherwise(name).alias("name"),
+                            F.lit(kind).alias("source"), F.col("event_id").alias("ord"))
+        return rows
+
+    sources = [Source("clicks", 1, of("click")), Source("gone", 2, of("view", table="no_such_table")),
+               Source("broken", 3, of("error", fails=F.col("event_id") > 100)), Source("views", 4, of("view"))]
+    failed: list[tuple[str, int]] = []
+    got = collect_sources(spark, {"sf": sf}, "conference", sources, lambda s, _: failed.append((s.name, s.rank)))
+    reported = spark.createDataFrame(failed, "name string, source_rank int").withColumn("source", F.lit("failed"))
+    return (got.select("source_rank", "source", "name").unionByName(reported)
+            .withColumn("source_rank", F.col("source_rank").cast("long")))
+
+
 @query
 def exclusion_load(spark: SparkSession, sf: str) -> DataFrame:
     """The key sets of the tracker's Excluded table."""

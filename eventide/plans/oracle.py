@@ -1089,6 +1089,16 @@ SELECT CAST(CASE event_type WHEN 'click' THEN 1 ELSE 2 END AS BIGINT) AS source_
 FROM events WHERE event_type IN ('click', 'view')
 """
 
+SQL["source_failures"] = """
+SELECT CAST(CASE event_type WHEN 'click' THEN 1 ELSE 4 END AS BIGINT) AS source_rank, event_type AS source,
+  event_type || ' ' || CAST(event_id AS VARCHAR) AS name
+FROM events WHERE event_type IN ('click', 'view')
+UNION ALL SELECT 2, 'failed', 'gone'
+UNION ALL SELECT 3, 'failed', 'broken' FROM events WHERE event_type = 'error' HAVING count(*) FILTER (event_id > 100) > 0
+UNION ALL SELECT 3, 'error', 'error ' || CAST(event_id AS VARCHAR) FROM events
+  WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events WHERE event_type = 'error' AND event_id > 100)
+"""
+
 SQL["exclusion_load"] = f"""
 SELECT DISTINCT 'name' AS kind, {_key('c_name')} AS k FROM customer WHERE c_acctbal < 0 AND {_key('c_name')} IS NOT NULL
 """

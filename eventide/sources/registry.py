@@ -3,7 +3,8 @@
 A source is any ``(spark, cfg) -> DataFrame`` returning raw events. Sources
 register with a name, a rank (the order their rows count as "first") and the
 run modes they serve; ``collect_sources`` unions the enabled ones by name
-(missing columns become NULL) and stamps ``source_rank``.
+(missing columns become NULL) and stamps ``source_rank``. With ``on_failure``
+a source that fails is reported and left out, and the run goes on without it.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.common import order_key
 from ..schema import RAW_EVENT
+from ..session import write_table
 from ..vocab import SEED_EVENTS, SEED_SOURCES
 
 SourceFn = Callable[[SparkSession, dict], DataFrame]
@@ -59,13 +61,26 @@ def union_sources(frames: list[tuple[int, DataFrame]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def collect_sources(spark: SparkSession, cfg: dict, mode: str,
-                    sources: list[Source] | None = None) -> DataFrame:
-    """Run the sources serving ``mode`` and concatenate them."""
+def collect_sources(spark: SparkSession, cfg: dict, mode: str, sources: list[Source] | None = None,
+                    on_failure: Callable[[Source, Exception], None] | None = None) -> DataFrame:
+    """Run the sources serving ``mode`` and concatenate them.
+
+    Without ``on_failure`` the union is lazy and a failing source ends the run.
+    With it each source's rows are written to the shared folder first, as rows
+    are only then known to be whole; a source that raises while its plan is
+    built or while it runs is handed to ``on_failure`` and gives no rows at
+    all. If every source fails the result is empty."""
     chosen = [s for s in (sources or registered()) if mode in s.modes]
-    if not chosen:
-        return spark.createDataFrame([], RAW_EVENT)
-    return union_sources([(s.rank, s.fn(spark, cfg)) for s in chosen])
+    frames = []
+    for s in chosen:
+        if on_failure is None:
+            frames.append((s.rank, s.fn(spark, cfg)))
+            continue
+        try:
+            frames.append((s.rank, write_table(conform_raw(s.fn(spark, cfg)), f"source-{s.rank}")))
+        except Exception as e:  # a source is anyone's code: whatever it raises concerns it alone
+            on_failure(s, e)
+    return union_sources(frames) if frames else spark.createDataFrame([], RAW_EVENT)
 
 
 def seed_events(spark: SparkSession) -> DataFrame:

@@ -1,4 +1,5 @@
 """Smaller operators: P11 cap before block, M5 source registry, R3 fold, J4 rule tables."""
+import pytest
 from pyspark.sql import functions as F
 
 from eventide.operators.classify import classify_batch
@@ -37,6 +38,30 @@ def test_source_registry_modes(spark):
     REG._REGISTRY.clear()
 
 
+def test_failing_sources_are_left_out(spark):
+    def good(spark, cfg):
+        return spark.createDataFrame([("A", 1), ("B", 2)], "name string, ord long")
+
+    def breaks_off(spark, cfg):
+        return good(spark, cfg).withColumn("name", F.expr("if(ord = 2, raise_error('late'), name)"))
+
+    def raises(spark, cfg):
+        raise OSError("no answer")
+
+    def clashes(spark, cfg):
+        return spark.sql("SELECT 'x' AS name, 'y' AS name")
+
+    bad = [REG.Source("late", 1, breaks_off), REG.Source("off", 3, raises), REG.Source("twice", 4, clashes)]
+    failed = {}
+    got = REG.collect_sources(spark, {}, "meetup", [*bad, REG.Source("good", 2, good)], lambda s, e: failed.update({s.name: e}))
+    assert sorted((r.name, r.source_rank) for r in got.collect()) == [("A", 2), ("B", 2)]
+    assert set(failed) == {"late", "off", "twice"} and isinstance(failed["off"], OSError)
+    none = REG.collect_sources(spark, {}, "meetup", bad, lambda s, e: None)
+    assert none.count() == 0 and none.columns == got.columns
+    with pytest.raises(OSError):
+        REG.collect_sources(spark, {}, "meetup", bad)
+
+
 def test_demo_fold(spark):
     ev = spark.createDataFrame([("meetup", "Jun 01, 2030", "Menlo Park, CA", True, None, 1),
                                 ("meetup", "Jun 01, 2030", "Berlin", True, None, 2),
