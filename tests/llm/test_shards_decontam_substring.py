@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -225,3 +226,38 @@ def test_one_document_repeated(spark):
     df = spark.range(20_000).selectExpr("cast(null as long) as doc_id", f"'{text}' as text").repartition(6)
     got = substring.remove(df, full=False).groupBy("n_words", "n_removed").count().collect()
     assert [tuple(r) for r in got] == [(90, 90, 20_000)]
+
+
+def test_factors_equal_their_sources(spark, passages):
+    """Each factor is found word by word at its place; none goes on there."""
+    df = spark.createDataFrame(passages, "doc_id long, text string").repartition(6)
+    names = {r.key >> substring.PLACE_BITS: WORD.findall(r.text) for r in substring.keyed(df, "doc_id", "text").collect()
+             if r.text}
+    rows = substring.remove(df.withColumn("body", F.col("text"))).collect()
+    n = 0
+    for r in rows:
+        ws = WORD.findall(r["body"] or "")
+        covered = {j for f in r["factors"] for j in range(f["start"], f["end"])}
+        assert covered == {j for s in r["spans"] for j in range(s["start"], s["end"])}
+        for f, after in zip(r["factors"], [*r["factors"][1:], None]):
+            there, length = names[f["source"]][f["source_start"]:], f["end"] - f["start"]
+            assert length >= 35 and ws[f["start"]:f["end"]] == there[:length]
+            assert after is None or after["start"] >= f["end"] - 34
+            n += 1
+    assert n > 100
+
+
+def test_a_factor_takes_the_place_that_goes_on():
+    at, count = np.array([10, 0, 5]), np.array([3, 5, 5])
+    near, far = np.array([900, 100, 500]), np.array([210, 200, 205])
+    assert substring.parse(at, count, near, far, 35) == [(0, 47, 200)]
+    assert substring.parse(at, count, near, near, 35) == [(0, 39, 100), (5, 44, 500), (10, 47, 900)]
+    assert substring.parse(*[np.array([], dtype=np.int64)] * 4, 35) == []
+
+
+def test_one_long_copy_is_one_factor(spark):
+    text = " ".join(f"w{i}" for i in range(3000))
+    df = spark.createDataFrame([(1, "head " + text), (2, text + " tail"), (3, "x")], "doc_id long, text string")
+    got = {r["doc_id"]: [(f["start"], f["end"], f["source_start"]) for f in r["factors"]]
+           for r in substring.remove(df).collect()}
+    assert got == {1: [(1, 3001, 0)], 2: [(0, 3000, 1)], 3: []}
