@@ -10,20 +10,27 @@ found once per process and kept; distinct words are run once while they stay in
 a bounded memo.
 
 Texts are read in chunks. The transducer is back in its start state at every
-blank, so the map of a chunk from incoming to outgoing state has three parts:
-what is read before its first blank (its effect depends on the incoming state),
-the tokens emitted between its first and last blank, and the pending rest after
-the last blank. Maps compose associatively; the chunks of a text are counted as
-separate rows, their maps meet by row and are composed pairwise in a scan.
+blank, before every digit (a word of its own) and between an ideograph, syllable
+or kana and the stop after it, whatever stands before. The map of a chunk from
+incoming to outgoing state so has three parts: what is read before its first
+such border (its effect depends on the incoming state), the tokens emitted
+between its first and last border, and the pending rest. Maps compose
+associatively; the chunks of a text are counted as separate rows, their maps
+meet by row and are composed pairwise in a scan. Only a run of chunks without
+any border (one word of over 65,536 characters, or Thai without blanks) is its
+own map and counted by one task.
 
 Defined cases: a null or empty text has 0 tokens; repeated rows are counted
-each; an empty table gives no rows; other columns pass through. Special strings
+each; an empty table gives no rows; other columns pass through, but for one that
+has the name of the new column. Special strings
 inside a text are one token each, as the library does by default.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -108,15 +115,42 @@ def transducer(raw: str) -> Transducer:
     return _built[id(vocab)]
 
 
-# A chunk's map: (has a blank, what precedes the first blank, tokens between, pending rest)
+# A chunk's map: (has a border, what precedes the first, tokens between, pending rest)
 ChunkMap = tuple[bool, str, int, str]
 
+# Borders that hold in any context: blanks and digits, and stops after signs that are letters of one piece.
+_BORDER_SIGNS = " \t\n\r\x0b\x0c\u30000123456789"
+_STOPS = "\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f"
+_BEFORE_STOPS = "\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+
+
+@lru_cache(maxsize=4)
+def _border(special: tuple[str, ...]) -> re.Pattern:
+    """Border signs but those of special strings, which must not be cut."""
+    inside = set("".join(special))
+    signs, stops = ("".join(c for c in cs if c not in inside) for cs in (_BORDER_SIGNS, _STOPS))
+    return re.compile(f"[{signs}]" + (f"|(?<=[{_BEFORE_STOPS}])[{stops}]" if stops else ""))
+
+
+def _last(border: re.Pattern, text: str) -> int:
+    """Start of the last border of a text that has one; looks further back
+    in steps that grow."""
+    step = 64
+    while True:
+        at = -1
+        for m in border.finditer(text, max(0, len(text) - step)):
+            at = m.start()
+        if at >= 0:
+            return at
+        step *= 8
+
 
 def chunk_map(t: Transducer, text: str) -> ChunkMap:
-    blanks = [p for p in (text.find(b) for b in " \t\n\r\x0b\x0c") if p >= 0]
-    if not blanks:
+    border = _border(tuple(t.vocab.special))
+    found = border.search(text)
+    if not found:
         return False, text, 0, ""
-    first, last = min(blanks), max(text.rfind(b) for b in " \t\n\r\x0b\x0c")
+    first, last = found.start(), _last(border, text)
     return True, text[:first], t.count(text[first:last]), text[last:]
 
 

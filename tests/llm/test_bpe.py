@@ -89,3 +89,35 @@ def test_odd_tables(odd_docs, no_docs, library):
     empty = [r for r in rows if r["n_tokens"] == 0]
     assert empty and all(r["ids_sha256"] == hashlib.sha256(b"").hexdigest() for r in empty)
     assert bpe_codec.encode(no_docs, vocab_file()).count() == 0
+
+
+def unbroken():
+    """Texts without ASCII blanks: prose of ideographs, base64, digits, marks, and signs beside every border."""
+    r = random.Random(8)
+    prose = "".join(r.choice("漢字文章東京語学かなカナ한국어") * r.randrange(1, 3) + r.choice(["", "", "。", "、", "，", "！", "…。", "　"])
+                    for _ in range(400))
+    code = "".join(r.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(1200))
+    mixed = "".join(r.choice("がが́1漢。、'sS!aー…！　²٣é") for _ in range(800))
+    return [prose, code, mixed, "1́20é。", "'1's2'll3", "漢<|endoftext|>。1<|startoftext|>", "7" * 300]
+
+
+@pytest.mark.parametrize("size", [1, 7, 50, 5000])
+def test_borders_hold_without_blanks(raw, library, size):
+    t = token_count.transducer(raw)
+    for text in unbroken():
+        maps = [token_count.chunk_map(t, text[i:i + size]) for i in range(0, len(text), size)]
+        assert token_count.scan(t, maps) == len(library.encode(text, add_special_tokens=False).ids), text
+
+
+def test_long_texts_without_blanks_are_counted_in_their_chunks(raw):
+    t = token_count.transducer(raw)
+    for text in unbroken()[:2]:
+        has, head, tokens, tail = token_count.chunk_map(t, text * 20)
+        assert has and tokens > 1000 and len(head) < 200 and len(tail) < 200
+    has, head, tokens, tail = token_count.chunk_map(t, "one two" + "x" * 9000)
+    assert (has, head, len(tail)) == (True, "one", 9004)
+
+
+def test_signs_of_special_strings_are_no_borders():
+    border = token_count._border(("<5 end>",))
+    assert not border.search("5 ") and border.search("4") and border.search("漢。")
