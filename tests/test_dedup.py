@@ -96,3 +96,21 @@ def test_late_rows_equal_early_ones(spark):
     plan = first_wins(df, ["name"], ["ord"], late=True)._jdf.queryExecution().optimizedPlan().toString()
     aggregate = plan[plan.index("Aggregate"):].splitlines()
     assert "payload" not in aggregate[0] and "payload" not in aggregate[1]
+
+
+def test_common_names_need_no_components(spark, monkeypatch):
+    """Names held by many rows, each with a URL of its own, are settled by
+    aggregates, however many rows there are; chains beside them are walked."""
+    from eventide.operators import dedup
+
+    calls = []
+    monkeypatch.setattr(dedup, "components", lambda pairs: calls.append(1))
+    r = random.Random(3)
+    rows = [(f"name {i % 9}", f"u{i}" if i % 4 else "") for i in range(400)]
+    rows += [("p", "q"), ("p", "s"), ("t", "s"), ("t", ""), ("", "q")]
+    r.shuffle(rows)
+    data = [(i, n, u) for i, (n, u) in enumerate(rows)]
+    df = spark.createDataFrame(data, "ord long, name string, website string").repartition(4)
+    assert _kept(df, task_rows=5) == kept_by_two_keys(data)
+    assert _kept(df, task_rows=5, stored=True) == kept_by_two_keys(data)
+    assert not calls

@@ -84,3 +84,25 @@ def test_hot_key_split_without_aqe(spark):
         assert got == 1000
     finally:
         spark.conf.set("spark.sql.adaptive.skewJoin.enabled", old)
+
+
+def test_rows_without_a_key_are_spread(spark):
+    """Blank URLs make NULL keys; a left join must not send them to one task."""
+    from eventide.operators.common import hot_key_join
+
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    old_broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        big = spark.range(4000).selectExpr("id as ord", "if(id % 4 = 0, concat('u', id % 40), null) as k")
+        small = spark.range(20).selectExpr("concat('u', id) as sk", "id as v")
+        for how in ("left", "left_anti"):
+            got = hot_key_join(big, small, F.col("k") == F.col("sk"), "k", "sk", how)
+            want = big.join(small, F.col("k") == F.col("sk"), how)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+            per_task = [r["n"] for r in got.where("k is null").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+            assert sum(per_task) == 3000 and max(per_task) < 1500
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old_broadcast)
