@@ -34,7 +34,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..functions.text import norm_key
 from ..operators.upsert import apply_changes, conform_tracker, empty_tracker, upsert
 from ..schema import TRACKER
-from ..session import cut_lineage, file_names, publish
+from ..session import file_names, publish, write_table
 
 SLOT_ROWS = 65_536
 
@@ -133,14 +133,16 @@ def upsert_batch(store: SnapshotStore, sheet: str, query: str):
     a restart keeps and a new stream does not share."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch = cut_lineage(batch)
+        # a batch may have landed in a file or two: its rows are spread over all cores once
+        spread = batch.repartition(batch.sparkSession.sparkContext.defaultParallelism, "ord")
+        batch = write_table(spread, "batch")
         while True:
             base = store.latest()
             if base is None:
                 raise RuntimeError(f"no committed snapshot under {store.root}")
             if batch_id <= base.applied.get(query, -1):
                 return  # replayed batch
-            plan = cut_lineage(upsert(store.read(base), batch, sheet).plan)
+            plan = write_table(upsert(store.read(base), batch, sheet, stored=True).plan, "plan")
             if store.commit(query, batch_id, base, plan):
                 return
 

@@ -129,3 +129,16 @@ def test_hot_name_sends_a_row_per_task(spark):
     out = pd.concat(_first_rows("scraped_at", "ord")(iter(frames)))
     assert len(out) == 3 and out["scraped_at"].max() == frames[0]["scraped_at"].max()
     assert sorted(out["ord"].tolist()) == [0, 499, 500]
+
+
+def test_batch_of_one_file_is_spread(spark, monkeypatch):
+    """A batch that lies in one partition is upserted by all cores."""
+    from eventide.streaming import incremental
+
+    seen = []
+    plain = incremental.upsert
+    monkeypatch.setattr(incremental, "upsert", lambda t, batch, *a, **k: seen.append(batch) or plain(t, batch, *a, **k))
+    store = init_store(spark, scratch_path(spark, "t-spread"), empty_tracker(spark))
+    upsert_batch(store, "Meet-ups", "a")(_batch(spark, [(i, f"name {i}", "") for i in range(400)]).coalesce(1), 0)
+    assert store.read().count() == 400
+    assert seen[0].groupBy(F.spark_partition_id()).count().count() > 1
